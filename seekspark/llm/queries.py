@@ -5,19 +5,74 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_dedup
+from . import chat, ego_join, lang_id, line_dedup, lm, mixing, near_dedup, quality, sample_pieces, suffix_dedup
 from .common import Scratch
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_format(_table(spark, sf_dir, "conversations"), Scratch(spark, "op1"))
+
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(_table(spark, sf_dir), Scratch(spark, "op2"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+
+
+def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir)
+    trees = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality.quality(docs, trees).select("doc_id", *quality.COUNTS, "base_failed", "kept")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(_table(spark, sf_dir).select("doc_id", "text"), Scratch(spark, "op4"))
+    return out.select("doc_id", F.col("lines_removed").cast("long").alias("lines_removed"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(_documents(spark, sf_dir), Scratch(spark, "op5"))
+    return near_dedup.near_duplicates(_table(spark, sf_dir), Scratch(spark, "op5"))
+
+
+def op6_ego_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego_join.near_vectors(_table(spark, sf_dir, "embeddings"), Scratch(spark, "op6"))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir), Scratch(spark, "op7"))
+
+
+def op8_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_pieces.encode_checked(_table(spark, sf_dir))
+
+
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.held_out_score(_table(spark, sf_dir), Scratch(spark, "op9"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.held_out_languages(_table(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_minhash_near_dedup,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_chat_format,
+        op2_mix_sources,
+        op3_quality_trees,
+        op4_line_dedup,
+        op5_minhash_near_dedup,
+        op6_ego_near_vectors,
+        op7_suffix_dedup,
+        op8_sampled_pieces,
+        op9_kneser_ney,
+        op10_language_id,
+    )
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_chat_format": chat.ORACLE, "op6_ego_near_vectors": ego_join.ORACLE}
