@@ -5,9 +5,10 @@ taken r times on average. It is taken floor(r) times for certain, and once more
 These fractions are rounded dependently: two documents at a time pass probability between them, so much that their words
 weighted by probability stay the same in sum, in a random direction with odds that keep each document's expectation, until
 one of the two is 0 or 1. The other goes on to the next. Documents meet in order of size within a shard of their source, one
-of each shard is left over, and the shards' leftovers meet in the same way up a tree of shards of shards. What is left
-of a whole source at the root is one document, which is rounded to the nearer side; so the words taken from a
-source differ from its target by half of one document at most.
+of each shard is left over, and the shards' leftovers meet in the same way up a tree of shards of shards. About `BALLAST`
+documents of each source (half of a small one) wait at the root, where leftovers and they are drawn from large to small, each
+with the words that are owed by those before added to its own expectation. So the words that a source is off its target in
+the end are those of one of its small documents, unless one document outweighs all that wait.
 
 Random numbers are hashes of the documents' keys and the seed: reruns and retried tasks agree.
 
@@ -27,12 +28,12 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, mix
 
-WEIGHTS, MOST, SHARD, FAN = (5.0, 2.0, 1.0), 3, 256, 64
+WEIGHTS, MOST, SHARD, FAN, BALLAST, SMALL = (5.0, 2.0, 1.0), 3, 256, 64, 256, 20
 N_WORDS = "coalesce(regexp_count(text, '[^\\\\x20\\\\x09-\\\\x0D]+'), 0)"
 
 
 def targets(sizes: DataFrame, scratch: Scratch, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
-    """source, source_size, target: shares of all words by weight, none above `most` times its source's size.
+    """source, source_size, target and any other columns of `sizes`: shares of all words by weight, none above `most` times its source's size.
 
     Sources are numbered in code point order, null last, by a distributed sort; weights repeat along it. The excess of capped
     sources is shared out again by weight until no source is above its cap; each step is one sum over the sources.
@@ -41,15 +42,16 @@ def targets(sizes: DataFrame, scratch: Scratch, weights: tuple[float, ...] = WEI
     # the in-partition number of a row of a saved, range-partitioned and sorted table, and the rows of the partitions before
     order = F.col("source").isNull(), F.col("source")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    others = [c for c in sizes.columns if c not in ("source", "source_size")]
     placed = sizes.repartitionByRange(n, *order).sortWithinPartitions(*order).select("*", F.monotonically_increasing_id().alias("m"))
-    placed = scratch.save(placed.select("source", "source_size", F.shiftright("m", 33).alias("part"), F.col("m").bitwiseAND((1 << 33) - 1).alias("k")), "sources")
+    placed = scratch.save(placed.select("source", "source_size", *others, F.shiftright("m", 33).alias("part"), F.col("m").bitwiseAND((1 << 33) - 1).alias("k")), "sources")
     before, at = {}, 0
     for part, rows in sorted(placed.groupBy("part").count().collect()):  # a row for each partition
         before[part], at = at, at + rows
     offset = F.element_at(F.create_map(*(F.lit(x).cast("long") for kv in before.items() for x in kv)), F.col("part")) if before else F.lit(0)
     place = (offset + F.col("k")) % len(weights)
     weight = F.element_at(F.array(*map(F.lit, weights)), place.cast("int") + 1)
-    t = scratch.save(placed.select("source", "source_size", weight.alias("weight")), "weights")
+    t = scratch.save(placed.select("source", "source_size", *others, weight.alias("weight")), "weights")
     total = t.agg(F.sum("source_size")).first()[0] or 0
     cap, level = most * F.col("source_size"), None
     while True:
@@ -59,7 +61,7 @@ def targets(sizes: DataFrame, scratch: Scratch, weights: tuple[float, ...] = WEI
             break
         level, held = (total - used) / share, sources
     value = F.least(cap.cast("double"), F.col("weight") * F.lit(float(level or 0.0)))
-    return t.select("source", "source_size", value.alias("target"))
+    return t.select("source", "source_size", value.alias("target"), *others)
 
 
 _ROW = "doc_id long, tkey long, source string, shard long, size long, source_size long, target double, whole int, p double"
@@ -75,20 +77,39 @@ def _transfer(p: float, size: float, q: float, other: float, u: float) -> tuple[
     return (0.0 if loss == a else (a - loss) / size), (1.0 if loss == other - b else (b + loss) / other)
 
 
-def _settled(seed: int, last: bool):
+def _drawn(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
+    """The root: rows sorted by source and size are drawn in turn; what a draw is off is owed to the next of its source."""
+    source, owed = None, 0.0
+    for b in batches:
+        out = []
+        for of, size, p, u in zip(b.column(2).to_pylist(), b.column(4).to_pylist(), b.column(8).to_pylist(), _odds(b, seed).tolist(), strict=True):
+            if (of,) != source:
+                source, owed = (of,), 0.0
+            q = p + owed / size
+            x = float(q > (u if size > SMALL else 0.5))
+            owed = (q - x) * size
+            out.append(x)
+        yield pa.RecordBatch.from_arrays([*b.columns[:8], pa.array(out, pa.float64())], _NAMES)
+
+
+def _odds(b: pa.RecordBatch, seed: int) -> np.ndarray:
+    """A number from 0 to 1 for each row, by its key."""
+    u = mix(mix(b.column(1).to_numpy().view(np.uint64) + np.uint64(seed)) ^ b.column(4).to_numpy().astype(np.uint64))
+    return (u >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
+def _settled(seed: int):
     """Rows sorted by source, shard and size: the fractions of each shard meet one after another; one at most is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held, odds = None, None, 0.0  # the row that still has a fraction, and that fraction
 
         def left() -> list[tuple]:
-            return [] if held is None else [(*held[:-1], float(odds >= 0.5) if last else odds)]
+            return [] if held is None else [(*held[:-1], odds)]
 
         for b in batches:
-            u = mix(mix(b.column(1).to_numpy().view(np.uint64) + np.uint64(seed)) ^ b.column(4).to_numpy().astype(np.uint64))
-            u = (u >> np.uint64(11)).astype(np.float64) * 2.0**-53
             out: list[tuple] = []
-            for row, x in zip(zip(*(c.to_pylist() for c in b.columns), strict=True), u.tolist(), strict=True):
+            for row, x in zip(zip(*(c.to_pylist() for c in b.columns), strict=True), _odds(b, seed).tolist(), strict=True):
                 if row[2:4] != group:
                     out += left()
                     group, held, odds = row[2:4], row, row[-1]
@@ -117,29 +138,30 @@ def _settled(seed: int, last: bool):
 def mix_sources(docs: DataFrame, scratch: Scratch, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 11) -> DataFrame:
     """doc_id, tkey (hash of the text), source, size, source_size, target, copies, taken for every row of `docs`."""
     sized = scratch.save(docs.select("doc_id", "source", F.xxhash64("text").alias("tkey"), F.expr(N_WORDS).cast("long").alias("size")), "sized")
-    wanted = scratch.save(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), scratch, weights, most), "targets")
-    renamed = wanted.withColumnRenamed("source", "s")
-    rows = sized.join(renamed, sized.source.eqNullSafe(renamed.s)).drop("s")
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
+    wanted = scratch.save(targets(sizes, scratch, weights, most), "targets").withColumnRenamed("source", "s")
+    rows = sized.join(wanted, sized.source.eqNullSafe(wanted.s)).drop("s")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
     rows = rows.withColumn("whole", F.floor(rate).cast("int")).withColumn("p", F.when(F.col("size") > 0, rate - F.floor(rate)).otherwise(0.0))
     n, shards = sized.count(), 1
     while shards * SHARD < n:
         shards *= FAN
-    rows = rows.withColumn("shard", F.lit(0).cast("long")).select(*_NAMES)
+    waits = F.pmod(F.xxhash64("doc_id", "tkey", F.lit(seed)), F.greatest(F.lit(2), F.ceil(F.col("docs") / BALLAST))) == 0
+    rows = rows.withColumns({"shard": F.lit(0).cast("long"), "waits": waits})
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    open_ = rows.where("p > 0 and p < 1")
-    out = rows.where("p <= 0 or p >= 1")
-    while True:
-        last = shards == 1
+    halves = rows.where("p > 0 and p < 1")
+    out = rows.where("p <= 0 or p >= 1").select(*_NAMES)
+    root, open_ = halves.where("waits").select(*_NAMES), halves.where("not waits").select(*_NAMES)
+    while shards >= 1:
         open_ = open_.withColumn("shard", F.pmod(F.xxhash64("tkey", "doc_id"), F.lit(shards)))
         open_ = open_.repartition(parts, "source", "shard").sortWithinPartitions("source", "shard", F.desc("size"), "doc_id", "tkey")
-        level = scratch.save(open_.mapInArrow(_settled(seed, last), _ROW), f"level{shards}")
-        out = out.unionByName(level if last else level.where("p <= 0 or p >= 1"))
-        if last:
-            break
+        level = scratch.save(open_.mapInArrow(_settled(seed), _ROW), f"level{shards}")
+        out = out.unionByName(level.where("p <= 0 or p >= 1"))
         open_ = level.where("p > 0 and p < 1")
         shards //= FAN
         seed += 1
+    root = root.unionByName(open_).repartition(parts, "source").sortWithinPartitions("source", F.desc("size"), "doc_id", "tkey")
+    out = out.unionByName(scratch.save(root.mapInArrow(lambda batches: _drawn(batches, seed), _ROW), "root"))
     copies = (F.col("whole") + F.col("p").cast("int")).cast("long")
     return out.select("doc_id", "tkey", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
