@@ -102,7 +102,8 @@ def line_dedup(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: in
     later = scratch.save(later.groupBy("pid", "tkey").agg(F.collect_set("start").alias("__starts")), "later")
     plain = docs.select("*", F.coalesce("doc_id", F.lit(-(2**63))).alias("__pid"), F.xxhash64("text").alias("__tkey"))
     both = plain.join(later.withColumnsRenamed({"pid": "__pid", "tkey": "__tkey"}), ["__pid", "__tkey"], "left").select(*docs.columns, "__starts")
-    at = docs.columns.index("text")
+    names = docs.columns
+    at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -110,6 +111,6 @@ def line_dedup(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: in
             kept = [_without(x, s, least, min_words) for x, s in zip(raw, starts, strict=True)]
             columns = b.columns[:-1]
             columns[at] = pa.array([x for x, _ in kept], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in kept], pa.int32())], [*docs.columns, "lines_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in kept], pa.int32())], [*names, "lines_removed"])
 
     return both.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lines_removed", T.IntegerType())]))
