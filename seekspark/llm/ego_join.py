@@ -78,7 +78,8 @@ def _blocks(axes: dict[int, np.ndarray]):
                     n = int(dim[i])
                     x = _unit(part.column(3), n)
                     y = x @ axes.get(n, np.eye(n)[:, :DIMS])
-                    values = [[label[i]], [n], [base + made], [part.column(0).to_pylist()], [part.column(2).to_pylist()], [x.tobytes()], [y.min(axis=0).tolist()], [y.max(axis=0).tolist()]]
+                    low, high = (np.pad(f(axis=0), (0, DIMS - y.shape[1])).tolist() for f in (y.min, y.max))
+                    values = [[label[i]], [n], [base + made], [part.column(0).to_pylist()], [part.column(2).to_pylist()], [x.tobytes()], [low], [high]]
                     types = pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64())
                     made += 1
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], [c.split()[0] for c in _BLOCKS.split(", ")])
