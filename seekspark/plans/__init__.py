@@ -1 +1 @@
-
+"""Searches composed from operators."""
