@@ -374,11 +374,12 @@ def hybrid_search(spark, d):
     return search.hybrid(corpus, asked).select("qid", "doc_id", "rank", "source", r6("score"))
 
 
-AUTO = f"""words as (select qid, len({SPACED}) as n from asked),
-w as (select qid, case when n <= 2 then 0.3 when n <= 5 then 0.6 else 0.8 end as wv from words)"""
+AUTO = f"""words as (select qid, len({SPACED}) as n, len(list_filter({SPACED}, lambda x: regexp_matches(lower(x), 'api|http|json|sql|ai|ml'))) > 0 as technical from asked),
+w as (select qid, case when n <= 2 then 0.3 when n <= 5 then 0.6 else 0.8 end as wv, technical from words)"""
+EITHER = "case when technical then coalesce(wv * v / nullif(mv, 0), 0) + coalesce((1 - wv) * s / nullif(ms, 0), 0) else coalesce(wv / (60 + rv), 0) + coalesce((1 - wv) / (60 + rs), 0) end"
 
 
-@query(f"with {ARMS}, {AUTO}, {fused('coalesce(wv / (60 + rv), 0) + coalesce((1 - wv) / (60 + rs), 0)').replace('from pairs)', 'from pairs join w using (qid))')} {SHOWN} from fused")
+@query(f"with {ARMS}, {AUTO}, {fused(EITHER, extra=', max(v) over (partition by qid) as mv, max(s) over (partition by qid) as ms').replace('from pairs)', 'from pairs join w using (qid))')} {SHOWN} from fused")
 def hybrid_batch(spark, d):
     return search.hybrid_auto(hybrid_corpus(spark, d), queries(spark, d)).select("qid", "doc_id", "rank", "source", r6("score"))
 

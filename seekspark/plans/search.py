@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import count_in, space_tokens, sparse_tokens
+from ..functions.text import space_tokens, sparse_tokens
 from ..operators import fusion, lexical, nearest
 from ..operators.lexical import top
 
-#: Words that make a query technical for the hybrid plan.
-TECHNICAL = ["api", "sdk", "json", "xml", "http", "sql", "algorithm", "database", "framework", "library"]
+#: A word that has one of these inside makes a query technical for the hybrid plan.
+TECHNICAL = ["api", "http", "json", "sql", "ai", "ml"]
 ARM_K = 10
 
 
@@ -39,7 +39,7 @@ def auto_strategy(text: Column) -> Column:
     """Weight of the vector arm and fusion method by the query's length and vocabulary, as a struct."""
     words = space_tokens(text)
     n = F.size(words)
-    technical = count_in(F.transform(words, F.lower), TECHNICAL) > 0
+    technical = F.exists(words, lambda x: F.lower(x).rlike("|".join(TECHNICAL)))
     weight = F.when(n <= 2, 0.3).when(n <= 5, 0.6).otherwise(0.8)
     name = F.when(n <= 2, "SparseFirst").when(n <= 5, "Balanced").otherwise("VectorFirst")
     return F.struct(name.alias("strategy"), weight.alias("vector_weight"), F.when(technical, "WeightedSum").otherwise("RRF").alias("method"))
