@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import uuid
 from collections.abc import Iterator
@@ -13,6 +14,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# --- memory of Python workers: freed arrays go back to the system at once, so that workers that are reused stay small ---
+
+if hasattr(libc := ctypes.CDLL(None), "mallopt"):
+    libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD: larger blocks are mapped, and unmapped when they are freed
+    libc.mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+pa.set_memory_pool(pa.system_memory_pool())
+
+
 # --- scratch tables ----------------------------------------------------------
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, mix, slices, utf8
 
-SPAN, GRAM, SYMBOL, CHUNK, SHARDS = 50, 16, 10, 1024, 4
+SPAN, GRAM, SYMBOL, CHUNK, SHARDS, PACKED, MEMBERS = 50, 16, 10, 1024, 4, 8 << 20, 32_768
 DEPTH = SPAN // SYMBOL
 _T = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ODD = np.uint64(0xD1342543DE82EF95)
@@ -112,31 +112,37 @@ def least(x: np.ndarray) -> np.ndarray:
 
 
 def _pieces(parts: int):
-    """Of each slice of documents, a row for each part: its pieces, in order of document and place."""
+    """Of some megabytes of documents at a time, a row for each part: its pieces, in order of document and place."""
+
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        pid, tkey, row, start, run, h, text = map(np.concatenate, zip(*held, strict=True))
+        part = ((h >> np.uint64(40)).astype(np.int64) * parts >> 24).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        blobs = []
+        for p in np.flatnonzero(np.diff(cuts)):
+            i = order[cuts[p] : cuts[p + 1]]
+            docs, count = np.unique(row[i], return_counts=True)
+            step = np.diff(start[i], prepend=0)
+            heads = np.cumsum(count) - count
+            step[heads] = start[i][heads]
+            blobs.append((int(p), pack(pid[docs], tkey[docs], least(count), least(step), run[i], h[i].astype(np.uint32), text[i])))
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in blobs], pa.int32()), pa.array([x for _, x in blobs], pa.binary())], ["part", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", most=8 << 20):
+        held, size, docs = [], 0, 0
+        for b in slices(batches, "text", most=1 << 20):
             data, at = utf8(b.column(2))
-            first, last, place, h = anchors(data, at)
-            if not len(first):
-                continue
-            pid, tkey = b.column(0).to_numpy(), b.column(1).to_numpy()
+            first, last, _, h = anchors(data, at)
             row = np.searchsorted(at, first, "right") - 1
-            text = span_hashes(data, first, last + SPAN)
-            part = (h >> np.uint64(40)).astype(np.int64) * parts >> 24
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            key = h.astype(np.uint32)
-            blobs = []
-            for p in np.flatnonzero(np.diff(cuts)):
-                i = order[cuts[p] : cuts[p + 1]]
-                docs, count = np.unique(row[i], return_counts=True)
-                start = first[i] - at[row[i]]
-                step = np.diff(start, prepend=0)
-                heads = np.cumsum(count) - count
-                step[heads] = start[heads]
-                blobs.append((int(p), pack(pid[docs], tkey[docs], least(count), least(step), (last[i] - first[i]).astype(np.uint8), key[i], text[i])))
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in blobs], pa.int32()), pa.array([x for _, x in blobs], pa.binary())], ["part", "data"])
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), row + docs, first - at[row], (last - first).astype(np.uint8), h, span_hashes(data, first, last + SPAN)))
+            docs += b.num_rows
+            size += len(data)
+            if size >= PACKED:
+                yield packed(held)
+                held, size, docs = [], 0, 0
+        if held:
+            yield packed(held)
 
     return run
 
@@ -192,7 +198,7 @@ def _classes(key, frame: pd.DataFrame) -> pd.DataFrame:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of documents and what is wanted of them: the classes' texts, a row for each part and slice. Kind 2."""
-    for b in slices(batches, "text", most=8 << 20):
+    for b in slices(batches, "text", most=4 << 20):
         out: dict[int, list] = {}
         for raw, wanted in zip(b.column(0).cast(pa.large_binary()).to_pylist(), b.column(1).to_pylist(), strict=True):
             for w in wanted:
@@ -307,17 +313,19 @@ def _marks(key, frame: pd.DataFrame) -> pd.DataFrame:
             np.minimum.at(low, content, smallest[got[i:j][who]])
             value[window[got[i:j][who]] + places - begin[who]] = low[content]
             i = j
-    count = size[cls]
-    member = np.repeat(np.arange(len(cls)), count)
-    j = np.arange(len(member)) - np.repeat(np.cumsum(count) - count, count)
-    hit = value[window[cls][member] + j] < pid[doc][member]
-    # runs of marked strings, by member
-    edge = np.diff(np.concatenate([[0], hit.astype(np.int8)]))
-    first = np.flatnonzero(hit & ((edge == 1) | (j == 0)))
-    nxt = np.append(hit[1:], False) & np.append(j[1:] > 0, False)
-    last = np.flatnonzero(hit & ~nxt)
-    begin, stop = start[member[first]] + j[first], start[member[last]] + j[last] + SPAN
-    of = doc[member[first]]
+    found = []
+    for i in range(0, len(cls), MEMBERS):
+        c, d = cls[i : i + MEMBERS], doc[i : i + MEMBERS]
+        count = size[c]
+        member = np.repeat(np.arange(len(c)), count)
+        j = np.arange(len(member)) - np.repeat(np.cumsum(count) - count, count)
+        hit = value[window[c][member] + j] < pid[d][member]
+        # runs of marked strings, by member
+        first = np.flatnonzero(hit & ((j == 0) | ~np.concatenate([[False], hit[:-1]])))
+        last = np.flatnonzero(hit & ((j == count[member] - 1) | ~np.append(hit[1:], False)))
+        at = start[i : i + MEMBERS]
+        found.append((d[member[first]], at[member[first]] + j[first], at[member[last]] + j[last] + SPAN))
+    of, begin, stop = map(np.concatenate, zip(*found, strict=True))
     order = np.argsort(of, kind="stable")
     cuts = np.append(np.flatnonzero(np.diff(of[order], prepend=-1)), len(order))
     rows = []
@@ -358,7 +366,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def cut_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (first byte, byte after the last), kept (bytes) for every row of `docs`."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text")
     named = keyed.where("doc_id is not null and text is not null").withColumnRenamed("doc_id", "pid")
     pieces = named.select("pid", "tkey", "text").mapInArrow(_pieces(parts), "part int, data binary")
