@@ -35,21 +35,29 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosi
     For distances, score is the distance with a minus. Each batch passes on its k best for each query, so what is shuffled is
     k rows for each query and batch.
     """
-    asked = queries.where("vec is not null").orderBy("qid")
-    n, out, done = asked.count(), None, 0
-    rows = asked.select("qid", "vec").toLocalIterator()
-    while done < n or out is None:
-        block = [r for _, r in zip(range(min(BLOCK, n - done)), rows, strict=False)]
-        done += len(block)
+    asked = queries.where("vec is not null").select("qid", "vec")
+    first = asked.limit(BLOCK + 1).collect()
+    blocks = [first] if len(first) <= BLOCK else _blocks(asked)
+    out = None
+    for block in blocks:
         part = _block(vectors, [r.qid for r in block], [np.array(r.vec, np.float64) for r in block], k, metric)
         out = part if out is None else out.unionByName(part)
-        if not block:
-            break
     if min_score is not None:
         out = out.where(~F.isnan("score") & (F.col("score") >= min_score))
     return top(out, k)
 
 
+def _blocks(asked: DataFrame) -> Iterator[list]:
+    block = []
+    for r in asked.toLocalIterator():
+        block.append(r)
+        if len(block) == BLOCK:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
 def _block(vectors: DataFrame, ids: list[int], vecs: list[np.ndarray], k: int, metric: str) -> DataFrame:
     sizes = sorted({len(v) for v in vecs})
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, query_terms, space_parts
-from ..operators import analyze
+from ..functions.text import jaccard, query_terms, relevance, space_parts
+from ..operators import analyze, fusion, lexical
 from ..operators.lexical import top
 from . import search
 
@@ -26,27 +26,34 @@ def multi_query(corpus: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
 
 def two_stage(corpus: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Wide hybrid search of min(2k, 20), then the k that share most with the query."""
-    wide = search.hybrid(corpus, queries, k=min(2 * k, 20), arm_k=min(2 * k, 20))
-    x = wide.drop("source", "rank").join(corpus.select("doc_id", "text"), "doc_id").join(queries.select("qid", F.col("text").alias("asked")), "qid")
-    from ..functions.text import relevance
+    n = min(2 * k, 20)
+    return _second_stage(search.hybrid(corpus, queries, k=n, arm_k=n), corpus, queries, k)
 
+
+def _second_stage(wide: DataFrame, corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    x = wide.select("qid", "doc_id", "score").join(corpus.select("doc_id", "text"), "doc_id").join(queries.select("qid", F.col("text").alias("asked")), "qid")
     return top(x.select("qid", "doc_id", (0.7 * relevance(F.col("text"), F.col("asked")) + 0.3 * F.col("score")).alias("score")), k)
 
 
 def adaptive(corpus: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Each query by the strategy its analysis calls for; one plan for each strategy, over its queries."""
-    q = analyze.analysis(queries).withColumn("strategy", analyze.strategy()).select("qid", "text", "vec", "strategy")
-    of = lambda *names: q.where(F.col("strategy").isin(*names)).drop("strategy")
-    plans = {
-        ("DirectVector",): lambda x: search.hybrid(corpus, x, wv=1.0, ws=0.0, k=k),
-        ("MultiQuery",): lambda x: multi_query(corpus, x, k),
-        ("TwoStage",): lambda x: two_stage(corpus, x, k),
-        ("Hybrid", "Adaptive", "SelfRAG"): lambda x: search.hybrid(corpus, x, k=k),
-    }
-    out = None
-    for names, plan in plans.items():
-        part = plan(of(*names)).select("qid", "doc_id", "score", "rank")
-        out = part if out is None else out.unionByName(part)
+    """Each query by the strategy its analysis calls for. The arms run once for all queries; the strategies differ in what they do with them."""
+    q = analyze.analysis(queries).withColumn("strategy", analyze.strategy()).select("qid", "text", "vec", "strategy").cache()
+    v, s = (x.cache() for x in search.arms(corpus, q, 20))
+    of = lambda *names: q.where(F.col("strategy").isin(*names))
+    arm = lambda x, n, *names: x.where(F.col("rank") <= n).join(F.broadcast(of(*names).select("qid")) if small_queries else of(*names).select("qid"), "qid", "left_semi")
+    small_queries = lexical.small(q, lexical.MOST_TERMS)
+    plain = "Hybrid", "Adaptive", "SelfRAG"
+    wide = fusion.rrf(arm(v, 20, "TwoStage"), arm(s, 20, "TwoStage"), k=20)
+    parts = [
+        fusion.rrf(arm(v, 10, "DirectVector"), arm(s, 10, "DirectVector"), wv=1.0, ws=0.0, k=k),
+        fusion.rrf(arm(v, 10, *plain), arm(s, 10, *plain), k=k),
+        _second_stage(wide, corpus, of("TwoStage"), k),
+    ]
+    if not of("MultiQuery").isEmpty():
+        parts.append(multi_query(corpus, of("MultiQuery").drop("strategy"), k))
+    out = parts[0].select("qid", "doc_id", "score", "rank")
+    for x in parts[1:]:
+        out = out.unionByName(x.select("qid", "doc_id", "score", "rank"))
     return out.join(q.select("qid", "strategy"), "qid")
 
 
@@ -108,7 +115,7 @@ def self_rag(corpus: DataFrame, queries: DataFrame, rounds: int = 3, least: floa
     open_, out = queries.select("qid", "text", "vec"), None
     for i in range(1, rounds + 1):
         mark = least * (0.8 if i == rounds else 1.0)
-        hits = adaptive(corpus, open_, k).select("qid", "doc_id", "score", "rank")
+        hits = adaptive(corpus, open_, k).select("qid", "doc_id", "score", "rank").cache()
         quality = assessed(hits, open_, corpus).cache()
         good = quality.where((F.col("overall") >= mark) & (F.col("n") >= enough)) if i < rounds else quality
         part = hits.join(good.select("qid", "overall"), "qid").withColumn("round", F.lit(i)).select("qid", "round", "overall", "doc_id", "rank")

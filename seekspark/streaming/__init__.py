@@ -1 +1 @@
-
+"""Structured Streaming over query logs."""
