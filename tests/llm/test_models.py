@@ -163,7 +163,7 @@ def test_quality(spark):
 
 def test_mixing(spark):
     r = random.Random(5)
-    rows = [(i, " ".join(["w"] * int(r.paretovariate(0.9) * 10)), "en", r.choice(["a"] * 10 + ["b", "c", "B", "é", None, ""]), 0, "", "") for i in range(1500)]
+    rows = [(i, " ".join(["w"] * int(r.paretovariate(1.6) * 10)), "en", r.choice(["a"] * 10 + ["b", "c", "B", "é", None, ""]), 0, "", "") for i in range(1500)]
     docs = spark.createDataFrame(rows, DOCS)
     got = mixing.mix_sources(docs, Scratch(spark, "t")).collect()
     again = mixing.mix_sources(docs.repartition(7), Scratch(spark, "t")).collect()
@@ -241,19 +241,19 @@ def test_pieces_are_lossless_and_repeatable(spark):
 
 
 def test_pieces_follow_the_posterior():
-    lattices = sample_pieces.Lattices(sample_pieces.Vocabulary(sample_pieces.MODEL))
+    v = sample_pieces.Vocabulary(sample_pieces.MODEL)
     n, word = 30_000, " cats"
 
     def ways(s):
         if not s:
             yield (), 1.0
         for k in range(1, len(s) + 1):
-            if s[:k] in lattices.v.pieces:
-                i, w = lattices.v.pieces[s[:k]]
+            if s[:k] in v.pieces:
+                i, w = v.pieces[s[:k]]
                 for rest, x in ways(s[k:]):
                     yield (i, *rest), w * x
 
-    ids, begin = sample_pieces.encode_texts([word] * n, np.arange(n), lattices, 3)
+    ids, begin = sample_pieces.encode_texts([word] * n, np.arange(n), v, 3)
     got = Counter(tuple(ids[i:j].tolist()) for i, j in zip(begin[:-1], begin[1:], strict=True))
     every = dict(ways(word))
     total = sum(every.values())
