@@ -115,6 +115,7 @@ def self_rag(corpus: DataFrame, queries: DataFrame, rounds: int = 3, least: floa
     open_, out = queries.select("qid", "text", "vec"), None
     for i in range(1, rounds + 1):
         mark = least * (0.8 if i == rounds else 1.0)
+        open_ = open_.cache()
         hits = adaptive(corpus, open_, k).select("qid", "doc_id", "score", "rank").cache()
         quality = assessed(hits, open_, corpus).cache()
         good = quality.where((F.col("overall") >= mark) & (F.col("n") >= enough)) if i < rounds else quality
