@@ -174,3 +174,27 @@ def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components: no fixed point after {most} rounds")
     return e.selectExpr("u node", "v root").unionByName(e.selectExpr("v node", "v root").distinct())
+
+
+# --- packed arrays ---------------------------------------------------------------
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    out = []
+    for x in arrays:
+        out += [x.dtype.str.encode().ljust(4), np.uint64([len(x)]).tobytes(), np.ascontiguousarray(x).tobytes()]
+    return b"".join(out)
+
+
+def unpack(b: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(b):
+        kind, n = np.dtype(b[at : at + 4].strip().decode()), int(np.frombuffer(b, np.uint64, 1, at + 4)[0])
+        out.append(np.frombuffer(b, kind, n, at + 12))
+        at += 12 + n * kind.itemsize
+    return out
+
+
+def least(x: np.ndarray) -> np.ndarray:
+    """The same whole numbers in as few bytes as the largest needs."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, slices, utf8
+from .common import Scratch, least, mix, pack, slices, unpack, utf8
 
 SPAN, GRAM, SYMBOL, CHUNK, SHARDS, PACKED, MEMBERS = 50, 16, 10, 1024, 4, 8 << 20, 32_768
 DEPTH = SPAN // SYMBOL
@@ -84,30 +84,6 @@ def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nda
     return mix((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64))
 
 
-# --- packed arrays -------------------------------------------------------------
-
-
-def pack(*arrays: np.ndarray) -> bytes:
-    out = []
-    for x in arrays:
-        out += [x.dtype.str.encode().ljust(4), np.uint64([len(x)]).tobytes(), np.ascontiguousarray(x).tobytes()]
-    return b"".join(out)
-
-
-def unpack(b: bytes) -> list[np.ndarray]:
-    out, at = [], 0
-    while at < len(b):
-        kind, n = np.dtype(b[at : at + 4].strip().decode()), int(np.frombuffer(b, np.uint64, 1, at + 4)[0])
-        out.append(np.frombuffer(b, kind, n, at + 12))
-        at += 12 + n * kind.itemsize
-    return out
-
-
-def least(x: np.ndarray) -> np.ndarray:
-    """The same whole numbers in as few bytes as the largest needs."""
-    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
-
-
 # --- pieces by part ------------------------------------------------------------
 
 
@@ -116,6 +92,7 @@ def _pieces(parts: int):
 
     def packed(held: list[tuple]) -> pa.RecordBatch:
         pid, tkey, row, start, run, h, text = map(np.concatenate, zip(*held, strict=True))
+        h = mix(h)  # selected grams have small hashes, which would all fall to the first parts
         part = ((h >> np.uint64(40)).astype(np.int64) * parts >> 24).astype(np.int32)
         order = np.argsort(part, kind="stable")
         cuts = np.searchsorted(part[order], np.arange(parts + 1))
