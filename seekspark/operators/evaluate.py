@@ -83,9 +83,9 @@ def save_golden(items: DataFrame, path: str) -> None:
     items.withColumn("updated_at", F.current_timestamp()).write.mode("overwrite").json(path)
 
 
-def load_golden(spark, path: str) -> DataFrame:
-    """Golden items from JSON lines or from JSON arrays over several lines."""
-    return spark.read.option("multiLine", True).json(path)
+def load_golden(spark, path: str, array: bool = False) -> DataFrame:
+    """Golden items from JSON lines, or from files that each hold a JSON array."""
+    return spark.read.option("multiLine", array).json(path)
 
 
 def first_of(rows: DataFrame, by: list[str], *order) -> DataFrame:

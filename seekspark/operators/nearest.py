@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,7 +64,7 @@ def _block(vectors: DataFrame, ids: list[int], vecs: list[np.ndarray], k: int, m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            length = np.array([-1 if v is None else len(v) for v in b.column(1)])
+            length = pc.fill_null(pc.list_value_length(b.column(1)), -1).to_numpy()
             for d in sizes:
                 here = np.flatnonzero(length == d)
                 asked = [i for i, v in enumerate(vecs) if len(v) == d]
