@@ -54,7 +54,7 @@ def web_chunks(pages: DataFrame, size: int = 512, overlap: int = 50) -> DataFram
 
 def file_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(doc_id, text, lang, source, metadata) of text files, one document each."""
-    whole = spark.read.option("wholetext", True).text(paths).select(F.col("value").alias("text"), F.input_file_name().alias("source"))
+    whole = spark.read.text(paths, wholetext=True).select(F.col("value").alias("text"), F.input_file_name().alias("source"))
     name = F.regexp_extract("source", r"([^/]+)$", 1)
     meta = F.create_map(F.lit("source_file"), name, F.lit("source_type"), F.lit("file"), F.lit("file_extension"), F.regexp_extract("source", r"(\.[^./]+)$", 1))
     return whole.select(F.xxhash64("source").alias("doc_id"), "text", F.lit(None).cast("string").alias("lang"), "source", meta.alias("metadata"))
