@@ -28,10 +28,22 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, slices, word_hashes
+from .common import Scratch, least, mix, pack, slices, unpack, word_hashes
 
 END, START = (np.uint64(x) for x in (0x6A09E667F3BCC908, 0xBB67AE8584CAA73B))
 _MUL = np.uint64(0x9E3779B97F4A7C15)
+SPREAD = 8
+
+
+def part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    return (key >> np.uint64(40)).astype(np.int64) * parts >> 24
+
+
+def top_part(context: np.ndarray, last: np.ndarray, order: int, parts: int) -> np.ndarray:
+    """The part of an n-gram of the highest order."""
+    if order == 1:
+        return part_of(mix(last), parts)
+    return (part_of(context, parts) + (mix(last) % np.uint64(SPREAD)).astype(np.int64)) % parts
 
 
 def tokens(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,55 +77,41 @@ def _places(at: np.ndarray, order: int) -> np.ndarray:
 
 
 def _counted(order: int, parts: int):
-    """Blobs (part, key, tail, count...) of the n-grams of a slice of rows: hashes of the gram, its context and its tail."""
+    """Rows (part, data) of the n-grams of a slice of texts: a list of its tokens, their places in the grams, the counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", most=16 << 20):
             t, at = tokens(b.column(0), order)
             i = _places(at, order)
-            key = grams(t, order)[i - order + 1]
-            _, first, count = np.unique(key, return_index=True, return_counts=True)
-            i, key = i[first], key[first]
-            part = (key >> np.uint64(40)).astype(np.int64) * parts >> 24
-            cuts = np.searchsorted(part, np.arange(parts + 1))
-            cols = [key, *(t[i - j] for j in range(order)), count.astype(np.uint64)]
-            rows = [(p, np.stack([c[x:y] for c in cols])) for p, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+            _, first, count = np.unique(grams(t, order)[i - order + 1], return_index=True, return_counts=True)
+            i = i[first]
+            context = grams(t, order - 1)[i - order + 1] if order > 1 else np.zeros(len(i), np.uint64)
+            part = top_part(context, t[i], order, parts)
+            by = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[by], np.arange(parts + 1))
+            rows = []
+            for p in np.flatnonzero(np.diff(cuts)):
+                mine = by[cuts[p] : cuts[p + 1]]
+                seen, place = np.unique(np.concatenate([t[i[mine] - j] for j in range(order)]), return_inverse=True)
+                rows.append((int(p), pack(seen, least(place), least(count[mine]))))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([_pack(x, order) for _, x in rows], pa.binary())], ["part", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["part", "data"])
 
     return run
 
 
-def _small(x: np.ndarray) -> bytes:
-    """Whole numbers, in as few bytes each as the largest needs, after a byte that says how many."""
-    kind = np.min_scalar_type(int(x.max(initial=0)))
-    return bytes([kind.itemsize]) + x.astype(kind).tobytes()
-
-
-def _large(b: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
-    kind = np.dtype(f"u{b[at]}")
-    return np.frombuffer(b, kind, n, at + 1).astype(np.int64), at + 1 + n * kind.itemsize
-
-
-def _pack(x: np.ndarray, order: int) -> bytes:
-    """Tokens by place in the blob's own list of tokens, then counts; the key follows from the tokens."""
-    seen, place = np.unique(x[1 : 1 + order], return_inverse=True)
-    return np.uint64([x.shape[1], len(seen)]).tobytes() + seen.tobytes() + _small(place.reshape(-1)) + _small(x[-1])
-
-
-def _unpack(b: bytes, order: int) -> tuple[np.ndarray, np.ndarray]:
-    n, types = (int(x) for x in np.frombuffer(b, np.uint64, 2))
-    place, at = _large(b, 16 + 8 * types, n * order)
-    return np.frombuffer(b, np.uint64, types, 16)[place].reshape(order, n), _large(b, at, n)[0]
-
-
-def _summed(t: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys in order, tokens and counts, each gram once. Tokens come last word first."""
+def _key(t: np.ndarray) -> np.ndarray:
+    """Of grams as rows of tokens, last token first: their hashes, as `grams` makes them."""
     key = np.zeros(t.shape[1], np.uint64)
     for row in t[::-1]:
         key = mix(key * _MUL + row)
+    return key
+
+
+def _summed(key: np.ndarray, t: np.ndarray, *values: np.ndarray) -> tuple:
+    """Distinct keys in order, their tokens, and sums of the values."""
     u, first, back = np.unique(key, return_index=True, return_inverse=True)
-    return u, t[:, first], np.bincount(back, count, len(u)).astype(np.int64)
+    return u, t[:, first], [np.bincount(back, v, len(u)).astype(np.int64) for v in values]
 
 
 # --- files ---------------------------------------------------------------------
@@ -148,70 +146,81 @@ def _mapped(folder: str, name: str, k: int, dtype) -> np.ndarray:
 # --- fitting ---------------------------------------------------------------------
 
 
-def _merged(order: int, folder: str):
-    """Sums a part's grams, writes its arrays, and passes on what lower orders and contexts need, summed by key."""
+_STATS = "kind int, part int, data binary"
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        blobs = [_unpack(x, order) for x in frame["grams"]]
-        u, t, count = _summed(np.concatenate([x for x, _ in blobs], axis=1), np.concatenate([y for _, y in blobs]))
-        _write(folder, f"top-{int(key[0])}", u, np.minimum(count, 2**32 - 1).astype(np.uint32))
-        return pd.concat([_contexts(t, count, order), _tails(t, order), _words(t, count), _of_counts(count, order)])
 
-    return run
+def _packed(kind: int, parts: int, key: np.ndarray, t: np.ndarray, *values: np.ndarray) -> list[tuple]:
+    """Rows (kind, part, data) of sums by key, keys in order."""
+    cuts = np.searchsorted(part_of(key, parts), np.arange(parts + 1))
+    return [(kind, int(p), pack(key[i:j], *t[:, i:j], *(least(v[i:j]) for v in values))) for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
 
 
-def _rows(kind: int, key: np.ndarray, tokens: np.ndarray | None, a, b, c, d) -> pd.DataFrame:
-    packed = [b""] * len(key) if tokens is None else [x.tobytes() for x in np.ascontiguousarray(tokens.T)]
-    return pd.DataFrame({"kind": np.int32(kind), "key": key.view(np.int64), "tokens": packed, "a": a, "b": b, "c": c, "d": d})
+def _unpacked(frame: pd.DataFrame, tokens: int) -> tuple:
+    """What rows of one kind and part hold, summed by key."""
+    columns = [np.concatenate(c) for c in zip(*(unpack(x) for x in frame["data"]), strict=True)]
+    t = np.stack(columns[1 : 1 + tokens]) if tokens else np.zeros((0, len(columns[0])), np.uint64)
+    return _summed(columns[0], t, *columns[1 + tokens :])
 
 
-_ROWS = "kind int, key long, tokens binary, a long, b long, c long, d long"
+def _below(t: np.ndarray, count: np.ndarray, n: int, parts: int, plain: np.ndarray | None = None) -> pd.DataFrame:
+    """What is learned from the n-grams: kind n, of each context its total and how many words follow it once, twice, more
+    often; kind 1 - n, of each gram one shorter how many words stand before it, and how often it stands in all; kind 200 + n,
+    how many n-grams were counted once to four times."""
+    u, none, v = _summed(_key(t[1:]), t[:0], count, count == 1, count == 2, count > 2)
+    rows = _packed(n, parts, u, none, *v)
+    if n > 1:
+        u, tail, v = _summed(_key(t[: n - 1]), t[: n - 1], np.ones(t.shape[1]), np.zeros(t.shape[1]) if plain is None else plain)
+        rows += _packed(1 - n, parts, u, tail, *v)
+    rows.append((200 + n, 0, pack(np.array([int((count == i).sum()) for i in (1, 2, 3, 4)]))))
+    return pd.DataFrame(rows, columns=["kind", "part", "data"])
 
 
-def _by(t: np.ndarray, *values: np.ndarray) -> tuple:
-    key = np.zeros(t.shape[1], np.uint64)
-    for row in t[::-1]:
-        key = mix(key * _MUL + row)
-    u, first, back = np.unique(key, return_index=True, return_inverse=True)
-    return u, t[:, first], [np.bincount(back, v, len(u)).astype(np.int64) for v in values]
+def _merged(order: int, parts: int, folder: str):
+    """Sums a part's grams, writes its arrays, and passes on what contexts and lower orders need."""
 
+    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+        ts, counts = [], []
+        for seen, place, count in map(unpack, frame["data"]):
+            ts.append(seen[place].reshape(order, -1)), counts.append(count)
+        t = np.concatenate(ts, axis=1)
+        u, t, (count,) = _summed(_key(t), t, np.concatenate(counts))
+        _write(folder, f"top-{int(key[0])}", u, np.minimum(count, 2**32 - 1).astype(np.uint32))
+        out = _below(t, count, order, parts, count if order == 2 else None)
+        if order != 2:  # plain counts of words; with pairs they come with the tails
+            u, none, v = _summed(t[0], t[:0], count)
+            out = pd.concat([out, pd.DataFrame(_packed(100, parts, u, none, *v), columns=out.columns)])
+        return out
 
-def _contexts(t: np.ndarray, count: np.ndarray, n: int) -> pd.DataFrame:
-    """Kind n: of each context of n-grams its total and how many words follow it once, twice, more often."""
-    u, _, v = _by(t[1:], count, count == 1, count == 2, count > 2)
-    return _rows(n, u, None, *v)
+    return run
 
 
-def _tails(t: np.ndarray, n: int) -> pd.DataFrame:
-    """Kind -(n - 1): of each (n-1)-gram how many words stand before it."""
-    u, tail, (v,) = _by(t[: n - 1], np.ones(t.shape[1]))
-    zero = np.zeros(len(u), np.int64)
-    return _rows(-(n - 1), u, tail, v, zero, zero, zero)
+def _lower(n: int, parts: int, folder: str, words: bool):
+    """A part of the n-grams below the highest order, from rows of kind -n. `words`: their plain counts are those of words."""
 
+    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+        u, t, (count, plain) = _unpacked(frame, n)
+        p = int(key[0])
+        _write(folder, f"mid{n}-{p}", u, np.minimum(count, 2**32 - 1).astype(np.uint32))
+        out = _below(t, count, n, parts)
+        if words:  # words are looked up by their own hash
+            out = pd.concat([out, pd.DataFrame(_packed(100, parts, *_in_order(t[0], plain)), columns=out.columns)])
+        return out
 
-def _words(t: np.ndarray, count: np.ndarray) -> pd.DataFrame:
-    """Kind 100: of each word its plain count."""
-    u, first, back = np.unique(t[0], return_index=True, return_inverse=True)
-    v = np.bincount(back, count, len(u)).astype(np.int64)
-    zero = np.zeros(len(u), np.int64)
-    return _rows(100, u, None, v, zero, zero, zero)
+    return run
 
 
-def _of_counts(count: np.ndarray, n: int) -> pd.DataFrame:
-    """Kind 200 + n: how many n-grams were counted once, twice, three and four times."""
-    return _rows(200 + n, np.zeros(1, np.uint64), None, *([int((count == i).sum())] for i in (1, 2, 3, 4)))
+def _in_order(key: np.ndarray, value: np.ndarray) -> tuple:
+    o = np.argsort(key)
+    return key[o], np.zeros((0, len(o)), np.uint64), value[o]
 
 
-def _lower(n: int, folder: str):
-    """The (n)-grams below the highest order, with continuation counts, from rows of kind -n that share a part."""
+def _stored(name: str, folder: str):
+    """Writes a part of the sums by key; passes on how many keys there are, and the total of the first value."""
 
     def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        u = frame["key"].to_numpy().view(np.uint64)
-        t = np.frombuffer(b"".join(frame["tokens"]), np.uint64).reshape(len(u), n).T
-        o = np.argsort(u)
-        u, t, count = u[o], t[:, o], frame["a"].to_numpy()[o]
-        _write(folder, f"mid{n}-{int(key[0])}", u, np.minimum(count, 2**32 - 1).astype(np.uint32))
-        return pd.concat([_contexts(t, count, n), *([_tails(t, n)] if n > 1 else []), _of_counts(count, n)])
+        u, _, values = _unpacked(frame, 0)
+        _write(folder, f"{name}-{int(key[0])}", u, *values)
+        return pd.DataFrame({"n": [len(u)], "total": [int(values[0].sum())]})
 
     return run
 
@@ -219,19 +228,20 @@ def _lower(n: int, folder: str):
 class Model:
     """Where the arrays lie, in how many parts, and the numbers that hold for all of it. Small; tasks open the arrays."""
 
-    def __init__(self, folder: str, order: int, parts: int, discounts: dict[int, list[float]], total: int, types: int, first: int):
-        self.folder, self.order, self.parts, self.discounts, self.total, self.types, self.first = folder, order, parts, discounts, total, types, first
+    def __init__(self, folder: str, order: int, parts: int, discounts: dict[int, list[float]], total: int, types: int):
+        self.folder, self.order, self.parts, self.discounts, self.total, self.types = folder, order, parts, discounts, total, types
         self.open: dict[str, tuple] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"open": {}}
 
-    def look(self, table: str, key: np.ndarray, *dtypes) -> list[np.ndarray]:
+    def look(self, table: str, key: np.ndarray, *dtypes, part: np.ndarray | None = None) -> list[np.ndarray]:
         """The table's values for the keys, 0 where it has none."""
-        u, back = np.unique(key, return_inverse=True)
+        u, first, back = np.unique(key, return_index=True, return_inverse=True)
         out = [np.zeros(len(u), np.float64 if d == np.float64 else np.int64) for d in dtypes]
-        part = (u >> np.uint64(40)).astype(np.int64) * self.parts >> 24
-        cuts = np.searchsorted(part, np.arange(self.parts + 1))
+        part = part_of(u, self.parts) if part is None else part[first]
+        by = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[by], np.arange(self.parts + 1))
         for p in np.flatnonzero(np.diff(cuts)):
             name = f"{table}-{p}"
             if name not in self.open:
@@ -240,12 +250,12 @@ class Model:
                 except FileNotFoundError:  # no row fell to this part
                     self.open[name] = (np.zeros(0, np.uint64), *(np.zeros(0, d) for d in dtypes))
             keys, *values = self.open[name]
-            mine = u[cuts[p] : cuts[p + 1]]
-            at = np.searchsorted(keys, mine)
+            mine = by[cuts[p] : cuts[p + 1]]
+            at = np.searchsorted(keys, u[mine])
             hit = np.flatnonzero(at < len(keys))
-            hit = hit[keys[at[hit]] == mine[hit]]
+            hit = hit[keys[at[hit]] == u[mine[hit]]]
             for x, v in zip(out, values, strict=True):
-                x[cuts[p] + hit] = v[at[hit]]
+                x[mine[hit]] = v[at[hit]]
         return [x[back] for x in out]
 
     def score(self, column: pa.Array) -> tuple[np.ndarray, ...]:
@@ -257,7 +267,10 @@ class Model:
         for n in range(1, self.order + 1):
             x = grams(t, n)[i - n + 1]
             context = np.zeros(len(i), np.uint64) if n == 1 else grams(t, n - 1)[i - n + 1]
-            (c,) = self.look("top" if n == self.order else f"mid{n}", x, np.uint32)
+            if n == self.order:
+                (c,) = self.look("top", x, np.uint32, part=top_part(context, t[i], n, self.parts))
+            else:
+                (c,) = self.look(f"mid{n}", x, np.uint32)
             total, n1, n2, n3 = self.look(f"ctx{n}", context, np.int64, np.int64, np.int64, np.int64)
             d = np.array([0.0, *self.discounts[n]])
             seen = total > 0
@@ -283,36 +296,28 @@ def fit(docs: DataFrame, scratch: Scratch, order: int = 2) -> Model:
     spark = docs.sparkSession
     folder = scratch.path("arrays")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    blobs = docs.select("text").mapInArrow(_counted(order, parts), "part int, grams binary")
-    rows = scratch.save(blobs.groupBy("part").applyInPandas(_merged(order, folder), _ROWS), "rows")
-    every = [rows]
-    part = F.shiftright(F.shiftrightunsigned("key", 40) * parts, 24).cast("int")
+    blobs = docs.select("text").mapInArrow(_counted(order, parts), "part int, data binary")
+    every = [scratch.save(blobs.groupBy("part").applyInPandas(_merged(order, parts, folder), _STATS), "stats")]
     for n in range(order - 1, 0, -1):
-        grams_ = every[-1].where(F.col("kind") == -n).groupBy("key").agg(F.first("tokens").alias("tokens"), F.sum("a").alias("a"))
-        every.append(scratch.save(grams_.withColumn("part", part).groupBy("part").applyInPandas(_lower(n, folder), _ROWS), f"rows{n}"))
-    stats: dict[int, list[int]] = {}
-    for kind, *v in (r for x in every for r in x.where("kind > 200").groupBy("kind").agg(*(F.sum(c) for c in "abcd")).collect()):
-        stats[kind - 200] = v
-
-    def store(kind: int, name: str, columns: str) -> None:
-        x = None
-        for y in every:
-            y = y.where(F.col("kind") == kind).select("key", *columns)
-            x = y if x is None else x.unionByName(y)
-        x = x.groupBy("key").agg(*(F.sum(c).alias(c) for c in columns)).withColumn("part", part)
-
-        def write(key, frame: pd.DataFrame) -> pd.DataFrame:
-            u = frame["key"].to_numpy().view(np.uint64)
-            o = np.argsort(u)
-            _write(folder, f"{name}-{int(key[0])}", u[o], *(frame[c].to_numpy(np.int64)[o] for c in columns))
-            return pd.DataFrame({"n": [len(u)], "total": [int(frame["a"].sum())]})
-
-        return x.groupBy("part").applyInPandas(write, "n long, total long").agg(F.sum("n"), F.sum("total")).first()
-
-    types, total = store(100, "word", "a")
+        rows = every[-1].where(F.col("kind") == -n)
+        every.append(scratch.save(rows.groupBy("part").applyInPandas(_lower(n, parts, folder, order == 2), _STATS), f"stats{n}"))
+    of: dict[int, np.ndarray] = {}
+    for x in every:  # a few numbers for each part
+        for kind, _, data in x.where("kind > 200").toLocalIterator():
+            of[kind - 200] = of.get(kind - 200, np.zeros(4, np.int64)) + unpack(data)[0]
+
+    def store(kind: int, name: str) -> tuple[int, int]:
+        rows = None
+        for x in every:
+            x = x.where(F.col("kind") == kind)
+            rows = x if rows is None else rows.unionByName(x)
+        n, total = rows.groupBy("part").applyInPandas(_stored(name, folder), "n long, total long").agg(F.sum("n"), F.sum("total")).first()
+        return n or 0, total or 0
+
+    types, total = store(100, "word")
     for n in range(1, order + 1):
-        store(n, f"ctx{n}", "abcd")
-    return Model(folder, order, parts, {n: _discounts(*stats.get(n, (0, 0, 0, 0))) for n in range(1, order + 1)}, total or 0, types or 0, 0)
+        store(n, f"ctx{n}")
+    return Model(folder, order, parts, {n: _discounts(*map(int, of.get(n, np.zeros(4)))) for n in range(1, order + 1)}, total, types)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
