@@ -45,9 +45,14 @@ class Scratch:
         return f"{self.at}/{self.made}-{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes the table and returns one that reads it."""
-        path = self.path(name)
-        df.write.parquet(path)
+        """Writes the table and returns one that reads it. Shuffle files of the write are removed with it: nothing reads them again."""
+        path, conf, key = self.path(name), self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = conf.get(key)
+        conf.set(key, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, path: str | None = None) -> None:

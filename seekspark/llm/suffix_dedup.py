@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, least, mix, pack, slices, unpack, utf8
 
-SPAN, GRAM, SYMBOL, CHUNK, SHARDS, PACKED, MEMBERS = 50, 16, 10, 1024, 4, 8 << 20, 32_768
+SPAN, GRAM, SYMBOL, CHUNK, SHARDS, PACKED, MEMBERS = 50, 16, 10, 1024, 4, 16 << 20, 32_768
 DEPTH = SPAN // SYMBOL
 _T = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ODD = np.uint64(0xD1342543DE82EF95)
@@ -343,7 +343,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def cut_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (first byte, byte after the last), kept (bytes) for every row of `docs`."""
     spark = docs.sparkSession
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text")
     named = keyed.where("doc_id is not null and text is not null").withColumnRenamed("doc_id", "pid")
     pieces = named.select("pid", "tkey", "text").mapInArrow(_pieces(parts), "part int, data binary")
