@@ -20,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, hash_spans, mix, slices, words
+from .common import Scratch, mix, slices
 
 WINDOW, GRAM, MIN_WORDS = 2, 1, 20
 _KEY = "coalesce(doc_id, -9223372036854775808) pid", "xxhash64(text) tkey"
@@ -37,8 +38,7 @@ def _lines(raw: bytes) -> tuple[list[bytes], list[int]]:
 
 
 def _hashes(lines: list[bytes]) -> np.ndarray:
-    at = np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(np.int64)
-    return hash_spans(np.frombuffer(b"".join(lines), np.uint8), at[:-1], at[1:])
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines))
 
 
 def _chain(h: np.ndarray, n: int) -> np.ndarray:
