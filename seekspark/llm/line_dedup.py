@@ -101,7 +101,8 @@ def line_dedup(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: in
     # rows equal in doc_id and text put each window there twice: one place
     later = scratch.save(later.groupBy("pid", "tkey").agg(F.collect_set("start").alias("__starts")), "later")
     plain = docs.select("*", F.coalesce("doc_id", F.lit(-(2**63))).alias("__pid"), F.xxhash64("text").alias("__tkey"))
-    both = plain.join(later.withColumnsRenamed({"pid": "__pid", "tkey": "__tkey"}), ["__pid", "__tkey"], "left").select(*docs.columns, "__starts")
+    # a merge join at any size: a broadcast would hold only while few documents have anything to lose
+    both = plain.join(later.withColumnsRenamed({"pid": "__pid", "tkey": "__tkey"}).hint("merge"), ["__pid", "__tkey"], "left").select(*docs.columns, "__starts")
     names = docs.columns
     at = names.index("text")
 
