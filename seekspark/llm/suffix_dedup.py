@@ -254,12 +254,12 @@ def repeated_strings(data: np.ndarray, at: np.ndarray, shards: int = SHARDS) ->
     return places[where[keep]], block[keep]
 
 
-def _marks(key, frame: pd.DataFrame) -> pd.DataFrame:
-    """Of a part's classes and their texts: the stretches of each document that begin with strings of smaller doc_ids."""
-    part = int(key[0])
+def _marks(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """Of a part's classes and their texts: the stretches of documents that begin with strings of smaller doc_ids, a row for each
+    bucket of documents."""
     hits = frame.loc[frame["kind"] == 0, "data"]
     if not len(hits):
-        return _found_frame([])
+        return pd.DataFrame({"bucket": [], "data": []})
     pid, tkey, doc, start, run, cls, gram, smallest, several = unpack(hits.iloc[0])
     doc, cls, start = doc.astype(np.int64), cls.astype(np.int64), start.astype(np.int64)
     size = np.zeros(len(gram), np.int64)
@@ -303,22 +303,31 @@ def _marks(key, frame: pd.DataFrame) -> pd.DataFrame:
         at = start[i : i + MEMBERS]
         found.append((d[member[first]], at[member[first]] + j[first], at[member[last]] + j[last] + SPAN))
     of, begin, stop = map(np.concatenate, zip(*found, strict=True))
-    order = np.argsort(of, kind="stable")
-    cuts = np.append(np.flatnonzero(np.diff(of[order], prepend=-1)), len(order))
+    bucket = (mix(pid.view(np.uint64) ^ mix(tkey.view(np.uint64))) % np.uint64(buckets)).astype(np.int64)[of]
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
     rows = []
-    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-        o = order[i:j]
-        d = of[o[0]]
-        rows.append((3, part, pid[d], tkey[d], pack(least(begin[o]), least(stop[o]))))
-    return _found_frame(rows)
+    for b in np.flatnonzero(np.diff(cuts)):
+        o = order[cuts[b] : cuts[b + 1]]
+        rows.append((int(b), pack(pid[of[o]], tkey[of[o]], least(begin[o]), least(stop[o]))))
+    return pd.DataFrame(rows, columns=["bucket", "data"])
+
+
+def _by_document(key, frame: pd.DataFrame) -> pd.DataFrame:
+    """A row for each document of a bucket: all its marks."""
+    pid, tkey, begin, stop = (np.concatenate(c) for c in zip(*map(unpack, frame["data"]), strict=True))
+    order = np.lexsort((tkey, pid))
+    pid, tkey, begin, stop = (x[order] for x in (pid, tkey, begin, stop))
+    new = np.flatnonzero(np.concatenate([[True], (pid[1:] != pid[:-1]) | (tkey[1:] != tkey[:-1])]))
+    cuts = np.append(new, len(pid))
+    return pd.DataFrame({"pid": pid[new], "tkey": tkey[new], "marks": [pack(least(begin[i:j]), least(stop[i:j])) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]})
 
 
-def covered(marks: list[bytes] | None) -> list[tuple[int, int]]:
+def covered(marks: bytes | None) -> list[tuple[int, int]]:
     """The maximal stretches that the marks cover."""
     if not marks:
         return []
-    both = [unpack(m) for m in marks]
-    begin, stop = (np.concatenate([x[k].astype(np.int64) for x in both]) for k in (0, 1))
+    begin, stop = (x.astype(np.int64) for x in unpack(marks))
     order = np.argsort(begin, kind="stable")
     begin, stop = begin[order], np.maximum.accumulate(stop[order])
     new = np.flatnonzero(np.concatenate([[True], begin[1:] > stop[:-1]]))
@@ -350,8 +359,9 @@ def cut_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     found = scratch.save(pieces.groupBy("part").applyInPandas(_classes, _FOUND), "classes")
     wanted = found.where("kind = 1").groupBy("pid", "tkey").agg(F.collect_list(F.struct("part", "data")).alias("wanted"))
     texts = named.join(wanted, ["pid", "tkey"]).select("text", "wanted").mapInArrow(_texts, "kind int, part int, data binary")
-    marks = found.where("kind = 0").select("kind", "part", "data").unionByName(texts).groupBy("part").applyInPandas(_marks, _FOUND)
-    marks = scratch.save(marks.groupBy("pid", "tkey").agg(F.collect_list("data").alias("marks")), "marks")
+    pieces = found.where("kind = 0").select("kind", "part", "data").unionByName(texts)
+    marks = pieces.groupBy("part").applyInPandas(lambda key, frame: _marks(frame, parts), "bucket int, data binary")
+    marks = scratch.save(marks.groupBy("bucket").applyInPandas(_by_document, "pid long, tkey long, marks binary"), "marks")
     both = keyed.join(marks, (keyed.doc_id == marks.pid) & (keyed.tkey == marks.tkey), "left").select("doc_id", "text", "marks")
     return both.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<first: long, last: long>>, kept binary")
 
