@@ -186,7 +186,8 @@ def test_mixing(spark):
         assert x.target == pytest.approx(target[x.source]) and x.source_size == size[x.source] and 0 <= x.taken <= 3 * x["size"]
         taken[x.source] += x.taken
     for s in names:
-        assert abs(taken[s] - target[s]) <= max(0.02 * target[s], 60)
+        # sizes are heavy-tailed: a source can be off by what its largest document weighs against those that wait at the root
+        assert abs(taken[s] - target[s]) <= max(0.02 * target[s], max(len(t.split()) for _, t, _, x, *_ in rows if x == s))
     mixed = mixing.repeated(docs, mixing.mix_sources(docs, Scratch(spark, "t")))
     assert Counter(r.doc_id for r in mixed.collect()) == Counter({x.doc_id: x.copies for x in got if x.copies})
 
