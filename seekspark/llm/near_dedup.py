@@ -2,10 +2,10 @@
 
 Documents are sets of distinct five-word shingles. Equal sets collapse to one class before anything else, so exact copies
 cost one row whatever their number. Each class has `TREES` signatures of `DEPTH` minima; for each tree the classes are
-sorted by signature, over range partitions, and neighbours in that order whose longest common prefix is at least
-`SHALLOW` minima are candidates. The depth adapts to the region: a run of at most `window` + 1 rows is compared in full at
-the shallow depth; in a denser one the neighbours are those with a longer prefix in common, and what these leave apart is
-searched again by sketches over the nearest `WIDE` rows (`_dense`). A candidate whose estimated similarity is far below the threshold (by over four
+sorted by signature, and neighbours in that order whose longest common prefix is at least `SHALLOW` minima are candidates.
+A region, the rows of one shallow prefix, of at most `window` + 1 rows is compared in full. In a denser one the neighbours are
+those with a longer prefix in common; they join most of it, and all pairs that are still apart are counted on their full sets, block
+against block (`_parts`, `_linked`). A candidate whose estimated similarity is far below the threshold (by over four
 standard errors) is dropped; all others are confirmed on the full shingle sets.
 
 Defined results: null or wordless text: empty set, linked with nothing, its own component. Fewer than five words: the
@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, components, longs, mix, slices, word_hashes
 
-TREES, DEPTH, SHALLOW, WORDS, WIDE = 16, 8, 4, 5, 1024
+TREES, DEPTH, SHALLOW, WORDS = 16, 8, 4, 5
+#: What a block of a crowded region holds at most, about.
+ROWS, SHINGLES = 1024, 4 << 20
 _R = np.random.default_rng(20240607)
 _A = (_R.integers(0, 1 << 32, TREES * DEPTH, np.uint32) | np.uint32(1))[:, None]
 _B = _R.integers(0, 1 << 32, TREES * DEPTH, np.uint32)[:, None]
@@ -111,35 +113,82 @@ def _neighbours(window: int):
     return run
 
 
-def _dense(least: float, top: int = 4, block: int = 256):
-    """Of rows (cid, root, sk, key) sorted by key: for each row the most alike of other components among the WIDE before and after."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, roots, sks, heads = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, TREES * DEPTH), np.uint8), np.zeros(0, f"V{1 + 4 * SHALLOW}")
-        for whole in batches:
-            for i in range(0, whole.num_rows, block):
-                b = whole.slice(i, block)
-                head = np.array(b.column(3).to_pylist(), f"S{1 + 4 * DEPTH}").view(np.uint8).reshape(b.num_rows, -1)[:, : 1 + 4 * SHALLOW]
-                head = np.ascontiguousarray(head).view(f"V{1 + 4 * SHALLOW}")[:, 0]
-                ids, roots, heads = (np.concatenate([x, y]) for x, y in ((ids, b.column(0).to_numpy()), (roots, b.column(1).to_numpy()), (heads, head)))
-                sks = np.concatenate([sks, np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1)])
-                old = len(ids) - b.num_rows
-                us, vs = [], []
-                for j in range(0, len(ids), block):
-                    est = ((sks[old:, None, :] == sks[None, j : j + block, :]).sum(axis=2) / (TREES * DEPTH) - 1 / 256) / (1 - 1 / 256)
-                    est[(roots[old:, None] == roots[None, j : j + block]) | (heads[old:, None] != heads[None, j : j + block])] = 0
-                    for axis in (0, 1):
-                        best = np.argsort(-est, axis=axis)[:top] if axis == 0 else np.argsort(-est, axis=axis)[:, :top]
-                        x, y = (best, np.broadcast_to(np.arange(est.shape[1]), best.shape)) if axis == 0 else (np.broadcast_to(np.arange(est.shape[0])[:, None], best.shape), best)
-                        good = est[x, y] >= least
-                        us.append(ids[old:][x[good]]), vs.append(ids[j : j + block][y[good]])
-                ids, roots, sks, heads = ids[-WIDE:], roots[-WIDE:], sks[-WIDE:], heads[-WIDE:]
-                u, v = np.concatenate(us), np.concatenate(vs)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingle sets of texts, eight bytes a shingle."""
+    for b in slices(batches, "text"):
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1))], pa.binary())], ["cid", "shingles"])
+
+
+def _linked(percent: int, block: int = 256, step: int = 8192):
+    """Of rows (root, shingles): the components that any of their pairs links, as a forest of roots.
+
+    All pairs of unlike components are counted on their full sets, by matrix products over the shingles two blocks have in common.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        root = table.column("root").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        order = np.argsort([len(x) for x in sets], kind="stable")
+        root, sets = root[order], [sets[i] for i in order]
+        n = np.array([len(x) for x in sets], np.int64)
+        blocks = [slice(i, i + block) for i in range(0, len(sets), block)]
+        flat = [(np.repeat(np.arange(len(n[at])), n[at]), np.concatenate(sets[at])) for at in blocks]
+        known = [np.unique(x) for _, x in flat]
+        up, us, vs = {}, [], []
+
+        def find(x: int) -> int:
+            while x in up:
+                x = up[x]
+            return x
+
+        def ones(k: int, some: np.ndarray) -> np.ndarray:
+            r, x = flat[k]
+            c = np.minimum(np.searchsorted(some, x), len(some) - 1)
+            ok = some[c] == x
+            out = np.zeros((len(n[blocks[k]]), len(some)), np.float32)
+            out[r[ok], c[ok]] = 1
+            return out
+
+        for i, x in enumerate(blocks):
+            for j, y in enumerate(blocks[: i + 1]):
+                apart = root[x, None] != root[None, y]
+                if 100 * n[y][-1] < percent * n[x][0] or not apart.any():  # sizes ascend
+                    continue
+                shared = np.intersect1d(known[i], known[j], assume_unique=True)
+                both = np.zeros(apart.shape, np.int64)
+                for k in range(0, len(shared), step):
+                    some = shared[k : k + step]
+                    both += (ones(i, some) @ ones(j, some).T).astype(np.int64)
+                r, c = np.nonzero(apart & (100 * both >= percent * (n[x, None] + n[None, y] - both)))
+                if len(r):
+                    for u, v in np.unique(np.stack([root[x][r], root[y][c]]), axis=1).T.tolist():
+                        u, v = sorted((find(u), find(v)))
+                        if u != v:
+                            up[v] = u
+                            us.append(u), vs.append(v)
+                    some, at = np.unique(root, return_inverse=True)
+                    root = np.array([find(r) for r in some.tolist()], np.int64)[at]
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return run
 
 
+def _parts(dense: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(head, a, b, cid, root): the rows of crowded regions (head, cid), dealt to parts so that any two rows of unlike components of a region meet in one.
+
+    A region's largest component need not be held against itself. The others, and it, are dealt by hash to so many blocks that
+    none has much over ROWS rows or SHINGLES shingles, and each two blocks that must meet, (a, b), are one part.
+    """
+    rows = dense.join(roots.selectExpr("node cid", "root"), "cid", "left").join(sizes, "cid").selectExpr("head", "cid", "coalesce(root, cid) root", "n_shingles")
+    each = rows.groupBy("head", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    regions = each.groupBy("head").agg(F.max(F.struct("n", "size", "root")).alias("lead"), F.sum("n").alias("n"), F.sum("size").alias("size")).where("n > lead.n")
+    blocks = "cast(ceil(greatest({0} / %d, {1} / %d)) as int)" % (ROWS, SHINGLES)
+    regions = regions.selectExpr("head", "lead.root lead", blocks.format("(n - lead.n)", "(size - lead.size)") + " few", blocks.format("lead.n", "lead.size") + " many")
+    rows = rows.join(regions, "head").withColumn("h", F.xxhash64("cid"))
+    rows = rows.selectExpr("head", "cid", "root", "if(root = lead, few + pmod(h, many), pmod(h, few)) k", "explode(sequence(0, if(root = lead, few, few + many) - 1)) j")
+    return rows.selectExpr("head", "least(k, j) a", "greatest(k, j) b", "cid", "root")
+
+
 def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
@@ -167,20 +216,23 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 85, window
     keyed = docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text")
     sets = scratch.save(keyed.mapInArrow(_sets, _SETS), "sets")
     classes = scratch.save(
-        sets.where("n_shingles > 0").groupBy("cid", "c2").agg(F.min(F.struct("doc_id", "tkey")).alias("first"), F.min("doc_id").alias("low"), F.first("sig").alias("sig"), F.first("sk").alias("sk")), "classes"
+        sets.where("n_shingles > 0").groupBy("cid", "c2").agg(F.min(F.struct("doc_id", "tkey")).alias("first"), F.min("doc_id").alias("low"), F.first("sig").alias("sig"), F.first("sk").alias("sk"), F.first("n_shingles").alias("n_shingles")), "classes"
     )
     branches = classes.select("cid", "sig").mapInArrow(_branches, "cid long, key binary")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = branches.repartitionByRange(n, "key", "cid").sortWithinPartitions("key", "cid").mapInArrow(_neighbours(window), "u long, v long")
-    pairs = near.where("u <> v").distinct()
+    # Regions with more rows than the window. Their neighbours are only a beginning: what these leave apart is compared in full below.
+    head = F.substring("key", 1, 1 + 4 * SHALLOW)
+    crowded = scratch.save(branches.groupBy(head.alias("head")).count().where(F.col("count") > window + 1).select("head"), "crowded")
+    branches = branches.withColumn("head", head)
+    dense = scratch.save(branches.join(crowded, "head").select("cid", "key", "head"), "dense")
+    # The others lie in one partition each, and all their pairs are within the window.
+    loose = branches.join(crowded, "head", "left_anti").repartition(n, "head").select("cid", "key")
+    near = [x.sortWithinPartitions("key", "cid").mapInArrow(_neighbours(window), "u long, v long") for x in (loose, dense.select("cid", "key").repartitionByRange(n, "key", "cid"))]
+    pairs = near[0].unionByName(near[1]).where("u <> v").distinct()
     sk = classes.select("cid", "sk")
     pairs = pairs.join(sk.selectExpr("cid u", "sk ku"), "u").join(sk.selectExpr("cid v", "sk kv"), "v").select("u", "v", "ku", "kv")
     least = percent / 100 - 4.2 * (percent / 100 * (1 - percent / 100) / (TREES * DEPTH)) ** 0.5
     pairs = scratch.save(pairs.mapInArrow(_estimates, "u long, v long, est double").where(F.col("est") >= least), "pairs")
-    # Regions with more rows than the window are searched again below.
-    head = F.substring("key", 1, 1 + 4 * SHALLOW)
-    crowded = branches.groupBy(head.alias("head")).count().where(F.col("count") > window + 1).select("head")
-    dense = scratch.save(branches.withColumn("head", head).join(crowded, "head").select("cid", "key"), "dense")
     ends = pairs.selectExpr("u cid").unionByName(pairs.selectExpr("v cid")).unionByName(dense.select("cid")).distinct()
     wanted = ends.join(classes.selectExpr("cid", "first.doc_id", "first.tkey"), "cid")
     texts = scratch.save(keyed.dropDuplicates(["doc_id", "tkey"]).join(wanted, keyed.doc_id.eqNullSafe(wanted.doc_id) & (keyed.tkey == wanted.tkey)).select("cid", "text"), "texts")
@@ -197,11 +249,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 85, window
     open_pairs = pairs.join(first.select("u", "v"), ["u", "v"], "left_anti").join(at("u"), "u", "left").join(at("v"), "v", "left").where("coalesce(ru, u) <> coalesce(rv, v)")
     tried = first.unionByName(scratch.save(confirm(open_pairs.select("u", "v")), "second"))
     roots = scratch.save(components(tried.where("linked"), scratch), "roots2")
-    # Those of the crowded regions that are still apart are held against far more neighbours, by sketch first.
-    dense = dense.join(sk, "cid").join(roots.selectExpr("node cid", "root"), "cid", "left")
-    dense = dense.selectExpr("cid", "coalesce(root, cid) root", "sk", "key").repartitionByRange(n, "key", "cid").sortWithinPartitions("key", "cid")
-    more = dense.mapInArrow(_dense(least), "u long, v long").distinct().join(tried.select("u", "v"), ["u", "v"], "left_anti")
-    third = scratch.save(confirm(scratch.save(more, "more")).where("linked").select("u", "v"), "third")
+    # Whatever is still apart in a crowded region is compared in full.
+    parts = scratch.save(_parts(dense.select("cid", "head"), roots, classes.select("cid", "n_shingles")), "parts")
+    full = scratch.save(texts.join(parts.select("cid").distinct(), "cid", "left_semi").select("cid", "text").mapInArrow(_set_rows, "cid long, shingles binary"), "full")
+    met = parts.join(full, "cid").groupBy("head", "a", "b").applyInArrow(_linked(percent), "u long, v long")
+    third = scratch.save(met, "third")
     roots = components(roots.selectExpr("node u", "root v").unionByName(third), scratch)
     whole = roots.join(classes.select(F.col("cid").alias("node"), "low"), "node")
     low = whole.join(whole.groupBy("root").agg(F.min("low").alias("component")), "root").selectExpr("node cid", "component")
