@@ -96,10 +96,17 @@ def ivf(vectors: DataFrame, centroids: int = 32, seed: int = 42, sample: int = 2
 
 
 def ivf_search(vectors: DataFrame, queries: DataFrame, c: np.ndarray, k: int = 10, probes: int = 8) -> DataFrame:
-    """Cosine search in the `probes` nearest cells of each query; queries are a bounded block, as in knn."""
-    block = queries.orderBy("qid").limit(BLOCK + 1).collect()
-    if len(block) > BLOCK:
-        raise ValueError(f"at most {BLOCK} queries at a time")
+    """Cosine search in the `probes` nearest cells of each query; more than BLOCK queries are answered block by block, as in knn."""
+    asked = queries.select("qid", "vec")
+    first = asked.limit(BLOCK + 1).collect()
+    out = None
+    for block in [first] if len(first) <= BLOCK else _blocks(asked):
+        part = _cells(vectors, block, c, k, probes)
+        out = part if out is None else out.unionByName(part)
+    return top(out, k)
+
+
+def _cells(vectors: DataFrame, block: list, c: np.ndarray, k: int, probes: int) -> DataFrame:
     ids, q = np.array([r.qid for r in block], np.int64), np.array([r.vec for r in block], np.float64)
     allowed = np.zeros((len(q), len(c)), bool)
     np.put_along_axis(allowed, np.argsort(-(q @ c.T), axis=1)[:, :probes], True, axis=1)
@@ -116,4 +123,4 @@ def ivf_search(vectors: DataFrame, queries: DataFrame, c: np.ndarray, k: int = 1
             ok = np.isfinite(score)
             yield pa.RecordBatch.from_arrays([pa.array(ids[r[ok]]), pa.array(b.column(0).to_numpy()[best.reshape(-1)[ok]]), pa.array(score[ok])], ["qid", "doc_id", "score"])
 
-    return top(vectors.select(F.col("doc_id").cast("long"), "vec").where("vec is not null").mapInArrow(run, "qid long, doc_id long, score double"), k)
+    return vectors.select(F.col("doc_id").cast("long"), "vec").where("vec is not null").mapInArrow(run, "qid long, doc_id long, score double")
