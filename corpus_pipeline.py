@@ -30,8 +30,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes repeated runs of lines; a document that loses its whole text goes."""
-    out = line_dedup.line_dedup(docs, Scratch(spark, "lines"))
+    """Deletes repeated runs of lines, and repeated lines of 20 words; a document that loses its whole text goes."""
+    out = line_dedup.line_dedup(docs, Scratch(spark, "lines"), alone=True)
     return _sized(out.where("lines_removed = 0 or trim(text) <> ''"), docs)
 
 

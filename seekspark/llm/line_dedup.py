@@ -48,22 +48,32 @@ def _chain(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _winnowed(window: int, gram: int):
-    """Of each window of each text: the hash of its selected gram and of all its lines."""
+def _winnowed(window: int, gram: int, alone: int | None = None):
+    """Of each window of each text: twice its first line, the hash of its selected gram and of all its lines. Of each line of `alone` words: twice its number and one, its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             rows, starts, fps, runs = [], [], [], []
             for i, raw in enumerate(b.column(2).cast(pa.large_binary()).to_pylist()):
                 lines, real = _lines(raw or b"")
+                if not real:
+                    continue
+                h = None
                 if len(real) >= window + gram - 1:
                     h = _hashes([lines[j].strip() for j in real])
                     g = _chain(h, gram)
                     view = np.lib.stride_tricks.sliding_window_view(g, window)
                     fps.append(view[np.arange(len(view)), view.argmin(axis=1)])
                     runs.append(_chain(h, window + gram - 1))
-                    starts.append(np.arange(len(view), dtype=np.int32))
+                    starts.append(2 * np.arange(len(view), dtype=np.int32))
                     rows.append(np.full(len(view), i))
+                long = [] if alone is None else [k for k, j in enumerate(real) if len(lines[j]) >= 2 * alone - 1 and len(lines[j].split()) >= alone]
+                if long:
+                    x = mix((_hashes([lines[real[k]].strip() for k in long]) if h is None else h[long]) ^ np.uint64(0xA0761D6478BD642F))
+                    fps.append(x)
+                    runs.append(x)
+                    starts.append(2 * np.array(long, np.int32) + np.int32(1))
+                    rows.append(np.full(len(long), i))
             if rows:
                 r = np.concatenate(rows)
                 u = lambda x: pa.array(np.concatenate(x).view(np.int64))
@@ -79,21 +89,29 @@ def _without(raw: bytes | None, starts: list[int] | None, least: int, min_words:
     lines, real = _lines(raw)
     covered = np.zeros(len(real), bool)
     for s in starts:
-        covered[s : s + least] = True
+        if s % 2 == 0:
+            covered[s // 2 : s // 2 + least] = True
     edge = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
-    gone, lost = set(), 0
+    out = np.zeros(len(real), bool)
+    out[[s // 2 for s in starts if s % 2]] = True
     for i, j in zip(edge[::2], edge[1::2], strict=True):
         if sum(len(lines[real[k]].split()) for k in range(i, j)) >= min_words:
-            gone.update(range(real[i], real[j - 1] + 1))
-            lost += int(j - i)
-    return (b"\n".join(x for k, x in enumerate(lines) if k not in gone), lost) if gone else (raw, 0)
+            out[i:j] = True
+    gone = set()
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], out.astype(np.int8), [0]])))
+    for i, j in zip(edge[::2], edge[1::2], strict=True):
+        gone.update(range(real[i], real[j - 1] + 1))
+    return (b"\n".join(x for k, x in enumerate(lines) if k not in gone), int(out.sum())) if gone else (raw, 0)
+
 
+def line_dedup(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM, min_words: int = MIN_WORDS, alone: bool = False) -> DataFrame:
+    """All columns of `docs`, text without the runs of lines that occur earlier, with lines_removed (int, replaced if there is one).
 
-def line_dedup(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM, min_words: int = MIN_WORDS) -> DataFrame:
-    """All columns of `docs`, text without the runs of lines that occur earlier, with lines_removed (int, replaced if there is one)."""
+    With `alone`, a line that has `min_words` words by itself is a run too, whatever its neighbours are.
+    """
     docs = docs.drop("lines_removed")
     least = window + gram - 1
-    found = scratch.save(docs.selectExpr(*_KEY, "text").where("text is not null").mapInArrow(_winnowed(window, gram), _WINDOWS), "windows")
+    found = scratch.save(docs.selectExpr(*_KEY, "text").where("text is not null").mapInArrow(_winnowed(window, gram, min_words if alone else None), _WINDOWS), "windows")
     again = found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
     near = found.join(again, "fp").select("pid", "tkey", "start", "run")
     first = near.groupBy("run").agg(F.min(F.struct("pid", "tkey", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")

@@ -31,7 +31,7 @@ def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.line_dedup(_table(spark, sf_dir).select("doc_id", "text"), Scratch(spark, "op4"))
+    out = line_dedup.line_dedup(_table(spark, sf_dir).select("doc_id", "text"), Scratch(spark, "op4"), alone=True)
     return out.select("doc_id", F.col("lines_removed").cast("long").alias("lines_removed"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("kept_sha256"))
 
 

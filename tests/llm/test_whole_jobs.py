@@ -1,8 +1,9 @@
 """What the operators did not do to the end before: each test failed on the code before its change."""
 
+import hashlib
 import random
 
-from seekspark.llm import near_dedup
+from seekspark.llm import near_dedup, queries
 from seekspark.llm.common import Scratch
 
 from .test_dedup import brute_near, docs_of, rows_of
@@ -31,3 +32,14 @@ def test_near_duplicates_among_look_alikes(spark, monkeypatch):
     want = brute_near(pairs)
     assert sum(not x[3] for x in want) == 100
     assert rows_of(got) == want
+
+
+def test_single_lines(spark, tmp_path):
+    """A line of 20 words goes where it occurs again, between other lines and as a whole text; one of 19 words stays."""
+    long, short = " ".join(f"a{k}" for k in range(20)), " ".join(f"b{k}" for k in range(19))
+    texts = [f"one\n{long}\ntwo\n{short}", f"three\n  {long} \nfour", long, f"{short}\nfive\n\n{long}\n\n{long}\nsix", short, None]
+    docs_of(spark, list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(queries.op4_line_dedup(spark, str(tmp_path)).select("doc_id", "lines_removed", "kept_sha256").collect())
+    kept = [texts[0], "three\nfour", "", f"{short}\nfive\n\nsix", short, None]
+    want = [(i, n, None if t is None else hashlib.sha256(t.encode()).hexdigest()) for i, (n, t) in enumerate(zip([0, 1, 1, 2, 0, 0], kept, strict=True))]
+    assert [tuple(x) for x in got] == want
