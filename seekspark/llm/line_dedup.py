@@ -2,11 +2,11 @@
 
 Lines are compared without surrounding spaces; lines that are blank then are not counted. In every window of `window`
 consecutive grams of `gram` lines the one with the least hash is selected (the leftmost of equals), so any run
-of least = window + gram - 1 lines that two places share contributes one selected gram at the same place of the run. Only
-selected grams go through the first shuffle. For those that occur more than once, the positions are joined again and
-extended both ways: the window's whole run of lines is compared by hash with its first occurrence, ordered by (doc_id, text
-hash, line). Adjoining windows found again make up a run as long as the repetition is, and the run is deleted at
-every place but the first, if it has at least `min_words` words. Blank lines inside a deleted run go with it.
+of least = window + gram - 1 lines that two places share contributes one selected gram at the same place of the run. Every
+window is a row; those whose selected gram occurs once are dropped, and the others are compared by the hash of their whole run
+of lines with its first occurrence, ordered by (doc_id, text hash, line). Matches are not extended: adjoining windows found again
+make up a run as long as the repetition is, so the result is that of hashing every window. The run is deleted at every
+place but the first, if it has at least `min_words` words. Blank lines inside a deleted run go with it.
 
 A fingerprint of any frequency is one row per task before it is shuffled, and its positions are split by the skew join.
 
