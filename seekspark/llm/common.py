@@ -7,6 +7,7 @@ import ctypes
 import os
 import uuid
 from collections.abc import Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -26,23 +27,31 @@ pa.set_memory_pool(pa.system_memory_pool())
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all runs on one machine (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    return at.rstrip("/") if at else f"file:///tmp/checkpoints/seekspark-{os.getpid()}"
+    if at:
+        return at.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a folder that driver and executors share")
+    return f"file:///tmp/checkpoints/seekspark-{os.getpid()}"
 
 
 class Scratch:
     """Parquet tables that cut lineage; they live in the shared folder until the session ends or drop() is called."""
 
+    live: ClassVar[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
         self.at = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-        self.made = 0
+        self.made, self.last = 0, ""
+        Scratch.live.append(self)
         atexit.register(self.drop)
 
     def path(self, name: str) -> str:
         self.made += 1
-        return f"{self.at}/{self.made}-{name}"
+        self.last = f"{self.at}/{self.made}-{name}"
+        return self.last
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Writes the table and returns one that reads it. Shuffle files of the write are removed with it: nothing reads them again."""
@@ -64,6 +73,32 @@ class Scratch:
             pass
 
 
+# --- joins with keys of any frequency ----------------------------------------
+
+#: Keys that hold more than one row in so many are joined by a broadcast: there are fewer of them than this number.
+HEAVY = 1000
+
+
+def met(rows: DataFrame, counted: DataFrame, key: str, total: int) -> DataFrame:
+    """`rows` (`total` of them) joined with `counted`, which has each key once and how many of the rows have it as `n`.
+
+    A key with more than total / HEAVY rows stays where its rows are: fewer than HEAVY keys can be so frequent, whatever the
+    input, so their side of the join is small enough to be sent to every task. The other keys meet by a shuffle.
+    """
+    heavy = counted.where(F.col("n") > total / HEAVY)
+    here = rows.join(F.broadcast(heavy), key)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(counted.where(F.col("n") <= total / HEAVY), key)
+    return here.unionByName(rest)
+
+
+def spare(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 # --- words of whole texts, as 64-bit hashes ----------------------------------
 
 SPACE = np.zeros(256, bool)
@@ -163,15 +198,19 @@ def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
     on the map side and their join is open to skew splitting.
     """
     e = scratch.save(edges.where("u <> v").selectExpr("greatest(u, v) u", "least(u, v) v").distinct(), "edges")
-    seen = None
+    seen, at = None, scratch.last
     for _ in range(most):
         both = e.unionByName(e.selectExpr("v u", "u v"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) m")
         large = both.join(low, "u").where("v > u").selectExpr("v u", "m v").where("u <> v").distinct()
         large = scratch.save(large, "large")
+        old = [at, scratch.last]
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").selectExpr("v u", "m v").unionByName(low.selectExpr("u", "m v"))
         e = scratch.save(small.where("u <> v").selectExpr("greatest(u, v) u", "least(u, v) v").distinct(), "small")
+        at = scratch.last
+        for x in old:  # nothing reads the rounds before this one again
+            scratch.drop(x)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

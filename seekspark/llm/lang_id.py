@@ -6,8 +6,10 @@ bytes of other characters). It is trained in numpy by backpropagation through ti
 of labelled documents: the `SAMPLE` of them with the smallest hash of doc_id, at most `PER_DOC` windows of each. The bound
 holds for any input; scoring reads all bytes of all rows.
 
-Defined results: null text, or one without a letter: `und` with score 0. No labelled row to learn from: all are `und`.
-Texts shorter than a window are padded, and padding is no position.
+Defined results: null text, or one without a letter: `und` with score 0. No labelled row to learn from, or an empty table: all are
+`und`, or none. Texts shorter than a window are padded, and padding is no position; the longest text is windows like any other.
+Languages that tie: the first by name. Repeated rows are each predicted, and alike; in the sample a row that repeats counts as often as
+it occurs, within the bound. Other columns are ignored; those asked for with `keep` pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, slices, utf8
+from .common import mix, slices, spare, utf8
 
 WINDOW, HIDDEN, SAMPLE, PER_DOC, STEPS, BATCH = 64, 8, 2000, 6, 260, 160
 _LETTER = re.compile(r"[^\W\d_]")
@@ -155,8 +157,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Network | None:
     if few is None:
         return None
     # ids may repeat: at most `sample` rows with the least hashes, cut to windows before they come to the driver
-    cut = rows.where(F.xxhash64("doc_id") <= few).select("lang", F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(_cuts, "lang string, h long, cut binary").limit(sample * PER_DOC).toPandas()
-    cut = cut.sort_values(["h", "cut"], kind="stable")
+    cut = rows.where(F.xxhash64("doc_id") <= few).select("lang", F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(_cuts, "lang string, h long, cut binary")
+    cut = cut.orderBy("h", "cut", "lang").limit(sample * PER_DOC).toPandas()
     langs = sorted(cut["lang"].unique())
     if not langs:
         return None
@@ -188,10 +190,11 @@ def predict(docs: DataFrame, net: Network | None, keep: list[str] | None = None)
     """The columns `keep` (doc_id) with lang_pred and score for every row."""
     keep = keep or ["doc_id"]
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    mine = docs.select(*keep, F.col("text").alias("__text"))
+    text = spare("text", docs.select(*keep))
+    mine = docs.select(*keep, F.col("text").alias(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "__text"):
+        for b in slices(batches, text):
             texts = b.column(b.num_columns - 1)
             letters = np.array([t is not None and bool(_LETTER.search(t)) for t in texts.to_pylist()])
             lang, score = np.full(b.num_rows, "und", object), np.zeros(b.num_rows)

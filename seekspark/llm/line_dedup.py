@@ -1,17 +1,25 @@
 """Line dedup by winnowing.
 
-Lines are compared without surrounding spaces; lines that are blank then are not counted. In every window of `window`
-consecutive grams of `gram` lines the one with the least hash is selected (the leftmost of equals), so any run
-of least = window + gram - 1 lines that two places share contributes one selected gram at the same place of the run. Every
-window is a row; those whose selected gram occurs once are dropped, and the others are compared by the hash of their whole run
-of lines with its first occurrence, ordered by (doc_id, text hash, line). Matches are not extended: adjoining windows found again
-make up a run as long as the repetition is, so the result is that of hashing every window. The run is deleted at every
-place but the first, if it has at least `min_words` words. Blank lines inside a deleted run go with it.
-
-A fingerprint of any frequency is one row per task before it is shuffled, and its positions are split by the skew join.
+A run is a stretch of consecutive lines with at least `min_words` words; one long line can be a run. Lines are compared without
+surrounding spaces, and lines that are blank then are not counted. Every line goes that belongs to a run which also occurs at an
+earlier place, in order of (doc_id, text hash, line), in another text or in the same.
+
+* Windows. At each line begins, and at each line ends, the shortest run that fits into its text. Each of these windows selects the
+  line with the least hash (the leftmost of equals). A repeated run contains the same windows at both places, and they select the
+  same lines at the same distances: its selected lines are guaranteed fingerprints, however short or long its lines are.
+* Positions of equal fingerprints meet. A selected line that is selected once in the whole corpus ends here with all its windows.
+* Matches are extended. From a position that has met others the match is extended both ways over the line hashes, as far as the
+  windows around it reach, and each extension is held against the first place where the same lines stand around the same
+  fingerprint. A longer repeated run is covered by those of its selected lines; lines that stand together at no earlier
+  place are in no extension that is found again, even if each of their halves is.
+* The lines of extensions found at an earlier place are deleted, and blank lines between two of them.
+
+A fingerprint or run of any frequency is one row a task before it is shuffled, and the most frequent ones are joined by a
+broadcast of bounded size (`common.met`).
 
 Defined results: null text stays null, empty text stays empty. A null doc_id comes before all others. Rows equal in
-doc_id and text are one place: they lose the same lines, and none because of each other. Other columns pass through.
+doc_id and text are one place: they lose the same lines, and none because of each other. Of equal texts with unlike doc_ids all
+but the first lose everything that is long enough. An empty table gives no row. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,109 +33,132 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, mix, slices
+from .common import Scratch, met, mix, slices, spare, utf8, words
 
-WINDOW, GRAM, MIN_WORDS = 2, 1, 20
+MIN_WORDS = 20
 _KEY = "coalesce(doc_id, -9223372036854775808) pid", "xxhash64(text) tkey"
-_WINDOWS = "pid long, tkey long, start int, fp long, run long"
-
-
-def _lines(raw: bytes) -> tuple[list[bytes], list[int]]:
-    lines = raw.split(b"\n")
-    return lines, [i for i, x in enumerate(lines) if x.strip()]
-
-
-def _hashes(lines: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines))
-
-
-def _chain(h: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(max(len(h) - n + 1, 0), np.uint64)
-    for j in range(n):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + len(out)])
-    return out
-
-
-def _winnowed(window: int, gram: int, alone: int | None = None):
-    """Of each window of each text: twice its first line, the hash of its selected gram and of all its lines. Of each line of `alone` words: twice its number and one, its hash."""
+_FOUND = "pid long, tkey long, fp long, runs array<struct<start: int, stop: int, run: long>>"
+_ODD = np.uint64(0xD1342543DE82EF95)
+_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
+
+
+def lines_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the non-blank lines of texts: row, first byte, byte after the last (both without spaces), number of words."""
+    first, last, _ = words(data, at)
+    if not len(first):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
+    feed = np.searchsorted(np.flatnonzero(data == 10), first)
+    row = np.searchsorted(at, first, "right") - 1
+    new = np.flatnonzero(np.concatenate([[True], (feed[1:] != feed[:-1]) | (row[1:] != row[:-1])]))
+    stop = np.append(new[1:], len(first))
+    return row[new], first[new], last[stop - 1], stop - new
+
+
+def windows(row: np.ndarray, n: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First line and line after the last of the shortest runs of `least` words that begin or end at a line, inside rows."""
+    total = np.concatenate([[0], np.cumsum(n)])
+    i = np.arange(len(n))
+    stop = np.searchsorted(total, total[:-1] + least)
+    ok = stop <= np.searchsorted(row, row, "right")
+    start = np.searchsorted(total, total[1:] - least, "right") - 1
+    good = start >= np.searchsorted(row, row, "left")
+    # no window has more than `least` lines, as each has a word
+    code = np.unique(np.concatenate([i[ok] * (least + 1) + stop[ok] - i[ok], start[good] * (least + 1) + i[good] + 1 - start[good]]))
+    start = code // (least + 1)
+    return start, start + code % (least + 1)
+
+
+def selected(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The line with the least hash of each window, the leftmost of equals."""
+    bits = np.uint64(len(h).bit_length())
+    level = [(h >> bits << bits) | np.arange(len(h), dtype=np.uint64)]
+    size = stop - start
+    while 2 << (len(level) - 1) <= size.max(initial=0):
+        half = 1 << (len(level) - 1)
+        level.append(np.minimum(level[-1][:-half], level[-1][half:]))
+    k = np.frexp(size.astype(np.float64))[1] - 1  # the largest power of two within the window
+    out = np.zeros(len(start), np.uint64)
+    for j in range(len(level)):
+        at = np.flatnonzero(k == j)
+        out[at] = np.minimum(level[j][start[at]], level[j][stop[at] - (1 << j)])
+    return (out & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+
+
+def chained(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A hash of the lines of each window."""
+    power = np.cumprod(np.full(len(h) + 1, _ODD, np.uint64))
+    inverse = np.cumprod(np.full(len(h) + 1, _INVERSE, np.uint64))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[:-1])])
+    return mix((total[stop] - total[start]) * inverse[start] + (stop - start).astype(np.uint64))
+
+
+def _fingerprints(least: int):
+    """A row for each selected line: its hash, and the windows that select it, as lines of its text with their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            rows, starts, fps, runs = [], [], [], []
-            for i, raw in enumerate(b.column(2).cast(pa.large_binary()).to_pylist()):
-                lines, real = _lines(raw or b"")
-                if not real:
-                    continue
-                h = None
-                if len(real) >= window + gram - 1:
-                    h = _hashes([lines[j].strip() for j in real])
-                    g = _chain(h, gram)
-                    view = np.lib.stride_tricks.sliding_window_view(g, window)
-                    fps.append(view[np.arange(len(view)), view.argmin(axis=1)])
-                    runs.append(_chain(h, window + gram - 1))
-                    starts.append(2 * np.arange(len(view), dtype=np.int32))
-                    rows.append(np.full(len(view), i))
-                long = [] if alone is None else [k for k, j in enumerate(real) if len(lines[j]) >= 2 * alone - 1 and len(lines[j].split()) >= alone]
-                if long:
-                    x = mix((_hashes([lines[real[k]].strip() for k in long]) if h is None else h[long]) ^ np.uint64(0xA0761D6478BD642F))
-                    fps.append(x)
-                    runs.append(x)
-                    starts.append(2 * np.array(long, np.int32) + np.int32(1))
-                    rows.append(np.full(len(long), i))
-            if rows:
-                r = np.concatenate(rows)
-                u = lambda x: pa.array(np.concatenate(x).view(np.int64))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r)), b.column(1).take(pa.array(r)), pa.array(np.concatenate(starts)), u(fps), u(runs)], ["pid", "tkey", "start", "fp", "run"])
+            data, at = utf8(b.column(2))
+            row, first, last, n = lines_of(data, at)
+            raw = data.tobytes()
+            h = np.fromiter((xxhash.xxh3_64_intdigest(raw[i:j]) for i, j in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(row))
+            start, stop = windows(row, n, least)
+            if not len(start):
+                continue
+            place = selected(h, start, stop)
+            order = np.argsort(place, kind="stable")
+            start, stop, place = start[order], stop[order], place[order]
+            each = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+            line = np.searchsorted(row, row)  # the first line of each line's row
+            runs = pa.StructArray.from_arrays(
+                [pa.array((start - line[start]).astype(np.int32)), pa.array((stop - line[start]).astype(np.int32)), pa.array(chained(mix(h), start, stop).view(np.int64))], ["start", "stop", "run"]
+            )
+            of = pa.array(row[place[each]])
+            fp = pa.array(mix(h[place[each]]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), fp, pa.ListArray.from_arrays(pa.array(np.append(each, len(place)), pa.int32()), runs)], ["pid", "tkey", "fp", "runs"])
 
     return run
 
 
-def _without(raw: bytes | None, starts: list[int] | None, least: int, min_words: int) -> tuple[bytes | None, int]:
+def _without(raw: bytes | None, runs: list[dict] | None) -> tuple[bytes | None, int]:
     """The text without its repeated runs, and how many non-blank lines went."""
-    if not starts:
+    if not runs:
         return raw, 0
-    lines, real = _lines(raw)
-    covered = np.zeros(len(real), bool)
-    for s in starts:
-        if s % 2 == 0:
-            covered[s // 2 : s // 2 + least] = True
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
-    out = np.zeros(len(real), bool)
-    out[[s // 2 for s in starts if s % 2]] = True
-    for i, j in zip(edge[::2], edge[1::2], strict=True):
-        if sum(len(lines[real[k]].split()) for k in range(i, j)) >= min_words:
-            out[i:j] = True
-    gone = set()
+    lines = raw.split(b"\n")
+    real = [i for i, x in enumerate(lines) if x.strip()]
+    out = np.zeros(len(real) + 1, np.int64)
+    for r in runs:
+        out[r["start"]] += 1
+        out[r["stop"]] -= 1
+    out = np.cumsum(out)[:-1] > 0
+    gone = np.zeros(len(lines), bool)
     edge = np.flatnonzero(np.diff(np.concatenate([[0], out.astype(np.int8), [0]])))
     for i, j in zip(edge[::2], edge[1::2], strict=True):
-        gone.update(range(real[i], real[j - 1] + 1))
-    return (b"\n".join(x for k, x in enumerate(lines) if k not in gone), int(out.sum())) if gone else (raw, 0)
-
+        gone[real[i] : real[j - 1] + 1] = True
+    return b"\n".join(x for x, g in zip(lines, gone.tolist(), strict=True) if not g), int(out.sum())
 
-def line_dedup(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM, min_words: int = MIN_WORDS, alone: bool = False) -> DataFrame:
-    """All columns of `docs`, text without the runs of lines that occur earlier, with lines_removed (int, replaced if there is one).
 
-    With `alone`, a line that has `min_words` words by itself is a run too, whatever its neighbours are.
-    """
+def line_dedup(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
+    """All columns of `docs`, text without the runs of lines that occur earlier, with lines_removed (int, replaced if there is one)."""
     docs = docs.drop("lines_removed")
-    least = window + gram - 1
-    found = scratch.save(docs.selectExpr(*_KEY, "text").where("text is not null").mapInArrow(_winnowed(window, gram, min_words if alone else None), _WINDOWS), "windows")
-    again = found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    near = found.join(again, "fp").select("pid", "tkey", "start", "run")
+    found = scratch.save(docs.selectExpr(*_KEY, "text").where("text is not null").mapInArrow(_fingerprints(min_words), _FOUND), "fingerprints")
+    several = found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1")
+    near = met(found, several, "fp", found.count()).select("pid", "tkey", F.explode("runs").alias("x")).select("pid", "tkey", "x.*")
+    near = scratch.save(near, "extensions")
     first = near.groupBy("run").agg(F.min(F.struct("pid", "tkey", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = near.join(first, "run").where(F.struct("pid", "tkey", "start") > F.col("first"))
-    # rows equal in doc_id and text put each window there twice: one place
-    later = scratch.save(later.groupBy("pid", "tkey").agg(F.collect_set("start").alias("__starts")), "later")
-    plain = docs.select("*", F.coalesce("doc_id", F.lit(-(2**63))).alias("__pid"), F.xxhash64("text").alias("__tkey"))
+    later = met(near, first, "run", near.count()).where(F.struct("pid", "tkey", "start") > F.col("first"))
+    # rows equal in doc_id and text put each run there twice: one place
+    later = scratch.save(later.groupBy("pid", "tkey").agg(F.collect_set(F.struct("start", "stop")).alias("runs")), "later")
+    names, at = docs.columns, docs.columns.index("text")
+    pid, tkey, runs = (spare(x, docs) for x in ("pid", "tkey", "runs"))
+    plain = docs.select("*", F.coalesce("doc_id", F.lit(-(2**63))).alias(pid), F.xxhash64("text").alias(tkey))
     # a merge join at any size: a broadcast would hold only while few documents have anything to lose
-    both = plain.join(later.withColumnsRenamed({"pid": "__pid", "tkey": "__tkey"}).hint("merge"), ["__pid", "__tkey"], "left").select(*docs.columns, "__starts")
-    names = docs.columns
-    at = names.index("text")
+    both = plain.join(later.withColumnsRenamed({"pid": pid, "tkey": tkey, "runs": runs}).hint("merge"), [pid, tkey], "left").select(*names, runs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            raw, starts = b.column(at).cast(pa.large_binary()).to_pylist(), b.column(b.num_columns - 1).to_pylist()
-            kept = [_without(x, s, least, min_words) for x, s in zip(raw, starts, strict=True)]
+            raw = b.column(at).cast(pa.large_binary()).to_pylist()
+            kept = [_without(x, r) for x, r in zip(raw, b.column(b.num_columns - 1).to_pylist(), strict=True)]
             columns = b.columns[:-1]
             columns[at] = pa.array([x for x, _ in kept], pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in kept], pa.int32())], [*names, "lines_removed"])

@@ -5,16 +5,20 @@ taken r times on average. It is taken floor(r) times for certain, and once more
 These fractions are rounded dependently: two documents at a time pass probability between them, so much that their words
 weighted by probability stay the same in sum, in a random direction with odds that keep each document's expectation, until
 one of the two is 0 or 1. The other goes on to the next. Documents meet in order of size within a shard of their source, one
-of each shard is left over, and the shards' leftovers meet in the same way up a tree of shards of shards. About `BALLAST`
-documents of each source (half of a small one) wait at the root, where leftovers and they are drawn from large to small, each
-with the words that are owed by those before added to its own expectation. So the words that a source is off its target in
-the end are those of one of its small documents, unless one document outweighs all that wait.
+of each shard is left over, and the shards' leftovers meet in the same way up a tree of shards of shards.
+
+Two documents of unlike sizes settle the smaller one, so what a tree of pairs leaves over is one of the largest. About `BALLAST`
+documents of each source (half of a small one) therefore take no part in the pairs and wait at the root. There the transfers go on
+from large to small, between a document and all smaller ones of its source as one partner: it gains all the words it lacks from
+them, or loses all it has to them, each of them giving or getting in proportion to what it has or lacks, again with the odds that
+keep every expectation. So the words that a source is off its target in the end are those of its smallest waiting document, unless
+one document outweighs all that wait; what is left of such a one is drawn by its probability.
 
 Random numbers are hashes of the documents' keys and the seed: reruns and retried tasks agree.
 
-Defined results: null or wordless text: size 0, taken 0 and never paired. Rows equal in all columns are interchangeable. A null source is a source of its own, after all
-others in order. Repeated rows are documents of their own. If no document has a word, all targets are 0. Other columns
-are ignored by `mix_sources` and pass through `repeated`.
+Defined results: null or wordless text: size 0, taken 0 and never paired. Rows equal in all columns are interchangeable. A null source
+is a source of its own, after all others in order. Repeated rows are documents of their own. If no document has a word, all targets
+are 0. An empty table gives no row. Other columns are ignored by `mix_sources` and pass through `mixture`, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,12 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch, mix
+from .common import Scratch, mix, spare
 
-WEIGHTS, MOST, SHARD, FAN, BALLAST, SMALL = (5.0, 2.0, 1.0), 3, 256, 64, 256, 20
+WEIGHTS, MOST, SHARD, FAN, BALLAST = (5.0, 2.0, 1.0), 3, 256, 64, 256
 N_WORDS = "coalesce(regexp_count(text, '[^\\\\x20\\\\x09-\\\\x0D]+'), 0)"
 
 
@@ -77,19 +82,51 @@ def _transfer(p: float, size: float, q: float, other: float, u: float) -> tuple[
     return (0.0 if loss == a else (a - loss) / size), (1.0 if loss == other - b else (b + loss) / other)
 
 
-def _drawn(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
-    """The root: rows sorted by source and size are drawn in turn; what a draw is off is owed to the next of its source."""
-    source, owed = None, 0.0
-    for b in batches:
-        out = []
-        for of, size, p, u in zip(b.column(2).to_pylist(), b.column(4).to_pylist(), b.column(8).to_pylist(), _odds(b, seed).tolist(), strict=True):
-            if (of,) != source:
-                source, owed = (of,), 0.0
-            q = p + owed / size
-            x = float(q > (u if size > SMALL else 0.5))
-            owed = (q - x) * size
-            out.append(x)
-        yield pa.RecordBatch.from_arrays([*b.columns[:8], pa.array(out, pa.float64())], _NAMES)
+def _pooled(size: np.ndarray, p: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Probabilities, all 0 or 1, of documents in order of size: each in turn against all after it as one partner."""
+    p = p.copy()
+    for i in range(len(p)):
+        later, rest = size[i + 1 :], p[i + 1 :]
+        a, down = p[i] * size[i], float(later @ rest)
+        up = float(later.sum()) - down
+        gain, loss = min(size[i] - a, down), min(a, up)
+        if gain + loss > 0:
+            if u[i] * (gain + loss) < loss:
+                a += gain
+                rest *= 1 - gain / down if gain < down else 0.0
+            else:
+                a -= loss
+                rest += (1 - rest) * (loss / up if loss < up else 1.0)
+            rest[rest < 1e-12], rest[rest > 1 - 1e-12] = 0.0, 1.0
+        q = a / size[i]
+        p[i] = 0.0 if q < 1e-12 else 1.0 if q > 1 - 1e-12 else float(v[i] < q)  # words are left only where the partner had too few
+    return p
+
+
+def _rooted(seed: int):
+    """Rows sorted by source and size: those of a source that wait at the root, settled. They are about BALLAST at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done() -> pa.RecordBatch:
+            b = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            size, p = b.column(4).to_numpy().astype(np.float64), b.column(8).to_numpy()
+            return pa.RecordBatch.from_arrays([*b.columns[:8], pa.array(_pooled(size, p, _odds(b, seed), _odds(b, seed + 1)))], _NAMES)
+
+        for b in batches:
+            source = b.column(2).to_pylist()
+            cuts = [0, *(i for i in range(1, len(source)) if source[i] != source[i - 1]), len(source)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i < j:
+                    if held and held[-1].column(2)[0].as_py() != source[i]:
+                        yield done()
+                        held = []
+                    held.append(b.slice(i, j - i))
+        if held:
+            yield done()
+
+    return run
 
 
 def _odds(b: pa.RecordBatch, seed: int) -> np.ndarray:
@@ -135,9 +172,12 @@ def _settled(seed: int):
     return run
 
 
-def mix_sources(docs: DataFrame, scratch: Scratch, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 11) -> DataFrame:
-    """doc_id, tkey (hash of the text), source, size, source_size, target, copies, taken for every row of `docs`."""
-    sized = scratch.save(docs.select("doc_id", "source", F.xxhash64("text").alias("tkey"), F.expr(N_WORDS).cast("long").alias("size")), "sized")
+def mix_sources(
+    docs: DataFrame, scratch: Scratch, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 11, key: Column | None = None
+) -> DataFrame:
+    """doc_id, tkey (`key`, or a hash of the text), source, size, source_size, target, copies, taken for every row of `docs`."""
+    tkey = (F.xxhash64("text") if key is None else key).alias("tkey")
+    sized = scratch.save(docs.select("doc_id", "source", tkey, F.expr(N_WORDS).cast("long").alias("size")), "sized")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     wanted = scratch.save(targets(sizes, scratch, weights, most), "targets").withColumnRenamed("source", "s")
     rows = sized.join(wanted, sized.source.eqNullSafe(wanted.s)).drop("s")
@@ -161,14 +201,17 @@ def mix_sources(docs: DataFrame, scratch: Scratch, weights: tuple[float, ...] =
         shards //= FAN
         seed += 1
     root = root.unionByName(open_).repartition(parts, "source").sortWithinPartitions("source", F.desc("size"), "doc_id", "tkey")
-    out = out.unionByName(scratch.save(root.mapInArrow(lambda batches: _drawn(batches, seed), _ROW), "root"))
+    out = out.unionByName(scratch.save(root.mapInArrow(_rooted(seed), _ROW), "root"))
     copies = (F.col("whole") + F.col("p").cast("int")).cast("long")
     return out.select("doc_id", "tkey", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
-def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mix itself: each row of `docs` as often as it is taken, all columns kept."""
-    key = mixed.where("copies > 0").groupBy(F.col("doc_id").alias("__d"), F.col("tkey").alias("__t")).agg(F.sum("copies").cast("int").alias("__n"))
-    keyed = docs.withColumn("__tkey", F.xxhash64("text")).dropDuplicates(["doc_id", "__tkey"])
-    joined = keyed.join(key, keyed.doc_id.eqNullSafe(key["__d"]) & (keyed["__tkey"] == key["__t"]))
-    return joined.withColumn("__i", F.expr("explode(sequence(1, __n))")).select(*docs.columns)
+def mixture(docs: DataFrame, scratch: Scratch, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 11) -> DataFrame:
+    """The mix itself: each row of `docs` as often as it is taken, all columns kept. Rows unlike in any column are apart."""
+    maps = {f.name for f in docs.schema.fields if isinstance(f.dataType, T.MapType)}
+    key = F.xxhash64(*(F.to_json(c) if c in maps else F.col(c) for c in docs.columns))
+    mixed = mix_sources(docs, scratch, weights, most, seed, key)
+    pid, tkey, n, i = (spare(x, docs) for x in ("pid", "tkey", "copies", "copy"))
+    taken = mixed.where("copies > 0").groupBy(F.coalesce("doc_id", F.lit(0)).alias(pid), F.col("tkey").alias(tkey)).agg(F.sum("copies").cast("int").alias(n))
+    keyed = docs.withColumns({pid: F.coalesce("doc_id", F.lit(0)), tkey: key}).dropDuplicates([pid, tkey])
+    return keyed.join(taken, [pid, tkey]).withColumn(i, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)

@@ -3,14 +3,17 @@
 Documents are sets of distinct five-word shingles. Equal sets collapse to one class before anything else, so exact copies
 cost one row whatever their number. Each class has `TREES` signatures of `DEPTH` minima; for each tree the classes are
 sorted by signature, and neighbours in that order whose longest common prefix is at least `SHALLOW` minima are candidates.
-A region, the rows of one shallow prefix, of at most `window` + 1 rows is compared in full. In a denser one the neighbours are
-those with a longer prefix in common; they join most of it, and all pairs that are still apart are counted on their full sets, block
-against block (`_parts`, `_linked`). A candidate whose estimated similarity is far below the threshold (by over four
-standard errors) is dropped; all others are confirmed on the full shingle sets.
+A region, the rows of one shallow prefix, of at most `window` + 1 rows lies in one partition and is compared in full. In a denser
+one the neighbours are those with a longer prefix in common; they join most of it, and all pairs that are still apart are then
+counted on their full sets, block against block (`_parts`, `_linked`), so nothing depends on which neighbours were met first, nor on
+where partitions end. A candidate whose estimated similarity is far below the threshold (by over four standard errors) is
+dropped; all others are confirmed on the full shingle sets. Two documents at similarity 0.8 share a shallow prefix in none of
+the trees with probability 3e-6.
 
 Defined results: null or wordless text: empty set, linked with nothing, its own component. Fewer than five words: the
 whole sequence is the one shingle. Equal doc_ids with unlike texts are separate documents. A null doc_id takes part; a
-component of none but null ids has a null id. Repeated rows are all returned. Other columns are ignored.
+component of none but null ids has a null id. Repeated rows are all returned; `one_each` keeps one of them. An empty table gives no
+row. Other columns are ignored, and pass through `one_each`, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, longs, mix, slices, word_hashes
+from .common import Scratch, components, longs, mix, slices, spare, word_hashes
 
-TREES, DEPTH, SHALLOW, WORDS = 16, 8, 4, 5
+TREES, DEPTH, SHALLOW, WORDS = 24, 6, 4, 5
 #: What a block of a crowded region holds at most, about.
 ROWS, SHINGLES = 1024, 4 << 20
 _R = np.random.default_rng(20240607)
@@ -211,12 +214,21 @@ def _confirmed(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 85, window: int = 4) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: documents linked at 100 * intersection >= percent * union, and components."""
+def _place():
+    """A document's place in order: ids before none, smallest first, then by hash of the text."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey")
+
+
+def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80, window: int = 4) -> DataFrame:
+    """doc_id, tkey (hash of the text), n_shingles, component_id, kept, first for every row of `docs`.
+
+    Documents are linked at 100 * intersection >= percent * union. `kept` tells whether doc_id is the component's; `first`, whether
+    the row is the component's first by doc_id (nulls last) and hash of the text, which rows that repeat another one share with it.
+    """
     keyed = docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text")
     sets = scratch.save(keyed.mapInArrow(_sets, _SETS), "sets")
     classes = scratch.save(
-        sets.where("n_shingles > 0").groupBy("cid", "c2").agg(F.min(F.struct("doc_id", "tkey")).alias("first"), F.min("doc_id").alias("low"), F.first("sig").alias("sig"), F.first("sk").alias("sk"), F.first("n_shingles").alias("n_shingles")), "classes"
+        sets.where("n_shingles > 0").groupBy("cid", "c2").agg(F.min(F.struct("doc_id", "tkey")).alias("first"), F.min(_place()).alias("place"), F.min("doc_id").alias("low"), F.first("sig").alias("sig"), F.first("sk").alias("sk"), F.first("n_shingles").alias("n_shingles")), "classes"
     )
     branches = classes.select("cid", "sig").mapInArrow(_branches, "cid long, key binary")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -255,8 +267,30 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 85, window
     met = parts.join(full, "cid").groupBy("head", "a", "b").applyInArrow(_linked(percent), "u long, v long")
     third = scratch.save(met, "third")
     roots = components(roots.selectExpr("node u", "root v").unionByName(third), scratch)
-    whole = roots.join(classes.select(F.col("cid").alias("node"), "low"), "node")
-    low = whole.join(whole.groupBy("root").agg(F.min("low").alias("component")), "root").selectExpr("node cid", "component")
-    low = classes.select("cid", "c2", "low").join(low, "cid", "left").selectExpr("cid", "c2", "coalesce(component, low) component")
-    out = sets.drop("sig", "sk", "tkey").join(low, ["cid", "c2"], "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    whole = roots.join(classes.select(F.col("cid").alias("node"), "low", "place"), "node")
+    least_of = whole.groupBy("root").agg(F.min("low").alias("component"), F.min("place").alias("head"))
+    low = whole.join(least_of, "root").selectExpr("node cid", "component", "head")
+    low = classes.select("cid", "c2", "low", "place").join(low, "cid", "left")
+    low = low.selectExpr("cid", "c2", "coalesce(component, low) component", "coalesce(head, place) head")
+    out = sets.drop("sig", "sk").join(low, ["cid", "c2"], "left")
+    any_ = F.col("n_shingles") > 0
+    out = out.withColumn("component_id", F.when(any_, F.col("component")).otherwise(F.col("doc_id")))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return out.select("doc_id", "tkey", "n_shingles", "component_id", kept.alias("kept"), (~any_ | F.col("head").eqNullSafe(_place())).alias("first"))
+
+
+def one_each(docs: DataFrame, scratch: Scratch, percent: int = 80) -> DataFrame:
+    """Rows of `docs`, all columns: of each component the first document, once. Rows without a word all stay."""
+    groups = scratch.save(near_duplicates(docs, scratch, percent).select("doc_id", "tkey", "n_shingles", "first"), "groups")
+    gone = scratch.save(groups.where("not first").select("doc_id", "tkey").distinct(), "gone")
+    again = scratch.save(groups.where("first and n_shingles > 0").groupBy("doc_id", "tkey").count().where("count > 1").select("doc_id", "tkey"), "again")
+    tkey, did, dkey, key = (spare(x, docs) for x in ("tkey", "did", "dkey", "whole"))
+    keyed = docs.withColumn(tkey, F.xxhash64("text"))
+    of = lambda x: x.withColumnsRenamed({"doc_id": did, "tkey": dkey})
+    same = F.col("doc_id").eqNullSafe(F.col(did)) & (F.col(tkey) == F.col(dkey))
+    left = keyed.join(of(gone), same, "left_anti")
+    # rows that repeat one that stays: the least of them by hash of the row
+    repeats = left.join(of(again), same, "left_semi")
+    row = F.struct(*docs.columns)
+    one = repeats.groupBy("doc_id", tkey).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias(key)).select(f"{key}.*")
+    return left.join(of(again), same, "left_anti").select(*docs.columns).unionByName(one)

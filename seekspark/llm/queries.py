@@ -31,12 +31,13 @@ def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.line_dedup(_table(spark, sf_dir).select("doc_id", "text"), Scratch(spark, "op4"), alone=True)
+    out = line_dedup.line_dedup(_table(spark, sf_dir).select("doc_id", "text"), Scratch(spark, "op4"))
     return out.select("doc_id", F.col("lines_removed").cast("long").alias("lines_removed"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(_table(spark, sf_dir), Scratch(spark, "op5"))
+    out = near_dedup.near_duplicates(_table(spark, sf_dir), Scratch(spark, "op5"), percent=85)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op6_ego_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,10 +62,11 @@ def rows_of(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates(spark, percent):
     pairs = corpus()
-    got = near_dedup.near_duplicates(docs_of(spark, pairs), Scratch(spark, "t"))
-    assert rows_of(got.select("doc_id", "n_shingles", "component_id", "kept")) == brute_near(pairs)
+    got = near_dedup.near_duplicates(docs_of(spark, pairs), Scratch(spark, "t"), percent)
+    assert rows_of(got.select("doc_id", "n_shingles", "component_id", "kept")) == brute_near(pairs, percent)
 
 
 def test_near_duplicates_in_a_crowd(spark):
@@ -78,7 +79,7 @@ def test_near_duplicates_in_a_crowd(spark):
         for _ in range(r.choice([0, 1, 1, 2, 2, 3, 5, 9])):
             words[r.randrange(len(words))] = f"v{r.randrange(1000)}"
         pairs.append((i, " ".join(words)))
-    got = near_dedup.near_duplicates(docs_of(spark, pairs), Scratch(spark, "t"))
+    got = near_dedup.near_duplicates(docs_of(spark, pairs), Scratch(spark, "t"), percent=85)
     assert rows_of(got.select("doc_id", "n_shingles", "component_id", "kept")) == brute_near(pairs)
 
 
@@ -127,45 +128,81 @@ def test_merged_transforms(shards):
     assert len(set(zip(strings, content.tolist(), strict=True))) == len(set(strings)) == len(set(content.tolist()))
 
 
-def brute_lines(pairs, least=2, min_words=20):
-    real = [[k for k, x in enumerate((t or "").split("\n")) if x.encode().strip()] for _, t in pairs]
-    lines = [[x.encode() for x in (t or "").split("\n")] for _, t in pairs]
-    runs = {}
-    for i, (d, t) in enumerate(pairs):
-        for s in range(len(real[i]) - least + 1):
-            key = tuple(lines[i][k].strip() for k in real[i][s : s + least])
-            runs.setdefault(key, set()).add((-(2**63) if d is None else d, t, s))
-    return real, lines, runs
+def brute_lines(pairs, least=20):
+    """From the definition: of each text, which non-blank lines belong to a run of `least` words that occurs at an earlier place."""
+    lines = [[x.encode().strip() for x in (t or "").split("\n") if x.encode().strip()] for _, t in pairs]
+    place = lambda i, a: (-(2**63) if pairs[i][0] is None else pairs[i][0], a)
+    runs = [(i, a, b) for i, x in enumerate(lines) for a in range(len(x)) for b in range(a + 1, len(x) + 1) if sum(len(y.split()) for y in x[a:b]) >= least]
+    first = {}
+    for i, a, b in runs:
+        key = tuple(lines[i][a:b])
+        first[key] = min(first.get(key, place(i, a)), place(i, a))
+    gone = [[False] * len(x) for x in lines]
+    for i, a, b in runs:
+        if first[tuple(lines[i][a:b])] < place(i, a):
+            gone[i][a:b] = [True] * (b - a)
+    return gone
+
+
+def without_lines(text, gone):
+    """The text without the lines, and without blank lines between two of them that follow each other."""
+    if text is None:
+        return None
+    lines = text.split("\n")
+    real = [k for k, x in enumerate(lines) if x.encode().strip()]
+    drop = {k for k, g in zip(real, gone, strict=True) if g}
+    for n, (i, j) in enumerate(zip(real, real[1:])):  # noqa: B905
+        if gone[n] and gone[n + 1]:
+            drop |= set(range(i, j))
+    return "\n".join(x for k, x in enumerate(lines) if k not in drop)
+
+
+def short_lines(seed):
+    """Texts whose lines have 1 to 25 words, of a few lines in all orders, so that runs overlap in every way."""
+    r = random.Random(seed)
+    pool = [" ".join(r.choice("abcdefgh") for _ in range(r.choice([1, 2, 3, 5, 8, 10, 19, 20, 25]))) for _ in range(9)]
+    return [(i, "\n".join(r.choice([*pool, "", " "]) for _ in range(r.randint(0, 14)))) for i in range(40)]
 
 
-def test_line_dedup(spark):
-    pairs = [p for p in corpus(4) if p[0] != 5]  # one text for each id: the order of texts under one id is that of hashes
+@pytest.mark.parametrize("seed", [4, 5])
+def test_line_dedup(spark, seed):
+    # one text for each id: the order of texts under one id is that of hashes
+    pairs = [p for p in corpus(seed) if p[0] not in (5, None)] + [(2000 + i, t) for i, t in short_lines(seed)] + [(None, "a " * 30), (3000, "a " * 30)]
     got = line_dedup.line_dedup(docs_of(spark, pairs), Scratch(spark, "t"))
     assert got.columns == [*(c.split()[0] for c in DOCS.split(", ")), "lines_removed"]
-    real, lines, runs = brute_lines(pairs)
-    want = []
-    for i, (d, t) in enumerate(pairs):
-        gone, lost = set(), 0
-        covered = [False] * len(real[i])
-        for s in range(len(real[i]) - 1):
-            key = tuple(lines[i][k].strip() for k in real[i][s : s + 2])
-            me = -(2**63) if d is None else d
-            if min((x[0], x[2]) for x in runs[key]) < (me, s):
-                covered[s] = covered[s + 1] = True
-        k = 0
-        while k < len(covered):
-            e = k
-            while e < len(covered) and covered[e]:
-                e += 1
-            if e > k and sum(len(lines[i][real[i][j]].split()) for j in range(k, e)) >= 20:
-                gone.update(range(real[i][k], real[i][e - 1] + 1))
-                lost += e - k
-            k = max(e, k + 1)
-        want.append((d, None if t is None else b"\n".join(x for j, x in enumerate(lines[i]) if j not in gone).decode(), lost))
-    assert sum(w[2] for w in want) > 10
+    gone = brute_lines(pairs)
+    want = [(d, without_lines(t, g), sum(g)) for (d, t), g in zip(pairs, gone, strict=True)]
+    assert sum(w[2] for w in want) > 100
     assert rows_of(got.select("doc_id", "text", "lines_removed")) == sorted(want, key=str)
 
 
+def test_lines_that_stand_together_nowhere_earlier(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(12)) for x in "abc")
+    pairs = [(1, f"{a}\n{b}"), (2, f"{b}\n{c}"), (3, f"{a}\nx\n{b}\ny\n{c}")]
+    assert {r.lines_removed for r in line_dedup.line_dedup(docs_of(spark, pairs), Scratch(spark, "t")).collect()} == {0}
+    a, b, c = (" ".join(f"{x}{k}" for k in range(8)) for x in "abc")
+    pairs = [(1, f"{a}\n{b}"), (2, f"{b}\n{c}"), (3, f"{a}\n{b}\n{c}"), (4, f"{a}\n\n{b}\n{c}")]
+    got = {r.doc_id: r.lines_removed for r in line_dedup.line_dedup(docs_of(spark, pairs), Scratch(spark, "t")).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 3}
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(i, t, "a", "b", 1, 2) for i, t in corpus(6, 30)], "doc_id long, text string, pid string, tkey string, runs int, dkey int")
+    assert line_dedup.line_dedup(df, Scratch(spark, "t")).columns == [*df.columns, "lines_removed"]
+    once = near_dedup.one_each(df, Scratch(spark, "t"))
+    assert once.columns == df.columns and once.count() < df.count()
+
+
+def test_one_of_each_component(spark):
+    """Repeated rows, one id with several texts, null ids: exactly one row of each component stays."""
+    text = " ".join(f"w{k}" for k in range(60))
+    close = text.replace("w59", "other")
+    rows = [(3, text, "x"), (3, text, "y"), (3, text, "y"), (None, close, "x"), (None, close, "x"), (5, "alone here", "x"), (5, text, "z"), (6, None, "x"), (6, None, "x"), (7, "", "x"), (None, "only null", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tkey string")
+    got = near_dedup.one_each(df, Scratch(spark, "t")).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(3, text), (5, "alone here"), (6, None), (6, None), (7, ""), (None, "only null")], key=str)
+
+
 def test_near_vectors(spark):
     r = np.random.default_rng(4)
     centres = r.standard_normal((12, 16))

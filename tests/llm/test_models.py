@@ -188,8 +188,40 @@ def test_mixing(spark):
     for s in names:
         # sizes are heavy-tailed: a source can be off by what its largest document weighs against those that wait at the root
         assert abs(taken[s] - target[s]) <= max(0.02 * target[s], max(len(t.split()) for _, t, _, x, *_ in rows if x == s))
-    mixed = mixing.repeated(docs, mixing.mix_sources(docs, Scratch(spark, "t")))
-    assert Counter(r.doc_id for r in mixed.collect()) == Counter({x.doc_id: x.copies for x in got if x.copies})
+    mixed = mixing.mixture(docs, Scratch(spark, "t")).collect()
+    copies = Counter(r.doc_id for r in mixed)
+    assert max(copies.values()) <= 3
+    for s in names:
+        words = sum(len(r.text.split()) for r in mixed if r.source == s)
+        assert abs(words - target[s]) <= max(0.02 * target[s], max(len(t.split()) for _, t, _, x, *_ in rows if x == s))
+
+
+def test_transfers_keep_expectations_and_words():
+    """Over 400 seeds: every document's mean is its probability; what pairs pass on and what the root settles stays the same in words."""
+    r = np.random.default_rng(1)
+    size, p, seen = np.array([900.0, 400, 90, 80, 70, 60, *r.integers(1, 50, 60)]), 0.37, []
+    size[::-1].sort()
+    for _ in range(400):
+        q = mixing._pooled(size, np.full(len(size), p), r.random(len(size)), r.random(len(size)))
+        assert set(q.tolist()) <= {0.0, 1.0} and abs(q @ size - p * size.sum()) <= size[1]
+        seen.append(q)
+    assert np.abs(np.mean(seen, axis=0) - p).max() < 4.5 * (p * (1 - p) / 400) ** 0.5
+    for a, b, c, d in r.random((200, 4)):
+        x, y, u = 1 + 50 * a, 1 + 50 * b, r.random(800)
+        got = [mixing._transfer(c, x, d, y, v) for v in u]
+        assert all(abs(m * x + n * y - c * x - d * y) < 1e-9 and ({m, n} & {0.0, 1.0}) for m, n in got)
+        m, n = np.mean(got, axis=0)
+        assert abs(m - c) < 0.09 and abs(n - d) < 0.09
+
+
+def test_mixture_keeps_rows_that_differ_in_any_column(spark):
+    rows = [(1, "a b c", "en", "s"), (1, "a b c", "de", "s"), (1, "a b c", "de", "s"), (None, "x y", "en", None), (2, None, "en", "s"), (3, "w " * 40, "en", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "'k' tkey", "1 copies", "map('a', 1) m")
+    got = mixing.mixture(df, Scratch(spark, "t"), weights=(1.0,), most=1)  # all words are wanted once
+    assert got.columns == df.columns
+    assert Counter((r.doc_id, r.lang, r.source) for r in got.collect() if r.text) == Counter((i, x, s) for i, t, x, s in rows if t)
+    assert mixing.mixture(df.limit(0), Scratch(spark, "t")).collect() == []
+
 
 
 def test_mixing_keeps_expectations(spark):
