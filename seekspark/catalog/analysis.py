@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions.text import relevance
-from ..operators import analyze, chunking, context, evaluate, lexical, nearest, rerank
+from ..operators import analyze, chunking, context, nearest, rerank
 from ..plans import search, selfrag
-from ..sources.tables import documents, hybrid_corpus, queries, table
+from ..sources.tables import documents, hybrid_corpus, queries, table, vectors
 from . import query
-from .fragments import CHUNK_SQL, CORPUS, RRF, SPACED, bm25, dense, fused
+from .fragments import CHUNK_SQL, CORPUS, RRF, SPACED, VECS, bm25, dense, fused, words
 
 A = analyze
 r6 = lambda c: F.round(c, 6).alias(c)
 
 
-def words(xs: list[str]) -> str:
-    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
-
-
 def among(t: str, xs: list[str]) -> str:
     return f"len(list_filter({t}, lambda x: list_contains({words(xs)}, x)))"
 
@@ -156,102 +154,198 @@ def tfidf_cosine(spark, d):
 
 # --- context ---
 
-HITS = f"{CHUNK_SQL}, hits as (select 0 as qid, chunk_id, 1.0 / (1 + document_id % 7) as score from chunks where chunk_index = 1 and document_id % 5 = 0)"
+HITS = f"{CORPUS}, {dense(10)}, {CHUNK_SQL}, hits as (select qid, doc_id || '#0' as chunk_id, score from dense)"
 SETS = "sets as (select *, list_distinct(list_filter(string_split(lower(content), ' '), lambda x: x <> '')) as s from chunks)"
 J = "len(list_intersect({0}, {1})) / greatest(1, len(list_distinct(list_concat({0}, {1}))))"
 EDGES = f"{SETS}, edges as (select a.chunk_id as src, b.chunk_id as dst, 'Semantic' as type, {J.format('a.s', 'b.s')} as strength from sets a join sets b on a.document_id = b.document_id and a.chunk_index < b.chunk_index where {J.format('a.s', 'b.s')} > 0.7)"
 
 
+def all_chunks(spark, d):
+    return chunking.chunk(documents(spark, d)).drop("metadata", "total_chunks", "token_count")
+
+
 def chunk_hits(spark, d):
-    c = chunking.chunk(documents(spark, d)).drop("metadata", "total_chunks", "token_count")
-    hits = c.where("chunk_index = 1 and document_id % 5 = 0").select(F.lit(0).cast("long").alias("qid"), "chunk_id", (1 / (1 + F.col("document_id") % 7)).alias("score"))
-    return c, hits
+    """All chunks, and the first chunk of each document that a vector search finds for the benchmark queries."""
+    c = all_chunks(spark, d)
+    found = nearest.knn(hybrid_corpus(spark, d), queries(spark, d), 10)
+    return c, found.select("qid", F.concat("doc_id", F.lit("#0")).alias("chunk_id"), "score")
 
 
-@query(f"with {HITS} select b.chunk_id, round(0.8 * h.score, 6) as score from hits h join chunks a using (chunk_id) join chunks b on a.document_id = b.document_id and abs(a.chunk_index - b.chunk_index) = 1")
+@query(f"with {HITS} select h.qid, b.chunk_id, round(0.8 * h.score, 6) as score from hits h join chunks a using (chunk_id) join chunks b on a.document_id = b.document_id and abs(a.chunk_index - b.chunk_index) = 1")
 def contextual_neighbors(spark, d):
     c, hits = chunk_hits(spark, d)
-    return context.neighbours(hits, c).select("chunk_id", r6("score"))
+    return context.neighbours(hits, c).select("qid", "chunk_id", r6("score"))
 
 
 @query(f"with {CHUNK_SQL}, {EDGES} select src, dst, round(strength, 6) as strength from edges")
 def semantic_edges(spark, d):
-    return context.semantic_edges(chunk_hits(spark, d)[0]).select("src", "dst", r6("strength"))
+    return context.semantic_edges(all_chunks(spark, d)).select("src", "dst", r6("strength"))
 
 
-@query(f"with {HITS}, {EDGES}, ends as (select src as a, dst as b, strength from edges union all select dst, src, strength from edges) select b as chunk_id, round(score * strength * 0.7, 6) as score from hits join ends on chunk_id = a qualify row_number() over (partition by a order by strength desc, b) <= 3")
+@query(f"with {HITS}, {EDGES}, ends as (select src as a, dst as b, strength from edges union all select dst, src, strength from edges) select qid, b as chunk_id, round(score * strength * 0.7, 6) as score from hits join ends on chunk_id = a qualify row_number() over (partition by qid, a order by strength desc, b) <= 3")
 def related_chunks(spark, d):
     c, hits = chunk_hits(spark, d)
-    return context.related(hits, context.semantic_edges(c), ["Semantic", "Reference"]).select("chunk_id", r6("score"))
+    return context.related(hits, context.near_edges(hits, c), ["Semantic", "Reference"]).select("qid", "chunk_id", r6("score"))
 
 
 @query("select chunk_id, document_id || '#g' || (chunk_index // 4) as parent_id, cast(coalesce(sum(length(content)) over (partition by document_id order by chunk_index rows between unbounded preceding and 1 preceding), 0) as bigint) as start from chunks".join([f"with {CHUNK_SQL} ", ""]))
 def chunk_hierarchy(spark, d):
-    return context.hierarchy(chunk_hits(spark, d)[0]).select("chunk_id", "parent_id", "start")
+    return context.hierarchy(all_chunks(spark, d)).select("chunk_id", "parent_id", "start")
+
 
+NODES = f"""{CHUNK_SQL}, g as (select document_id, chunk_index // 4 as g, count(*) as n from chunks group by all), r as (select document_id, count(*) as n from g group by all),
+nodes as (select chunk_id as node_id, document_id || '#g' || (chunk_index // 4) as parent_id, 2 as level, 0 as n from chunks union all select document_id || '#g' || g, cast(document_id as varchar), 1, n from g where document_id % 50 <> 3 or g <> 0
+  union all select cast(document_id as varchar), null, 0, n from r)"""
 
-@query(f"""with {CHUNK_SQL}, g as (select document_id, chunk_index // 4 as g, count(*) as n from chunks group by all), r as (select document_id, count(*) as n from g group by all),
-nodes as (select 2 as level, 0 as n, 0 as root from chunks union all select 1, n, 0 from g union all select 0, n, 1 from r)
-select count(*) as nodes, cast(max(level) as int) as depth, cast(sum(root) as bigint) as roots, count(*) filter (n = 0) as leaves, round(avg(n) filter (n > 0), 6) as branching from nodes""")
+
+def nodes(spark, d):
+    """The tree of all chunks; the first group of every fiftieth document is missing, so that there are orphans."""
+    tree = context.with_groups(context.hierarchy(all_chunks(spark, d)))
+    return tree.where("not (level = 1 and cast(parent_id as long) % 50 = 3 and node_id like '%#g0')")
+
+
+@query(f"""with {NODES} select count(*) as nodes, cast(max(level) as int) as depth, count(*) filter (parent_id is null) as roots, count(*) filter (parent_id is not null and parent_id not in (select node_id from nodes)) as orphans,
+count(*) filter (n = 0) as leaves, round(avg(n) filter (n > 0), 6) as branching from nodes""")
 def hierarchy_stats(spark, d):
-    return context.hierarchy_stats(context.with_groups(context.hierarchy(chunk_hits(spark, d)[0]))).select("nodes", "depth", "roots", "leaves", r6("branching"))
+    return context.hierarchy_stats(nodes(spark, d)).select("nodes", "depth", "roots", "orphans", "leaves", r6("branching"))
+
+
+@query(f"with {NODES} select cast(level as int) as level, count(*) as n from nodes group by level")
+def level_distribution(spark, d):
+    return context.level_distribution(nodes(spark, d))
+
+
+@query(f"with {NODES} select node_id, parent_id, cast(level as int) as level from nodes where parent_id in (select cast(doc_id as varchar) from documents where doc_id % 20 = 0)")
+def hierarchy_children(spark, d):
+    parents = documents(spark, d).where("doc_id % 20 = 0").select(F.col("doc_id").cast("string").alias("node_id"))
+    return context.children(nodes(spark, d), parents).select("node_id", "parent_id", "level")
+
+
+@query(f"with {CHUNK_SQL}, leaves as (select chunk_id, document_id, coalesce(sum(length(content)) over (partition by document_id order by chunk_index rows between unbounded preceding and 1 preceding), 0) as start from chunks) select chunk_id, cast(row_number() over (partition by document_id order by start) as int) as place from leaves")
+def hierarchy_level(spark, d):
+    """The chunks of a level of each document in order of their place in it."""
+    return context.level(context.hierarchy(all_chunks(spark, d)), 1).select("chunk_id", "place")
+
+
+ALL_EDGES = f"{CHUNK_SQL}, {EDGES}, linked as (select src, dst, 'Semantic' as type, strength from edges union all select chunk_id, lead(chunk_id) over (partition by document_id order by chunk_index), 'Sequential', 0.8 from chunks qualify lead(chunk_id) over (partition by document_id order by chunk_index) is not null)"
+
+
+def linked(spark, d):
+    c = all_chunks(spark, d)
+    return c, context.semantic_edges(c).unionByName(context.sequential_edges(c))
+
+
+@query(f"with {ALL_EDGES} select type, count(*) as n, round(avg(strength), 6) as mean, round(min(strength), 6) as low, round(max(strength), 6) as high from linked group by type")
+def edge_stats(spark, d):
+    c, edges = linked(spark, d)
+    return context.edge_stats(edges, c).select("type", "n", r6("mean"), r6("low"), r6("high"))
+
+
+@query(f"with {ALL_EDGES}, ends as (select src as chunk_id, dst as other, type, strength from linked union all select dst, src, type, strength from linked) select chunk_id, other, type, round(strength, 6) as strength, cast(row_number() over (partition by chunk_id order by strength desc, other, type) as int) as place from ends where type in ('Sequential', 'Semantic') and chunk_id like '%#0'")
+def relationship_filter(spark, d):
+    """The edges of every document's first chunk, strongest first."""
+    c, edges = linked(spark, d)
+    return context.relationships(edges, c.where("chunk_index = 0"), ["Sequential", "Semantic"]).select("chunk_id", "other", "type", r6("strength"), "place")
+
+
+@query(f"with {ALL_EDGES}, h as (select document_id, count(*) as n from chunks group by document_id), e as (select document_id, count(*) as m from linked join chunks on src = chunk_id group by document_id) select h.document_id, round(least(1.0, coalesce(m, 0) / n / 2), 6) as quality from h left join e using (document_id)")
+def hierarchy_quality(spark, d):
+    c, edges = linked(spark, d)
+    n = c.groupBy("document_id").agg(F.count("*").alias("n"))
+    m = edges.join(c.selectExpr("chunk_id src", "document_id"), "src").groupBy("document_id").agg(F.count("*").alias("m"))
+    return n.join(m, "document_id", "left").select("document_id", F.round(context.hierarchy_quality(F.col("n"), F.coalesce("m", F.lit(0))), 6).alias("quality"))
 
 
 EXPANDED = f"""{HITS}, {EDGES}, ends as (select src as a, dst as b, strength from edges union all select dst, src, strength from edges),
-pt as (select h.chunk_id as pri, c.document_id, c.chunk_index, c.s as own, c.content as owntext from hits h join sets c using (chunk_id)),
+pt as (select h.qid, h.chunk_id as pri, c.document_id, c.chunk_index, c.s as own, c.content as owntext from hits h join sets c using (chunk_id)),
 near as (select pt.*, o.chunk_id, o.chunk_index as oi, o.content, o.s, abs(o.chunk_index - pt.chunk_index) as gap from pt join sets o using (document_id) where o.chunk_id <> pri),
-f as (select pri, own, chunk_id, content, s, 'Hierarchical' as method from near where oi // 4 = chunk_index // 4 qualify row_number() over (partition by pri order by oi) <= 2
-  union all select pri, own, chunk_id, content, s, 'Sequential' from near where gap <= 3 qualify row_number() over (partition by pri order by gap, oi) <= 3
-  union all select pri, own, o.chunk_id, o.content, o.s, 'Semantic' from pt join ends on a = pri join sets o on o.chunk_id = b qualify row_number() over (partition by pri order by strength desc, b) <= 1),
+f as (select qid, pri, own, chunk_id, content, s, 'Hierarchical' as method from near where oi // 4 = chunk_index // 4 qualify row_number() over (partition by qid, pri order by oi) <= 2
+  union all select qid, pri, own, chunk_id, content, s, 'Sequential' from near where gap <= 3 qualify row_number() over (partition by qid, pri order by gap, oi) <= 3
+  union all select qid, pri, own, o.chunk_id, o.content, o.s, 'Semantic' from pt join ends on a = pri join sets o on o.chunk_id = b qualify row_number() over (partition by qid, pri order by strength desc, b) <= 1),
 q as (select *, 0.5 * {J.format('s', 'own')} + 0.3 * least(1.0, length(content) / 500) + 0.2 as quality from f),
-u as (select * from q where round(quality, 9) >= 0.5 qualify row_number() over (partition by pri, chunk_id order by method) = 1),
-expanded as (select * from u qualify row_number() over (partition by pri order by round(quality, 9) desc, chunk_id) <= 6)"""
+u as (select * from q where round(quality, 9) >= 0.5 qualify row_number() over (partition by qid, pri, chunk_id order by method) = 1),
+expanded as (select * from u qualify row_number() over (partition by qid, pri order by round(quality, 9) desc, chunk_id) <= 6)"""
 
 
 def expansion(spark, d):
     c, hits = chunk_hits(spark, d)
-    return c, hits, context.expand(hits, c, context.semantic_edges(c))
+    return c, hits, context.expand(hits, c, context.near_edges(hits, c))
 
 
-@query(f"with {EXPANDED} select pri as \"primary\", chunk_id, method, round(quality, 6) as quality from expanded")
+@query(f"with {EXPANDED} select qid, pri as \"primary\", chunk_id, method, round(quality, 6) as quality from expanded")
 def context_expand(spark, d):
-    return expansion(spark, d)[2].select("primary", "chunk_id", "method", r6("quality"))
+    return expansion(spark, d)[2].select("qid", "primary", "chunk_id", "method", r6("quality"))
 
 
-REL = "len(list_filter(string_split(lower('the of and that'), ' '), lambda x: list_contains(list_filter(string_split(lower({}), ' '), lambda y: y <> ''), x))) / 4"
+REL = """len(list_filter(list_filter(string_split(lower(asked.text), ' '), lambda x: x <> ''), lambda x: list_contains(list_filter(string_split(lower({}), ' '), lambda y: y <> ''), x)))
+  / greatest(1, len(list_filter(string_split(lower(asked.text), ' '), lambda x: x <> '')))"""
 
 
-@query(f"with {EXPANDED}, ctx as (select pri, count(*) as n, avg({REL.format('content')}) as r from expanded group by pri) select pt.pri as \"primary\", coalesce(n, 0) as context_size, round(0.7 * {REL.format('owntext')} + 0.3 * coalesce(r, 0), 6) as relevance from pt left join ctx on pt.pri = ctx.pri")
+@query(f"""with {EXPANDED}, ctx as (select qid, pri, count(*) as n, avg({REL.format('content')}) as r from expanded join asked using (qid) group by qid, pri)
+select pt.qid, pt.pri as "primary", coalesce(n, 0) as context_size, round(0.7 * {REL.format('owntext')} + 0.3 * coalesce(r, 0), 6) as relevance
+from pt join asked on pt.qid = asked.qid left join ctx on pt.pri = ctx.pri and pt.qid = ctx.qid""")
 def small_to_big(spark, d):
     c, hits, found = expansion(spark, d)
-    asked = spark.createDataFrame([(0, "the of and that")], "qid long, text string")
-    return context.small_to_big(found, hits, c, asked).select("primary", "context_size", r6("relevance"))
+    return context.small_to_big(found, hits, c, queries(spark, d)).select("qid", "primary", "context_size", r6("relevance"))
+
+
+DIVERSE = f"""{EXPANDED}, few as (select *, list_filter(string_split(lower(content), ' '), lambda x: x <> '') as w from expanded qualify row_number() over (partition by qid, pri order by chunk_id) <= 10),
+pj as (select a.qid, a.pri, avg({J.format('a.s', 'b.s')}) as j from few a join few b on a.qid = b.qid and a.pri = b.pri and a.chunk_id < b.chunk_id group by a.qid, a.pri),
+dv as (select few.qid, few.pri, count(*) as n, coalesce(1 - any_value(j), 0) as diversity, 1 - len(list_distinct(flatten(list(w)))) / len(flatten(list(w))) as redundancy, avg(quality) as mean from few left join pj on few.qid = pj.qid and few.pri = pj.pri group by few.qid, few.pri)"""
 
 
-@query()
+@query(f"with {DIVERSE} select qid, pri as \"primary\", cast(n as int) as n, round(diversity, 6) as diversity, round(redundancy, 6) as redundancy from dv")
 def context_diversity(spark, d):
-    return context.diversity(expansion(spark, d)[2], ["qid", "primary"]).select("primary", "n", r6("diversity"), r6("redundancy"))
+    return context.diversity(expansion(spark, d)[2], ["qid", "primary"]).select("qid", "primary", "n", r6("diversity"), r6("redundancy"))
+
+
+@query(f"with {DIVERSE} select qid, pri as \"primary\", n, round(0.7 * mean + 0.3 * diversity, 6) as quality, round((0.7 * mean + 0.3 * diversity) / 2, 6) as efficiency from dv")
+def expansion_quality(spark, d):
+    return context.set_quality(expansion(spark, d)[2], F.lit(2.0)).select("qid", "primary", "n", r6("quality"), r6("efficiency"))
+
+
+@query(f"""with {EXPANDED}, rows as (select qid, chunk_id as pri, 0 as o, chunk_id, content from hits join chunks using (chunk_id) union all select qid, pri, 1, chunk_id, content from expanded)
+select qid, pri as "primary", sha256(string_agg(content, chr(10) || chr(10) order by o, chunk_id)) as hash from rows group by qid, pri""")
+def combined_text(spark, d):
+    c, hits, found = expansion(spark, d)
+    return context.combined(found, hits, c).select("qid", "primary", F.sha2("text", 256).alias("hash"))
 
 
-@query(f"with {HITS}, a as (select chunk_id, score from hits union all select b.chunk_id, 0.8 * h.score from hits h join chunks a using (chunk_id) join chunks b on a.document_id = b.document_id and abs(a.chunk_index - b.chunk_index) = 1), m as (select chunk_id, max(score) as score from a group by chunk_id), t as (select * from m order by round(score, 9) desc, chunk_id limit 50) select chunk_id, round(case when max(score) over () > min(score) over () then (score - min(score) over ()) / nullif(max(score) over () - min(score) over (), 0) else score end, 6) as score from t")
+ROUND_UP = """a as (select qid, chunk_id, score from hits union all select h.qid, b.chunk_id, 0.8 * h.score from hits h join chunks a using (chunk_id) join chunks b on a.document_id = b.document_id and abs(a.chunk_index - b.chunk_index) = 1 {}),
+m as (select qid, chunk_id, max(score) as score from a group by qid, chunk_id), t as (select * from m qualify row_number() over (partition by qid order by round(score, 9) desc, chunk_id) <= {})
+select qid, chunk_id, round(case when max(score) over w > min(score) over w then (score - min(score) over w) / nullif(max(score) over w - min(score) over w, 0) else score end, 6) as score from t window w as (partition by qid)"""
+
+
+@query(f"with {HITS}, " + ROUND_UP.format("", 50))
 def dedupe_rebalance(spark, d):
     c, hits = chunk_hits(spark, d)
-    return context.rebalance(hits.unionByName(context.neighbours(hits, c)), 50).select("chunk_id", r6("score"))
+    return context.rebalance(hits.unionByName(context.neighbours(hits, c)), 50).select("qid", "chunk_id", r6("score"))
+
+
+@query(f"with {HITS}, {EDGES}, ends as (select src as a, dst as b, strength from edges union all select dst, src, strength from edges), " + ROUND_UP.format("""
+  union all select qid, b, score * strength * 0.7 from (select qid, a, b, score, strength from hits join ends on chunk_id = a qualify row_number() over (partition by qid, a order by strength desc, b) <= 3)""", 20))
+def contextual_search(spark, d):
+    """A search's hits with their neighbours and what they are related to: the best score of each chunk, stretched to 0..1."""
+    c, hits = chunk_hits(spark, d)
+    return context.contextual(hits, c, 20).select("qid", "chunk_id", r6("score"))
 
 
-@query(f"with {CORPUS}, {dense(10)}, s as (select qid, rank, doc_id, list_distinct(string_split(lower(text), ' ')) as s from dense join corpus using (doc_id)) select a.qid, a.doc_id as kept, b.doc_id as duplicate from s a join s b on a.qid = b.qid and a.rank < b.rank where {J.format('a.s', 'b.s')} > 0.8")
+@query(f"with {CORPUS}, {dense(20)}, s as (select qid, 2 * rank + copy as rank, doc_id + 1000000 * copy as doc_id, list_distinct(string_split(lower(text), ' ')) as s from dense join corpus using (doc_id), (select unnest([0, 1]) as copy)) select a.qid, a.doc_id as kept, b.doc_id as duplicate from s a join s b on a.qid = b.qid and a.rank < b.rank where {J.format('a.s', 'b.s')} > 0.8")
 def near_duplicates(spark, d):
+    """Pairs of results that are too alike; each result is there twice, so that there are some."""
     corpus = hybrid_corpus(spark, d)
-    hits = nearest.knn(corpus, queries(spark, d), 10).join(corpus.select("doc_id", "text"), "doc_id")
-    s = hits.select("qid", "rank", "doc_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("s"))
-    a, b = s.alias("a"), s.alias("b")
-    from ..functions.text import jaccard
+    hits = nearest.knn(corpus, queries(spark, d), 20).join(corpus.select("doc_id", "text"), "doc_id").withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    hits = hits.select("qid", (2 * F.col("rank") + F.col("copy")).alias("rank"), (F.col("doc_id") + 1_000_000 * F.col("copy")).alias("doc_id"), "text")
+    return context.duplicates(hits)
 
-    pairs = a.join(b, (F.col("a.qid") == F.col("b.qid")) & (F.col("a.rank") < F.col("b.rank"))).where(jaccard(F.col("a.s"), F.col("b.s")) > 0.8)
-    return pairs.select(F.col("a.qid").alias("qid"), F.col("a.doc_id").alias("kept"), F.col("b.doc_id").alias("duplicate"))
 
+GREEDY = f"""{CORPUS}, {dense(20)}, gs as (select qid, rank, doc_id, list_distinct({SPACED.replace('(text', '(lower(text)')}) as s from dense join corpus using (doc_id)),
+g as (select distinct qid, 0::bigint as r, []::bigint[] as ids, []::varchar[][] as sets from gs union all
+  select g.qid, g.r + 1, case when dup then ids else list_append(ids, rank) end, case when dup then sets else list_append(sets, s) end
+  from g join (select *, rank as rk from gs) x on x.qid = g.qid and x.rk = g.r + 1, lateral (select len(list_filter(g.sets, lambda y: {J.format('y', 'x.s')} >= 0.5)) > 0 as dup))"""
 
-@query()
+
+@query(f"with recursive {GREEDY} select g.qid, cast(gs.rank as int) as rank, cast(doc_id as varchar) as chunk_id from (select qid, unnest(ids) as rank from g qualify r = max(r) over (partition by qid)) g join gs on g.qid = gs.qid and g.rank = gs.rank")
 def greedy_dedupe(spark, d):
     corpus = hybrid_corpus(spark, d)
     hits = nearest.knn(corpus, queries(spark, d), 20).join(corpus.select("doc_id", F.col("text").alias("content")), "doc_id")
@@ -261,19 +355,73 @@ def greedy_dedupe(spark, d):
 # --- adaptive and self-reflective search ---
 
 
-@query()
+MORE = f"""{VECS}, corpus as (select doc_id, text, vec from documents left join vecs using (doc_id)),
+asked as (select item_id as qid, text, vec from benchmark join vecs on item_id = doc_id union all select 100000 + i, q[i], vec from (select unnest(range(1, {len(SAMPLES) + 1})) as i, {words(SAMPLES)} as q) join vecs on doc_id = i)"""
+
+
+def more_queries(spark, d):
+    """The benchmark queries, and nine that reach the other strategies."""
+    few = spark.createDataFrame([(100_001 + i, t, i + 1) for i, t in enumerate(SAMPLES)], "qid long, text string, i long")
+    return queries(spark, d).unionByName(few.join(vectors(spark, d).withColumnRenamed("doc_id", "i"), "i").select("qid", "text", "vec"))
+
+
+def multi_sql(asked: str, p: str, k: int = 10) -> str:
+    """CTEs that end in {p}multi: qid, doc_id, rank, score."""
+    made = ["text", *(f"case when contains(text, '{a}') then replace(text, '{a}', '{b}') end" for a, b in A.EXPANSIONS)]
+    return f"""{p}ex as (select qid * 8 + i - 1 as qid, xs[i] as text, vec from (select *, list_filter([{", ".join(made)}], lambda x: x is not null)[1:3] as xs from {asked}), (select unnest([1, 2, 3]) as i) where i <= len(xs)),
+{prefixed(p + "m", f"{dense()}, {bm25()}, {fused(RRF, k=k)}", p + "ex")},
+{p}multi as (select qid // 8 as qid, doc_id, score, row_number() over (partition by qid // 8 order by qid % 8, rank) as rank from (select * from {p}mfused qualify row_number() over (partition by qid // 8, doc_id order by qid % 8, rank) = 1) qualify rank <= {k})"""
+
+
+def prefixed(p: str, sql: str, asked: str) -> str:
+    """CTEs with other names, over other queries."""
+    names = ["sims", "dense", "toks", "post", "dfs", "st", "qt", "scored", "sparse", "pairs", "fused"]
+    sql = re.sub(r"\b(" + "|".join(names) + r")\b", lambda m: p + m[1], sql)
+    return re.sub(r"\basked\b", asked, sql)
+
+
+def second_sql(wide: str, asked: str, k: int) -> str:
+    t = "list_filter(string_split(lower({}), ' '), lambda {}: {} <> '')"
+    q, c = t.format(asked + ".text", "x", "x"), t.format("corpus.text", "y", "y")
+    return f"select {wide}.qid, {wide}.doc_id, 0.7 * len(list_filter({q}, lambda x: list_contains({c}, x))) / greatest(1, len({q})) + 0.3 * score as score from {wide} join corpus using (doc_id) join {asked} on {asked}.qid = {wide}.qid"
+
+
+def adaptive_sql(asked: str, p: str, k: int) -> str:
+    """CTEs that end in {p}adapted: qid, doc_id, score, rank, strategy."""
+    plan = re.sub(r"\b(a[1-6])\b", lambda m: p + m[1], ANALYSIS.split("\n", 1)[0][len(USER) :] + "\n" + ANALYSIS.split("\n", 1)[1]).replace("from asks", f"from (select qid as conv_id, text from {asked})")
+    by_type = """case when confidence >= 0.8 - 1e-9 then case when type in ('SimpleKeyword', 'NaturalQuestion') then 'DirectVector' when type = 'ComplexSearch' then 'Hybrid' when type = 'ReasoningQuery' then 'Adaptive'
+when type = 'ComparisonQuery' then 'MultiQuery' when type = 'TemporalQuery' then 'TwoStage' else 'SelfRAG' end else recommended end"""
+    return f"""{plan.lstrip(", ")}, {p}plan as (select conv_id as qid, {by_type} as strategy from {p}a6),
+{prefixed(p, f"{dense(20)}, {bm25(k=20)}", asked)},
+{p}two as (select coalesce(d.qid, s.qid) as qid, coalesce(d.doc_id, s.doc_id) as doc_id, d.rank as rv, s.rank as rs from {p}dense d full join {p}sparse s on d.qid = s.qid and d.doc_id = s.doc_id),
+{p}direct as (select qid, doc_id, 1.0 / (60 + rank) as score from {p}dense join {p}plan using (qid) where strategy = 'DirectVector' and rank <= 10),
+{p}plain as (select qid, doc_id, coalesce(0.7 / (60 + case when rv <= 10 then rv end), 0) + coalesce(0.3 / (60 + case when rs <= 10 then rs end), 0) as score from {p}two join {p}plan using (qid) where strategy in ('Hybrid', 'Adaptive', 'SelfRAG') and (rv <= 10 or rs <= 10)),
+{p}wide as (select qid, doc_id, {RRF} as score from {p}two join {p}plan using (qid) where strategy = 'TwoStage' qualify row_number() over (partition by qid order by round({RRF}, 9) desc, doc_id) <= 20),
+{multi_sql(asked, p, k)},
+{p}every as (select *, 0 as r from {p}direct union all select *, 0 from {p}plain union all select *, 0 from ({second_sql(p + "wide", asked, k)}) union all select qid, doc_id, score, rank from {p}multi join {p}plan using (qid) where strategy = 'MultiQuery'),
+{p}adapted as (select qid, doc_id, score, strategy, row_number() over (partition by qid order by r, round(score, 9) desc, doc_id) as rank from {p}every join {p}plan using (qid) qualify rank <= {k})"""
+
+
+@query(f"with {MORE}, {multi_sql('asked', '')} select qid, doc_id, cast(rank as int) as rank from multi")
 def multi_query(spark, d):
-    return selfrag.multi_query(hybrid_corpus(spark, d), queries(spark, d)).select("qid", "doc_id", "rank")
+    return selfrag.multi_query(hybrid_corpus(spark, d), more_queries(spark, d)).select("qid", "doc_id", "rank")
 
 
-@query()
+@query(f"with {MORE}, {dense(20)}, {bm25(k=20)}, {fused(RRF, k=20)}, s2 as ({second_sql('fused', 'asked', 10)}) select qid, doc_id, cast(row_number() over (partition by qid order by round(score, 9) desc, doc_id) as int) as rank, round(score, 6) as score from s2 qualify rank <= 10")
 def two_stage(spark, d):
-    return selfrag.two_stage(hybrid_corpus(spark, d), queries(spark, d)).select("qid", "doc_id", "rank", r6("score"))
+    return selfrag.two_stage(hybrid_corpus(spark, d), more_queries(spark, d)).select("qid", "doc_id", "rank", r6("score"))
 
 
-@query()
+@query(f"with {MORE}, {adaptive_sql('asked', '', 10)} select qid, doc_id, cast(rank as int) as rank, strategy, round(score, 6) as score from adapted")
 def adaptive_search(spark, d):
-    return selfrag.adaptive(hybrid_corpus(spark, d), queries(spark, d)).select("qid", "doc_id", "rank", "strategy", r6("score"))
+    return selfrag.adaptive(hybrid_corpus(spark, d), more_queries(spark, d)).select("qid", "doc_id", "rank", "strategy", r6("score"))
+
+
+@query(f"with {MORE} select count(*) as queries, true as some_of_each from asked")
+def ab_arms(spark, d):
+    """Half of the queries go to the arm that takes the alternative strategy."""
+    x = selfrag.planned(more_queries(spark, d), 50)
+    return x.agg(F.count("*").alias("queries"), ((F.count_if(F.col("arm") == "A") > 0) & (F.count_if(F.col("arm") == "B") > 0)).alias("some_of_each"))
 
 
 def _quality(spark, d):
@@ -310,96 +458,34 @@ def query_refinements(spark, d):
     return selfrag.refinements(asked, selfrag.issues(quality))
 
 
-@query()
+def self_rag_sql(rounds: int = 3) -> str:
+    """All rounds: each searches for the queries that the one before left open, as they were rewritten."""
+    ctes, out, asked = [MORE], [], "asked"
+    measure = QUALITY[QUALITY.index("t as (select qid, {TERMS}".replace("{TERMS}", TERMS)) :].replace("fused f", "adapted f").replace(" as j, count", " filter (b.rank <= 10) as j, count")
+    for i in range(1, rounds + 1):
+        p = f"r{i}"
+        ctes.append(adaptive_sql(asked, p, 20))
+        part = re.sub(r"\b(t|r|p|cov|q)\b(?= as \()", lambda m, p=p: p + m[1], measure)
+        part = re.sub(r"\b(from|join) (t|r|p|cov|q)\b(?! as)", lambda m, p=p: f"{m[1]} {p}{m[2]} {m[2]}", part)
+        part = re.sub(r"(r[123](t|r|p|cov|q) (t|r|p|cov|q)) (a|b|t)\b", lambda m: m[1].rsplit(" ", 1)[0] + " " + m[4], part)
+        ctes.append(part.replace("adapted f", f"{p}adapted f").replace("from asked)", f"from {asked})"))
+        overall = "0.35 * relevance + 0.25 * completeness + 0.15 * diversity + 0.15 * 0.8 + 0.1 * 0.7"
+        good = f"{overall} >= 0.7 and n >= 5" if i < rounds else "true"
+        out.append(f"select a.qid, {i} as round, a.doc_id, cast(rank as int) as rank, round({overall}, 6) as overall from {p}adapted a join {p}q q on a.qid = q.qid where {good}")
+        ctes.append(f"""{p}open as (select a.qid, case when relevance < 0.5 then text || ' 상세 정보 설명' when n < 5 then trim(text) when diversity < 0.3 and len(string_split(text, ' ')) > 2 then array_to_string(list_concat(string_split(text, ' ')[-1:], string_split(text, ' ')[:-2]), ' ') else text end as text, vec
+  from {asked} a join {p}q q on a.qid = q.qid where not ({good}))""")
+        asked = f"{p}open"
+    return f"with {', '.join(ctes)} " + " union all ".join(out)
+
+
+@query(self_rag_sql())
 def self_rag(spark, d):
-    return selfrag.self_rag(hybrid_corpus(spark, d), queries(spark, d)).select("qid", "round", "doc_id", "rank", r6("overall"))
-
-
-# --- evaluation ---
-
-TRUTH = "truth as (select item_id as qid, doc_id from benchmark join documents d on contains(d.text, benchmark.text))"
-FOUND = f"asked as (select item_id as qid, text from benchmark), {bm25('documents')}"
-MEASURED = f"""{FOUND}, {TRUTH}, x as (select coalesce(s.qid, t.qid) as qid, s.rank, t.doc_id is not null as rel, s.doc_id is not null as got from sparse s full join truth t on s.qid = t.qid and s.doc_id = t.doc_id),
-g as (select qid, count(*) filter (rel and got) as tp, count(*) filter (got and not rel) as fp, count(*) filter (not got) as fn, min(rank) filter (rel and got) as first, coalesce(sum(1 / log2(rank + 1)) filter (rel and got and rank <= 10), 0) as dcg from x group by qid),
-m as (select *, case when tp + fp > 0 then tp / (tp + fp) else 0 end as precision, case when tp + fn > 0 then tp / (tp + fn) else 0 end as recall, coalesce(1 / first, 0) as mrr, cast(tp > 0 as double) as hit_rate,
-  case when tp + fn > 0 then dcg / list_sum(list_transform(range(1, least(10, tp + fn) + 1), lambda i: 1 / log2(i + 1))) else 0 end as ndcg from g),
-metrics as (select *, case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0 end as f1_score from m)"""
-
-
-def truth(spark, d):
-    """Which documents hold the text of which benchmark item: the items are a bounded broadcast side."""
-    items = table(spark, d, "benchmark").selectExpr("item_id qid", "text item")
-    return documents(spark, d).join(lexical.maybe_broadcast(items, 10_000), F.contains("text", F.col("item"))).select("qid", "doc_id")
-
-
-def measured(spark, d):
-    asked = table(spark, d, "benchmark").selectExpr("item_id qid", "text")
-    return evaluate.retrieval_metrics(lexical.bm25_sparse(documents(spark, d), asked), truth(spark, d))
-
-
-@query(f"with {MEASURED} select qid, tp, fp, fn, round(precision, 6) as precision, round(recall, 6) as recall, round(f1_score, 6) as f1_score, hit_rate from metrics")
-def retrieval_metrics(spark, d):
-    return measured(spark, d).select("qid", "tp", "fp", "fn", r6("precision"), r6("recall"), r6("f1_score"), "hit_rate")
-
-
-@query(f"with {MEASURED} select qid, round(ndcg, 6) as ndcg from metrics")
-def ndcg_at_10(spark, d):
-    return measured(spark, d).select("qid", r6("ndcg"))
-
-
-@query(f"with {MEASURED} select qid, round(mrr, 6) as mrr from metrics")
-def mrr(spark, d):
-    return measured(spark, d).select("qid", r6("mrr"))
-
-
-AVERAGES = ", ".join(f"round(avg({m}), 6) as {m}" for m in evaluate.METRICS)
-
-
-@query(f"with {MEASURED} select count(*) as queries, {AVERAGES} from metrics")
-def fusion_eval(spark, d):
-    return evaluate.summary(measured(spark, d)).select("queries", *(r6(m) for m in evaluate.METRICS))
-
-
-@query(f"with {MEASURED}, a as ({' union all '.join(f'''select '{m}' as metric, avg({m}) as value, {evaluate.THRESHOLDS[m]} as threshold from metrics''' for m in evaluate.METRICS)}) select metric, round(value, 6) as value, cast(threshold as double) as threshold, value >= threshold as passed from a")
-def quality_gate(spark, d):
-    return evaluate.gate(evaluate.summary(measured(spark, d))).select("metric", r6("value"), "threshold", "passed")
-
-
-@query(f"with {MEASURED}, a as ({' union all '.join(f'''select '{m}' as metric, avg({m}) as baseline, avg({m}) filter (qid % 2 = 0) as candidate from metrics''' for m in evaluate.METRICS)}) select metric, round(candidate - baseline, 6) as improvement, candidate - baseline < -0.05 as regressed from a")
-def quality_compare(spark, d):
-    m = measured(spark, d)
-    return evaluate.compare(evaluate.summary(m), evaluate.summary(m.where("qid % 2 = 0"))).select("metric", r6("improvement"), "regressed")
-
-
-LOGS = "logs as (select user_id as id, 'query ' || user_id % 9 as query, list(event_type order by event_id) as chunk_ids, list(value / 490 order by event_id) as scores, max(value) / 490 as rating, count(*) filter (event_type = 'purchase') > 0 as accepted from events group by user_id)"
-
-
-def logs(spark, d):
-    e = table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type", (F.col("value") / 490).alias("s")))).alias("e"), (F.max("value") / 490).alias("rating"), (F.count_if(F.col("event_type") == "purchase") > 0).alias("accepted"))
-    return e.select("id", F.concat(F.lit("query "), F.col("id") % 9).alias("query"), F.transform("e", lambda x: x.event_type).alias("chunk_ids"), F.transform("e", lambda x: x.s).alias("scores"), "rating", "accepted")
-
-
-GOLDEN = f"{LOGS}, z as (select *, list_filter(list_zip(chunk_ids, scores), lambda p: p[2] >= 0.3) as good from logs where accepted and rating >= 0.3), golden as (select id, query, list_transform(good, lambda p: p[1]) as relevant, rating as weight from z where len(good) > 0)"
-
-
-@query(f"with {GOLDEN} select id, query, array_to_string(relevant, ',') as relevant, round(weight, 6) as weight, 'Easy' as difficulty from golden")
-def golden_from_logs(spark, d):
-    return evaluate.golden_from_logs(logs(spark, d), 0.3).select("id", "query", F.array_join("relevant", ",").alias("relevant"), r6("weight"), "difficulty")
-
-
-@query(f"with {GOLDEN} select 'total' as kind, 'items' as name, count(*) as n from golden union all select 'total', 'relevant', count(distinct r) from (select unnest(relevant) as r from golden) union all select 'category', '일반', count(*) from golden union all select 'difficulty', 'Easy', count(*) from golden")
-def dataset_stats(spark, d):
-    return evaluate.dataset_stats(evaluate.golden_from_logs(logs(spark, d), 0.3))
+    return selfrag.self_rag(hybrid_corpus(spark, d), more_queries(spark, d)).select("qid", "round", "doc_id", "rank", r6("overall"))
 
 
-@query("""select item_id, cast(item_id % 5 = 0 as int) + cast(item_id % 4 = 1 as int) + cast(item_id % 6 = 2 as int) as errors, cast(item_id % 3 = 0 as int) + cast(item_id % 7 = 0 as int) as warnings from benchmark""")
-def dataset_validation(spark, d):
-    i = F.col("item_id")
-    items = table(spark, d, "benchmark").select(
-        "item_id", F.when(i % 5 == 0, " ").otherwise(i.cast("string")).alias("id"), "text", F.when(i % 4 == 1, 15.0).otherwise(1.0).alias("weight"), F.when(i % 6 == 2, "Odd").otherwise("Easy").alias("difficulty"),
-        F.when(i % 3 == 0, F.lit(None)).otherwise("answer").alias("answer"), F.when(i % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("a"))).alias("relevant"),
-    )
-    return evaluate.validated(items.withColumnRenamed("text", "query")).select("item_id", F.size("errors").alias("errors"), F.size("warnings").alias("warnings"))
+@query(f"with {QUALITY}, {ISSUES} select qid, cast(row_number() over (partition by qid order by severity desc, issue) as int) as place, case issue when 'InsufficientRelevance' then 'ContextAddition' when 'InsufficientResults' then 'Generalization' when 'LackOfDiversity' then 'Restructuring' else 'Deduplication' end as suggestion, severity from i")
+def improvement_suggestions(spark, d):
+    return selfrag.suggestions(_quality(spark, d)[1])
 
 
 @query(f"with {CORPUS} select qid, doc_id, round(len(list_filter(list_filter(string_split(lower(asked.text), ' '), lambda x: x <> ''), lambda x: list_contains(list_filter(string_split(lower(corpus.text), ' '), lambda y: y <> ''), x))) / greatest(1, len(list_filter(string_split(lower(asked.text), ' '), lambda x: x <> ''))), 6) as relevance from asked join corpus on doc_id = qid")

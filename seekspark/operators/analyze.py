@@ -84,7 +84,7 @@ def strategy() -> Column:
     """The strategy a search takes: by type where the analysis is confident, else the recommended one."""
     k = F.col("type")
     by_type = F.when(k.isin("SimpleKeyword", "NaturalQuestion"), "DirectVector").when(k == "ComplexSearch", "Hybrid").when(k == "ReasoningQuery", "Adaptive").when(k == "ComparisonQuery", "MultiQuery").when(k == "TemporalQuery", "TwoStage").when(k == "MultiHopQuery", "SelfRAG")
-    return F.when(F.col("confidence") >= 0.8, F.coalesce(by_type, F.col("recommended"))).otherwise(F.col("recommended"))
+    return F.when(F.round("confidence", 9) >= 0.8, F.coalesce(by_type, F.col("recommended"))).otherwise(F.col("recommended"))
 
 
 def alternative(c: Column) -> Column:
@@ -92,6 +92,48 @@ def alternative(c: Column) -> Column:
     return F.when(c == "DirectVector", "Hybrid").when(c == "Hybrid", "TwoStage").when(c == "TwoStage", "MultiQuery").when(c == "MultiQuery", "HyDE").when(c == "HyDE", "StepBack").otherwise("Hybrid")
 
 
+def other_arm(c: Column) -> Column:
+    """The strategy that an A/B test sets against one."""
+    return F.when(c == "KeywordOnly", "DirectVector").when(c == "Hybrid", "TwoStage").when(c == "TwoStage", "MultiQuery").otherwise("Hybrid")
+
+
+def syntax(c: Column) -> Column:
+    """Phrase, Boolean, Keyword or Natural, by how a query is written."""
+    return F.when(F.contains(c, F.lit('"')), "Phrase").when(F.contains(c, F.lit(" AND ")) | F.contains(c, F.lit(" OR ")), "Boolean").when(F.size(F.split(c, " ")) <= 3, "Keyword").otherwise("Natural")
+
+
+def syntax_complexity(c: Column) -> Column:
+    """0 to 1: a tenth for each word, ten at most, and a tenth for each punctuation mark."""
+    return F.least(F.lit(1.0), F.least(F.size(space_tokens(c)) / 10, F.lit(1.0)) + F.regexp_count(c, F.lit(r"\p{P}")) / 10)
+
+
+def complexity_label(overall: Column) -> Column:
+    # The names of the five steps.
+    return F.when(overall <= 0.2, "매우 간단").when(overall <= 0.4, "간단").when(overall <= 0.6, "보통").when(overall <= 0.8, "복잡").otherwise("매우 복잡")
+
+
+def context_strategy(overall: Column) -> Column:
+    return F.when(overall <= 0.3, "Conservative").when(overall <= 0.7, "Balanced").otherwise("Aggressive")
+
+
+def subqueries(c: Column) -> Column:
+    """The parts of a question that asks several things, split at conjunctions and marks; one part is the query itself."""
+    parts = F.filter(F.transform(F.split(c, r"(?i)\s+(?:and then|and|or|versus|vs|그리고|또는)\s+|[?;]\s*"), F.trim), lambda x: F.length(x) > 2)
+    return F.when(F.size(parts) > 0, parts).otherwise(F.array(c))
+
+
+def hypothetical(c: Column) -> Column:
+    """A passage such as an answer would begin with, for embedding where no model writes one: the query's keywords as a statement."""
+    t = F.filter(analyzer_tokens(c), lambda x: ~x.isin([*STOP_WORDS, *QUESTION_WORDS]) & (F.length(x) > 2))
+    return F.concat(F.array_join(t, " "), F.lit(" is described as follows: "), F.array_join(t, ", "), F.lit("."))
+
+
+def asked_of(c: Column) -> Column:
+    """Questions that a text could answer: one for each of its first sentences that is long enough."""
+    sentences = F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), F.trim), lambda x: F.size(space_tokens(x)) >= 4)
+    return F.transform(F.slice(sentences, 1, 3), lambda x: F.concat(F.lit("What about "), F.regexp_replace(F.lower(x), r"[.!?]+$", ""), F.lit("?")))
+
+
 def expansions(c: Column, most: int = 3) -> Column:
     """The query and its phrase substitutions, at most `most`."""
     made = [F.when(F.contains(c, F.lit(a)), F.replace(c, F.lit(a), F.lit(b))) for a, b in EXPANSIONS]

@@ -15,38 +15,66 @@ def fixed(c: Column, size: int = 512, overlap: int = 64) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(c, i * step + 1, F.lit(size)))
 
 
-def _greedy(pieces: Column, size: int, cost, carry, join: str) -> Column:
-    """A fold: pieces are gathered until the next would pass `size`; then a chunk is closed and `carry` of it goes on."""
-    start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("used"))
+def _greedy(pieces: Column, size: int, keep: int, join: str) -> Column:
+    """A fold over lengths: pieces are gathered until the next would pass `size`; then a chunk is closed and its last `keep` go on.
+
+    A piece counts with one character after it. The fold moves numbers only (cuts, and the lengths of the last `keep` pieces).
+    """
+    ints = F.array().cast("array<int>")
+    cut = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
+    state = F.struct(F.array().cast("array<struct<a: int, b: int>>").alias("cuts"), F.lit(0).alias("start"), F.lit(0).alias("used"), F.lit(0).alias("n"), ints.alias("tail"), pieces.alias("p"))
 
     def step(s: Column, x: Column) -> Column:
-        full = (s.used + cost(x) > size) & (F.size(s.open) > 0)
-        kept = carry(s.open)
-        left = F.aggregate(kept, F.lit(0), lambda n, y: n + cost(y))
+        n = F.length(x) + 1
+        full = (s.used + n > size) & (s.n > s.start)
+        left = F.aggregate(s.tail, F.lit(0), lambda t, y: t + y)
+        more = F.array_append(s.tail, n)
         return F.struct(
-            F.when(full, F.array_append(s.done, s.open)).otherwise(s.done).alias("done"),
-            F.when(full, F.array_append(kept, x)).otherwise(F.array_append(s.open, x)).alias("open"),
-            F.when(full, left + cost(x)).otherwise(s.used + cost(x)).alias("used"),
+            F.when(full, F.array_append(s.cuts, cut(s.start, s.n))).otherwise(s.cuts).alias("cuts"),
+            F.when(full, s.n - F.size(s.tail)).otherwise(s.start).alias("start"),
+            F.when(full, left + n).otherwise(s.used + n).alias("used"),
+            (s.n + 1).alias("n"),
+            (F.slice(more, F.greatest(F.lit(1), F.size(more) - keep + 1), keep) if keep else ints).alias("tail"),
+            s.p.alias("p"),
         )
 
-    done = F.aggregate(pieces, start, step, lambda s: F.when(F.size(s.open) > 0, F.array_append(s.done, s.open)).otherwise(s.done))
-    return F.transform(done, lambda x: F.array_join(x, join))
+    def done(s: Column) -> Column:
+        cuts = F.when(s.n > s.start, F.array_append(s.cuts, cut(s.start, s.n))).otherwise(s.cuts)
+        return F.transform(cuts, lambda c: F.array_join(F.slice(s.p, c.a + 1, c.b - c.a), join))
+
+    return F.aggregate(pieces, state, step, done)
 
 
 def words(c: Column, size: int = 512, overlap: int = 64) -> Column:
     """Words gathered to at most `size` characters, each counted with a space; the last `overlap` / 10 words are repeated."""
-    n = overlap // 10
-    tail = lambda a: F.slice(a, F.greatest(F.lit(1), F.size(a) - n + 1), n) if n else F.array().cast("array<string>")
-    return _greedy(F.filter(F.split(c, r"[ \t\r\n]+"), lambda x: x != ""), size, lambda x: F.length(x) + 1, tail, " ")
+    return _greedy(F.filter(F.split(c, r"[ \t\r\n]+"), lambda x: x != ""), size, overlap // 10, " ")
 
 
-def sentences(c: Column, size: int = 200) -> Column:
-    """Sentences gathered to at most `size` characters; the last one is repeated. A mark before a small letter ends none."""
+def sentences(c: Column, size: int = 200, least: int = 0) -> Column:
+    """Sentences gathered to at most `size` characters; the last one is repeated. A mark before a small letter ends none.
+
+    A last chunk of fewer than `least` characters is left out, unless it is the only one.
+    """
     parts = F.filter(F.transform(F.split(c, r"(?<=[.!?\n])(?!\p{Ll})"), F.trim), lambda x: x != "")
-    return _greedy(parts, size, lambda x: F.length(x) + 1, lambda a: F.slice(a, -1, 1), " ")
+    out = _greedy(parts, size, 1, " ")
+    if not least:
+        return out
+    return F.transform(F.array(out), lambda a: F.when((F.size(a) > 1) & (F.length(F.element_at(a, -1)) < least), F.slice(a, 1, F.size(a) - 1)).otherwise(a))[0]
+
+
+def paragraphs(c: Column, size: int = 512, overlap: int = 0) -> Column:
+    """Paragraphs (between blank lines) gathered to at most `size` characters."""
+    parts = F.filter(F.transform(F.split(c, r"\n[ \t]*\n"), F.trim), lambda x: x != "")
+    return _greedy(parts, size, 1 if overlap else 0, "\n\n")
+
+
+def auto(c: Column, size: int = 512, overlap: int = 64) -> Column:
+    """Paragraphs where the text has any, sentences where it has marks, else windows of characters."""
+    return F.when(c.rlike(r"\n[ \t]*\n"), paragraphs(c, size)).when(c.rlike(r"[.!?]"), sentences(c, size)).otherwise(fixed(c, size, overlap))
 
 
-CHUNKERS = {"fixed": fixed, "words": words, "sentences": sentences}
+#: By name; `semantic` has no splitter of its own and takes sentences. Others can be added: a function Column -> Column of an array of texts.
+CHUNKERS = {"fixed": fixed, "words": words, "sentences": sentences, "paragraphs": paragraphs, "semantic": sentences, "auto": auto}
 
 
 def chunk(docs: DataFrame, strategy: str = "fixed", **options: int) -> DataFrame:

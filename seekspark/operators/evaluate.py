@@ -5,10 +5,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import relevance, space_tokens
 from .analyze import categories, difficulty
-
-METRICS = ["precision", "recall", "f1_score", "hit_rate", "mrr", "ndcg"]
-THRESHOLDS = {"precision": 0.7, "recall": 0.7, "f1_score": 0.7, "hit_rate": 0.8, "mrr": 0.7, "ndcg": 0.7}
+from .lexical import maybe_broadcast
+
+RETRIEVAL = ["precision", "recall", "f1_score", "hit_rate", "mrr", "ndcg"]
+ANSWER = ["faithfulness", "answer_relevancy", "context_relevancy"]
+METRICS = [*RETRIEVAL, *ANSWER]
+#: What an average must reach at least, and, for the latency, at most.
+THRESHOLDS = {"precision": 0.7, "recall": 0.7, "f1_score": 0.7, "hit_rate": 0.8, "mrr": 0.7, "ndcg": 0.7, "faithfulness": 0.8, "answer_relevancy": 0.7, "context_relevancy": 0.7}
+MAX_MS = 1000.0
+#: Items that are sent to every task; more meet the documents by a shuffle.
+MOST_ITEMS = 10_000
+
+
+def holders(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(qid, doc_id): which documents (doc_id, text) hold the text of which items (qid, item).
+
+    An occurrence holds all the item's inner words (between spaces) as words of the document: documents and items meet by the
+    item's longest inner word, and only these pairs are compared. Items of fewer than three words are compared with every document.
+    """
+    inner = F.split("item", " ")
+    inner = F.filter(F.slice(inner, 2, F.greatest(F.lit(0), F.size(inner) - 2)), lambda x: x != "")
+    best = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))
+    keyed = items.select("qid", "item", best.w.alias("w")).where("item is not null")
+    anchored = maybe_broadcast(keyed.where("w is not null"), MOST_ITEMS)
+    words = docs.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", " "))).alias("w"))
+    found = words.join(anchored, "w").where(F.contains("text", F.col("item"))).select("qid", "doc_id")
+    short = maybe_broadcast(keyed.where("w is null").drop("w"), MOST_ITEMS)
+    return found.unionByName(docs.select("doc_id", "text").join(short, F.contains("text", F.col("item"))).select("qid", "doc_id"))
+
+
+def answer_metrics(answers: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(qid, ANSWER) of answers (qid, query, answer) and what was retrieved for them (qid, rank, text), by overlap of words.
+
+    Faithfulness is the share of the answer's words that some context has, answer relevancy that of the query's words which the
+    answer has, context relevancy the mean share of the query's words over the contexts. Models that judge these take the same tables.
+    """
+    a = answers.select("qid", "query", "answer")
+    words = lambda c: F.array_distinct(space_tokens(F.lower(c)))
+    each = a.join(contexts.select("qid", "text"), "qid", "left")
+    said = F.when(F.col("text").isNotNull(), F.array_intersect(words(F.col("answer")), words(F.col("text"))))
+    g = each.groupBy("qid").agg(
+        F.first("query").alias("query"), F.first("answer").alias("answer"), F.array_distinct(F.flatten(F.collect_list(said))).alias("said"),
+        F.avg(F.when(F.col("text").isNotNull(), relevance(F.col("text"), F.col("query")))).alias("context_relevancy"),
+    )
+    n = F.size(words(F.col("answer")))
+    return g.select("qid", ratio(F.size("said"), n).alias("faithfulness"), relevance(F.col("answer"), F.col("query")).alias("answer_relevancy"), F.coalesce("context_relevancy", F.lit(0.0)).alias("context_relevancy"))
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -32,19 +75,32 @@ def retrieval_metrics(results: DataFrame, truth: DataFrame, at: int = 10) -> Dat
 
 
 def summary(metrics: DataFrame, by: list[str] | None = None) -> DataFrame:
-    return metrics.groupBy(*(by or [])).agg(F.count("*").alias("queries"), *(F.avg(m).alias(m) for m in METRICS))
+    """Averages of the metrics there are; with `ms` also of the latency, with `ok` the share of queries that succeeded."""
+    more = [F.avg("ms").alias("avg_ms")] if "ms" in metrics.columns else []
+    more += [F.avg(F.col("ok").cast("double")).alias("success_rate")] if "ok" in metrics.columns else []
+    return metrics.groupBy(*(by or [])).agg(F.count("*").alias("queries"), *(F.avg(m).alias(m) for m in METRICS if m in metrics.columns), *more)
+
+
+def averaged_f1(averages: DataFrame) -> DataFrame:
+    """The same row with f1_score of the averaged precision and recall."""
+    p, r = F.col("precision"), F.col("recall")
+    return averages.withColumn("f1_score", ratio(2 * p * r, p + r))
 
 
 def long(averages: DataFrame, value: str = "value") -> DataFrame:
     """(metric, value) of a row of averages."""
-    return averages.select(F.explode(F.create_map(*(x for m in METRICS for x in (F.lit(m), F.col(m))))).alias("metric", value))
+    return averages.select(F.explode(F.create_map(*(x for m in METRICS if m in averages.columns for x in (F.lit(m), F.col(m))))).alias("metric", value))
 
 
-def gate(averages: DataFrame, thresholds: dict[str, float] | None = None) -> DataFrame:
-    """(metric, value, threshold, passed)."""
+def gate(averages: DataFrame, thresholds: dict[str, float] | None = None, max_ms: float = MAX_MS) -> DataFrame:
+    """(metric, value, threshold, passed): nine minimums, and the latency's maximum where there is one."""
     known = F.create_map(*(F.lit(x) for kv in (thresholds or THRESHOLDS).items() for x in kv))
     x = long(averages).withColumn("threshold", F.element_at(known, F.col("metric")))
-    return x.withColumn("passed", F.col("value") >= F.col("threshold"))
+    x = x.withColumn("passed", F.col("value") >= F.col("threshold"))
+    if "avg_ms" not in averages.columns:
+        return x
+    slow = averages.select(F.lit("avg_ms").alias("metric"), F.col("avg_ms").alias("value"), F.lit(max_ms).alias("threshold"))
+    return x.unionByName(slow.withColumn("passed", F.col("value") <= F.col("threshold")))
 
 
 def compare(baseline: DataFrame, candidate: DataFrame, drop: float = 0.05) -> DataFrame:
@@ -53,6 +109,35 @@ def compare(baseline: DataFrame, candidate: DataFrame, drop: float = 0.05) -> Da
     return x.withColumn("regressed", F.col("improvement") < -drop)
 
 
+def verdict(compared: DataFrame) -> DataFrame:
+    """(overall_improvement, is_better, regressions) of a comparison: the mean over its metrics, and how many regressed."""
+    x = compared.agg(F.avg("improvement").alias("overall_improvement"), F.count_if("regressed").alias("regressions"))
+    return x.select("overall_improvement", (F.col("overall_improvement") > 0).alias("is_better"), "regressions")
+
+
+# --- jobs: a log of events (job_id, at, event, progress) is the state ------------
+
+JOB_STATES = {"create": "Pending", "start": "Running", "progress": "Running", "finish": "Completed", "fail": "Failed", "cancel": "Cancelled"}
+
+
+def job_states(events: DataFrame) -> DataFrame:
+    """(job_id, created, changed, status, progress) of the log; what comes after an end is ignored."""
+    status = F.element_at(F.create_map(*(F.lit(x) for kv in JOB_STATES.items() for x in kv)), F.col("event"))
+    done = F.col("event").isin("finish", "fail", "cancel")
+    w = Window.partitionBy("job_id").orderBy("at", "event")
+    ended = F.coalesce(F.max(done.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    x = events.withColumn("status", status).withColumn("ended", ended).where("ended = 0")
+    last = F.struct("at", "event")
+    return x.groupBy("job_id").agg(F.min("at").alias("created"), F.max("at").alias("changed"), F.max_by("status", last).alias("status"), F.coalesce(F.max("progress"), F.lit(0.0)).alias("progress"))
+
+
+def jobs(states: DataFrame, status: str | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Jobs of a status that were created in a period."""
+    x = states.where(F.col("status") == status) if status else states
+    x = x.where(F.col("created") >= F.lit(since).cast("timestamp")) if since else x
+    return x.where(F.col("created") <= F.lit(until).cast("timestamp")) if until else x
+
+
 def golden_from_logs(logs: DataFrame, least: float = 0.8) -> DataFrame:
     """Golden items of accepted, well rated logs (id, query, chunk_ids, scores, rating, accepted): the ids that scored enough."""
     good = logs.where(F.coalesce(F.col("accepted") & (F.col("rating") >= least), F.lit(False)))

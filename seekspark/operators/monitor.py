@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
+
 MAX_MS, MIN_RESULTS, MIN_SCORE = 250.0, 6, 85.0
 
 
@@ -44,15 +46,26 @@ def dashboard_columns() -> list[Column]:
     return [F.count("*").alias("queries"), F.count_if("success").alias("successes"), F.avg("response_ms").alias("avg_ms"), ok("results").alias("avg_results"), ok("similarity").alias("avg_similarity"), ok("score").alias("avg_score")]
 
 
-def percentiles(logs: DataFrame, column: str, ps: list[float], by: list[str] | None = None) -> DataFrame:
-    """Lower-index percentiles by a distributed ranking: no group is gathered to one row."""
+def percentiles(logs: DataFrame, column: str, ps: list[float], by: list[str] | None = None, ranges: int = 1024) -> DataFrame:
+    """Lower-index percentiles by a distributed ranking: no group is gathered to one task.
+
+    Values fall into `ranges` of equal width between the least and the largest; counts of the ranges, a bounded number for each
+    group, tell in which of them a rank lies, and only that range's distinct values are put in order.
+    """
     keys = by or []
-    # counts of distinct values are running sums; only groups, not values, meet in a task beyond their own sort
-    values = logs.groupBy(*keys, column).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(*keys).orderBy(column)
-    values = values.withColumns({"__to": F.sum("__n").over(w), "__all": F.sum("__n").over(Window.partitionBy(*keys))})
-    at = lambda p: F.min(F.when(F.col("__to") > F.floor(F.lit(p) * (F.col("__all") - 1)), F.col(column)))
-    return values.groupBy(*keys).agg(*(at(p).alias(f"p{round(p * 100)}") for p in ps))
+    counts = logs.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("n"))
+    ends = counts.agg(F.min(column).cast("double"), F.max(column).cast("double")).first()
+    low, width = ends[0] or 0.0, ((ends[1] or 0.0) - (ends[0] or 0.0)) / ranges or 1.0
+    counts = counts.withColumn("range", F.least(F.lit(ranges - 1), F.floor((F.col(column) - low) / width)))
+    sums = counts.groupBy(*keys, "range").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy(*keys)
+    sums = sums.withColumns({"to": F.sum("n").over(w.orderBy("range")), "all": F.sum("n").over(w)})
+    rank = F.array(*(F.floor(F.lit(p) * (F.col("all") - 1)) for p in ps))
+    asked = sums.select(*keys, "range", (F.col("to") - F.col("n")).alias("base"), "to", F.posexplode(rank).alias("p", "rank")).where("rank >= base and rank < to")
+    inside = Window.partitionBy(*keys, "range", "p").orderBy(column)
+    found = counts.join(asked, [*keys, "range"]).withColumn("upto", F.col("base") + F.sum("n").over(inside))
+    at = lambda i: F.min(F.when((F.col("p") == i) & (F.col("upto") > F.col("rank")), F.col(column)))
+    return found.groupBy(*keys).agg(*(at(i).alias(f"p{round(p * 100)}") for i, p in enumerate(ps)))
 
 
 def trends(logs: DataFrame, granularity: str = "1 day") -> DataFrame:
@@ -107,11 +120,61 @@ def slope(points: DataFrame, value: str, order: str) -> DataFrame:
     return x.select("n", s.alias("slope"), F.when(s > 0.01, "Increasing").when(s < -0.01, "Decreasing").otherwise("Stable").alias("direction"), F.least(F.lit(1.0), F.abs(s) * 10).alias("confidence"))
 
 
+def before(samples: DataFrame, value: str, order: str, parts: int | None = None) -> DataFrame:
+    """Adds `previous`: the value of the row before in the whole order. Rows are split by ranges; a range's first row has its
+    predecessor from the last rows of the ranges, one a partition, so no task orders all rows."""
+    n = parts or int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = kept(samples.repartitionByRange(n, order).withColumn("range", F.spark_partition_id()), "ranges")
+    last = x.groupBy("range").agg(F.max_by(value, order).alias("last"))
+    last = last.select((F.lead("range").over(Window.orderBy("range"))).alias("range"), "last").where("range is not null")
+    w = Window.partitionBy("range").orderBy(order)
+    x = x.withColumn("previous", F.lag(value).over(w)).withColumn("first", F.row_number().over(w) == 1)
+    return x.join(F.broadcast(last), "range", "left").withColumn("previous", F.when(F.col("first"), F.col("last")).otherwise(F.col("previous"))).drop("range", "first", "last")
+
+
 def anomalies(samples: DataFrame) -> DataFrame:
     """(at, kind, severity) of samples (at, efficiency, scans): low efficiency, and jumps of scans since the sample before."""
-    e, jump = F.col("efficiency"), F.col("scans") - F.lag("scans").over(Window.orderBy("at"))
+    e = F.col("efficiency")
     low = F.when(e < 0.5, F.struct(F.lit("LowEfficiency").alias("kind"), F.when(e < 0.3, "High").when(e < 0.4, "Medium").otherwise("Low").alias("severity")))
-    x = samples.withColumn("jump", jump)
+    x = before(samples, "scans", "at").withColumn("jump", F.col("scans") - F.col("previous"))
     j = F.col("jump")
     more = F.when(j > 1000, F.struct(F.lit("ScanIncrease").alias("kind"), F.when(j > 10000, "High").when(j > 5000, "Medium").otherwise("Low").alias("severity")))
     return x.select("at", F.explode(F.array_compact(F.array(low, more))).alias("a")).select("at", "a.*")
+
+
+def monitoring_summary(samples: DataFrame, found: DataFrame) -> DataFrame:
+    """One row on a period: samples, mean, least and largest efficiency, all scans, anomalies by severity."""
+    x = samples.agg(F.count("*").alias("samples"), F.avg("efficiency").alias("avg_efficiency"), F.min("efficiency").alias("min_efficiency"), F.max("efficiency").alias("max_efficiency"), F.sum("scans").alias("scans"))
+    of = lambda s: F.count_if(F.col("severity") == s).alias(s.lower())
+    return x.join(F.broadcast(found.agg(of("High"), of("Medium"), of("Low"))))
+
+
+def full_dashboard(logs: DataFrame, open_alerts: DataFrame) -> DataFrame:
+    """The dashboard's columns with p95_ms and p99_ms, the hit rate (queries with results) and the number of open alerts."""
+    x = logs.agg(*dashboard_columns(), F.avg((F.col("results") > 0).cast("double")).alias("hit_rate"))
+    p = percentiles(logs, "response_ms", [0.95, 0.99]).select(F.col("p95").alias("p95_ms"), F.col("p99").alias("p99_ms"))
+    return x.join(F.broadcast(p)).join(F.broadcast(open_alerts.agg(F.count("*").alias("active_alerts"))))
+
+
+def recent(logs: DataFrame, k: int = 50) -> DataFrame:
+    return logs.orderBy(F.desc("ts"), F.desc("event_id")).limit(k)
+
+
+def resolved(raised: DataFrame, resolutions: DataFrame, as_of: str, retention: str = "24 hours") -> DataFrame:
+    """(event_id, ts, alert, severity, resolved_at): alerts with what resolved them; those resolved longer ago than `retention` are gone.
+
+    resolutions: (event_id, alert, resolved_at)."""
+    last = resolutions.groupBy("event_id", "alert").agg(F.min("resolved_at").alias("resolved_at"))
+    x = raised.join(last, ["event_id", "alert"], "left")
+    old = F.col("resolved_at") < F.lit(as_of).cast("timestamp") - F.expr(f"interval {retention}")
+    return x.where(~F.coalesce(old, F.lit(False))).select("event_id", "ts", "alert", "severity", "resolved_at")
+
+
+def reoptimised(logs: DataFrame, feedback: DataFrame, key: str = "kind") -> DataFrame:
+    """(key, strategy, uses, satisfaction): the strategy to use for each kind of query, by the mean of users' ratings.
+
+    feedback: (event_id, rating). Queries without a rating count with the score that they got, as a share of 100."""
+    x = logs.join(feedback.groupBy("event_id").agg(F.avg("rating").alias("rating")), "event_id", "left")
+    m = x.groupBy(key, "strategy").agg(F.count("*").alias("uses"), F.avg(F.coalesce("rating", F.col("score") / 100)).alias("satisfaction"))
+    w = Window.partitionBy(key).orderBy(F.desc(F.round("satisfaction", 9)), "strategy")
+    return m.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")

@@ -1,8 +1,13 @@
-"""Exact nearest neighbours of a block of queries: every batch of vectors is one matrix product against the whole block."""
+"""Nearest neighbours of a block of queries: exact, and by an index of cells.
+
+A block of queries travels to the tasks; each task folds its vectors into the k best of every query, a bounded product at a
+time, and passes on k rows for each query, whatever the number of its vectors.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,10 +15,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
 from .lexical import top
 
 #: Queries that travel to the tasks at a time; more are answered block by block, each block over all vectors.
 BLOCK = 4096
+#: Vectors that meet the queries in one product.
+STEP = 1024
+_HITS = "qid long, doc_id long, score double"
 
 
 def _scores(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
@@ -30,97 +39,186 @@ def _scores(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(f"unknown metric {metric!r}")
 
 
+class Best:
+    """The k best of each query so far, by score to nine digits and then by id, as all top lists are ordered."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.n = k, queries
+        self.least = np.full(queries, -np.inf)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.rows = 0
+
+    def add(self, which: np.ndarray, ids: np.ndarray, s: np.ndarray) -> None:
+        """Scores of the queries `which` against vectors `ids`."""
+        limit = self.least[which]
+        if s.shape[1] > self.k:
+            limit = np.maximum(limit, np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k])
+        r, c = np.nonzero(s >= limit[:, None] - 1e-8)
+        self.held.append((which[r], ids[c], s[r, c]))
+        self.rows += len(r)
+        if self.rows > 4 * self.k * self.n + 10_000:
+            self._settle()
+
+    def _settle(self) -> None:
+        if not self.held:
+            return
+        q, i, s = map(np.concatenate, zip(*self.held, strict=True))
+        order = np.lexsort((i, -np.round(s, 9), q))
+        q, i, s = q[order], i[order], s[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = place < self.k
+        last = place == self.k - 1
+        self.least[q[last]] = s[last]
+        self.held, self.rows = [(q[keep], i[keep], s[keep])], int(keep.sum())
+
+    def batch(self, ids: np.ndarray) -> pa.RecordBatch:
+        self._settle()
+        q, i, s = self.held[0] if self.held else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(i), pa.array(s)], ["qid", "doc_id", "score"])
+
+
+def _asked(queries: DataFrame) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Blocks of ids and vectors of queries."""
+    asked = queries.where("vec is not null").select("qid", "vec")
+    first = asked.limit(BLOCK + 1).collect()
+    if len(first) <= BLOCK:
+        yield np.array([r.qid for r in first], np.int64), [np.array(r.vec, np.float64) for r in first]
+        return
+    block = []
+    for r in asked.toLocalIterator():
+        block.append(r)
+        if len(block) == BLOCK:
+            yield np.array([r.qid for r in block], np.int64), [np.array(r.vec, np.float64) for r in block]
+            block = []
+    if block:
+        yield np.array([r.qid for r in block], np.int64), [np.array(r.vec, np.float64) for r in block]
+
+
+def _matrix(lists: pa.Array, d: int) -> np.ndarray:
+    return np.asarray(lists.flatten(), np.float64).reshape(-1, d)
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", min_score: float | None = None) -> DataFrame:
     """(qid, doc_id, score, rank) from vectors (doc_id, vec) and queries (qid, vec). Null vectors and other lengths match nothing.
 
-    For distances, score is the distance with a minus. Each batch passes on its k best for each query, so what is shuffled is
-    k rows for each query and batch.
+    For distances, score is the distance with a minus. What is shuffled is k rows for each query and task.
     """
-    asked = queries.where("vec is not null").select("qid", "vec")
-    first = asked.limit(BLOCK + 1).collect()
-    blocks = [first] if len(first) <= BLOCK else _blocks(asked)
     out = None
-    for block in blocks:
-        part = _block(vectors, [r.qid for r in block], [np.array(r.vec, np.float64) for r in block], k, metric)
+    for ids, vecs in _asked(queries):
+        part = _exact(vectors, ids, vecs, k, metric)
         out = part if out is None else out.unionByName(part)
     if min_score is not None:
         out = out.where(~F.isnan("score") & (F.col("score") >= min_score))
     return top(out, k)
 
 
-def _blocks(asked: DataFrame) -> Iterator[list]:
-    block = []
-    for r in asked.toLocalIterator():
-        block.append(r)
-        if len(block) == BLOCK:
-            yield block
-            block = []
-    if block:
-        yield block
-
-
-def _block(vectors: DataFrame, ids: list[int], vecs: list[np.ndarray], k: int, metric: str) -> DataFrame:
-    sizes = sorted({len(v) for v in vecs})
+def _exact(vectors: DataFrame, ids: np.ndarray, vecs: list[np.ndarray], k: int, metric: str) -> DataFrame:
+    size = np.array([len(v) for v in vecs])
+    of = {d: (np.flatnonzero(size == d), np.stack([v for v in vecs if len(v) == d])) for d in sorted(set(size.tolist())) if d}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(len(ids), k)
         for b in batches:
             length = pc.fill_null(pc.list_value_length(b.column(1)), -1).to_numpy()
-            for d in sizes:
+            for d, (which, q) in of.items():
                 here = np.flatnonzero(length == d)
-                asked = [i for i, v in enumerate(vecs) if len(v) == d]
-                if not len(here) or not d:
-                    continue
-                part = b.take(pa.array(here))
-                x = np.asarray(part.column(1).flatten(), np.float64).reshape(-1, d)
-                key = part.column(0).to_numpy()
-                s = _scores(x, np.stack([vecs[i] for i in asked]), metric)
-                # the k best; the kth value's ties all go on, and are settled by id at the end
-                least = -np.partition(-s, min(k, s.shape[1]) - 1, axis=1)[:, min(k, s.shape[1]) - 1]
-                r, c = np.nonzero(s >= least[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(np.array([ids[i] for i in asked], np.int64)[r]), pa.array(key[c]), pa.array(s[r, c])], ["qid", "doc_id", "score"])
-
-    return vectors.select(F.col("doc_id").cast("long"), "vec").mapInArrow(run, "qid long, doc_id long, score double")
-
-
-def ivf(vectors: DataFrame, centroids: int = 32, seed: int = 42, sample: int = 20_000):
-    """Centroids by a few k-means rounds on a bounded sample. Every vector is assigned to one by `assigned`."""
-    rows = vectors.where("vec is not null").orderBy(F.xxhash64("doc_id", F.lit(seed))).limit(sample).select("vec").collect()
-    x = np.array([r.vec for r in rows], np.float64)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    c = x[np.random.default_rng(seed).choice(len(x), min(centroids, len(x)), replace=False)]
+                part = b if len(here) == b.num_rows else b.take(pa.array(here))
+                for i in range(0, part.num_rows, STEP):
+                    some = part.slice(i, STEP)
+                    best.add(which, some.column(0).to_numpy(), _scores(_matrix(some.column(1), d), q, metric))
+        yield best.batch(ids)
+
+    return vectors.select(F.col("doc_id").cast("long"), "vec").where("vec is not null").mapInArrow(run, _HITS)
+
+
+# --- cells -------------------------------------------------------------------
+
+
+@dataclass
+class Cells:
+    """Vectors stored by cell, the cells' centres, and how many cells a query has to visit for the recall it was built for."""
+
+    stored: DataFrame
+    centres: np.ndarray
+    probes: int
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def cells(vectors: DataFrame, centres: int = 32, recall: float = 0.96, k: int = 10, seed: int = 42, sample: int = 20_000) -> Cells:
+    """Builds the index: every vector goes to its nearest centre, and a cell is a folder of its own.
+
+    Centres come from a few k-means rounds on the `sample` vectors with the least hashes; so does the number of cells to visit:
+    the least with which every sixteenth vector of the sample finds that share of its k nearest within the sample.
+    """
+    rows = vectors.where("vec is not null and size(vec) > 0").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample).select("vec").collect()
+    dim = max((len(r.vec) for r in rows), default=1)
+    x = _unit(np.array([r.vec for r in rows if len(r.vec) == dim], np.float64).reshape(-1, dim))
+    c = x[np.random.default_rng(seed).choice(len(x), min(centres, len(x)), replace=False)]
     for _ in range(8):
         near = (x @ c.T).argmax(axis=1)
-        c = np.stack([x[near == i].mean(axis=0) if (near == i).any() else c[i] for i in range(len(c))])
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    return c
+        c = _unit(np.stack([x[near == i].mean(axis=0) if (near == i).any() else c[i] for i in range(len(c))])) if len(c) else c
+    probes = _probes(x, c, recall, k)
 
-
-def ivf_search(vectors: DataFrame, queries: DataFrame, c: np.ndarray, k: int = 10, probes: int = 8) -> DataFrame:
-    """Cosine search in the `probes` nearest cells of each query; more than BLOCK queries are answered block by block, as in knn."""
-    asked = queries.select("qid", "vec")
-    first = asked.limit(BLOCK + 1).collect()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            here = np.flatnonzero(pc.list_value_length(b.column(1)).to_numpy() == dim)
+            if len(here):
+                b = b.take(pa.array(here))
+                cell = (_unit(_matrix(b.column(1), dim)) @ c.T).argmax(axis=1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], ["doc_id", "vec", "cell"])
+
+    kind = vectors.schema["vec"].dataType.simpleString()
+    placed = vectors.select(F.col("doc_id").cast("long"), "vec").where("vec is not null").mapInArrow(run, f"doc_id long, vec {kind}, cell int")
+    return Cells(kept(placed, "cells", by="cell"), c, probes)
+
+
+def _probes(x: np.ndarray, c: np.ndarray, recall: float, k: int) -> int:
+    """How many cells the vectors of the sample must visit."""
+    asked = np.arange(0, len(x), 16)
+    cell, order = (x @ c.T).argmax(axis=1), np.argsort(-(x[asked] @ c.T), axis=1)
+    place = np.argsort(order, axis=1)  # of each cell: when a query visits it
+    late = []
+    for i in range(0, len(asked), 256):
+        s = x[asked[i : i + 256]] @ x.T
+        n = min(k, s.shape[1])
+        best = np.argpartition(-s, n - 1, axis=1)[:, :n]
+        late.append(np.take_along_axis(place[i : i + 256], cell[best], axis=1).reshape(-1))
+    late = np.sort(np.concatenate(late)) if late else np.zeros(1, np.int64)
+    return int(late[min(int(np.ceil(recall * len(late))), len(late) - 1)]) + 1
+
+
+def search_cells(index: Cells, queries: DataFrame, k: int = 10, probes: int | None = None) -> DataFrame:
+    """(qid, doc_id, score, rank) by cosine within the cells that each query visits.
+
+    Only folders of visited cells are read, and a query meets only the vectors of its own cells.
+    """
     out = None
-    for block in [first] if len(first) <= BLOCK else _blocks(asked):
-        part = _cells(vectors, block, c, k, probes)
+    for ids, vecs in _asked(queries):
+        part = _visited(index, ids, vecs, k, probes or index.probes)
         out = part if out is None else out.unionByName(part)
     return top(out, k)
 
 
-def _cells(vectors: DataFrame, block: list, c: np.ndarray, k: int, probes: int) -> DataFrame:
-    ids, q = np.array([r.qid for r in block], np.int64), np.array([r.vec for r in block], np.float64)
-    allowed = np.zeros((len(q), len(c)), bool)
-    np.put_along_axis(allowed, np.argsort(-(q @ c.T), axis=1)[:, :probes], True, axis=1)
+def _visited(index: Cells, ids: np.ndarray, vecs: list[np.ndarray], k: int, probes: int) -> DataFrame:
+    dim = index.centres.shape[1]
+    good = np.array([i for i, v in enumerate(vecs) if len(v) == dim], np.int64)
+    q = np.stack([vecs[i] for i in good]) if len(good) else np.zeros((0, dim))
+    visits = np.argsort(-(q @ index.centres.T), axis=1)[:, :probes]
+    of = {int(cell): np.flatnonzero((visits == cell).any(axis=1)) for cell in np.unique(visits)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(len(ids), k)
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1)
-            s = np.where(allowed[:, (x @ c.T).argmax(axis=1)], _scores(x, q, "cosine"), -np.inf)
-            best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            r = np.repeat(np.arange(len(q)), best.shape[1])
-            score = s[r, best.reshape(-1)]
-            ok = np.isfinite(score)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[r[ok]]), pa.array(b.column(0).to_numpy()[best.reshape(-1)[ok]]), pa.array(score[ok])], ["qid", "doc_id", "score"])
-
-    return vectors.select(F.col("doc_id").cast("long"), "vec").where("vec is not null").mapInArrow(run, "qid long, doc_id long, score double")
+            cell = b.column(2).to_numpy()
+            for one in np.unique(cell):
+                here = b.take(pa.array(np.flatnonzero(cell == one)))
+                who = of[int(one)]
+                for i in range(0, here.num_rows, STEP):
+                    some = here.slice(i, STEP)
+                    best.add(good[who], some.column(0).to_numpy(), _scores(_matrix(some.column(1), dim), q[who], "cosine"))
+        yield best.batch(ids)
+
+    return index.stored.where(F.col("cell").isin(list(of))).select("doc_id", "vec", "cell").mapInArrow(run, _HITS)

@@ -22,8 +22,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that have a vector: (doc_id, text, vec)."""
-    return documents(spark, sf_dir).select("doc_id", "text").join(vectors(spark, sf_dir), "doc_id")
+    """All documents, with their vector where they have one: (doc_id, text, vec)."""
+    return documents(spark, sf_dir).select("doc_id", "text").join(vectors(spark, sf_dir), "doc_id", "left")
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seekspark import catalog
-from seekspark.catalog import analysis, monitoring, retrieval  # noqa: F401
+from seekspark.catalog import analysis, evaluation, monitoring, retrieval  # noqa: F401
 from seekspark.operators import cache, chunking, context, evaluate, monitor, nearest
 from seekspark.sources import tables, web
 
@@ -102,7 +102,7 @@ def test_cache_keeps_latest(spark):
 
 
 def test_golden_round_trip(spark, tmp_path):
-    items = evaluate.golden_from_logs(analysis.logs(spark, DATA), 0.3)
+    items = evaluate.golden_from_logs(evaluation.logs(spark, DATA), 0.3)
     evaluate.save_golden(items, str(tmp_path / "golden"))
     assert evaluate.load_golden(spark, str(tmp_path / "golden")).count() == items.count() > 0
 
