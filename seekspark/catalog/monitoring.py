@@ -9,7 +9,7 @@ from ..sources import web
 from ..sources.tables import table, vectors
 from ..streaming import monitoring as streams
 from . import query
-from .fragments import VECS
+from .fragments import CHUNK_SQL, VECS
 
 r6 = lambda c: F.round(c, 6).alias(c)
 
@@ -123,11 +123,14 @@ def best_strategy(spark, d):
 SAMPLES = "samples as (select event_id as tick, value / 490 as efficiency, cast(floor(value * (event_id % 37)) as bigint) as scans from events)"
 
 
+def samples(events):
+    return events.select(F.col("event_id").alias("at"), (F.col("value") / 490).alias("efficiency"), F.floor(F.col("value") * (F.col("event_id") % 37)).alias("scans"))
+
+
 @query(f"""with {SAMPLES}, j as (select *, scans - lag(scans) over (order by tick) as jump from samples) select tick, 'LowEfficiency' as kind, case when efficiency < 0.3 then 'High' when efficiency < 0.4 then 'Medium' else 'Low' end as severity from j where efficiency < 0.5
 union all select tick, 'ScanIncrease', case when jump > 10000 then 'High' when jump > 5000 then 'Medium' else 'Low' end from j where jump > 1000""")
 def anomalies(spark, d):
-    e = table(spark, d, "events").select(F.col("event_id").alias("tick"), (F.col("value") / 490).alias("efficiency"), F.floor(F.col("value") * (F.col("event_id") % 37)).alias("scans"))
-    return monitor.anomalies(e.withColumnRenamed("tick", "at")).withColumnRenamed("at", "tick")
+    return monitor.anomalies(samples(table(spark, d, "events"))).withColumnRenamed("at", "tick")
 
 
 @query("""with e as (select user_id, 100 * (max(value) - avg(value)) / avg(value) as percent from events group by user_id), m(metric, a, b, c) as (values ('latency', 20, 30, 50), ('recall', 5, 10, 15), ('memory', 30, 60, 100), ('qps', 15, 25, 40))
@@ -200,14 +203,122 @@ def tuning_topk(spark, d):
     return tuning.tuned(grid(spark)).select("strategy", "m", r6("score"))
 
 
+@query(f"""with {PARAMS}, {ESTIMATES}, bad as (select *, case when (row_number() over (order by n, dim, target)) % 3 = 0 then 2 when (row_number() over (order by n, dim, target)) % 3 = 1 then 200 else m end as m2, case when n = 500 then 5 else efs end as efs2 from e)
+select n, dim, target, array_to_string(list_filter([case when m2 < 4 or m2 > 128 then 'm' end, case when efc < m2 then 'efc' end, case when efs2 < 10 or efs2 > 2000 then 'efs' end], lambda x: x is not null), ',') as errors from bad""")
+def hnsw_validation(spark, d):
+    from pyspark.sql import Window
+
+    x = parameters(spark).withColumn("r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("n", "dim", "target")) % 3)
+    x = x.withColumns({"m": F.when(F.col("r") == 0, 2).when(F.col("r") == 1, 200).otherwise(F.col("m")), "efs": F.when(F.col("n") == 500, 5).otherwise(F.col("efs"))})
+    return tuning.validation(x).select("n", "dim", "target", F.array_join("errors", ",").alias("errors"))
+
+
+@query(f"""with {PARAMS}, {ESTIMATES}, c as (select *, case when memory_bytes > 256.0 * 1048576 then greatest(8, cast(floor(m * sqrt(256.0 * 1048576 / memory_bytes)) as int)) else m end as m2 from e)
+select n, dim, target, m2 as m, case when build_seconds / 60 > 5 then greatest(m2, cast(floor(efc * sqrt(5 / (build_seconds / 60))) as int)) else efc end as efc from c""")
+def hnsw_constrained(spark, d):
+    x = tuning.constrained(tuning.estimates(parameters(spark)), 256, 5)
+    return x.select("n", "dim", "target", F.col("m").cast("int").alias("m"), F.col("efc").cast("int").alias("efc"))
+
+
+@query(f"with {PARAMS}, {ESTIMATES} select n, dim, target from e where latency_ms <= 50 and recall >= 0.5 and memory_bytes <= 4096.0 * 1048576 and build_seconds <= 1800")
+def hnsw_within(spark, d):
+    return tuning.within(tuning.estimates(parameters(spark)), min_recall=0.5).select("n", "dim", "target")
+
+
+@query(f"with {TUNED} select strategy, m, efc, efs, round(cast(score as double), 6) as score from s")
+def benchmark_score(spark, d):
+    return tuning.scored(grid(spark)).select("strategy", "m", "efc", "efs", r6("score"))
+
+
+AROUND = """(values {}) as o(a, b, c)"""
+EVERY = ", ".join(f"({a}, {b}, {c})" for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1))
+FINE = ", ".join(f"({a}, {b}, {c})" for a, b, c in [(-2, 0, 0), (-1, 0, 0), (0, 0, 0), (1, 0, 0), (2, 0, 0), (0, -1, 0), (0, 0, 0), (0, 1, 0), (0, 0, -1), (0, 0, 0), (0, 0, 1)])
+MOVED = "greatest(4, m + 2 * a) as m, greatest(16, efc + 16 * b) as efc, greatest(10, efs + 10 * c) as efs"
+
+
+@query(f"""with {TUNED}, top1 as (select strategy, m, efc, efs from s qualify row_number() over (partition by strategy order by round(score, 9) desc, m) <= greatest(1, count(*) over (partition by strategy) // 3)),
+g2 as (select distinct strategy, {MOVED} from top1, {AROUND.format(FINE)}), p2 as (select *, 100000 as n, 384 as dim, 1.44 as layer, 'euclidean' as metric from g2), e2 as ({ESTIMATES[len("e as (") : -1].replace("from p", "from p2")}),
+s2 as (select *, recall * w[1] + least(1, greatest(0, (100 - latency_ms) / 100)) * w[2] + least(1, greatest(0, (104857600.0 - memory_bytes) / 104857600.0)) * w[3] as score from (select *, case strategy when 'speed' then [0.2, 0.6, 0.2] when 'accuracy' then [0.7, 0.2, 0.1] when 'memory' then [0.3, 0.2, 0.5] else [0.4, 0.4, 0.2] end as w from e2))
+select strategy, cast(m as int) as m, cast(efc as int) as efc, cast(efs as int) as efs, round(cast(score as double), 6) as score from s2 qualify row_number() over (partition by strategy order by round(score, 9) desc, m, efc, efs) = 1""")
+def tuning_stages(spark, d):
+    """Candidates, then variations around the best third, then the best of the best fifth."""
+    return tuning.staged(spark, known).select("strategy", "m", "efc", "efs", r6("score"))
+
+
+@query(f"with b(m, efc, efs) as (values (16, 200, 50)) select distinct cast(greatest(4, b.m + 2 * a) as int) as m, cast(greatest(16, b.efc + 16 * o.b) as int) as efc, cast(greatest(10, b.efs + 10 * c) as int) as efs from b, {AROUND.format(EVERY)}")
+def tuning_radius(spark, d):
+    return tuning.around(spark.createDataFrame([(16, 200, 50)], "m int, efc int, efs int"), 1)
+
+
+@query("with e as (select user_id, case when event_id % 2 = 0 then 'before' else 'after' end as side, value from events), b as (select user_id, avg(value) filter (side = 'before') as old, avg(value) filter (side = 'after') as new from e group by user_id) select user_id, round(100 * (new - old) / old, 6) as percent, case when 100 * (new - old) / old > 50 then 'Critical' when 100 * (new - old) / old > 30 then 'Major' when 100 * (new - old) / old > 20 then 'Minor' else 'None' end as severity from b where old is not null and new is not null")
+def index_baseline(spark, d):
+    """Each index's latency against the baseline that was stored for it."""
+    e = table(spark, d, "events")
+    base = tuning.baseline(e.where("event_id % 2 = 0").select(F.col("user_id").alias("index"), F.col("value").alias("latency")))
+    now = tuning.baseline(e.where("event_id % 2 = 1").select(F.col("user_id").alias("index"), F.col("value").alias("latency")))
+    return tuning.against(base, now).select(F.col("index").alias("user_id"), r6("percent"), "severity")
+
+
+def known(rows):
+    """Estimates of rows (m, efc, efs) on one corpus."""
+    return tuning.estimates(rows.withColumns({"n": F.lit(100_000), "dim": F.lit(384), "layer": F.lit(1.44), "metric": F.lit("euclidean")}))
+
+
 # --- cache ---
 
 
-@query(f"with {VECS}, s as (select q.doc_id as qid, c.doc_id as entry_id, list_dot_product(q.vec, c.vec) / sqrt(list_dot_product(q.vec, q.vec) * list_dot_product(c.vec, c.vec)) as score from vecs q, vecs c where q.doc_id % 20 = 0 and c.doc_id % 2 = 1) select qid, entry_id, round(score, 6) as score from s where score >= 0.3 qualify row_number() over (partition by qid order by round(score, 9) desc, entry_id) = 1")
+CACHE = f"{VECS}, entry as (select doc_id as entry_id, 'q' || doc_id % 40 as query, vec, cast(doc_id % 7 as int) as hits from vecs)"
+PAIRED = f"{CACHE}, s as (select q.doc_id as qid, c.entry_id, list_dot_product(q.vec, c.vec) / sqrt(list_dot_product(q.vec, q.vec) * list_dot_product(c.vec, c.vec)) as score from vecs q, entry c where q.doc_id % 20 = 0)"
+
+
+def stored(spark, d):
+    """All vectors as entries of a cache, a fortieth of which have the same query."""
+    return vectors(spark, d).selectExpr("doc_id entry_id", "concat('q', doc_id % 40) query", "vec", "cast(doc_id % 7 as int) hits")
+
+
+def lookups(spark, d):
+    return vectors(spark, d).where("doc_id % 20 = 0").withColumnRenamed("doc_id", "qid")
+
+
+@query(f"with {PAIRED} select qid, entry_id, round(score, 6) as score from s where score >= 0.3 qualify row_number() over (partition by qid order by round(score, 9) desc, entry_id) = 1")
 def semantic_cache_lookup(spark, d):
-    v = vectors(spark, d)
-    found = cache.lookup(v.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "entry_id"), v.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "qid"), 0.3)
-    return found.select("qid", "entry_id", r6("score"))
+    return cache.lookup(stored(spark, d), lookups(spark, d), 0.3).select("qid", "entry_id", r6("score"))
+
+
+@query(f"with {PAIRED} select qid, entry_id, cast(row_number() over (partition by qid order by round(score, 9) desc, entry_id) as int) as rank, round(score, 6) as score from s where score >= 0.2 qualify rank <= 5")
+def similar_queries(spark, d):
+    return cache.similar(stored(spark, d), lookups(spark, d), 5, 0.2).select("qid", "entry_id", "rank", r6("score"))
+
+
+@query(f"""with {CACHE}, near as (select a.entry_id as qid, b.entry_id, a.hits as mine, b.hits as its, list_dot_product(a.vec, b.vec) / sqrt(list_dot_product(a.vec, a.vec) * list_dot_product(b.vec, b.vec)) as score from entry a, entry b),
+top as (select * from near where score >= 0.5 qualify row_number() over (partition by qid order by round(score, 9) desc, entry_id) <= 20)
+select entry_id from entry where entry_id not in (select qid from top where qid <> entry_id and (its > mine or its = mine and entry_id < qid))""")
+def cache_eviction_similar(spark, d):
+    return cache.evict_similar(stored(spark, d), 0.5).select("entry_id")
+
+
+@query(f"""with {CACHE}, lg as (select 'q' || user_id % 50 as query from events), often as (select query, count(*) as n from lg where query not in (select query from entry where entry_id % 2 = 0) group by query order by n desc, query limit 100)
+select query, hits from entry where entry_id % 2 = 0 union all select query, cast(n as int) from often join (select query from entry where entry_id < 40) using (query)""")
+def cache_warm(spark, d):
+    asked = table(spark, d, "events").select(F.concat(F.lit("q"), F.col("user_id") % 50).alias("query"))
+    x = stored(spark, d)
+    return cache.warm(x.where("entry_id % 2 = 0"), x.where("entry_id < 40").select("query", "vec"), asked).select("query", "hits")
+
+
+@query("with e as (select event_id as entry_id, 'q' || user_id % 50 as query, ts as created, least(ts + interval 10 minute + interval 15 minute, ts + interval 1 hour) as expires from events) select entry_id from e where expires > timestamp '2024-01-05 00:00:00' qualify row_number() over (partition by query order by created desc, entry_id) = 1")
+def cache_compact(spark, d):
+    e = entries(spark, d).withColumns({"query": F.concat(F.lit("q"), F.substring("query", 2, 9).cast("int") % 50), "last_used": F.col("last_used") + F.expr("interval 10 minutes")})
+    return cache.compact(cache.expiring(e), "2024-01-05 00:00:00").select("entry_id")
+
+
+@query("select conv_id, turn, substr(translate(to_base64(unhex(sha256(coalesce(text, '') || '|10|0.5'))), '+/', '-_'), 1, 16) as key from conversations")
+def cache_keys(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", cache.key(F.col("text"), F.lit(10), F.lit(0.5)).alias("key"))
+
+
+@query(f"with {CACHE} select count(*) as entries, cast(sum(strlen(query) + 8 * len(vec)) as bigint) as bytes from entry")
+def cache_usage(spark, d):
+    return cache.usage(stored(spark, d))
 
 
 ENTRIES = "entries as (select event_id as entry_id, 'q' || user_id as query, cast(floor(value) as int) as hits, ts as last_used, ts + interval 1 hour as expires from events)"
@@ -274,14 +385,24 @@ def stream(spark, d):
     return from_events(streams.source(spark, d, "events", table(spark, d, "events").schema))
 
 
+ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+
+
 @query(f"with {LOGS} select date_trunc('day', ts) as start, {DASH} from scored group by 1")
 def stream_dashboard(spark, d):
-    return rounded(streams.drain(streams.dashboard(stream(spark, d)), "complete").withColumn("start", F.col("start").cast("timestamp_ntz")), ["start", *DASH_COLUMNS])
+    return rounded(streams.drain(streams.dashboard(stream(spark, d)), ["start"]).withColumn("start", ntz("start")), ["start", *DASH_COLUMNS])
+
+
+@query(f"with {LOGS}, w as (select *, unnest([date_trunc('day', ts) + interval 12 hour * cast(date_part('hour', ts) >= 12 as int), date_trunc('day', ts) + interval 12 hour * (cast(date_part('hour', ts) >= 12 as int) - 1)]) as start from scored) select start, {DASH} from w group by 1")
+def stream_sliding(spark, d):
+    """Trailing days, every twelve hours."""
+    x = streams.drain(streams.dashboard(stream(spark, d), "1 day", "12 hours"), ["start"])
+    return rounded(x.withColumn("start", ntz("start")), ["start", *DASH_COLUMNS])
 
 
 @query(f"with {LOGS}, {TRENDS} select start, queries, round(avg_score, 6) as avg_score from trends")
 def stream_trends(spark, d):
-    return streams.drain(streams.trends(stream(spark, d)), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "queries", r6("avg_score"))
+    return streams.drain(streams.trends(stream(spark, d)), ["start"]).select(ntz("start"), "queries", r6("avg_score"))
 
 
 @query(f"with {LOGS}, {ALERTS} select * from alerts")
@@ -296,12 +417,70 @@ def stream_dedupe(spark, d):
 
 @query(f"with {LOGS}, {STRATEGIES} select strategy, uses, round(avg_ms, 6) as avg_ms from metrics")
 def stream_strategies(spark, d):
-    return streams.drain(streams.strategies(stream(spark, d)), "complete").select("strategy", "uses", r6("avg_ms"))
+    return streams.drain(streams.strategies(stream(spark, d)), ["strategy"]).select("strategy", "uses", r6("avg_ms"))
 
 
-@query()
+@query("""with l as (select 'q' || user_id % 50 as query, ts, lag(ts) over (partition by 'q' || user_id % 50 order by ts) as before from events),
+n as (select *, sum(cast(before is null or ts > before + interval 30 minute as int)) over (partition by query order by ts, before) as number from l),
+s as (select query, min(ts) as start, max(ts) + interval 30 minute as stop, count(*) as queries from n group by query, number)
+select start, query, queries from s where stop <= (select max(ts) - interval 24 hour from events)""")
 def stream_sessions(spark, d):
-    return streams.drain(streams.sessions(stream(spark, d)))
+    """Sessions that ended before the watermark; later ones may still grow, and wait in the state."""
+    return streams.drain(streams.sessions(stream(spark, d))).select(ntz("start"), "query", "queries")
+
+
+@query(f"with {CHUNK_SQL} select document_id, chunk_index, length(content) as n from chunks")
+def stream_chunks(spark, d):
+    docs = streams.source(spark, d, "documents", table(spark, d, "documents").schema)
+    return streams.drain(streams.chunks(docs)).select("document_id", "chunk_index", F.length("content").cast("long").alias("n"))
+
+
+@query(f"""with {SAMPLES}, j as (select *, scans - lag(scans) over (order by tick) as jump from samples) select tick, 'LowEfficiency' as kind, case when efficiency < 0.3 then 'High' when efficiency < 0.4 then 'Medium' else 'Low' end as severity from j where efficiency < 0.5
+union all select tick, 'ScanIncrease', case when jump > 10000 then 'High' when jump > 5000 then 'Medium' else 'Low' end from j where jump > 1000""")
+def stream_anomalies(spark, d):
+    events = streams.source(spark, d, "events", table(spark, d, "events").schema)
+    return streams.sampled(samples(events)).withColumnRenamed("at", "tick")
+
+
+# --- alerts, feedback, summaries ---
+
+
+@query(f"""with {LOGS}, {ALERTS}, res as (select event_id, ts + interval 2 hour as resolved_at from events where event_id % 3 = 0)
+select event_id, alert, severity, resolved_at from alerts left join res using (event_id) where resolved_at is null or resolved_at >= timestamp '2024-01-14 00:00:00'""")
+def alert_resolution(spark, d):
+    """The alert store on 15 January: open alerts, and those resolved within the last day."""
+    resolutions = monitor.alerts(logs(spark, d)).where("event_id % 3 = 0").select("event_id", "alert", (F.col("ts") + F.expr("interval 2 hours")).alias("resolved_at"))
+    return monitor.resolved(monitor.alerts(logs(spark, d)), resolutions, "2024-01-15 00:00:00").select("event_id", "alert", "severity", ntz("resolved_at"))
+
+
+@query(f"""with {LOGS}, {ALERTS} select {DASH}, round(avg(cast(results > 0 as int)), 6) as hit_rate,
+list_sort(list(response_ms))[cast(floor(0.95 * (count(*) - 1)) as bigint) + 1] as p95_ms, list_sort(list(response_ms))[cast(floor(0.99 * (count(*) - 1)) as bigint) + 1] as p99_ms,
+(select count(*) from alerts where event_id % 3 <> 0) as active_alerts from scored""")
+def dashboard_full(spark, d):
+    x = monitor.full_dashboard(logs(spark, d), monitor.alerts(logs(spark, d)).where("event_id % 3 <> 0"))
+    return x.select(*(r6(c) if c.startswith("avg_") else c for c in DASH_COLUMNS), r6("hit_rate"), "p95_ms", "p99_ms", "active_alerts")
+
+
+@query("select event_id from events order by ts desc, event_id desc limit 50")
+def recent_queries(spark, d):
+    return monitor.recent(logs(spark, d)).select("event_id")
+
+
+@query(f"""with {LOGS}, fb as (select event_id, cast(event_id % 5 as double) / 4 as rating from events where event_id % 4 = 1), m as (select query, strategy, count(*) as uses, avg(coalesce(rating, score / 100)) as satisfaction from scored left join fb using (event_id) group by query, strategy)
+select query, strategy, uses, round(satisfaction, 6) as satisfaction from m qualify row_number() over (partition by query order by round(satisfaction, 9) desc, strategy) = 1""")
+def feedback_strategies(spark, d):
+    feedback = table(spark, d, "events").where("event_id % 4 = 1").selectExpr("event_id", "cast(event_id % 5 as double) / 4 as rating")
+    return monitor.reoptimised(logs(spark, d), feedback, "query").select("query", "strategy", "uses", r6("satisfaction"))
+
+
+@query(f"""with {SAMPLES}, j as (select *, scans - lag(scans) over (order by tick) as jump from samples), an as (select case when efficiency < 0.3 then 'High' when efficiency < 0.4 then 'Medium' else 'Low' end as severity from j where efficiency < 0.5
+union all select case when jump > 10000 then 'High' when jump > 5000 then 'Medium' else 'Low' end from j where jump > 1000)
+select count(*) as samples, round(avg(efficiency), 6) as avg_efficiency, round(min(efficiency), 6) as min_efficiency, round(max(efficiency), 6) as max_efficiency, cast(sum(scans) as bigint) as scans,
+(select count(*) from an where severity = 'High') as high, (select count(*) from an where severity = 'Medium') as medium, (select count(*) from an where severity = 'Low') as low from samples""")
+def monitoring_summary(spark, d):
+    s = samples(table(spark, d, "events"))
+    x = monitor.monitoring_summary(s, monitor.anomalies(s))
+    return x.select("samples", r6("avg_efficiency"), r6("min_efficiency"), r6("max_efficiency"), "scans", "high", "medium", "low")
 
 
 # --- aggregates beyond the retrieval library ---

@@ -28,6 +28,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (n > 0), dot(a, b) / n).otherwise(0.0)
 
 
+def checked_cosine(a: Column, b: Column) -> Column:
+    """The job stops at vectors of unlike lengths."""
+    return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("vectors of unlike lengths")).cast("double")).otherwise(cosine(a, b))
+
+
 def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(_sum(F.zip_with(a, b, lambda x, y: F.pow(_double(x) - _double(y), 2))))
 

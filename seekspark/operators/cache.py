@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import nearest
@@ -26,6 +26,51 @@ def evict(cache: DataFrame, most: int = ENTRIES, policy: str = "LRU") -> DataFra
     return cache.orderBy(*order, "entry_id").limit(most)
 
 
+def expiring(cache: DataFrame, sliding: str = "15 minutes", absolute: str = "1 hour") -> DataFrame:
+    """Sets `expires`: so long after the last use, but no longer after the entry was made."""
+    return cache.withColumn("expires", F.least(F.col("last_used") + F.expr(f"interval {sliding}"), F.col("created") + F.expr(f"interval {absolute}")))
+
+
+def similar(cache: DataFrame, queries: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
+    """(qid, entry_id, score, rank): the stored queries most like each query."""
+    hits = nearest.knn(cache.select(F.col("entry_id").alias("doc_id"), "vec"), queries.select("qid", "vec"), k, min_score=least)
+    return hits.withColumnRenamed("doc_id", "entry_id")
+
+
+def evict_similar(cache: DataFrame, least: float = 0.95) -> DataFrame:
+    """Entries without those that a more used one (then: the older by id) already answers for."""
+    pairs = similar(cache, cache.select(F.col("entry_id").alias("qid"), "vec"), 20, least).where("qid <> entry_id")
+    use = cache.select("entry_id", "hits")
+    x = pairs.join(use.selectExpr("entry_id qid", "hits mine"), "qid").join(use.withColumnRenamed("hits", "its"), "entry_id")
+    gone = x.where((F.col("its") > F.col("mine")) | ((F.col("its") == F.col("mine")) & (F.col("entry_id") < F.col("qid"))))
+    return cache.join(gone.select(F.col("qid").alias("entry_id")).distinct(), "entry_id", "left_anti")
+
+
+def warm(cache: DataFrame, results: DataFrame, logs: DataFrame, k: int = 100) -> DataFrame:
+    """Adds the results (query, vec) of the k queries asked most often that have no entry."""
+    known = cache.select("query").distinct()
+    often = logs.groupBy("query").agg(F.count("*").alias("n")).join(known, "query", "left_anti").orderBy(F.desc("n"), "query").limit(k)
+    new = results.join(often, "query").select(F.xxhash64("query").alias("entry_id"), "query", "vec", F.col("n").cast("int").alias("hits"))
+    return cache.select("entry_id", "query", "vec", "hits").unionByName(new)
+
+
+def compact(cache: DataFrame, as_of: str) -> DataFrame:
+    """Live entries, the latest of each query."""
+    return put(live(cache, as_of), cache.limit(0))
+
+
+def key(*parts: Column) -> Column:
+    """Sixteen characters of the SHA-256 of what a cached result depends on, safe in addresses and file names."""
+    digest = F.base64(F.unhex(F.sha2(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), 256)))
+    return F.substring(F.translate(digest, "+/", "-_"), 1, 16)
+
+
+def usage(cache: DataFrame) -> DataFrame:
+    """(entries, bytes): how many entries there are, and the size of their queries and vectors."""
+    size = F.octet_length("query") + (8 * F.size("vec") if "vec" in cache.columns else F.lit(0))
+    return cache.agg(F.count("*").alias("entries"), F.sum(size).cast("long").alias("bytes"))
+
+
 def invalidate(cache: DataFrame, pattern: str) -> DataFrame:
     """Entries whose query does not match the pattern with * and ?."""
     return cache.where(~F.col("query").like(pattern.replace("%", r"\%").replace("_", r"\_").replace("*", "%").replace("?", "_")))

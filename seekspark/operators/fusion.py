@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
 from .lexical import top
 
 RRF_K = 60
@@ -51,6 +52,54 @@ def harmonic(v: DataFrame, s: DataFrame, wv: float = 0.7, ws: float = 0.3, k: in
     return _finish(_paired(v, s, "inner"), F.when(a + b > 0, 2 * a * b / (a + b)).otherwise(0.0), k, least)
 
 
+def combined(v: DataFrame, s: DataFrame, wv: float = 0.7) -> DataFrame:
+    """Weighted where both arms have a document; alone, the vector arm keeps its score and the other is weighted. All rows, ranked."""
+    both = wv * F.col("v") + (1 - wv) * F.col("s")
+    score = F.when(F.col("v").isNotNull(), F.when(F.col("s").isNotNull(), both).otherwise(F.col("v"))).otherwise((1 - wv) * F.col("s"))
+    w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "doc_id")
+    return _paired(v, s, "full").select("qid", "doc_id", score.alias("score")).withColumn("rank", F.row_number().over(w))
+
+
+def _odds(weights: tuple[float, float, float]) -> Column:
+    a, b, c = weights
+    zero = lambda x: F.coalesce(F.col(x), F.lit(0.0))
+    return 1 / (1 + F.exp(-(a * zero("v") + b * zero("s") + c)))
+
+
+def learned(v: DataFrame, s: DataFrame, weights: tuple[float, float, float], k: int = 10, least: float = 0.0) -> DataFrame:
+    """A logistic model over the arms' scores (weights of both, and a constant)."""
+    return _finish(_paired(v, s, "full"), _odds(weights), k, least)
+
+
+def fit(v: DataFrame, s: DataFrame, good: DataFrame, steps: int = 8, rate: float = 0.5) -> DataFrame:
+    """(labelled, a, b, c, loss, improves): the logistic model's weights by gradient descent; documents in `good` (doc_id) are right.
+
+    A step is one sum over the pairs, of which five numbers reach the driver. A step that makes the loss larger is taken back, and
+    the next is half as long.
+    """
+    y = F.coalesce("y", F.lit(0.0)).alias("y")
+    pairs = kept(_paired(v, s, "full").join(good.select("doc_id", F.lit(1.0).alias("y")).distinct(), "doc_id", "left").select("v", "s", y), "pairs")
+    zero = lambda x: F.coalesce(F.col(x), F.lit(0.0))
+
+    def at(w: tuple[float, float, float]):
+        p, y = _odds(w), F.col("y")
+        loss = F.avg(-(y * F.ln(p + 1e-12) + (1 - y) * F.ln(1 - p + 1e-12)))
+        return pairs.agg(loss, F.avg((p - y) * zero("v")), F.avg((p - y) * zero("s")), F.avg(p - y), F.count("*")).first()
+
+    w = (1.0, 0.0, 0.0)
+    best = first = at(w)
+    for _ in range(steps if first[4] else 0):
+        size = max(sum(x * x for x in best[1:4]) ** 0.5, 1e-12)
+        moved = tuple(x - rate * g / size for x, g in zip(w, best[1:4], strict=True))
+        now = at(moved)
+        if now[0] < best[0]:
+            w, best = moved, now
+        else:
+            rate /= 2
+    row = (first[4], *w, best[0], (best[0] or 0.0) < (first[0] or 0.0))
+    return pairs.sparkSession.createDataFrame([row], "labelled long, a double, b double, c double, loss double, improves boolean")
+
+
 METHODS = {"RRF": rrf, "WeightedSum": weighted_sum, "Maximum": maximum, "HarmonicMean": harmonic, "Product": lambda v, s, wv=None, ws=None, k=10, least=0.0: product(v, s, k, least)}
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.shared import kept
 
@@ -142,6 +143,10 @@ def anomalies(samples: DataFrame) -> DataFrame:
     return x.select("at", F.explode(F.array_compact(F.array(low, more))).alias("a")).select("at", "a.*")
 
 
+def anomalies_schema():
+    return T.StructType([T.StructField("at", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("severity", T.StringType())])
+
+
 def monitoring_summary(samples: DataFrame, found: DataFrame) -> DataFrame:
     """One row on a period: samples, mean, least and largest efficiency, all scans, anomalies by severity."""
     x = samples.agg(F.count("*").alias("samples"), F.avg("efficiency").alias("avg_efficiency"), F.min("efficiency").alias("min_efficiency"), F.max("efficiency").alias("max_efficiency"), F.sum("scans").alias("scans"))

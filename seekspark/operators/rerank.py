@@ -39,3 +39,16 @@ def local(queries: DataFrame, candidates: DataFrame, k: int = 10, least: float =
     x = x.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)))
     x = x.withColumn("new_rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "rank")))
     return x.where((F.col("score") >= least) & (F.col("new_rank") <= k)).select("qid", "doc_id", "rank", "new_rank", "tfidf", "bm25", "score")
+
+
+#: Weights of likeness, quality (length up to a thousand characters) and place, by strategy; models are hooks of their own.
+STRATEGIES = {"Semantic": (1.0, 0.0, 0.0), "Quality": (0.4, 0.6, 0.0), "Contextual": (0.5, 0.0, 0.5), "Hybrid": (0.5, 0.2, 0.3)}
+
+
+def by_strategy(candidates: DataFrame, strategy: str, k: int = 10) -> DataFrame:
+    """(qid, doc_id, rank, new_rank, score) of candidates (qid, doc_id, rank, score, text)."""
+    a, b, c = STRATEGIES[strategy]
+    score = a * F.col("score") + b * F.least(F.lit(1.0), F.length("text") / 1000) + c / F.col("rank")
+    x = candidates.withColumn("score", score)
+    w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "doc_id")
+    return x.withColumn("new_rank", F.row_number().over(w)).where(F.col("new_rank") <= k).select("qid", "doc_id", "rank", "new_rank", "score")

@@ -63,10 +63,12 @@ def grid(spark: SparkSession) -> DataFrame:
 
 
 def variations(base: DataFrame) -> DataFrame:
-    """Eleven rows around each (m, efc, efs): five of m, three of each width; the base itself comes three times."""
-    at = lambda m=None, c=None, s=None: F.struct((m if m is not None else F.col("m")).cast("int").alias("m"), (c if c is not None else F.col("efc")).cast("int").alias("efc"), (s if s is not None else F.col("efs")).cast("int").alias("efs"))
-    some = [at(m=F.greatest(F.lit(4), F.col("m") + 2 * i)) for i in range(-2, 3)] + [at(c=F.greatest(F.lit(16), F.col("efc") + 16 * i)) for i in (-1, 0, 1)] + [at(s=F.greatest(F.lit(10), F.col("efs") + 10 * i)) for i in (-1, 0, 1)]
-    return base.select(F.explode(F.array(*some)).alias("x")).select("x.*")
+    """Eleven rows around each (m, efc, efs): five of m, three of each width; the base itself comes three times. Other columns stay."""
+    at = lambda m=0, c=0, s=0: F.struct(F.lit(m).alias("a"), F.lit(c).alias("b"), F.lit(s).alias("c"))
+    some = [at(m=i) for i in range(-2, 3)] + [at(c=i) for i in (-1, 0, 1)] + [at(s=i) for i in (-1, 0, 1)]
+    others = [c for c in base.columns if c not in ("m", "efc", "efs")]
+    move = lambda low, of, n, by: F.greatest(F.lit(low), F.col(of) + n * F.col("x")[by]).cast("int").alias(of)
+    return base.withColumn("x", F.explode(F.array(*some))).select(*others, move(4, "m", 2, "a"), move(16, "efc", 16, "b"), move(10, "efs", 10, "c"))
 
 
 def performance(recall: Column, ms: Column, memory: Column, wr: Column, ws: Column, wm: Column) -> Column:
@@ -75,17 +77,52 @@ def performance(recall: Column, ms: Column, memory: Column, wr: Column, ws: Colu
     return recall * wr + unit((100 - ms) / 100) * ws + unit((mib - memory) / mib) * wm
 
 
-def tuned(rows: DataFrame, share: int = 3) -> DataFrame:
-    """Scores rows (strategy, recall, latency_ms, memory_bytes) by their strategy's weights; the best n div share of each, one at least."""
+def scored(rows: DataFrame) -> DataFrame:
+    """Adds `score` to rows (strategy, recall, latency_ms, memory_bytes), by their strategy's weights."""
     s = F.col("strategy")
     pick = lambda speed, accuracy, memory, other: F.when(s == "speed", speed).when(s == "accuracy", accuracy).when(s == "memory", memory).otherwise(other)
-    score = performance(F.col("recall"), F.col("latency_ms"), F.col("memory_bytes"), pick(0.2, 0.7, 0.3, 0.4), pick(0.6, 0.2, 0.2, 0.4), pick(0.2, 0.1, 0.5, 0.2))
-    x = rows.withColumn("score", score)
-    w = Window.partitionBy("strategy").orderBy(F.desc(F.round("score", 9)), "m")
+    weights = pick(0.2, 0.7, 0.3, 0.4), pick(0.6, 0.2, 0.2, 0.4), pick(0.2, 0.1, 0.5, 0.2)
+    return rows.withColumn("score", performance(F.col("recall"), F.col("latency_ms"), F.col("memory_bytes"), *weights))
+
+
+def tuned(rows: DataFrame, share: int = 3, order: tuple[str, ...] = ("m",)) -> DataFrame:
+    """The best n div share of each strategy by score, one at least."""
+    x = scored(rows)
+    w = Window.partitionBy("strategy").orderBy(F.desc(F.round("score", 9)), *order)
     n = F.count("*").over(Window.partitionBy("strategy"))
     return x.withColumns({"r": F.row_number().over(w), "n_all": n}).where(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("n_all") / share))).drop("n_all")
 
 
+def staged(spark: SparkSession, measure) -> DataFrame:
+    """(strategy, m, efc, efs, score, ...): tuning in stages. `measure` adds what was measured, or is estimated, of rows.
+
+    The best third of each strategy's candidates is varied, and of the best fifth of the variations the first is taken.
+    """
+    best = tuned(measure(grid(spark))).select("strategy", "m", "efc", "efs")
+    fine = tuned(measure(variations(best).distinct()), 5, ("m", "efc", "efs"))
+    return fine.where("r = 1")
+
+
+def around(base: DataFrame, radius: int) -> DataFrame:
+    """Rows (m, efc, efs) up to `radius` steps from each row of `base` in every direction."""
+    steps = F.sequence(F.lit(-radius), F.lit(radius))
+    x = base.withColumn("a", F.explode(steps)).withColumn("b", F.explode(steps)).withColumn("c", F.explode(steps))
+    move = lambda low, of, n, by: F.greatest(F.lit(low), F.col(of) + n * F.col(by)).cast("int").alias(of)
+    return x.select(move(4, "m", 2, "a"), move(16, "efc", 16, "b"), move(10, "efs", 10, "c")).distinct()
+
+
+def baseline(samples: DataFrame) -> DataFrame:
+    """(index, n, latency): what later samples (index, latency) are held against."""
+    return samples.groupBy("index").agg(F.count("*").alias("n"), F.avg("latency").alias("latency"))
+
+
+def against(base: DataFrame, now: DataFrame, metric: str = "latency") -> DataFrame:
+    """(index, percent, severity): how far each index got worse than its baseline."""
+    x = base.select("index", F.col(metric).alias("old")).join(now.select("index", F.col(metric).alias("new")), "index")
+    percent = 100 * (F.col("new") - F.col("old")) / F.col("old")
+    return x.select("index", percent.alias("percent"), severity(percent, F.lit(metric)).alias("severity"))
+
+
 def within(rows: DataFrame, max_ms: float = 50, min_recall: float = 0.9, max_mb: int = 4096, max_minutes: float = 30) -> DataFrame:
     return rows.where((F.col("latency_ms") <= max_ms) & (F.col("recall") >= min_recall) & (F.col("memory_bytes") <= max_mb * 1048576) & (F.col("build_seconds") <= max_minutes * 60))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import space_tokens, sparse_tokens
+from ..functions.text import keyword_score, space_tokens, sparse_tokens
 from ..operators import fusion, lexical, nearest
 from ..operators.lexical import top
 
@@ -90,14 +90,41 @@ def phrase(docs: DataFrame, words: str) -> DataFrame:
     return docs.where(F.contains(F.lower("text"), F.lit(words.lower())))
 
 
-def facets(docs: DataFrame, fields: list[str], most: int = 10) -> DataFrame:
-    """(field, value, n): the most frequent values of each field, in one pass over the rows."""
-    long = docs.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))).alias("x")).select("x.*")
-    counts = long.groupBy("field", "value").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("field").orderBy(F.desc("n"), "value")
+def facets(docs: DataFrame, fields: list[str], most: int = 10, by: list[str] | None = None) -> DataFrame:
+    """(by, field, value, n): the most frequent values of each field, in one pass over the rows."""
+    by = by or []
+    long = docs.select(*by, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))).alias("x")).select(*by, "x.*")
+    counts = long.groupBy(*by, "field", "value").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*by, "field").orderBy(F.desc("n"), "value")
     return counts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r")
 
 
+def keyword(docs: DataFrame, chunks: DataFrame, word: str, k: int = 10, wanted: dict[str, str] | None = None) -> DataFrame:
+    """(chunk_id, score, rank): of documents that hold the word, the chunks that hold it, by how often for each of their words."""
+    held = docs.where(F.contains(F.lower("text"), F.lit(word.lower()))).select(F.col("doc_id").alias("document_id"))
+    found = chunks.where(F.contains(F.lower("content"), F.lit(word.lower()))).join(held, "document_id", "left_semi")
+    found = metadata_filter(found, wanted or {}).select("chunk_id", keyword_score(F.col("content"), word).alias("score"))
+    best = found.orderBy(F.desc(F.round("score", 9)), "chunk_id").limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "chunk_id")))
+
+
+def in_fields(docs: DataFrame, wanted: dict[str, str], case_sensitive: bool = False) -> DataFrame:
+    """Documents that hold a field's text in that field, with in_<field> for each."""
+    low = (lambda c: c) if case_sensitive else F.lower
+    found = {f"in_{f}": F.coalesce(F.contains(low(F.col(f)), F.lit(x if case_sensitive else x.lower())), F.lit(False)) for f, x in wanted.items()}
+    some = F.lit(False)
+    for c in found:
+        some = some | F.col(c)
+    return docs.withColumns(found).where(some)
+
+
+def merged(chunks: DataFrame, metadata: dict[str, str], score: Column) -> DataFrame:
+    """Chunks with another score, and metadata in which the new values win."""
+    new = F.create_map(*(F.lit(x) for kv in metadata.items() for x in kv))
+    old = F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin(list(metadata)))
+    return chunks.withColumns({"metadata": F.map_concat(old, new), "score": score})
+
+
 def suggestions(terms: DataFrame, prefix: str, k: int = 10) -> DataFrame:
     return terms.where(F.startswith("term", F.lit(prefix.lower()))).orderBy(F.desc("df"), "term").limit(k)
 

@@ -93,3 +93,9 @@ def quarantine(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
 def write_chunks(chunks: DataFrame, path: str, mode: str = "append") -> None:
     """Stores chunks so that a document's are together in a file, in order; readers skip by document_id."""
     chunks.repartitionByRange("document_id").sortWithinPartitions("document_id", "chunk_index").write.mode(mode).parquet(path)
+
+
+def clear(spark: SparkSession, path: str) -> None:
+    """Takes all rows out of a stored table; its columns stay."""
+    schema = spark.read.parquet(path).schema
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)

@@ -1,16 +1,18 @@
-"""The monitoring operators on streams: dashboard, trends, alerts, dedupe, strategy means, chunk ingestion.
+"""The monitoring operators on streams: dashboard, trends, alerts, dedupe, strategy means, anomalies, chunk ingestion.
 
-Each function takes a streaming DataFrame of logs and gives one; `drain` runs a bounded stream to its end into a table.
+Each function takes a streaming DataFrame and gives one. `drain` runs a bounded stream to its end. What a stream writes is Parquet in
+the shared folder, a folder for each micro-batch, with the checkpoint beside it: a batch that is tried again overwrites its own
+folder, and a stream that is started again goes on where it stopped. Aggregates are written as updates, so state beyond the
+watermark is evicted; readers keep each key's latest row.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import chunking, monitor
+from ..sources.shared import place
 
 RETENTION = "24 hours"
 
@@ -47,7 +49,7 @@ def sessions(logs: DataFrame, key: str = "query", gap: str = "30 minutes") -> Da
 
 
 def strategies(logs: DataFrame) -> DataFrame:
-    """Running means of each strategy."""
+    """Running means of each strategy; the key is bounded, and so is the state."""
     return monitor.strategy_metrics(monitor.scored(logs))
 
 
@@ -56,9 +58,58 @@ def chunks(docs: DataFrame, strategy: str = "fixed") -> DataFrame:
     return chunking.chunk(docs, strategy)
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs the stream over all that is there, and returns what it wrote."""
-    name = f"drained_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+# --- running ---------------------------------------------------------------------
+
+
+def store(stream: DataFrame, path: str, mode: str = "append", each=None):
+    """Starts the stream into folders of `path`; `each` makes of a batch, and of the path, what is written of it."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        out = each(batch, path, number) if each else batch
+        out.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    writer = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint")
+    return writer.trigger(availableNow=True).start()
+
+
+def stored(spark: SparkSession, path: str, schema, keys: list[str] | None = None) -> DataFrame:
+    """What a stream has written: all rows, or each key's latest."""
+    fields = schema.simpleString()[len("struct<") : -1]
+    rows = spark.read.schema(f"{fields}, batch long").parquet(f"{path}/rows") if _written(spark, path) else spark.createDataFrame([], f"{fields}, batch long")
+    if keys:
+        w = Window.partitionBy(*keys).orderBy(F.desc("batch"))
+        rows = rows.withColumn("place", F.row_number().over(w)).where("place = 1").drop("place")
+    return rows.drop("batch")
+
+
+def _written(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/rows")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def drain(stream: DataFrame, keys: list[str] | None = None, each=None, schema=None) -> DataFrame:
+    """Runs the stream over all that is there, and returns what it wrote; with keys it is an aggregate, written as updates."""
+    path = place(stream.sparkSession, "stream")
+    store(stream, path, "update" if keys else "append", each).awaitTermination()
+    return stored(stream.sparkSession, path, schema or stream.schema, keys)
+
+
+def progress(query) -> list[dict]:
+    """Of each micro-batch of a running or ended query: its number, rows and milliseconds."""
+    return [{"batch": p["batchId"], "rows": p["numInputRows"], "ms": p["batchDuration"]} for p in query.recentProgress]
+
+
+def sampled(samples: DataFrame, directory: str | None = None) -> DataFrame:
+    """Anomalies of samples (at, efficiency, scans) as they stream in; a batch's first sample is held against the last before it."""
+    spark = samples.sparkSession
+    last = directory or place(spark, "last")
+
+    def each(batch: DataFrame, path: str, number: int) -> DataFrame:
+        held = f"{last}/{number}"
+        batch.orderBy(F.desc("at")).limit(1).write.mode("overwrite").parquet(held)
+        if number == 0:
+            return monitor.anomalies(batch)
+        before = spark.read.schema(batch.schema).parquet(f"{last}/{number - 1}")
+        return monitor.anomalies(batch.unionByName(before)).join(before.select("at"), "at", "left_anti")
+
+    return drain(samples, each=each, schema=monitor.anomalies_schema())

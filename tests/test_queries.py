@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seekspark import catalog
-from seekspark.catalog import analysis, evaluation, monitoring, retrieval  # noqa: F401
+from seekspark.catalog import analysis, evaluation, ingest, monitoring, retrieval  # noqa: F401
 from seekspark.operators import cache, chunking, context, evaluate, monitor, nearest
 from seekspark.sources import tables, web
 
