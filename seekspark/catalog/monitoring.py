@@ -220,9 +220,9 @@ def hnsw_constrained(spark, d):
     return x.select("n", "dim", "target", F.col("m").cast("int").alias("m"), F.col("efc").cast("int").alias("efc"))
 
 
-@query(f"with {PARAMS}, {ESTIMATES} select n, dim, target from e where latency_ms <= 50 and recall >= 0.5 and memory_bytes <= 4096.0 * 1048576 and build_seconds <= 1800")
+@query(f"with {PARAMS}, {ESTIMATES} select n, dim, target from e where latency_ms <= 50 and recall >= 0.1 and memory_bytes <= 4096.0 * 1048576 and build_seconds <= 1800")
 def hnsw_within(spark, d):
-    return tuning.within(tuning.estimates(parameters(spark)), min_recall=0.5).select("n", "dim", "target")
+    return tuning.within(tuning.estimates(parameters(spark)), min_recall=0.1).select("n", "dim", "target")
 
 
 @query(f"with {TUNED} select strategy, m, efc, efs, round(cast(score as double), 6) as score from s")

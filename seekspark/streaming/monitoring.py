@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import chunking, monitor
 from ..sources.shared import place
@@ -74,8 +75,8 @@ def store(stream: DataFrame, path: str, mode: str = "append", each=None):
 
 def stored(spark: SparkSession, path: str, schema, keys: list[str] | None = None) -> DataFrame:
     """What a stream has written: all rows, or each key's latest."""
-    fields = schema.simpleString()[len("struct<") : -1]
-    rows = spark.read.schema(f"{fields}, batch long").parquet(f"{path}/rows") if _written(spark, path) else spark.createDataFrame([], f"{fields}, batch long")
+    fields = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    rows = spark.read.schema(fields).parquet(f"{path}/rows") if _written(spark, path) else spark.createDataFrame([], fields)
     if keys:
         w = Window.partitionBy(*keys).orderBy(F.desc("batch"))
         rows = rows.withColumn("place", F.row_number().over(w)).where("place = 1").drop("place")
