@@ -14,9 +14,12 @@ r6 = lambda c: F.round(c, 6).alias(c)
 
 TRUTH = "truth as (select item_id as qid, doc_id from benchmark join documents d on contains(d.text, benchmark.text))"
 FOUND = f"asked as (select item_id as qid, text from benchmark), {bm25('documents')}"
-MEASURED = f"""{FOUND}, {TRUTH}, x as (select coalesce(s.qid, t.qid) as qid, s.rank, t.doc_id is not null as rel, s.doc_id is not null as got from sparse s full join truth t on s.qid = t.qid and s.doc_id = t.doc_id),
-g as (select qid, count(*) filter (rel and got) as tp, count(*) filter (got and not rel) as fp, count(*) filter (not got) as fn, min(rank) filter (rel and got) as first, coalesce(sum(1 / log2(rank + 1)) filter (rel and got and rank <= 10), 0) as dcg from x group by qid),
-m as (select *, case when tp + fp > 0 then tp / (tp + fp) else 0 end as precision, case when tp + fn > 0 then tp / (tp + fn) else 0 end as recall, coalesce(1 / first, 0) as mrr, cast(tp > 0 as double) as hit_rate,
+MEASURED = f"""{FOUND}, {TRUTH}, x as (select coalesce(s.qid, t.qid) as qid, s.rank, t.doc_id is not null as rel, s.doc_id is not null as got
+  from sparse s full join truth t on s.qid = t.qid and s.doc_id = t.doc_id),
+g as (select qid, count(*) filter (rel and got) as tp, count(*) filter (got and not rel) as fp, count(*) filter (not got) as fn, min(rank) filter (rel
+  and got) as first, coalesce(sum(1 / log2(rank + 1)) filter (rel and got and rank <= 10), 0) as dcg from x group by qid),
+m as (select *, case when tp + fp > 0 then tp / (tp + fp) else 0 end as precision, case when tp + fn > 0 then tp / (tp + fn) else 0 end as recall,
+  coalesce(1 / first, 0) as mrr, cast(tp > 0 as double) as hit_rate,
   case when tp + fn > 0 then dcg / list_sum(list_transform(range(1, least(10, tp + fn) + 1), lambda i: 1 / log2(i + 1))) else 0 end as ndcg from g),
 metrics as (select *, case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0 end as f1_score from m)"""
 
@@ -31,7 +34,8 @@ def measured(spark, d):
     return evaluate.retrieval_metrics(lexical.bm25_sparse(documents(spark, d), asked), truth(spark, d))
 
 
-@query(f"with {MEASURED} select qid, tp, fp, fn, round(precision, 6) as precision, round(recall, 6) as recall, round(f1_score, 6) as f1_score, hit_rate from metrics")
+@query(f"""with {MEASURED} select qid, tp, fp, fn, round(precision, 6) as precision, round(recall, 6) as recall, round(f1_score, 6) as f1_score,
+  hit_rate from metrics""")
 def retrieval_metrics(spark, d):
     return measured(spark, d).select("qid", "tp", "fp", "fn", r6("precision"), r6("recall"), r6("f1_score"), "hit_rate")
 
@@ -52,7 +56,8 @@ an as (select asked.qid, asked.text as query, substr(coalesce(top, ''), 1, 300)
   from asked left join best using (qid)),
 aw as (select qid, list_distinct({LOWER.format('answer')}) as a, {LOWER.format('answer')} as c, {LOWER.format('query')} as q from an),
 cw as (select qid, rank, list_distinct({LOWER.format('d.text')}) as w from sparse join documents d using (doc_id)),
-ar as (select aw.qid, case when len(any_value(a)) > 0 then len(list_intersect(any_value(a), coalesce(flatten(list(w)), []))) / len(any_value(a)) else 0 end as faithfulness,
+ar as (select aw.qid, case when len(any_value(a)) > 0 then len(list_intersect(any_value(a), coalesce(flatten(list(w)),
+  []))) / len(any_value(a)) else 0 end as faithfulness,
   len(list_filter(any_value(q), lambda x: list_contains(any_value(c), x))) / greatest(1, len(any_value(q))) as answer_relevancy,
   coalesce(avg(case when w is not null then len(list_filter(q, lambda x: list_contains(w, x))) / greatest(1, len(q)) end), 0) as context_relevancy
   from aw left join cw using (qid) group by aw.qid),
@@ -133,11 +138,15 @@ def quality_verdict(spark, d):
     return evaluate.verdict(compared(spark, d)).select(r6("overall_improvement"), "is_better", "regressions")
 
 
-JOB_LOG = """jl as (select user_id as job_id, ts as stamp, case event_type when 'signup' then 'create' when 'view' then 'start' when 'click' then 'progress'
+JOB_LOG = """jl as (select user_id as job_id, ts as stamp, case event_type when 'signup' then 'create' when 'view' then 'start'
+  when 'click' then 'progress'
   when 'purchase' then 'finish' else 'cancel' end as event, case when event_type = 'click' then value / 500 end as progress from events),
-je as (select *, coalesce(max(cast(event in ('finish', 'fail', 'cancel') as int)) over (partition by job_id order by stamp, event rows between unbounded preceding and 1 preceding), 0) as ended from jl),
-jobs as (select job_id, min(stamp) as created, max(stamp) as changed, arg_max(case event when 'create' then 'Pending' when 'start' then 'Running' when 'progress' then 'Running'
-  when 'finish' then 'Completed' when 'fail' then 'Failed' else 'Cancelled' end, (stamp, event)) as status, coalesce(max(progress), 0) as progress from je where ended = 0 group by job_id)"""
+je as (select *, coalesce(max(cast(event in ('finish', 'fail', 'cancel') as int)) over (partition by job_id order by stamp,
+  event rows between unbounded preceding and 1 preceding), 0) as ended from jl),
+jobs as (select job_id, min(stamp) as created, max(stamp) as changed, arg_max(case event when 'create' then 'Pending' when 'start' then 'Running'
+  when 'progress' then 'Running'
+  when 'finish' then 'Completed' when 'fail' then 'Failed' else 'Cancelled' end, (stamp, event)) as status, coalesce(max(progress), 0) as progress
+  from je where ended = 0 group by job_id)"""
 
 
 def job_log(spark, d):
@@ -159,7 +168,9 @@ def job_filter(spark, d):
 
 
 TITLES = ["query", "기술 개발 방법", "데이터 분석 왜 이런가", "마케팅 전략 비교", "one two three four five six seven eight", "무엇 때문에 그런가 하나 둘", "plain words only here now", "연구 실험"]
-LOGS = f"logs as (select user_id as id, ({words(TITLES)})[1 + user_id % 8] as query, list(event_type order by event_id) as chunk_ids, list(value / 490 order by event_id) as scores, max(value) / 490 as rating, count(*) filter (event_type = 'purchase') > 0 as accepted from events group by user_id)"
+LOGS = f"""logs as (select user_id as id, ({words(TITLES)})[1 + user_id % 8] as query, list(event_type order by event_id) as chunk_ids,
+  list(value / 490 order by event_id) as scores, max(value) / 490 as rating, count(*) filter (event_type = 'purchase') > 0 as accepted from events
+  group by user_id)"""
 
 
 def logs(spark, d):
@@ -172,7 +183,9 @@ DIFFICULTY = """case when len(string_split(query, ' ')) <= 3 and not regexp_matc
   when len(string_split(query, ' ')) > 7 or regexp_matches(query, '분석|비교|설명') then 'Hard' else 'Medium' end"""
 NAMED = """case when regexp_matches(query, '기술|프로그래밍|개발|시스템|알고리즘') then ['기술'] else [] end || case when regexp_matches(query, '비즈니스|마케팅|경영|전략|수익') then ['비즈니스'] else [] end
   || case when regexp_matches(query, '과학|연구|실험|데이터|분석') then ['과학'] else [] end || case when regexp_matches(query, '일반|정보|설명|개념|정의') then ['일반'] else [] end"""
-GOLDEN = f"{LOGS}, z as (select *, list_filter(list_zip(chunk_ids, scores), lambda p: p[2] >= 0.3) as good from logs where accepted and rating >= 0.3), golden as (select id, query, list_transform(good, lambda p: p[1]) as relevant, rating as weight, {DIFFICULTY} as difficulty, {NAMED} as names from z where len(good) > 0)"
+GOLDEN = f"""{LOGS}, z as (select *, list_filter(list_zip(chunk_ids, scores), lambda p: p[2] >= 0.3) as good from logs
+  where accepted and rating >= 0.3), golden as (select id, query, list_transform(good, lambda p: p[1]) as relevant, rating as weight,
+  {DIFFICULTY} as difficulty, {NAMED} as names from z where len(good) > 0)"""
 
 
 @query(f"with {GOLDEN} select id, query, array_to_string(relevant, ',') as relevant, round(weight, 6) as weight, difficulty from golden")
@@ -180,13 +193,16 @@ def golden_from_logs(spark, d):
     return evaluate.golden_from_logs(logs(spark, d), 0.3).select("id", "query", F.array_join("relevant", ",").alias("relevant"), r6("weight"), "difficulty")
 
 
-@query(f"""with {GOLDEN} select 'total' as kind, 'items' as name, count(*) as n from golden union all select 'total', 'relevant', count(distinct r) from (select unnest(relevant) as r from golden)
-union all select 'category', c, count(*) from (select unnest(case when len(names) > 0 then names else ['일반'] end) as c from golden) group by c union all select 'difficulty', difficulty, count(*) from golden group by difficulty""")
+@query(f"""with {GOLDEN} select 'total' as kind, 'items' as name, count(*) as n from golden union all select 'total', 'relevant', count(distinct r)
+  from (select unnest(relevant) as r from golden)
+union all select 'category', c, count(*) from (select unnest(case when len(names) > 0 then names else ['일반'] end) as c from golden) group by c
+  union all select 'difficulty', difficulty, count(*) from golden group by difficulty""")
 def dataset_stats(spark, d):
     return evaluate.dataset_stats(evaluate.golden_from_logs(logs(spark, d), 0.3))
 
 
-@query("""select item_id, cast(item_id % 5 = 0 as int) + cast(item_id % 4 = 1 as int) + cast(item_id % 6 = 2 as int) as errors, cast(item_id % 3 = 0 as int) + cast(item_id % 7 = 0 as int) as warnings from benchmark""")
+@query("""select item_id, cast(item_id % 5 = 0 as int) + cast(item_id % 4 = 1 as int) + cast(item_id % 6 = 2 as int) as errors,
+  cast(item_id % 3 = 0 as int) + cast(item_id % 7 = 0 as int) as warnings from benchmark""")
 def dataset_validation(spark, d):
     i = F.col("item_id")
     items = table(spark, d, "benchmark").select(

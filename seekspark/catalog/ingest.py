@@ -21,26 +21,32 @@ r6 = lambda c: F.round(c, 6).alias(c)
 
 FULL = CHUNK_SQL.replace("from documents)", "from documents where text is not null and text <> '')")
 WORDS = SPACED.replace("text", "lower({})")
-EMBED = f"""emb as (select chunk_id, document_id, list_transform(cs, lambda x: x / sqrt(list_sum(list_transform(cs, lambda y: y * y)))) as vec from (select chunk_id, document_id,
-  list_transform(range(16), lambda i: cast(len(list_filter(ws, lambda x: x = i)) as double)) as cs from (select chunk_id, document_id, list_transform({WORDS.format('content')}, lambda w: (ascii(w) + length(w)) % 16) as ws from chunks where trim(content) <> '')))"""
+EMBED = f"""emb as (select chunk_id, document_id, list_transform(cs, lambda x: x / sqrt(list_sum(list_transform(cs, lambda y: y * y)))) as vec
+  from (select chunk_id, document_id,
+  list_transform(range(16), lambda i: cast(len(list_filter(ws, lambda x: x = i)) as double)) as cs
+  from (select chunk_id, document_id, list_transform({WORDS.format('content')}, lambda w: (ascii(w) + length(w)) % 16) as ws from chunks
+  where trim(content) <> '')))"""
 
 
 def indexed(spark, d):
     return ingest.index(documents(spark, d))
 
 
-@query(f"with {FULL} select doc_id, cast(coalesce(n, 0) as bigint) as n_chunks, case when coalesce(n, 0) > 0 then 'Indexed' else 'Failed' end as status from documents left join (select document_id, count(*) as n from chunks group by document_id) on doc_id = document_id")
+@query(f"""with {FULL} select doc_id, cast(coalesce(n, 0) as bigint) as n_chunks, case when coalesce(n, 0) > 0 then 'Indexed'
+  else 'Failed' end as status from documents left join (select document_id, count(*) as n from chunks group by document_id) on doc_id = document_id""")
 def ingest_documents(spark, d):
     return indexed(spark, d).documents.select("doc_id", "n_chunks", "status")
 
 
-@query(f"with {FULL}, {EMBED} select chunk_id, cast(len(vec) as int) as n, round(list_sum(list_transform(range(1, 17), lambda i: i * vec[i])), 6) as mark from emb union all select chunk_id, 0, null from chunks where trim(content) = ''")
+@query(f"""with {FULL}, {EMBED} select chunk_id, cast(len(vec) as int) as n, round(list_sum(list_transform(range(1, 17), lambda i: i * vec[i])),
+  6) as mark from emb union all select chunk_id, 0, null from chunks where trim(content) = ''""")
 def ingest_vectors(spark, d):
     mark = F.aggregate(F.transform("vec", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
     return indexed(spark, d).vectors.select("chunk_id", F.size("vec").alias("n"), F.when(F.size("vec") > 0, F.round(mark, 6)).alias("mark"))
 
 
-@query(f"""with newer as (select doc_id, case when doc_id % 10 = 1 then substr(text, 1, 700) || ' again' else text end as text, lang, source from documents), {FULL.replace('from documents', 'from newer')}
+@query(f"""with newer as (select doc_id, case when doc_id % 10 = 1 then substr(text, 1, 700) || ' again' else text end as text, lang, source
+  from documents), {FULL.replace('from documents', 'from newer')}
 select document_id, count(*) as chunks, cast(sum(length(content)) as bigint) as chars from chunks group by document_id""")
 def ingest_update(spark, d):
     """Every tenth document comes again with another text: its chunks are replaced."""
@@ -49,13 +55,15 @@ def ingest_update(spark, d):
     return x.chunks.groupBy("document_id").agg(F.count("*").alias("chunks"), F.sum(F.length("content")).alias("chars"))
 
 
-@query(f"with {FULL} select (select count(*) from documents where source <> 'src0') as documents, count(*) as chunks from chunks where document_id in (select doc_id from documents where source <> 'src0')")
+@query(f"""with {FULL} select (select count(*) from documents where source <> 'src0') as documents, count(*) as chunks from chunks
+  where document_id in (select doc_id from documents where source <> 'src0')""")
 def ingest_remove(spark, d):
     x = ingest.removed(indexed(spark, d), documents(spark, d).where("source = 'src0'").select("doc_id"))
     return x.documents.agg(F.count("*").alias("documents")).join(x.chunks.agg(F.count("*").alias("chunks")))
 
 
-@query(f"with {FULL}, {EMBED} select chunk_id, case when document_id % 5 = 2 then 8 else 16 end as n from emb union all select chunk_id, 0 from chunks where trim(content) = ''")
+@query(f"""with {FULL}, {EMBED} select chunk_id, case when document_id % 5 = 2 then 8 else 16 end as n from emb union all select chunk_id, 0
+  from chunks where trim(content) = ''""")
 def ingest_reembed(spark, d):
     """The documents of a fifth get vectors of another embedder."""
     hooks.register(hooks.EMBEDDERS, "eight", lambda c: hooks.counted_words(c, 8))
@@ -66,14 +74,17 @@ def ingest_reembed(spark, d):
 JAC = "len(list_intersect({0}, {1})) / greatest(1, len(list_distinct(list_concat({0}, {1}))))"
 
 
-@query(f"""with {CHUNK_SQL}, w as (select *, {WORDS.format('content')} as ws, list_distinct({WORDS.format('content')}) as s from chunks), l as (select *, lag(s) over o as ps, lead(s) over o as fs from w window o as (partition by document_id order by chunk_index))
-select chunk_id, round(case when ps is not null then {JAC.format('s', 'ps')} end, 6) as like_previous, round(case when fs is not null then {JAC.format('s', 'fs')} end, 6) as like_following,
+@query(f"""with {CHUNK_SQL}, w as (select *, {WORDS.format('content')} as ws, list_distinct({WORDS.format('content')}) as s from chunks),
+  l as (select *, lag(s) over o as ps, lead(s) over o as fs from w window o as (partition by document_id order by chunk_index))
+select chunk_id, round(case when ps is not null then {JAC.format('s', 'ps')} end, 6) as like_previous, round(case
+  when fs is not null then {JAC.format('s', 'fs')} end, 6) as like_following,
 round(0.5 * least(1.0, length(content) / 500) + 0.5 * case when len(ws) > 0 then len(s) / len(ws) else 0 end, 6) as quality from l""")
 def chunks_enriched(spark, d):
     return ingest.enriched(chunking.chunk(documents(spark, d))).select("chunk_id", r6("like_previous"), r6("like_following"), r6("quality"))
 
 
-@query(f"with {FULL} select (select count(*) from documents) as documents, count(distinct document_id) as indexed, count(*) as chunks, round(avg(length(content)), 6) as avg_chars, round(count(*) / count(distinct document_id), 6) as chunks_each from chunks")
+@query(f"""with {FULL} select (select count(*) from documents) as documents, count(distinct document_id) as indexed, count(*) as chunks,
+  round(avg(length(content)), 6) as avg_chars, round(count(*) / count(distinct document_id), 6) as chunks_each from chunks""")
 def index_statistics(spark, d):
     return ingest.statistics(indexed(spark, d)).select("documents", "indexed", "chunks", r6("avg_chars"), r6("chunks_each"))
 
@@ -114,7 +125,8 @@ def vector_upsert(spark, d):
     return x.select("doc_id", F.round(F.col("vec")[0].cast("double"), 6).alias("first"))
 
 
-@query("select page_id, case when length(trim(regexp_replace(coalesce(html, ''), '<[^>]*>', '', 'g'))) > 0 and url like 'http%' then 'kept' else 'rejected' end as outcome from (select page_id, url, case when page_id % 11 = 3 then '<p> </p>' else html end as html from pages)")
+@query("""select page_id, case when length(trim(regexp_replace(coalesce(html, ''), '<[^>]*>', '', 'g'))) > 0 and url like 'http%' then 'kept'
+  else 'rejected' end as outcome from (select page_id, url, case when page_id % 11 = 3 then '<p> </p>' else html end as html from pages)""")
 def web_rejects(spark, d):
     """Pages that gave no text are kept apart; one bad page does not stop the others."""
     from ..sources import web
@@ -127,8 +139,10 @@ def web_rejects(spark, d):
 # --- searches ---
 
 
-@query(f"""with {CORPUS}, {dense(5)}, entry as (select item_id as entry_id, vec from benchmark join vecs on item_id = doc_id where item_id % 3 = 0), c as (select qid from asked where qid % 3 = 0)
-select qid, dense.doc_id, cast(rank as int) as rank, round(score, 6) as score, false as cached from dense where qid not in (select qid from c) union all select qid, 1000000 + qid, 1, 1.0, true from c""")
+@query(f"""with {CORPUS}, {dense(5)}, entry as (select item_id as entry_id, vec from benchmark join vecs on item_id = doc_id where item_id % 3 = 0),
+  c as (select qid from asked where qid % 3 = 0)
+select qid, dense.doc_id, cast(rank as int) as rank, round(score, 6) as score, false as cached from dense where qid not in (select qid from c)
+  union all select qid, 1000000 + qid, 1, 1.0, true from c""")
 def facade_search(spark, d):
     """A third of the queries is answered by a cache, the others by a search."""
     cache, asked, corpus = _cached(spark, d)
@@ -143,7 +157,8 @@ def _cached(spark, d):
     return cache, asked, hybrid_corpus(spark, d).select("doc_id", "vec")
 
 
-@query(f"with {CORPUS}, {dense(5)} select qid, case when qid % 3 = 0 then 1 else count(*) end as results, qid % 3 = 0 as cached, round(case when qid % 3 = 0 then 1 else avg(score) end, 6) as similarity from dense group by qid")
+@query(f"""with {CORPUS}, {dense(5)} select qid, case when qid % 3 = 0 then 1 else count(*) end as results, qid % 3 = 0 as cached, round(case
+  when qid % 3 = 0 then 1 else avg(score) end, 6) as similarity from dense group by qid""")
 def facade_log(spark, d):
     cache, asked, corpus = _cached(spark, d)
     _, log = ingest.cached_search(cache, corpus, asked, lambda c, q: nearest.knn(c, q, 5), "2024-01-15 00:00:00")
@@ -157,26 +172,34 @@ def search_documents(spark, d):
     return nearest.knn(hybrid_corpus(spark, d), queries(spark, d), 10).join(docs, "doc_id").select("qid", "doc_id", "lang", "source", r6("score"))
 
 
-@query(f"with {CHUNK_SQL}, found as (select chunk_id, ((length(content) - length(replace(lower(content), 'the', ''))) / 3.0) / len(string_split(content, ' ')) as score from chunks where contains(lower(content), 'the') and lang = 'en') select chunk_id, round(score, 6) as score, cast(row_number() over (order by round(score, 9) desc, chunk_id) as int) as rank from found qualify rank <= 50")
+@query(f"""with {CHUNK_SQL}, found as (select chunk_id, ((length(content) - length(replace(lower(content),
+  'the', ''))) / 3.0) / len(string_split(content, ' ')) as score from chunks where contains(lower(content), 'the') and lang = 'en')
+  select chunk_id, round(score, 6) as score, cast(row_number() over (order by round(score, 9) desc, chunk_id) as int) as rank from found
+  qualify rank <= 50""")
 def keyword_search(spark, d):
     found = search.keyword(documents(spark, d), chunking.chunk(documents(spark, d)), "the", 50, {"lang": "en"})
     return found.select("chunk_id", r6("score"), "rank")
 
 
-@query(f"with {ARMS}, {fused(RRF)}, z as (select qid, doc_id, coalesce(case when s is not null then 0.7 * v + 0.3 * s else v end, 0.3 * s) as score from pairs) select qid, doc_id, round(score, 6) as score, cast(row_number() over (partition by qid order by round(score, 9) desc, doc_id) as int) as rank from z")
+@query(f"""with {ARMS}, {fused(RRF)}, z as (select qid, doc_id, coalesce(case when s is not null then 0.7 * v + 0.3 * s else v end, 0.3 * s) as score
+  from pairs) select qid, doc_id, round(score, 6) as score, cast(row_number() over (partition by qid order by round(score, 9) desc,
+  doc_id) as int) as rank from z""")
 def legacy_combine(spark, d):
     """A hit of the vector arm alone keeps its score; the others are weighted."""
     v, s = search.arms(hybrid_corpus(spark, d), queries(spark, d))
     return fusion.combined(v, s, 0.7).select("qid", "doc_id", r6("score"), "rank")
 
 
-@query(f"with {CORPUS}, {dense(20)} select qid, field, value, count(*) as n from (select qid, unnest(['lang', 'source']) as field, unnest([lang, source]) as value from dense join documents using (doc_id)) group by qid, field, value qualify row_number() over (partition by qid, field order by n desc, value) <= 3")
+@query(f"""with {CORPUS}, {dense(20)} select qid, field, value, count(*) as n from (select qid, unnest(['lang', 'source']) as field, unnest([lang,
+  source]) as value from dense join documents using (doc_id)) group by qid, field, value qualify row_number() over (partition by qid, field
+  order by n desc, value) <= 3""")
 def result_facets(spark, d):
     hits = nearest.knn(hybrid_corpus(spark, d), queries(spark, d), 20).join(documents(spark, d).select("doc_id", "lang", "source"), "doc_id")
     return search.facets(hits, ["lang", "source"], 3, ["qid"])
 
 
-@query("select doc_id, contains(text, 'The') as in_text, contains(source, 'src1') as in_source from documents where contains(text, 'The') or contains(source, 'src1')")
+@query("""select doc_id, contains(text, 'The') as in_text, contains(source, 'src1') as in_source from documents
+  where contains(text, 'The') or contains(source, 'src1')""")
 def search_fields(spark, d):
     """Case counts, and only the fields asked for are looked at."""
     return search.in_fields(documents(spark, d), {"text": "The", "source": "src1"}, case_sensitive=True).select("doc_id", "in_text", "in_source")
@@ -193,8 +216,10 @@ def rerank_hook(spark, d):
 BY = ", ".join(f"('{k}', {a}, {b}, {c})" for k, (a, b, c) in rerank.STRATEGIES.items())
 
 
-@query(f"""with {CORPUS}, {dense(20)}, st(strategy, a, b, c) as (values {BY}), x as (select qid, doc_id, rank, dense.score as semantic, least(1.0, length(text) / 1000) as quality, 1.0 / rank as contextual from dense join corpus using (doc_id)),
-y as (select *, a * semantic + b * quality + c * contextual as score from x, st) select strategy, qid, doc_id, round(score, 6) as score, cast(row_number() over (partition by strategy, qid order by round(score, 9) desc, doc_id) as int) as new_rank from y qualify new_rank <= 5""")
+@query(f"""with {CORPUS}, {dense(20)}, st(strategy, a, b, c) as (values {BY}), x as (select qid, doc_id, rank, dense.score as semantic, least(1.0,
+  length(text) / 1000) as quality, 1.0 / rank as contextual from dense join corpus using (doc_id)),
+y as (select *, a * semantic + b * quality + c * contextual as score from x, st) select strategy, qid, doc_id, round(score, 6) as score,
+  cast(row_number() over (partition by strategy, qid order by round(score, 9) desc, doc_id) as int) as new_rank from y qualify new_rank <= 5""")
 def rerank_strategies(spark, d):
     corpus = hybrid_corpus(spark, d)
     found = nearest.knn(corpus, queries(spark, d), 20).join(corpus.select("doc_id", "text"), "doc_id")
@@ -205,11 +230,14 @@ def rerank_strategies(spark, d):
     return out
 
 
-@query(f"""with recursive {CORPUS}, {dense(8)}, gs as (select qid, rank, doc_id, score, list_distinct({WORDS.format('text')}) as s from dense join corpus using (doc_id)),
+@query(f"""with recursive {CORPUS}, {dense(8)}, gs as (select qid, rank, doc_id, score, list_distinct({WORDS.format('text')}) as s
+  from dense join corpus using (doc_id)),
 g as (select distinct qid, 0 as n, []::bigint[] as ids, []::varchar[][] as sets from gs union all
-  select qid, n + 1, list_append(ids, rank), list_append(sets, s) from (select g.*, x.rank, x.s, row_number() over (partition by g.qid order by round(0.7 * score - 0.3 * coalesce(list_max(list_transform(sets, lambda y: {JAC.format('x.s', 'y')})), 0), 9) desc, x.rank) as best
+  select qid, n + 1, list_append(ids, rank), list_append(sets, s) from (select g.*, x.rank, x.s, row_number() over (partition by g.qid
+  order by round(0.7 * score - 0.3 * coalesce(list_max(list_transform(sets, lambda y: {JAC.format('x.s', 'y')})), 0), 9) desc, x.rank) as best
   from g join gs x on x.qid = g.qid and not list_contains(g.ids, x.rank)) where best = 1 and n < 5),
-f as (select qid, unnest(ids) as rank, generate_subscripts(ids, 1) as place from g where n = 5) select qid, cast(place as int) as rank, cast(doc_id as varchar) as chunk_id from f join gs using (qid, rank)""")
+f as (select qid, unnest(ids) as rank, generate_subscripts(ids, 1) as place from g where n = 5)
+  select qid, cast(place as int) as rank, cast(doc_id as varchar) as chunk_id from f join gs using (qid, rank)""")
 def diversified_search(spark, d):
     corpus = hybrid_corpus(spark, d)
     hits = nearest.knn(corpus, queries(spark, d), 8).join(corpus.select("doc_id", F.col("text").alias("content")), "doc_id")
@@ -226,7 +254,9 @@ def fuse_learned(spark, d):
     return fusion.learned(v, s, (3.0, 0.5, -1.0)).select("qid", "doc_id", "rank", r6("score"))
 
 
-@query(f"with {ARMS}, lab as (select qid, doc_id, v, s, doc_id % 2 = 0 as good from (select coalesce(d.qid, s.qid) as qid, coalesce(d.doc_id, s.doc_id) as doc_id, d.score as v, s.score as s from dense d full join sparse s on d.qid = s.qid and d.doc_id = s.doc_id)) select count(*) as labelled, true as improves from lab")
+@query(f"""with {ARMS}, lab as (select qid, doc_id, v, s, doc_id % 2 = 0 as good from (select coalesce(d.qid, s.qid) as qid, coalesce(d.doc_id,
+  s.doc_id) as doc_id, d.score as v, s.score as s from dense d full join sparse s on d.qid = s.qid and d.doc_id = s.doc_id))
+  select count(*) as labelled, true as improves from lab""")
 def fusion_fit(spark, d):
     """The model is fitted on labelled pairs; its loss is below that of the weights it began with."""
     v, s = search.arms(hybrid_corpus(spark, d), queries(spark, d))
@@ -244,14 +274,18 @@ def metadata_merge(spark, d):
     return x.select("chunk_id", r6("score"), m["lang"].alias("lang"), m["source"].alias("source"), m["seen"].alias("seen"))
 
 
-@query(f"""with {CORPUS}, {dense(10)} select qid, doc_id, round(score, 6) as score from dense join documents using (doc_id) where lang = 'en' and source = 'src1'""")
+@query(f"""with {CORPUS}, {dense(10)} select qid, doc_id, round(score, 6) as score from dense join documents using (doc_id)
+  where lang = 'en' and source = 'src1'""")
 def filtered_results(spark, d):
     meta = documents(spark, d).select("doc_id", F.create_map(F.lit("lang"), "lang", F.lit("source"), "source").alias("metadata"))
     found = nearest.knn(hybrid_corpus(spark, d), queries(spark, d), 10).join(meta, "doc_id")
     return search.metadata_filter(found, {"lang": "en", "source": "src1"}).select("qid", "doc_id", r6("score"))
 
 
-@query(f"with {VECS}, p as (select a.doc_id, a.vec as x, case when a.doc_id % 4 = 0 then a.vec[1:10] else b.vec end as y from vecs a join vecs b on b.doc_id = a.doc_id + 1) select doc_id, len(x) = len(y) as same_length, round(case when len(x) = len(y) then list_dot_product(x, y) / sqrt(list_dot_product(x, x) * list_dot_product(y, y)) end, 6) as cosine, round(case when len(x) = len(y) then list_dot_product(x, y) / sqrt(list_dot_product(x, x) * list_dot_product(y, y)) else 0 end, 6) as or_zero from p")
+@query(f"""with {VECS}, p as (select a.doc_id, a.vec as x, case when a.doc_id % 4 = 0 then a.vec[1:10] else b.vec end as y
+  from vecs a join vecs b on b.doc_id = a.doc_id + 1) select doc_id, len(x) = len(y) as same_length, round(case
+  when len(x) = len(y) then list_dot_product(x, y) / sqrt(list_dot_product(x, x) * list_dot_product(y, y)) end, 6) as cosine, round(case
+  when len(x) = len(y) then list_dot_product(x, y) / sqrt(list_dot_product(x, x) * list_dot_product(y, y)) else 0 end, 6) as or_zero from p""")
 def cosine_lengths(spark, d):
     """Vectors of unlike lengths: no cosine for the strict form (`checked` would stop the job), 0 for the other."""
     v = tables.vectors(spark, d)
@@ -260,8 +294,10 @@ def cosine_lengths(spark, d):
     return p.select("doc_id", same.alias("same_length"), F.when(same, F.round(vectors.checked_cosine(F.col("x"), F.col("y")), 6)).alias("cosine"), F.round(vectors.cosine(F.col("x"), F.col("y")), 6).alias("or_zero"))
 
 
-@query(f"""with {SMALL} select conv_id, turn, case when contains(text, '"') then 'Phrase' when contains(text, ' AND ') or contains(text, ' OR ') then 'Boolean' when len(string_split(text, ' ')) <= 3 then 'Keyword' else 'Natural' end as syntax,
-round(least(1.0, least(n / 10, 1.0) + p / 10), 6) as complexity, case when o <= 0.2 then '매우 간단' when o <= 0.4 then '간단' when o <= 0.6 then '보통' when o <= 0.8 then '복잡' else '매우 복잡' end as label,
+@query(f"""with {SMALL} select conv_id, turn, case when contains(text, '"') then 'Phrase' when contains(text, ' AND ') or contains(text,
+  ' OR ') then 'Boolean' when len(string_split(text, ' ')) <= 3 then 'Keyword' else 'Natural' end as syntax,
+round(least(1.0, least(n / 10, 1.0) + p / 10), 6) as complexity, case when o <= 0.2 then '매우 간단' when o <= 0.4 then '간단' when o <= 0.6 then '보통'
+  when o <= 0.8 then '복잡' else '매우 복잡' end as label,
 case when o <= 0.3 then 'Conservative' when o <= 0.7 then 'Balanced' else 'Aggressive' end as expansion from b5""")
 def query_syntax(spark, d):
     x = analyze.components(user_turns(spark, d))
@@ -274,7 +310,9 @@ KEYS = f"list_filter(t, lambda x: not list_contains({words([*analyze.STOP_WORDS,
 SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: len(list_filter(string_split(x, ' '), lambda y: y <> '')) >= 4)[1:3]"
 
 
-@query(f"with {ANALYSIS} select conv_id, turn, array_to_string(case when len({PARTS}) > 0 then {PARTS} else [text] end, '|') as parts, array_to_string({KEYS}, ' ') || ' is described as follows: ' || array_to_string({KEYS}, ', ') || '.' as passage, array_to_string(list_transform({SENTENCES}, lambda x: 'What about ' || regexp_replace(lower(x), '[.!?]+$', '') || '?'), '|') as questions from a6")
+@query(f"""with {ANALYSIS} select conv_id, turn, array_to_string(case when len({PARTS}) > 0 then {PARTS} else [text] end, '|') as parts,
+  array_to_string({KEYS}, ' ') || ' is described as follows: ' || array_to_string({KEYS}, ', ') || '.' as passage,
+  array_to_string(list_transform({SENTENCES}, lambda x: 'What about ' || regexp_replace(lower(x), '[.!?]+$', '') || '?'), '|') as questions from a6""")
 def query_transformations(spark, d):
     """Parts of a question, a passage such as its answer may be, and questions that it answers itself."""
     t = F.col("text")
@@ -287,12 +325,15 @@ def described(spark, d):
 
 
 TITLE = r"list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, '\p{L}'))[1]"
-KW = f"{POST}, kw as (select doc_id, term, row_number() over (partition by doc_id order by round(tf * ln((select count(*) from documents) / df), 9) desc, term) as r from post join terms using (term) qualify r <= 5), ks as (select doc_id, list(term order by r) as keywords from kw group by doc_id)"
+KW = f"""{POST}, kw as (select doc_id, term, row_number() over (partition by doc_id order by round(tf * ln((select count(*) from documents) / df),
+  9) desc, term) as r from post join terms using (term) qualify r <= 5), ks as (select doc_id, list(term order by r) as keywords from kw
+  group by doc_id)"""
 CAPITALS = r"list_filter(regexp_split_to_array(text, '[^\p{L}\p{Nd}]+'), lambda x: regexp_matches(x, '^\p{Lu}') and length(x) > 2)"
 FIRSTS = f"list_filter({CAPITALS}, lambda x, i: list_position({CAPITALS}, x) = i)[1:5]"
 
 
-@query(f"with {KW} select doc_id, {TITLE} as title, sha256(substr(trim(text), 1, 200)) as summary, array_to_string(keywords, ',') as keywords, array_to_string({FIRSTS}, ',') as entities from documents left join ks using (doc_id)")
+@query(f"""with {KW} select doc_id, {TITLE} as title, sha256(substr(trim(text), 1, 200)) as summary, array_to_string(keywords, ',') as keywords,
+  array_to_string({FIRSTS}, ',') as entities from documents left join ks using (doc_id)""")
 def enriched_metadata(spark, d):
     return described(spark, d).select("doc_id", "title", F.sha2("summary", 256).alias("summary"), F.array_join("keywords", ",").alias("keywords"), F.array_join("entities", ",").alias("entities"))
 
@@ -300,6 +341,7 @@ def enriched_metadata(spark, d):
 ALL_TERMS = f"list_filter(list_concat(list_filter(string_split(coalesce({TITLE}, ''), ' '), lambda x: x <> ''), coalesce(keywords, []), {FIRSTS}), lambda x: length(x) > 2)"
 
 
-@query(f"with {KW}, al as (select doc_id, {ALL_TERMS} as ts from documents left join ks using (doc_id)) select doc_id, array_to_string(list_transform(list_filter(ts, lambda x, i: list_position(ts, x) = i), lambda x: lower(x)), '|') as terms from al")
+@query(f"""with {KW}, al as (select doc_id, {ALL_TERMS} as ts from documents left join ks using (doc_id))
+  select doc_id, array_to_string(list_transform(list_filter(ts, lambda x, i: list_position(ts, x) = i), lambda x: lower(x)), '|') as terms from al""")
 def searchable_terms(spark, d):
     return ingest.searchable(described(spark, d)).select("doc_id", F.array_join("terms", "|").alias("terms"))

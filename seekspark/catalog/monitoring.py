@@ -13,8 +13,10 @@ from .fragments import CHUNK_SQL, VECS
 
 r6 = lambda c: F.round(c, 6).alias(c)
 
-LOGS = """logs as (select event_id, ts, event_type as strategy, 'q' || user_id % 50 as query, value as response_ms, event_id % 10 as results, (event_id % 100) / 100.0 as similarity, (event_id % 7) / 7.0 as diversity, event_type <> 'error' as success from events),
-scored as (select *, case when success and results > 0 then least(100.0, greatest(0.0, case when response_ms <= 250 then 40 * (1 - response_ms / 250) else 0 end + case when results >= 6 then 25 else 25 * results / 6.0 end + 20 * similarity + 15 * diversity)) else 0 end as score from logs)"""
+LOGS = """logs as (select event_id, ts, event_type as strategy, 'q' || user_id % 50 as query, value as response_ms, event_id % 10 as results,
+  (event_id % 100) / 100.0 as similarity, (event_id % 7) / 7.0 as diversity, event_type <> 'error' as success from events),
+scored as (select *, case when success and results > 0 then least(100.0, greatest(0.0, case when response_ms <= 250 then 40 * (1 - response_ms / 250)
+  else 0 end + case when results >= 6 then 25 else 25 * results / 6.0 end + 20 * similarity + 15 * diversity)) else 0 end as score from logs)"""
 
 
 def from_events(events):
@@ -34,8 +36,10 @@ def quality_score(spark, d):
     return logs(spark, d).select("event_id", r6("score"))
 
 
-ALERTS = """alerts as (select event_id, 'SlowResponse' as alert, 'Warning' as severity from scored where response_ms > 250 union all select event_id, 'FewResults', 'Warning' from scored where success and results < 6
-union all select event_id, 'LowQuality', 'Critical' from scored where success and score < 85 union all select event_id, 'Failure', 'Critical' from scored where not success)"""
+ALERTS = """alerts as (select event_id, 'SlowResponse' as alert, 'Warning' as severity from scored where response_ms > 250 union all
+  select event_id, 'FewResults', 'Warning' from scored where success and results < 6
+union all select event_id, 'LowQuality', 'Critical' from scored where success and score < 85 union all select event_id, 'Failure', 'Critical'
+  from scored where not success)"""
 
 
 @query(f"with {LOGS}, {ALERTS} select * from alerts")
@@ -43,7 +47,8 @@ def quality_alerts(spark, d):
     return monitor.alerts(logs(spark, d)).drop("ts")
 
 
-@query(f"with {LOGS}, {ALERTS} select event_id, alert from alerts join scored using (event_id) where severity = 'Critical' and ts >= timestamp '2024-01-20 00:00:00'")
+@query(f"""with {LOGS}, {ALERTS} select event_id, alert from alerts join scored using (event_id)
+  where severity = 'Critical' and ts >= timestamp '2024-01-20 00:00:00'""")
 def alerts_filter(spark, d):
     return monitor.alerts(logs(spark, d).where("ts >= timestamp '2024-01-20 00:00:00'")).where("severity = 'Critical'").select("event_id", "alert")
 
@@ -61,7 +66,8 @@ def dashboard(spark, d):
     return rounded(logs(spark, d).where("ts >= timestamp '2024-01-15 00:00:00'").agg(*monitor.dashboard_columns()), DASH_COLUMNS)
 
 
-@query(f"with {LOGS} select strategy, list_sort(list(response_ms))[cast(floor(0.95 * (count(*) - 1)) as bigint) + 1] as p95, list_sort(list(response_ms))[cast(floor(0.99 * (count(*) - 1)) as bigint) + 1] as p99 from logs group by strategy")
+@query(f"""with {LOGS} select strategy, list_sort(list(response_ms))[cast(floor(0.95 * (count(*) - 1)) as bigint) + 1] as p95,
+  list_sort(list(response_ms))[cast(floor(0.99 * (count(*) - 1)) as bigint) + 1] as p99 from logs group by strategy""")
 def percentiles(spark, d):
     return monitor.percentiles(logs(spark, d), "response_ms", [0.95, 0.99], ["strategy"])
 
@@ -71,22 +77,28 @@ def top_queries(spark, d):
     return monitor.top_queries(logs(spark, d)).select("query", "n", r6("avg_score"))
 
 
-TRENDS = "trends as (select date_trunc('day', ts) as start, count(*) as queries, avg(response_ms) as avg_ms, avg(score) as avg_score, avg(cast(success as int)) as success_rate from scored group by 1)"
+TRENDS = """trends as (select date_trunc('day', ts) as start, count(*) as queries, avg(response_ms) as avg_ms, avg(score) as avg_score,
+  avg(cast(success as int)) as success_rate from scored group by 1)"""
 
 
-@query(f"with {LOGS}, {TRENDS} select start, queries, round(avg_ms, 6) as avg_ms, round(avg_score, 6) as avg_score, round(success_rate, 6) as success_rate from trends")
+@query(f"""with {LOGS}, {TRENDS} select start, queries, round(avg_ms, 6) as avg_ms, round(avg_score, 6) as avg_score, round(success_rate,
+  6) as success_rate from trends""")
 def quality_trends(spark, d):
     return monitor.trends(logs(spark, d)).select(F.col("start").cast("timestamp_ntz").alias("start"), "queries", r6("avg_ms"), r6("avg_score"), r6("success_rate"))
 
 
-@query(f"""with {LOGS}, {TRENDS}, n as (select *, row_number() over (order by start) as a, row_number() over (order by start desc) as z, count(*) over () as n from trends),
+@query(f"""with {LOGS}, {TRENDS}, n as (select *, row_number() over (order by start) as a, row_number() over (order by start desc) as z,
+  count(*) over () as n from trends),
 x as (select count(*) as n, avg(avg_score) filter (a <= least(10, n // 2)) as head, avg(avg_score) filter (z <= least(10, n // 2)) as tail from n)
-select n, round((tail - head) / head, 6) as change, case when (tail - head) / head > 0.05 then 'Improving' when (tail - head) / head < -0.05 then 'Degrading' else 'Stable' end as direction from x""")
+select n, round((tail - head) / head, 6) as change, case when (tail - head) / head > 0.05 then 'Improving'
+  when (tail - head) / head < -0.05 then 'Degrading' else 'Stable' end as direction from x""")
 def trend_direction(spark, d):
     return monitor.direction(monitor.trends(logs(spark, d)), "avg_score").select("n", r6("change"), "direction")
 
 
-@query(f"with {LOGS}, {TRENDS}, i as (select start, avg_ms, row_number() over (order by start) - 1 as i from trends), s as (select count(*) as n, regr_slope(avg_ms, i) as slope from i) select n, round(slope, 6) as slope, case when slope > 0.01 then 'Increasing' when slope < -0.01 then 'Decreasing' else 'Stable' end as direction, round(least(1.0, abs(slope) * 10), 6) as confidence from s")
+@query(f"""with {LOGS}, {TRENDS}, i as (select start, avg_ms, row_number() over (order by start) - 1 as i from trends),
+  s as (select count(*) as n, regr_slope(avg_ms, i) as slope from i) select n, round(slope, 6) as slope, case when slope > 0.01 then 'Increasing'
+  when slope < -0.01 then 'Decreasing' else 'Stable' end as direction, round(least(1.0, abs(slope) * 10), 6) as confidence from s""")
 def slope_trend(spark, d):
     return monitor.slope(monitor.trends(logs(spark, d)), "avg_ms", "start").select("n", r6("slope"), "direction", r6("confidence"))
 
@@ -97,25 +109,32 @@ def diversity_score(spark, d):
     return g.select("query", "n", F.round(F.when(F.col("n") > 1, F.col("k") / F.col("n")).otherwise(1.0), 6).alias("diversity"))
 
 
-@query(f"with {LOGS}, {TRENDS}, a as (select avg(avg_ms) as ms, avg(avg_score) filter (avg_score > 0) as q from trends) select printf('response time %s: %.1f ms', case when ms < 250 then 'is good' else 'needs work' end, ms) as insight from a union all select printf('quality %s: %.1f', case when q > 85 then 'is good' else 'needs work' end, q) from a")
+@query(f"""with {LOGS}, {TRENDS}, a as (select avg(avg_ms) as ms, avg(avg_score) filter (avg_score > 0) as q from trends)
+  select printf('response time %s: %.1f ms', case when ms < 250 then 'is good' else 'needs work' end, ms) as insight from a union all
+  select printf('quality %s: %.1f', case when q > 85 then 'is good' else 'needs work' end, q) from a""")
 def quality_insights(spark, d):
     return monitor.insights(monitor.trends(logs(spark, d)))
 
 
-STRATEGIES = "metrics as (select strategy, count(*) as uses, avg(response_ms) as avg_ms, avg(similarity) as avg_similarity, avg(score) filter (success) as satisfaction from scored group by strategy)"
+STRATEGIES = """metrics as (select strategy, count(*) as uses, avg(response_ms) as avg_ms, avg(similarity) as avg_similarity,
+  avg(score) filter (success) as satisfaction from scored group by strategy)"""
 
 
-@query(f"with {LOGS}, {STRATEGIES} select strategy, uses, round(avg_ms, 6) as avg_ms, round(avg_similarity, 6) as avg_similarity, round(satisfaction, 6) as satisfaction from metrics")
+@query(f"""with {LOGS}, {STRATEGIES} select strategy, uses, round(avg_ms, 6) as avg_ms, round(avg_similarity, 6) as avg_similarity,
+  round(satisfaction, 6) as satisfaction from metrics""")
 def strategy_metrics(spark, d):
     return monitor.strategy_metrics(logs(spark, d)).select("strategy", "uses", r6("avg_ms"), r6("avg_similarity"), r6("satisfaction"))
 
 
-@query(f"with {LOGS}, {STRATEGIES} select cast(sum(uses) as bigint) as uses, round(avg(avg_ms), 6) as avg_ms, (select strategy from metrics order by uses desc, strategy desc limit 1) as most_used, (select strategy from metrics where satisfaction is not null order by satisfaction desc limit 1) as best from metrics")
+@query(f"""with {LOGS}, {STRATEGIES} select cast(sum(uses) as bigint) as uses, round(avg(avg_ms), 6) as avg_ms, (select strategy
+  from metrics order by uses desc, strategy desc limit 1) as most_used, (select strategy from metrics
+  where satisfaction is not null order by satisfaction desc limit 1) as best from metrics""")
 def overall_stats(spark, d):
     return monitor.overall(monitor.strategy_metrics(logs(spark, d))).select("uses", r6("avg_ms"), "most_used", "best")
 
 
-@query(f"with {LOGS} select query, strategy, round(avg(score), 6) as avg_score from scored group by query, strategy qualify row_number() over (partition by query order by round(avg(score), 9) desc, strategy) = 1")
+@query(f"""with {LOGS} select query, strategy, round(avg(score), 6) as avg_score from scored group by query, strategy
+  qualify row_number() over (partition by query order by round(avg(score), 9) desc, strategy) = 1""")
 def best_strategy(spark, d):
     return monitor.best_by(logs(spark, d), "query").select("query", "strategy", r6("avg_score"))
 
@@ -127,21 +146,25 @@ def samples(events):
     return events.select(F.col("event_id").alias("at"), (F.col("value") / 490).alias("efficiency"), F.floor(F.col("value") * (F.col("event_id") % 37)).alias("scans"))
 
 
-@query(f"""with {SAMPLES}, j as (select *, scans - lag(scans) over (order by tick) as jump from samples) select tick, 'LowEfficiency' as kind, case when efficiency < 0.3 then 'High' when efficiency < 0.4 then 'Medium' else 'Low' end as severity from j where efficiency < 0.5
+@query(f"""with {SAMPLES}, j as (select *, scans - lag(scans) over (order by tick) as jump from samples) select tick, 'LowEfficiency' as kind, case
+  when efficiency < 0.3 then 'High' when efficiency < 0.4 then 'Medium' else 'Low' end as severity from j where efficiency < 0.5
 union all select tick, 'ScanIncrease', case when jump > 10000 then 'High' when jump > 5000 then 'Medium' else 'Low' end from j where jump > 1000""")
 def anomalies(spark, d):
     return monitor.anomalies(samples(table(spark, d, "events"))).withColumnRenamed("at", "tick")
 
 
-@query("""with e as (select user_id, 100 * (max(value) - avg(value)) / avg(value) as percent from events group by user_id), m(metric, a, b, c) as (values ('latency', 20, 30, 50), ('recall', 5, 10, 15), ('memory', 30, 60, 100), ('qps', 15, 25, 40))
-select metric, user_id, round(percent, 6) as percent, case when percent > c then 'Critical' when percent > b then 'Major' when percent > a then 'Minor' else 'None' end as severity from e, m""")
+@query("""with e as (select user_id, 100 * (max(value) - avg(value)) / avg(value) as percent from events group by user_id),
+  m(metric, a, b, c) as (values ('latency', 20, 30, 50), ('recall', 5, 10, 15), ('memory', 30, 60, 100), ('qps', 15, 25, 40))
+select metric, user_id, round(percent, 6) as percent, case when percent > c then 'Critical' when percent > b then 'Major'
+  when percent > a then 'Minor' else 'None' end as severity from e, m""")
 def perf_regression(spark, d):
     e = table(spark, d, "events").groupBy("user_id").agg((100 * (F.max("value") - F.avg("value")) / F.avg("value")).alias("percent"))
     x = e.select("user_id", "percent", F.explode(F.array(*map(F.lit, tuning.LADDERS))).alias("metric"))
     return x.select("metric", "user_id", r6("percent"), tuning.severity(F.col("percent"), F.col("metric")).alias("severity"))
 
 
-@query("select user_id, round(case when count(*) > 0 and sum(value) > 0 then least(1.0, (max(value) / sum(value)) / log10(greatest(10, sum(value) / count(*)))) else 0 end, 6) as efficiency from events group by user_id")
+@query("""select user_id, round(case when count(*) > 0 and sum(value) > 0 then least(1.0, (max(value) / sum(value)) / log10(greatest(10,
+  sum(value) / count(*)))) else 0 end, 6) as efficiency from events group by user_id""")
 def index_efficiency(spark, d):
     e = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("scans"), F.sum("value").alias("read"), F.max("value").alias("fetched"))
     return e.select("user_id", F.round(tuning.efficiency(F.col("scans"), F.col("read"), F.col("fetched")), 6).alias("efficiency"))
@@ -150,12 +173,16 @@ def index_efficiency(spark, d):
 # --- index parameters ---
 
 CASES = "cases as (select n, dim from (select unnest([500, 5000, 50000, 500000, 5000000]) as n), (select unnest([64, 384, 768, 1536]) as dim))"
-PARAMS = f"""{CASES}, t(target, m0, efc0, efs0, mf, cf) as (values ('Speed', 16, 100, 50, 0.8, 0.7), ('Balanced', 32, 200, 100, 1.0, 1.0), ('Quality', 48, 400, 200, 1.2, 1.3)),
-f as (select *, case when n < 1000 then 0.8 when n < 10000 then 0.9 when n < 100000 then 1.0 when n < 1000000 then 1.1 else 1.2 end as sf, case when dim < 100 then 0.85 when dim < 512 then 1.0 when dim < 1024 then 1.1 else 1.15 end as df from cases, t),
+PARAMS = f"""{CASES}, t(target, m0, efc0, efs0, mf, cf) as (values ('Speed', 16, 100, 50, 0.8, 0.7), ('Balanced', 32, 200, 100, 1.0, 1.0),
+  ('Quality', 48, 400, 200, 1.2, 1.3)),
+f as (select *, case when n < 1000 then 0.8 when n < 10000 then 0.9 when n < 100000 then 1.0 when n < 1000000 then 1.1 else 1.2 end as sf, case
+  when dim < 100 then 0.85 when dim < 512 then 1.0 when dim < 1024 then 1.1 else 1.15 end as df from cases, t),
 m as (select *, least(64, greatest(8, cast(round_even(round(m0 * sf * df * mf / 2, 9), 0) * 2 as int))) as m from f),
 p as (select n, dim, target, m, greatest(m, least(cast(trunc(round(greatest(efc0 * sf, 4 * m) * cf, 9)) as int), 800)) as efc,
-  least(500, greatest(10, cast(trunc(round(case target when 'Speed' then greatest(0.6 * efs0, m) when 'Balanced' then efs0 else 1.4 * efs0 end, 9)) as int))) as efs,
-  least(2.0, greatest(1.1, 1.44 * case when n > 1000000 then 1.1 else 1 end * case when dim > 1000 then 0.95 else 1 end)) as layer, case when dim >= 512 then 'cosine' when target = 'Speed' then 'dot' else 'euclidean' end as metric from m)"""
+  least(500, greatest(10, cast(trunc(round(case target when 'Speed' then greatest(0.6 * efs0, m) when 'Balanced' then efs0 else 1.4 * efs0 end,
+  9)) as int))) as efs,
+  least(2.0, greatest(1.1, 1.44 * case when n > 1000000 then 1.1 else 1 end * case when dim > 1000 then 0.95 else 1 end)) as layer, case
+  when dim >= 512 then 'cosine' when target = 'Speed' then 'dot' else 'euclidean' end as metric from m)"""
 
 
 def parameters(spark):
@@ -168,24 +195,32 @@ def hnsw_params(spark, d):
     return parameters(spark).select("n", "dim", "target", "m", "efc", "efs", r6("layer"), "metric")
 
 
-ESTIMATES = """e as (select *, cast(4 * cast(n as double) * dim + floor(cast(n as double) * 1.2 * m * 8) + floor(4 * cast(n as double) / (1 - 1 / cast(layer as double))) + greatest(64 * cast(n as double), 1048576) as bigint) as memory_bytes, least(greatest(1.0, n * ln(n) * m * efc * 1e-9 * (1.0 / 4)), greatest(1.0, 0.1 * n)) as build_seconds,
-greatest(0.1, 1000 * (cast(efs as double) * dim * 1e-6 * case metric when 'cosine' then 1.2 when 'dot' then 0.7 else 1.0 end + 0.01 * ln(efs))) as latency_ms, least(0.99, 0.85 * least(m / 32, 1.5) * least(efs / 100, 2.0) * case when n > 100000 then 0.98 else 1 end) as recall from p)"""
+ESTIMATES = """e as (select *, cast(4 * cast(n as double) * dim + floor(cast(n as double) * 1.2 * m * 8) + floor(4 * cast(n as double) / (1 - 1 /
+  cast(layer as double))) + greatest(64 * cast(n as double), 1048576) as bigint) as memory_bytes, least(greatest(1.0,
+  n * ln(n) * m * efc * 1e-9 * (1.0 / 4)), greatest(1.0, 0.1 * n)) as build_seconds,
+greatest(0.1, 1000 * (cast(efs as double) * dim * 1e-6 * case metric when 'cosine' then 1.2 when 'dot' then 0.7
+  else 1.0 end + 0.01 * ln(efs))) as latency_ms, least(0.99, 0.85 * least(m / 32, 1.5) * least(efs / 100, 2.0) * case when n > 100000 then 0.98
+  else 1 end) as recall from p)"""
 
 
-@query(f"with {PARAMS}, {ESTIMATES} select n, dim, target, memory_bytes, round(build_seconds, 6) as build_seconds, round(latency_ms, 6) as latency_ms, round(recall, 6) as recall, round(least(10000, 1000 / (latency_ms / 10)), 6) as qps from e")
+@query(f"""with {PARAMS}, {ESTIMATES} select n, dim, target, memory_bytes, round(build_seconds, 6) as build_seconds, round(latency_ms,
+  6) as latency_ms, round(recall, 6) as recall, round(least(10000, 1000 / (latency_ms / 10)), 6) as qps from e""")
 def hnsw_estimates(spark, d):
     x = tuning.estimates(parameters(spark))
     return x.select("n", "dim", "target", "memory_bytes", r6("build_seconds"), r6("latency_ms"), r6("recall"), r6("qps"))
 
 
-@query("with v(m, efc, efs) as (values (12, 200, 50), (14, 200, 50), (16, 200, 50), (18, 200, 50), (20, 200, 50), (16, 184, 50), (16, 200, 50), (16, 216, 50), (16, 200, 40), (16, 200, 50), (16, 200, 60)) select * from v")
+@query("""with v(m, efc, efs) as (values (12, 200, 50), (14, 200, 50), (16, 200, 50), (18, 200, 50), (20, 200, 50), (16, 184, 50), (16, 200, 50),
+  (16, 216, 50), (16, 200, 40), (16, 200, 50), (16, 200, 60)) select * from v""")
 def tuning_variations(spark, d):
     return tuning.variations(spark.createDataFrame([(16, 200, 50)], "m int, efc int, efs int"))
 
 
 GRID = "g(strategy, m, efc, efs) as (values " + ", ".join(f"('{k}', {a}, {b}, {c})" for k, v in tuning.CANDIDATES.items() for a, b, c in v) + ")"
-TUNED = f"""{GRID}, p as (select *, 100000 as n, 384 as dim, 1.44 as layer, 'euclidean' as metric from g), {ESTIMATES}, w as (select *, case strategy when 'speed' then [0.2, 0.6, 0.2] when 'accuracy' then [0.7, 0.2, 0.1] when 'memory' then [0.3, 0.2, 0.5] else [0.4, 0.4, 0.2] end as w from e),
-s as (select *, recall * w[1] + least(1, greatest(0, (100 - latency_ms) / 100)) * w[2] + least(1, greatest(0, (104857600.0 - memory_bytes) / 104857600.0)) * w[3] as score from w)"""
+TUNED = f"""{GRID}, p as (select *, 100000 as n, 384 as dim, 1.44 as layer, 'euclidean' as metric from g), {ESTIMATES}, w as (select *, case strategy
+  when 'speed' then [0.2, 0.6, 0.2] when 'accuracy' then [0.7, 0.2, 0.1] when 'memory' then [0.3, 0.2, 0.5] else [0.4, 0.4, 0.2] end as w from e),
+s as (select *, recall * w[1] + least(1, greatest(0, (100 - latency_ms) / 100)) * w[2] + least(1, greatest(0,
+  (104857600.0 - memory_bytes) / 104857600.0)) * w[3] as score from w)"""
 
 
 def grid(spark):
@@ -198,13 +233,16 @@ def tuning_grid(spark, d):
     return grid(spark).select("strategy", "m", "efc", "efs", r6("latency_ms"), r6("recall"))
 
 
-@query(f"with {TUNED} select strategy, m, round(cast(score as double), 6) as score from s qualify row_number() over (partition by strategy order by round(score, 9) desc, m) <= greatest(1, count(*) over (partition by strategy) // 3)")
+@query(f"""with {TUNED} select strategy, m, round(cast(score as double), 6) as score from s qualify row_number() over (partition by strategy
+  order by round(score, 9) desc, m) <= greatest(1, count(*) over (partition by strategy) // 3)""")
 def tuning_topk(spark, d):
     return tuning.tuned(grid(spark)).select("strategy", "m", r6("score"))
 
 
-@query(f"""with {PARAMS}, {ESTIMATES}, bad as (select *, case when (row_number() over (order by n, dim, target)) % 3 = 0 then 2 when (row_number() over (order by n, dim, target)) % 3 = 1 then 200 else m end as m2, case when n = 500 then 5 else efs end as efs2 from e)
-select n, dim, target, array_to_string(list_filter([case when m2 < 4 or m2 > 128 then 'm' end, case when efc < m2 then 'efc' end, case when efs2 < 10 or efs2 > 2000 then 'efs' end], lambda x: x is not null), ',') as errors from bad""")
+@query(f"""with {PARAMS}, {ESTIMATES}, bad as (select *, case when (row_number() over (order by n, dim, target)) % 3 = 0 then 2
+  when (row_number() over (order by n, dim, target)) % 3 = 1 then 200 else m end as m2, case when n = 500 then 5 else efs end as efs2 from e)
+select n, dim, target, array_to_string(list_filter([case when m2 < 4 or m2 > 128 then 'm' end, case when efc < m2 then 'efc' end, case when efs2 < 10
+  or efs2 > 2000 then 'efs' end], lambda x: x is not null), ',') as errors from bad""")
 def hnsw_validation(spark, d):
     from pyspark.sql import Window
 
@@ -213,14 +251,17 @@ def hnsw_validation(spark, d):
     return tuning.validation(x).select("n", "dim", "target", F.array_join("errors", ",").alias("errors"))
 
 
-@query(f"""with {PARAMS}, {ESTIMATES}, c as (select *, case when memory_bytes > 256.0 * 1048576 then greatest(8, cast(floor(m * sqrt(256.0 * 1048576 / memory_bytes)) as int)) else m end as m2 from e)
-select n, dim, target, m2 as m, case when build_seconds / 60 > 5 then greatest(m2, cast(floor(efc * sqrt(5 / (build_seconds / 60))) as int)) else efc end as efc from c""")
+@query(f"""with {PARAMS}, {ESTIMATES}, c as (select *, case when memory_bytes > 256.0 * 1048576 then greatest(8,
+  cast(floor(m * sqrt(256.0 * 1048576 / memory_bytes)) as int)) else m end as m2 from e)
+select n, dim, target, m2 as m, case when build_seconds / 60 > 5 then greatest(m2, cast(floor(efc * sqrt(5 / (build_seconds / 60))) as int))
+  else efc end as efc from c""")
 def hnsw_constrained(spark, d):
     x = tuning.constrained(tuning.estimates(parameters(spark)), 256, 5)
     return x.select("n", "dim", "target", F.col("m").cast("int").alias("m"), F.col("efc").cast("int").alias("efc"))
 
 
-@query(f"with {PARAMS}, {ESTIMATES} select n, dim, target from e where latency_ms <= 50 and recall >= 0.1 and memory_bytes <= 4096.0 * 1048576 and build_seconds <= 1800")
+@query(f"""with {PARAMS}, {ESTIMATES} select n, dim, target from e where latency_ms <= 50 and recall >= 0.1 and memory_bytes <= 4096.0 * 1048576
+  and build_seconds <= 1800""")
 def hnsw_within(spark, d):
     return tuning.within(tuning.estimates(parameters(spark)), min_recall=0.1).select("n", "dim", "target")
 
@@ -236,21 +277,31 @@ FINE = ", ".join(f"({a}, {b}, {c})" for a, b, c in [(-2, 0, 0), (-1, 0, 0), (0,
 MOVED = "greatest(4, m + 2 * a) as m, greatest(16, efc + 16 * b) as efc, greatest(10, efs + 10 * c) as efs"
 
 
-@query(f"""with {TUNED}, top1 as (select strategy, m, efc, efs from s qualify row_number() over (partition by strategy order by round(score, 9) desc, m) <= greatest(1, count(*) over (partition by strategy) // 3)),
-g2 as (select distinct strategy, {MOVED} from top1, {AROUND.format(FINE)}), p2 as (select *, 100000 as n, 384 as dim, 1.44 as layer, 'euclidean' as metric from g2), e2 as ({ESTIMATES[len("e as (") : -1].replace("from p", "from p2")}),
-s2 as (select *, recall * w[1] + least(1, greatest(0, (100 - latency_ms) / 100)) * w[2] + least(1, greatest(0, (104857600.0 - memory_bytes) / 104857600.0)) * w[3] as score from (select *, case strategy when 'speed' then [0.2, 0.6, 0.2] when 'accuracy' then [0.7, 0.2, 0.1] when 'memory' then [0.3, 0.2, 0.5] else [0.4, 0.4, 0.2] end as w from e2))
-select strategy, cast(m as int) as m, cast(efc as int) as efc, cast(efs as int) as efs, round(cast(score as double), 6) as score from s2 qualify row_number() over (partition by strategy order by round(score, 9) desc, m, efc, efs) = 1""")
+@query(f"""with {TUNED}, top1 as (select strategy, m, efc, efs from s qualify row_number() over (partition by strategy order by round(score, 9) desc,
+  m) <= greatest(1, count(*) over (partition by strategy) // 3)),
+g2 as (select distinct strategy, {MOVED} from top1, {AROUND.format(FINE)}), p2 as (select *, 100000 as n, 384 as dim, 1.44 as layer,
+  'euclidean' as metric from g2), e2 as ({ESTIMATES[len("e as (") : -1].replace("from p", "from p2")}),
+s2 as (select *, recall * w[1] + least(1, greatest(0, (100 - latency_ms) / 100)) * w[2] + least(1, greatest(0,
+  (104857600.0 - memory_bytes) / 104857600.0)) * w[3] as score from (select *, case strategy when 'speed' then [0.2, 0.6, 0.2]
+  when 'accuracy' then [0.7, 0.2, 0.1] when 'memory' then [0.3, 0.2, 0.5] else [0.4, 0.4, 0.2] end as w from e2))
+select strategy, cast(m as int) as m, cast(efc as int) as efc, cast(efs as int) as efs, round(cast(score as double), 6) as score from s2
+  qualify row_number() over (partition by strategy order by round(score, 9) desc, m, efc, efs) = 1""")
 def tuning_stages(spark, d):
     """Candidates, then variations around the best third, then the best of the best fifth."""
     return tuning.staged(spark, known).select("strategy", "m", "efc", "efs", r6("score"))
 
 
-@query(f"with b(m, efc, efs) as (values (16, 200, 50)) select distinct cast(greatest(4, b.m + 2 * a) as int) as m, cast(greatest(16, b.efc + 16 * o.b) as int) as efc, cast(greatest(10, b.efs + 10 * c) as int) as efs from b, {AROUND.format(EVERY)}")
+@query(f"""with b(m, efc, efs) as (values (16, 200, 50)) select distinct cast(greatest(4, b.m + 2 * a) as int) as m, cast(greatest(16,
+  b.efc + 16 * o.b) as int) as efc, cast(greatest(10, b.efs + 10 * c) as int) as efs from b, {AROUND.format(EVERY)}""")
 def tuning_radius(spark, d):
     return tuning.around(spark.createDataFrame([(16, 200, 50)], "m int, efc int, efs int"), 1)
 
 
-@query("with e as (select user_id, case when event_id % 2 = 0 then 'before' else 'after' end as side, value from events), b as (select user_id, avg(value) filter (side = 'before') as old, avg(value) filter (side = 'after') as new from e group by user_id) select user_id, round(100 * (new - old) / old, 6) as percent, case when 100 * (new - old) / old > 50 then 'Critical' when 100 * (new - old) / old > 30 then 'Major' when 100 * (new - old) / old > 20 then 'Minor' else 'None' end as severity from b where old is not null and new is not null")
+@query("""with e as (select user_id, case when event_id % 2 = 0 then 'before' else 'after' end as side, value from events),
+  b as (select user_id, avg(value) filter (side = 'before') as old, avg(value) filter (side = 'after') as new from e group by user_id)
+  select user_id, round(100 * (new - old) / old, 6) as percent, case when 100 * (new - old) / old > 50 then 'Critical'
+  when 100 * (new - old) / old > 30 then 'Major' when 100 * (new - old) / old > 20 then 'Minor' else 'None' end as severity from b
+  where old is not null and new is not null""")
 def index_baseline(spark, d):
     """Each index's latency against the baseline that was stored for it."""
     e = table(spark, d, "events")
@@ -268,7 +319,8 @@ def known(rows):
 
 
 CACHE = f"{VECS}, entry as (select doc_id as entry_id, 'q' || doc_id % 40 as query, vec, cast(doc_id % 7 as int) as hits from vecs)"
-PAIRED = f"{CACHE}, s as (select q.doc_id as qid, c.entry_id, list_dot_product(q.vec, c.vec) / sqrt(list_dot_product(q.vec, q.vec) * list_dot_product(c.vec, c.vec)) as score from vecs q, entry c where q.doc_id % 20 = 0)"
+PAIRED = f"""{CACHE}, s as (select q.doc_id as qid, c.entry_id, list_dot_product(q.vec, c.vec) / sqrt(list_dot_product(q.vec,
+  q.vec) * list_dot_product(c.vec, c.vec)) as score from vecs q, entry c where q.doc_id % 20 = 0)"""
 
 
 def stored(spark, d):
@@ -280,32 +332,39 @@ def lookups(spark, d):
     return vectors(spark, d).where("doc_id % 20 = 0").withColumnRenamed("doc_id", "qid")
 
 
-@query(f"with {PAIRED} select qid, entry_id, round(score, 6) as score from s where score >= 0.3 qualify row_number() over (partition by qid order by round(score, 9) desc, entry_id) = 1")
+@query(f"""with {PAIRED} select qid, entry_id, round(score, 6) as score from s where score >= 0.3 qualify row_number() over (partition by qid
+  order by round(score, 9) desc, entry_id) = 1""")
 def semantic_cache_lookup(spark, d):
     return cache.lookup(stored(spark, d), lookups(spark, d), 0.3).select("qid", "entry_id", r6("score"))
 
 
-@query(f"with {PAIRED} select qid, entry_id, cast(row_number() over (partition by qid order by round(score, 9) desc, entry_id) as int) as rank, round(score, 6) as score from s where score >= 0.2 qualify rank <= 5")
+@query(f"""with {PAIRED} select qid, entry_id, cast(row_number() over (partition by qid order by round(score, 9) desc, entry_id) as int) as rank,
+  round(score, 6) as score from s where score >= 0.2 qualify rank <= 5""")
 def similar_queries(spark, d):
     return cache.similar(stored(spark, d), lookups(spark, d), 5, 0.2).select("qid", "entry_id", "rank", r6("score"))
 
 
-@query(f"""with {CACHE}, near as (select a.entry_id as qid, b.entry_id, a.hits as mine, b.hits as its, list_dot_product(a.vec, b.vec) / sqrt(list_dot_product(a.vec, a.vec) * list_dot_product(b.vec, b.vec)) as score from entry a, entry b),
+@query(f"""with {CACHE}, near as (select a.entry_id as qid, b.entry_id, a.hits as mine, b.hits as its, list_dot_product(a.vec,
+  b.vec) / sqrt(list_dot_product(a.vec, a.vec) * list_dot_product(b.vec, b.vec)) as score from entry a, entry b),
 top as (select * from near where score >= 0.5 qualify row_number() over (partition by qid order by round(score, 9) desc, entry_id) <= 20)
 select entry_id from entry where entry_id not in (select qid from top where qid <> entry_id and (its > mine or its = mine and entry_id < qid))""")
 def cache_eviction_similar(spark, d):
     return cache.evict_similar(stored(spark, d), 0.5).select("entry_id")
 
 
-@query(f"""with {CACHE}, lg as (select 'q' || user_id % 50 as query from events), often as (select query, count(*) as n from lg where query not in (select query from entry where entry_id % 2 = 0) group by query order by n desc, query limit 100)
-select query, hits from entry where entry_id % 2 = 0 union all select query, cast(n as int) from often join (select query from entry where entry_id < 40) using (query)""")
+@query(f"""with {CACHE}, lg as (select 'q' || user_id % 50 as query from events), often as (select query, count(*) as n from lg
+  where query not in (select query from entry where entry_id % 2 = 0) group by query order by n desc, query limit 100)
+select query, hits from entry where entry_id % 2 = 0 union all select query, cast(n as int) from often join (select query from entry
+  where entry_id < 40) using (query)""")
 def cache_warm(spark, d):
     asked = table(spark, d, "events").select(F.concat(F.lit("q"), F.col("user_id") % 50).alias("query"))
     x = stored(spark, d)
     return cache.warm(x.where("entry_id % 2 = 0"), x.where("entry_id < 40").select("query", "vec"), asked).select("query", "hits")
 
 
-@query("with e as (select event_id as entry_id, 'q' || user_id % 50 as query, ts as created, least(ts + interval 10 minute + interval 15 minute, ts + interval 1 hour) as expires from events) select entry_id from e where expires > timestamp '2024-01-05 00:00:00' qualify row_number() over (partition by query order by created desc, entry_id) = 1")
+@query("""with e as (select event_id as entry_id, 'q' || user_id % 50 as query, ts as created, least(ts + interval 10 minute + interval 15 minute,
+  ts + interval 1 hour) as expires from events) select entry_id from e where expires > timestamp '2024-01-05 00:00:00'
+  qualify row_number() over (partition by query order by created desc, entry_id) = 1""")
 def cache_compact(spark, d):
     e = entries(spark, d).withColumns({"query": F.concat(F.lit("q"), F.substring("query", 2, 9).cast("int") % 50), "last_used": F.col("last_used") + F.expr("interval 10 minutes")})
     return cache.compact(cache.expiring(e), "2024-01-05 00:00:00").select("entry_id")
@@ -321,7 +380,8 @@ def cache_usage(spark, d):
     return cache.usage(stored(spark, d))
 
 
-ENTRIES = "entries as (select event_id as entry_id, 'q' || user_id as query, cast(floor(value) as int) as hits, ts as last_used, ts + interval 1 hour as expires from events)"
+ENTRIES = """entries as (select event_id as entry_id, 'q' || user_id as query, cast(floor(value) as int) as hits, ts as last_used,
+  ts + interval 1 hour as expires from events)"""
 
 
 def entries(spark, d):
@@ -343,7 +403,8 @@ def cache_invalidate(spark, d):
     return cache.invalidate(entries(spark, d), "q1*").select("entry_id")
 
 
-@query("select count(*) filter (event_type = 'view') as hits, count(*) filter (event_type <> 'view') as misses, round(count(*) filter (event_type = 'view') / count(*), 6) as hit_rate, round(avg(value), 6) as avg_ms from events")
+@query("""select count(*) filter (event_type = 'view') as hits, count(*) filter (event_type <> 'view') as misses,
+  round(count(*) filter (event_type = 'view') / count(*), 6) as hit_rate, round(avg(value), 6) as avg_ms from events""")
 def cache_stats(spark, d):
     x = table(spark, d, "events").select((F.col("event_type") == "view").alias("hit"), F.col("value").alias("ms"))
     return cache.stats(x).select("hits", "misses", r6("hit_rate"), r6("avg_ms"))
@@ -361,7 +422,9 @@ def web_extract(spark, d):
     return web.web_documents(table(spark, d, "pages"))[0].select("page_id", "text")
 
 
-@query(f"select page_id, 'web_' || lower(translate({HOST} || '_' || regexp_replace({PATH}, '^/', ''), '/.-', '___')) as doc_id, case when regexp_extract({PATH}, '([^/]+)$', 1) <> '' then regexp_extract({PATH}, '([^/]+)$', 1) else {HOST} || '.html' end as file_name from pages")
+@query(f"""select page_id, 'web_' || lower(translate({HOST} || '_' || regexp_replace({PATH}, '^/', ''),
+  '/.-', '___')) as doc_id, case when regexp_extract({PATH}, '([^/]+)$', 1) <> '' then regexp_extract({PATH}, '([^/]+)$', 1)
+  else {HOST} || '.html' end as file_name from pages""")
 def web_doc_id(spark, d):
     u = F.col("url")
     return table(spark, d, "pages").select("page_id", web.document_id(u).alias("doc_id"), web.file_name(u).alias("file_name"))
@@ -373,7 +436,8 @@ def web_metadata(spark, d):
     return x.select("page_id", F.col("metadata")["source_url"].alias("source_url"), F.col("metadata")["wf_title"].alias("title"))
 
 
-@query(f"with v as (select {VISIBLE} as t from pages), n as (select t, greatest(1, ceil((length(t) - 50) / 462.0)) as n from v where length(t) > 0) select cast(sum(n) as bigint) as chunks from n")
+@query(f"""with v as (select {VISIBLE} as t from pages), n as (select t, greatest(1, ceil((length(t) - 50) / 462.0)) as n from v where length(t) > 0)
+  select cast(sum(n) as bigint) as chunks from n""")
 def web_chunks(spark, d):
     return web.web_chunks(table(spark, d, "pages")).agg(F.count("*").alias("chunks"))
 
@@ -393,7 +457,9 @@ def stream_dashboard(spark, d):
     return rounded(streams.drain(streams.dashboard(stream(spark, d)), ["start"]).withColumn("start", ntz("start")), ["start", *DASH_COLUMNS])
 
 
-@query(f"with {LOGS}, w as (select *, unnest([date_trunc('day', ts) + interval 12 hour * cast(date_part('hour', ts) >= 12 as int), date_trunc('day', ts) + interval 12 hour * (cast(date_part('hour', ts) >= 12 as int) - 1)]) as start from scored) select start, {DASH} from w group by 1")
+@query(f"""with {LOGS}, w as (select *, unnest([date_trunc('day', ts) + interval 12 hour * cast(date_part('hour', ts) >= 12 as int),
+  date_trunc('day', ts) + interval 12 hour * (cast(date_part('hour', ts) >= 12 as int) - 1)]) as start from scored) select start, {DASH} from w
+  group by 1""")
 def stream_sliding(spark, d):
     """Trailing days, every twelve hours."""
     x = streams.drain(streams.dashboard(stream(spark, d), "1 day", "12 hours"), ["start"])
@@ -435,7 +501,8 @@ def stream_chunks(spark, d):
     return streams.drain(streams.chunks(docs)).select("document_id", "chunk_index", F.length("content").cast("long").alias("n"))
 
 
-@query(f"""with {SAMPLES}, j as (select *, scans - lag(scans) over (order by tick) as jump from samples) select tick, 'LowEfficiency' as kind, case when efficiency < 0.3 then 'High' when efficiency < 0.4 then 'Medium' else 'Low' end as severity from j where efficiency < 0.5
+@query(f"""with {SAMPLES}, j as (select *, scans - lag(scans) over (order by tick) as jump from samples) select tick, 'LowEfficiency' as kind, case
+  when efficiency < 0.3 then 'High' when efficiency < 0.4 then 'Medium' else 'Low' end as severity from j where efficiency < 0.5
 union all select tick, 'ScanIncrease', case when jump > 10000 then 'High' when jump > 5000 then 'Medium' else 'Low' end from j where jump > 1000""")
 def stream_anomalies(spark, d):
     events = streams.source(spark, d, "events", table(spark, d, "events").schema)
@@ -446,7 +513,8 @@ def stream_anomalies(spark, d):
 
 
 @query(f"""with {LOGS}, {ALERTS}, res as (select event_id, ts + interval 2 hour as resolved_at from events where event_id % 3 = 0)
-select event_id, alert, severity, resolved_at from alerts left join res using (event_id) where resolved_at is null or resolved_at >= timestamp '2024-01-14 00:00:00'""")
+select event_id, alert, severity, resolved_at from alerts left join res using (event_id)
+  where resolved_at is null or resolved_at >= timestamp '2024-01-14 00:00:00'""")
 def alert_resolution(spark, d):
     """The alert store on 15 January: open alerts, and those resolved within the last day."""
     resolutions = monitor.alerts(logs(spark, d)).where("event_id % 3 = 0").select("event_id", "alert", (F.col("ts") + F.expr("interval 2 hours")).alias("resolved_at"))
@@ -454,7 +522,8 @@ def alert_resolution(spark, d):
 
 
 @query(f"""with {LOGS}, {ALERTS} select {DASH}, round(avg(cast(results > 0 as int)), 6) as hit_rate,
-list_sort(list(response_ms))[cast(floor(0.95 * (count(*) - 1)) as bigint) + 1] as p95_ms, list_sort(list(response_ms))[cast(floor(0.99 * (count(*) - 1)) as bigint) + 1] as p99_ms,
+list_sort(list(response_ms))[cast(floor(0.95 * (count(*) - 1)) as bigint) + 1] as p95_ms, list_sort(list(response_ms))[cast(floor(0.99 * (count(*) -
+  1)) as bigint) + 1] as p99_ms,
 (select count(*) from alerts where event_id % 3 <> 0) as active_alerts from scored""")
 def dashboard_full(spark, d):
     x = monitor.full_dashboard(logs(spark, d), monitor.alerts(logs(spark, d)).where("event_id % 3 <> 0"))
@@ -466,17 +535,23 @@ def recent_queries(spark, d):
     return monitor.recent(logs(spark, d)).select("event_id")
 
 
-@query(f"""with {LOGS}, fb as (select event_id, cast(event_id % 5 as double) / 4 as rating from events where event_id % 4 = 1), m as (select query, strategy, count(*) as uses, avg(coalesce(rating, score / 100)) as satisfaction from scored left join fb using (event_id) group by query, strategy)
-select query, strategy, uses, round(satisfaction, 6) as satisfaction from m qualify row_number() over (partition by query order by round(satisfaction, 9) desc, strategy) = 1""")
+@query(f"""with {LOGS}, fb as (select event_id, cast(event_id % 5 as double) / 4 as rating from events where event_id % 4 = 1),
+  m as (select query, strategy, count(*) as uses, avg(coalesce(rating, score / 100)) as satisfaction from scored left join fb using (event_id)
+  group by query, strategy)
+select query, strategy, uses, round(satisfaction, 6) as satisfaction from m qualify row_number() over (partition by query order by round(satisfaction,
+  9) desc, strategy) = 1""")
 def feedback_strategies(spark, d):
     feedback = table(spark, d, "events").where("event_id % 4 = 1").selectExpr("event_id", "cast(event_id % 5 as double) / 4 as rating")
     return monitor.reoptimised(logs(spark, d), feedback, "query").select("query", "strategy", "uses", r6("satisfaction"))
 
 
-@query(f"""with {SAMPLES}, j as (select *, scans - lag(scans) over (order by tick) as jump from samples), an as (select case when efficiency < 0.3 then 'High' when efficiency < 0.4 then 'Medium' else 'Low' end as severity from j where efficiency < 0.5
+@query(f"""with {SAMPLES}, j as (select *, scans - lag(scans) over (order by tick) as jump from samples),
+  an as (select case when efficiency < 0.3 then 'High' when efficiency < 0.4 then 'Medium' else 'Low' end as severity from j where efficiency < 0.5
 union all select case when jump > 10000 then 'High' when jump > 5000 then 'Medium' else 'Low' end from j where jump > 1000)
-select count(*) as samples, round(avg(efficiency), 6) as avg_efficiency, round(min(efficiency), 6) as min_efficiency, round(max(efficiency), 6) as max_efficiency, cast(sum(scans) as bigint) as scans,
-(select count(*) from an where severity = 'High') as high, (select count(*) from an where severity = 'Medium') as medium, (select count(*) from an where severity = 'Low') as low from samples""")
+select count(*) as samples, round(avg(efficiency), 6) as avg_efficiency, round(min(efficiency), 6) as min_efficiency, round(max(efficiency),
+  6) as max_efficiency, cast(sum(scans) as bigint) as scans,
+(select count(*) from an where severity = 'High') as high, (select count(*) from an where severity = 'Medium') as medium, (select count(*) from an
+  where severity = 'Low') as low from samples""")
 def monitoring_summary(spark, d):
     s = samples(table(spark, d, "events"))
     x = monitor.monitoring_summary(s, monitor.anomalies(s))

@@ -50,7 +50,8 @@ def doc_keyword_scan(spark, d):
     return tables.keyword_scan(documents(spark, d), "The", 25).select("doc_id", "source")
 
 
-@query("select doc_id, lang, source, n_chars from documents where doc_id % 10 <> 1 union all select doc_id, 'xx', source, n_chars from documents where doc_id % 10 = 1 union all select doc_id + 1000000, 'xx', source, n_chars from documents where doc_id % 50 = 0")
+@query("""select doc_id, lang, source, n_chars from documents where doc_id % 10 <> 1 union all select doc_id, 'xx', source, n_chars from documents
+  where doc_id % 10 = 1 union all select doc_id + 1000000, 'xx', source, n_chars from documents where doc_id % 50 = 0""")
 def doc_upsert(spark, d):
     docs = documents(spark, d).select("doc_id", "lang", "source", "n_chars")
     changed = docs.where("doc_id % 10 = 1").withColumn("lang", F.lit("xx"))
@@ -74,7 +75,8 @@ def chunk_count(spark, d):
     return chunks(spark, d).agg(F.count("*").alias("chunks"), F.countDistinct("document_id").alias("documents"), (F.count_if(F.col("chunk_id") == "1#0") > 0).alias("has_one"))
 
 
-@query(f"with {CHUNK_SQL} select document_id, count(*) as n from chunks where document_id not in (select doc_id from documents where source = 'src0') group by document_id")
+@query(f"""with {CHUNK_SQL} select document_id, count(*) as n from chunks where document_id not in (select doc_id from documents
+  where source = 'src0') group by document_id""")
 def delete_by_doc(spark, d):
     gone = documents(spark, d).where("source = 'src0'").selectExpr("doc_id document_id")
     return tables.delete(chunks(spark, d), gone, "document_id").groupBy("document_id").agg(F.count("*").alias("n"))
@@ -88,20 +90,24 @@ def upsert_chunks(spark, d):
     return tables.update_present(rows, new.unionByName(unknown), "chunk_id").select("chunk_id", "content")
 
 
-@query(f"""with {CHUNK_SQL}, extra as (select document_id, max(chunk_index) + 1 + p as chunk_index, 'note ' || p as content from chunks, (select unnest([0, 1]) as p) where document_id % 7 = 0 group by document_id, p)
-select document_id, cast(chunk_index as int) as chunk_index, content, cast(count(*) over (partition by document_id) as int) as total_chunks from (select document_id, chunk_index, content from chunks union all select * from extra)""")
+@query(f"""with {CHUNK_SQL}, extra as (select document_id, max(chunk_index) + 1 + p as chunk_index, 'note ' || p as content
+  from chunks, (select unnest([0, 1]) as p) where document_id % 7 = 0 group by document_id, p)
+select document_id, cast(chunk_index as int) as chunk_index, content, cast(count(*) over (partition by document_id) as int) as total_chunks
+  from (select document_id, chunk_index, content from chunks union all select * from extra)""")
 def add_chunks_renumber(spark, d):
     rows = chunks(spark, d)
     notes = documents(spark, d).where("doc_id % 7 = 0").selectExpr("doc_id document_id", "explode(array(0, 1)) position").withColumn("content", F.concat(F.lit("note "), "position"))
     return tables.append_chunks(rows, notes)
 
 
-@query(f"with {CHUNK_SQL} select chunk_id, lag(content) over w as previous, lead(content) over w as following from chunks window w as (partition by document_id order by chunk_index)")
+@query(f"""with {CHUNK_SQL} select chunk_id, lag(content) over w as previous, lead(content) over w as following
+  from chunks window w as (partition by document_id order by chunk_index)""")
 def chunk_neighbours_content(spark, d):
     return tables.enriched(chunks(spark, d)).select("chunk_id", "previous", "following")
 
 
-@query(f"with {CHUNK_SQL} select doc_id, list_aggregate(list_sort(list(chunk_index || ':' || length(content))), 'string_agg', ',') as parts from documents join chunks on doc_id = document_id group by doc_id")
+@query(f"""with {CHUNK_SQL} select doc_id, list_aggregate(list_sort(list(chunk_index || ':' || length(content))), 'string_agg', ',') as parts
+  from documents join chunks on doc_id = document_id group by doc_id""")
 def document_with_chunks(spark, d):
     x = tables.nested(documents(spark, d), chunks(spark, d))
     return x.select("doc_id", F.array_join(F.sort_array(F.transform("chunks", lambda c: F.concat(c.chunk_index, F.lit(":"), F.length(c.content)))), ",").alias("parts"))
@@ -166,20 +172,24 @@ for _name, _sql, _tokens in (
     query(_check)(_f)
 
 
-@query(f"select doc_id, cast(length(text) // 4 as int) as floor4, cast(ceil(length(text) / 4.0) as int) as ceil4, cast(trunc(len({SPACED}) * 0.75) as int) as by_words from documents")
+@query(f"""select doc_id, cast(length(text) // 4 as int) as floor4, cast(ceil(length(text) / 4.0) as int) as ceil4,
+  cast(trunc(len({SPACED}) * 0.75) as int) as by_words from documents""")
 def token_estimates(spark, d):
     c = F.col("text")
     return documents(spark, d).select("doc_id", text.tokens_floor(c).alias("floor4"), text.tokens_ceil(c).alias("ceil4"), text.tokens_words(c).alias("by_words"))
 
 
-@query("select conv_id, turn, case when regexp_matches(text, '[가-힣]') and regexp_matches(text, '[a-zA-Z]') then 'Mixed' when regexp_matches(text, '[가-힣]') then 'Korean' when regexp_matches(text, '[a-zA-Z]') then 'English' else 'Other' end as language from conversations")
+@query("""select conv_id, turn, case when regexp_matches(text, '[가-힣]') and regexp_matches(text, '[a-zA-Z]') then 'Mixed' when regexp_matches(text,
+  '[가-힣]') then 'Korean' when regexp_matches(text, '[a-zA-Z]') then 'English' else 'Other' end as language from conversations""")
 def language_detect(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", text.script_class(F.col("text")).alias("language"))
 
 
 # --- inverted index ---
 
-POST = f"toks as (select doc_id, {SPARSE} as t from documents), post as (select doc_id, term, count(*) as tf, any_value(dl) as dl from (select doc_id, len(t) as dl, unnest(t) as term from toks) group by doc_id, term), terms as (select term, count(*) as df, sum(tf) as cf from post group by term)"
+POST = f"""toks as (select doc_id, {SPARSE} as t from documents), post as (select doc_id, term, count(*) as tf, any_value(dl) as dl
+  from (select doc_id, len(t) as dl, unnest(t) as term from toks) group by doc_id, term), terms as (select term, count(*) as df, sum(tf) as cf
+  from post group by term)"""
 
 
 def postings(spark, d):
@@ -196,7 +206,8 @@ def document_frequency(spark, d):
     return lexical.terms(postings(spark, d))
 
 
-@query(f"with {POST} select (select count(*) from documents) as documents, count(*) as vocabulary, cast(sum(cf) as bigint) as tokens, round(sum(cf) / (select count(*) from documents), 6) as avgdl, cast(8 * count(*) + 16 * sum(df) as bigint) as bytes from terms")
+@query(f"""with {POST} select (select count(*) from documents) as documents, count(*) as vocabulary, cast(sum(cf) as bigint) as tokens,
+  round(sum(cf) / (select count(*) from documents), 6) as avgdl, cast(8 * count(*) + 16 * sum(df) as bigint) as bytes from terms""")
 def inverted_index_stats(spark, d):
     n = documents(spark, d).agg(F.count("*").alias("documents"))
     t = lexical.terms(postings(spark, d)).agg(F.count("*").alias("vocabulary"), F.sum("cf").alias("tokens"), F.sum("df").alias("postings"))
@@ -213,7 +224,8 @@ def hapax_pruned(spark, d):
     return lexical.terms(postings(spark, d)).where("cf > 1")
 
 
-@query(f"with {POST} select term, round(ln((n - df + 0.5) / (df + 0.5)), 6) as idf, round(greatest(0, ln((n - df + 0.5) / (df + 0.5))), 6) as idf_clamped from terms, (select count(*) as n from documents)")
+@query(f"""with {POST} select term, round(ln((n - df + 0.5) / (df + 0.5)), 6) as idf, round(greatest(0, ln((n - df + 0.5) / (df + 0.5))),
+  6) as idf_clamped from terms, (select count(*) as n from documents)""")
 def idf_table(spark, d):
     t = lexical.terms(postings(spark, d)).join(F.broadcast(documents(spark, d).agg(F.count("*").alias("n"))))
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -229,7 +241,8 @@ def _knn_query(name: str, metric: str, score: str):
         return nearest.knn(v, v.where("doc_id = 0").selectExpr("doc_id qid", "vec"), 10, metric).select("doc_id", "rank", r6("score"))
 
     f.__name__ = name
-    query(f"with {VECS} select b.doc_id, cast(row_number() over (order by {score} desc, b.doc_id) as int) as rank, round({score}, 6) as score from vecs a, vecs b where a.doc_id = 0 qualify rank <= 10")(f)
+    query(f"""with {VECS} select b.doc_id, cast(row_number() over (order by {score} desc, b.doc_id) as int) as rank, round({score}, 6) as score
+  from vecs a, vecs b where a.doc_id = 0 qualify rank <= 10""")(f)
 
 
 COS = "list_dot_product(a.vec, b.vec) / sqrt(list_dot_product(a.vec, a.vec) * list_dot_product(b.vec, b.vec))"
@@ -247,7 +260,8 @@ def knn_batch(spark, d):
     return nearest.knn(hybrid_corpus(spark, d), queries(spark, d), 10).select("qid", "doc_id", "rank", r6("score"))
 
 
-@query(f"with {VECS} select b.doc_id, cast(row_number() over (order by {COS} desc, b.doc_id) as int) as rank, round({COS}, 6) as score from vecs a, vecs b where a.doc_id = 7 and b.doc_id <> 7 and {COS} >= 0.1 qualify rank <= 10")
+@query(f"""with {VECS} select b.doc_id, cast(row_number() over (order by {COS} desc, b.doc_id) as int) as rank, round({COS}, 6) as score
+  from vecs a, vecs b where a.doc_id = 7 and b.doc_id <> 7 and {COS} >= 0.1 qualify rank <= 10""")
 def find_similar(spark, d):
     return search.find_similar(tables.vectors(spark, d), 7, 10, 0.1).select("doc_id", "rank", r6("score"))
 
@@ -257,7 +271,8 @@ def vector_norms(spark, d):
     return tables.vectors(spark, d).select("doc_id", F.round(vectors.norm(F.col("vec")), 6).alias("norm"), F.round(vectors.normalized(F.col("vec"))[0], 6).alias("first"))
 
 
-@query(f"with {VECS} select a.doc_id as a, b.doc_id as b, round({COS}, 6) as cosine, round(1 - {COS}, 6) as distance, round(list_distance(a.vec, b.vec), 6) as l2 from vecs a join vecs b on b.doc_id = a.doc_id + 1")
+@query(f"""with {VECS} select a.doc_id as a, b.doc_id as b, round({COS}, 6) as cosine, round(1 - {COS}, 6) as distance, round(list_distance(a.vec,
+  b.vec), 6) as l2 from vecs a join vecs b on b.doc_id = a.doc_id + 1""")
 def vector_pairs(spark, d):
     v = tables.vectors(spark, d)
     x = v.selectExpr("doc_id a", "vec va").join(v.selectExpr("doc_id b", "doc_id - 1 a", "vec vb"), "a")
@@ -301,23 +316,29 @@ def bm25_batch(spark, d):
 
 
 @query(f"""with {ITEM}, toks as (select doc_id, {SERVICE} as t from documents),
-post as (select doc_id, term, count(*) as tf, any_value(dl) as dl from (select doc_id, len(t) as dl, unnest(t) as term from toks) group by doc_id, term),
+post as (select doc_id, term, count(*) as tf, any_value(dl) as dl from (select doc_id, len(t) as dl, unnest(t) as term from toks)
+  group by doc_id, term),
 dfs as (select term, count(*) as df from post group by term), st as (select count(*) as n, avg(list_unique(t)) as avgdl from toks),
 qt as (select distinct qid, term from (select qid, unnest({SERVICE}) as term from asked)),
-scored as (select qid, doc_id, sum(greatest(0, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as score from qt join post using (term) join dfs using (term), st group by qid, doc_id)
-select qid, doc_id, cast(row_number() over (partition by qid order by round(score, 9) desc, doc_id) as int) as rank, round(score, 6) as score from scored where score > 0 qualify rank <= 10""")
+scored as (select qid, doc_id, sum(greatest(0, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as score
+  from qt join post using (term) join dfs using (term), st group by qid, doc_id)
+select qid, doc_id, cast(row_number() over (partition by qid order by round(score, 9) desc, doc_id) as int) as rank, round(score, 6) as score
+  from scored where score > 0 qualify rank <= 10""")
 def bm25_service(spark, d):
     return lexical.bm25_service(documents(spark, d), _items(spark, d)).select("qid", "doc_id", "rank", r6("score"))
 
 
-@query(f"""with toks as (select doc_id, len(t) as dl, len(list_filter(t, lambda x: x = 'the')) as tf from (select doc_id, {SPARSE} as t from documents)),
+@query(f"""with toks as (select doc_id, len(t) as dl, len(list_filter(t, lambda x: x = 'the')) as tf from (select doc_id, {SPARSE} as t
+  from documents)),
 st as (select count(*) as n, avg(dl) as avgdl, count(*) filter (tf > 0) as df from toks)
-select doc_id, round(tf / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) as tf_part, round(ln((n - df + 0.5) / (df + 0.5)), 6) as idf, round(dl / avgdl, 6) as length_ratio from toks, st where tf > 0""")
+select doc_id, round(tf / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) as tf_part, round(ln((n - df + 0.5) / (df + 0.5)),
+  6) as idf, round(dl / avgdl, 6) as length_ratio from toks, st where tf > 0""")
 def bm25_components(spark, d):
     return lexical.bm25_components(documents(spark, d), "the").select("doc_id", r6("tf_part"), r6("idf"), r6("length_ratio"))
 
 
-@query("select doc_id, round(((length(text) - length(replace(lower(text), 'the', ''))) / 3.0) / len(string_split(text, ' ')), 6) as score from documents where contains(lower(text), 'the')")
+@query("""select doc_id, round(((length(text) - length(replace(lower(text), 'the', ''))) / 3.0) / len(string_split(text, ' ')), 6) as score
+  from documents where contains(lower(text), 'the')""")
 def keyword_score(spark, d):
     c = F.col("text")
     return documents(spark, d).where(F.contains(F.lower(c), F.lit("the"))).select("doc_id", F.round(text.keyword_score(c, "the"), 6).alias("score"))
@@ -348,10 +369,12 @@ for _name, _method, _sql in (
     _fusion.__name__ = _name
     query(f"with {ARMS}, {_sql} {SHOWN} from fused")(_fusion)
 
-MANY = "gathered as (select qid, doc_id, sum(x) as score, string_agg(source, ',' order by source) as source from ({}) group by qid, doc_id) {} from (select *, row_number() over (partition by qid order by round(score, 9) desc, doc_id) as rank from gathered qualify rank <= 10)"
+MANY = """gathered as (select qid, doc_id, sum(x) as score, string_agg(source, ',' order by source) as source from ({}) group by qid, doc_id) {}
+  from (select *, row_number() over (partition by qid order by round(score, 9) desc, doc_id) as rank from gathered qualify rank <= 10)"""
 
 
-@query(f"with {ARMS}, " + MANY.format("select qid, doc_id, 1.0 / (60 + rank) as x, 'sparse' as source from sparse union all select qid, doc_id, 1.0 / (60 + rank), 'vector' from dense", SHOWN))
+@query(f"with {ARMS}, " + MANY.format("""select qid, doc_id, 1.0 / (60 + rank) as x, 'sparse' as source from sparse union all
+  select qid, doc_id, 1.0 / (60 + rank), 'vector' from dense""", SHOWN))
 def rank_fusion_rrf_n(spark, d):
     v, s = arms(spark, d)
     return fusion.rrf_many({"vector": v, "sparse": s}).select("qid", "doc_id", "rank", "source", r6("score"))
@@ -360,7 +383,8 @@ def rank_fusion_rrf_n(spark, d):
 NORM = "case when max(score) over w - min(score) over w <= 1e-12 then 1.0 else (score - min(score) over w) / nullif(max(score) over w - min(score) over w, 0) end"
 
 
-@query(f"with {ARMS}, " + MANY.format(f"select qid, doc_id, 0.25 * {NORM} as x, 'sparse' as source from sparse window w as (partition by qid) union all select qid, doc_id, 0.75 * {NORM}, 'vector' from dense window w as (partition by qid)", SHOWN))
+@query(f"with {ARMS}, " + MANY.format(f"""select qid, doc_id, 0.25 * {NORM} as x, 'sparse' as source from sparse window w as (partition by qid)
+  union all select qid, doc_id, 0.75 * {NORM}, 'vector' from dense window w as (partition by qid)""", SHOWN))
 def rank_fusion_weights_n(spark, d):
     v, s = arms(spark, d)
     return fusion.weighted_many({"vector": (v, 3.0), "sparse": (s, 1.0)}).select("qid", "doc_id", "rank", "source", r6("score"))
@@ -380,17 +404,19 @@ def hybrid_search(spark, d):
     return search.hybrid(corpus, asked).select("qid", "doc_id", "rank", "source", r6("score"))
 
 
-AUTO = f"""words as (select qid, len({SPACED}) as n, len(list_filter({SPACED}, lambda x: regexp_matches(lower(x), 'api|http|json|sql|ai|ml'))) > 0 as technical from asked),
+AUTO = f"""words as (select qid, len({SPACED}) as n, len(list_filter({SPACED}, lambda x: regexp_matches(lower(x),
+  'api|http|json|sql|ai|ml'))) > 0 as technical from asked),
 w as (select qid, case when n <= 2 then 0.3 when n <= 5 then 0.6 else 0.8 end as wv, technical from words)"""
 EITHER = "case when technical then coalesce(wv * v / nullif(mv, 0), 0) + coalesce((1 - wv) * s / nullif(ms, 0), 0) else coalesce(wv / (60 + rv), 0) + coalesce((1 - wv) / (60 + rs), 0) end"
 
 
-@query(f"with {ARMS}, {AUTO}, {fused(EITHER, extra=', max(v) over (partition by qid) as mv, max(s) over (partition by qid) as ms').replace('from pairs)', 'from pairs join w using (qid))')} {SHOWN} from fused")
+@query(f"""with {ARMS}, {AUTO}, {fused(EITHER, extra=', max(v) over (partition by qid) as mv, max(s) over (partition by qid) as ms').replace('from pairs)', 'from pairs join w using (qid))')} {SHOWN} from fused""")
 def hybrid_batch(spark, d):
     return search.hybrid_auto(hybrid_corpus(spark, d), queries(spark, d)).select("qid", "doc_id", "rank", "source", r6("score"))
 
 
-@query(f"with {CORPUS}, {dense(20)}, {bm25(k=20)}, " + MANY.format("select qid, doc_id, 1.0 / (60 + rank) as x, 'keyword' as source from sparse union all select qid, doc_id, 1.0 / (60 + rank), 'vector' from dense", SHOWN))
+@query(f"with {CORPUS}, {dense(20)}, {bm25(k=20)}, " + MANY.format("""select qid, doc_id, 1.0 / (60 + rank) as x, 'keyword' as source from sparse
+  union all select qid, doc_id, 1.0 / (60 + rank), 'vector' from dense""", SHOWN))
 def sdk_hybrid(spark, d):
     return search.rank_hybrid(hybrid_corpus(spark, d), queries(spark, d)).select("qid", "doc_id", "rank", "source", r6("score"))
 
@@ -405,7 +431,8 @@ def phrase_search(spark, d):
     return search.phrase(documents(spark, d), "of the").select("doc_id")
 
 
-@query(f"with {CORPUS}, {dense(50)} select qid, doc_id, cast(rank as int) as rank, round(score, 6) as score from dense where score >= 0.7 * 0.2 and rank <= 30 qualify row_number() over (partition by qid order by round(score, 9) desc, doc_id) <= 10")
+@query(f"""with {CORPUS}, {dense(50)} select qid, doc_id, cast(rank as int) as rank, round(score, 6) as score from dense
+  where score >= 0.7 * 0.2 and rank <= 30 qualify row_number() over (partition by qid order by round(score, 9) desc, doc_id) <= 10""")
 def advanced_search(spark, d):
     return search.advanced(hybrid_corpus(spark, d), queries(spark, d), 10, 0.2).select("qid", "doc_id", "rank", r6("score"))
 
@@ -413,7 +440,8 @@ def advanced_search(spark, d):
 # --- facets, suggestions, paging ---
 
 
-@query("select 'lang' as field, lang as value, count(*) as n from documents group by lang qualify row_number() over (order by n desc, value) <= 10 union all select 'source', source, count(*) as n from documents group by source qualify row_number() over (order by n desc, source) <= 10")
+@query("""select 'lang' as field, lang as value, count(*) as n from documents group by lang qualify row_number() over (order by n desc, value) <= 10
+  union all select 'source', source, count(*) as n from documents group by source qualify row_number() over (order by n desc, source) <= 10""")
 def facets(spark, d):
     return search.facets(documents(spark, d), ["lang", "source"], 10)
 

@@ -2,6 +2,8 @@
 
 import math
 import os
+import random
+import re
 
 import duckdb
 import pandas as pd
@@ -10,11 +12,15 @@ from pyspark.sql import functions as F
 
 from seekspark import catalog
 from seekspark.catalog import analysis, evaluation, ingest, monitoring, retrieval  # noqa: F401
-from seekspark.operators import cache, chunking, context, evaluate, monitor, nearest
+from seekspark.functions import hooks
+from seekspark.operators import cache, chunking, context, evaluate, lexical, monitor, nearest
+from seekspark.plans import selfrag
 from seekspark.sources import tables, web
+from seekspark.streaming import monitoring as streams
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {"self_rag", "adaptive_search"}
+#: Checked below against brute force, as SQL cannot express them.
+BRUTE = {"chunk_words", "chunk_sentences"}
 
 
 def plain(v):
@@ -38,33 +44,136 @@ def sql():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - BRUTE))
 def test_query(spark, sql, name):
     got = catalog.QUERIES[name](spark, DATA).toPandas()
-    if name not in catalog.SQL:
-        assert len(got)
-        return
     want = sql.sql(catalog.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got, sorted(got.columns)) == rows(want, sorted(got.columns))
 
 
-def greedy(words, size, keep):
-    """What the word chunker should do, step by step."""
+def greedy(words, size, keep, join=" "):
+    """What the greedy chunkers should do, step by step."""
     out, cur = [], []
     for w in words:
         if cur and sum(len(x) + 1 for x in cur) + len(w) + 1 > size:
-            out.append(" ".join(cur))
+            out.append(join.join(cur))
             cur = cur[-keep:] if keep else []
         cur = [*cur, w]
-    return [*out, " ".join(cur)] if cur else out
+    return [*out, join.join(cur)] if cur else out
 
 
-def test_word_chunker(spark):
-    docs = tables.documents(spark, DATA).limit(20)
-    got = docs.select("text", chunking.words(F.col("text"), 100, 30).alias("c")).collect()
-    for r in got:
-        assert r.c == greedy(r.text.split(), 100, 3)
+def chunks_of(spark, name):
+    got = {}
+    for r in catalog.QUERIES[name](spark, DATA).collect():
+        got.setdefault(r.document_id, []).append((r.chunk_index, r.content))
+    return {k: [c for _, c in sorted(v)] for k, v in got.items()}
+
+
+def test_word_chunks_of_all_documents(spark):
+    texts = {r.doc_id: r.text for r in tables.documents(spark, DATA).collect()}
+    want = {i: greedy([w for w in re.split(r"[ \t\r\n]+", t) if w], 512, 6) for i, t in texts.items() if t is not None}
+    assert chunks_of(spark, "chunk_words") == {i: c for i, c in want.items() if c}
+
+
+def test_sentence_chunks_of_all_documents(spark):
+    import regex
+
+    texts = {r.doc_id: r.text for r in tables.documents(spark, DATA).collect()}
+    parts = lambda t: [x.strip(" ") for x in regex.split(r"(?<=[.!?\n])(?!\p{Ll})", t) if x.strip(" ")]
+    want = {i: greedy(parts(t), 200, 1) for i, t in texts.items() if t is not None}
+    assert chunks_of(spark, "chunk_sentences") == {i: c for i, c in want.items() if c}
+
+
+def test_chunkers(spark):
+    text = "one two three. Four five\n\nsix seven eight nine ten\n \neleven"
+    df = spark.createDataFrame([(text,), ("",), ("  ",), ("x" * 30,), (None,)], "t string")
+    got = df.select(chunking.paragraphs(F.col("t"), 30).alias("p"), chunking.words(F.col("t"), 10, 0).alias("w"), chunking.sentences(F.col("t"), 20, 8).alias("s"), chunking.auto(F.col("t"), 20, 0).alias("a")).collect()
+    assert got[0].p == ["one two three. Four five", "six seven eight nine ten", "eleven"]
+    assert got[0].w == greedy(text.split(), 10, 0) and got[1].w == [] and got[3].w == ["x" * 30]
+    assert len(got[0].s[-1]) >= 8 and got[3].a == ["x" * 20, "x" * 10]
+    assert set(chunking.CHUNKERS) >= {"fixed", "sentences", "paragraphs", "semantic", "auto"}
+
+
+def test_percentiles_by_ranges(spark):
+    r = random.Random(3)
+    for values in ([5.0], [1.0, 1.0, 1.0], [r.paretovariate(0.5) for _ in range(500)], [float(r.randrange(7)) for _ in range(300)]):
+        df = spark.createDataFrame([(v, i % 3) for i, v in enumerate(values)], "v double, g int")
+        for by in ([], ["g"]):
+            got = {tuple(x[c] for c in by): (x.p50, x.p99) for x in monitor.percentiles(df, "v", [0.5, 0.99], by, ranges=16).collect()}
+            groups = {}
+            for i, v in enumerate(values):
+                groups.setdefault((i % 3,) if by else (), []).append(v)
+            assert got == {g: tuple(sorted(x)[math.floor(p * (len(x) - 1))] for p in (0.5, 0.99)) for g, x in groups.items()}
+
+
+def test_value_before_over_ranges(spark):
+    df = spark.range(100).selectExpr("id at", "id * 3 scans")
+    got = {r["at"]: r.previous for r in monitor.before(df.repartition(7), "scans", "at", 5).collect()}
+    assert got == {i: None if i == 0 else 3 * (i - 1) for i in range(100)}
+
+
+def test_recall_of_cells(spark):
+    for d in (DATA, "/root/testdata/sf0.1"):
+        assert retrieval.recall(spark, d).first().recall >= 0.94
+
+
+def test_cells_read_only_what_is_visited(spark):
+    v = tables.vectors(spark, DATA)
+    index = nearest.cells(v, 16)
+    assert index.stored.count() == v.count()
+    one = nearest.search_cells(index, v.where("doc_id = 0").selectExpr("doc_id qid", "vec"), 5, probes=1)
+    assert one.count() == 5
+    everything = nearest.search_cells(index, v.where("doc_id % 20 = 0").selectExpr("doc_id qid", "vec"), 5, probes=16)
+    exact = nearest.knn(v, v.where("doc_id % 20 = 0").selectExpr("doc_id qid", "vec"), 5)
+    assert sorted(map(tuple, everything.select("qid", "doc_id", "rank").collect())) == sorted(map(tuple, exact.select("qid", "doc_id", "rank").collect()))
+
+
+def test_ties_are_settled_by_id(spark):
+    v = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(50)], "doc_id long, vec array<double>").repartition(6)
+    q = spark.createDataFrame([(0, [1.0, 0.0])], "qid long, vec array<double>")
+    assert [r.doc_id for r in nearest.knn(v, q, 5).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_odd_queries(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, None), (3, ""), (4, "beta's \\ gamma")], "doc_id long, text string")
+    ask = lambda *t: spark.createDataFrame(list(enumerate(t)), "qid long, text string")
+    assert {(r.qid, r.doc_id) for r in lexical.bm25_service(docs, ask("gamma", None, "", "it's")).collect()} == {(0, 4)}
+    assert lexical.bm25_sparse(docs, ask(None, "")).collect() == lexical.bm25_sparse(docs.limit(0), ask("alpha")).collect() == []
+
+
+def test_holders(spark):
+    docs = spark.createDataFrame([(1, "xone two three fourx"), (2, "one two"), (3, "two"), (4, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "one two three four"), (2, "two"), (3, "ne tw"), (4, None), (5, "")], "qid long, item string")
+    got = {(r.qid, r.doc_id) for r in evaluate.holders(docs, items).collect()}
+    assert got == {(i, d) for d, t in [(1, "xone two three fourx"), (2, "one two"), (3, "two")] for i, x in [(1, "one two three four"), (2, "two"), (3, "ne tw"), (5, "")] if x in t}
+
+
+def test_credibility_and_freshness(spark):
+    hits = spark.createDataFrame([(1, 1, 1), (1, 2, 2)], "qid long, doc_id long, rank int")
+    texts = spark.createDataFrame([(1, "alpha beta", 0.4, 73.0), (2, "gamma", None, 730.0)], "doc_id long, text string, reliability double, age_days double")
+    r = selfrag.assessed(hits, spark.createDataFrame([(1, "alpha")], "qid long, text string"), texts).first()
+    assert r.credibility == pytest.approx((0.8 + 0.4) / 2) and r.freshness == pytest.approx(((0.7 + 0.8) / 2 + 0.0) / 2)
+
+
+def test_stream_is_not_lost_when_started_again(spark, tmp_path):
+    path, source = str(tmp_path / "out"), str(tmp_path / "in")
+    spark.range(10).write.parquet(f"{source}/a.parquet")
+    for _ in range(2):
+        streams.store(spark.readStream.schema("id long").parquet(f"{source}/*.parquet"), path).awaitTermination()
+    spark.range(10, 13).write.parquet(f"{source}/b.parquet")
+    q = streams.store(spark.readStream.schema("id long").parquet(f"{source}/*.parquet"), path)
+    q.awaitTermination()
+    assert sorted(r.id for r in streams.stored(spark, path, spark.range(1).schema).collect()) == list(range(13))
+    assert [p["rows"] for p in streams.progress(q)] == [3]
+
+
+def test_hooks(spark):
+    with pytest.raises(TypeError):
+        hooks.register(hooks.EMBEDDERS, "bad", 3)
+    rows = spark.createDataFrame([(1, "a bb"), (2, "a bb"), (3, " "), (4, None)], "i int, content string")
+    got = {r.i: r.vec for r in hooks.embedded(rows).collect()}
+    assert got[1] == got[2] and got[3] == [] and got[4] is None and sum(x * x for x in got[1]) == pytest.approx(1)
 
 
 def test_changes(spark):

@@ -9,7 +9,8 @@ def test_cells_take_many_queries(spark, monkeypatch):
     r = np.random.default_rng(6)
     v = spark.createDataFrame([(i, r.standard_normal(8).tolist()) for i in range(60)], "doc_id long, vec array<double>")
     q = v.where("doc_id % 3 = 0").selectExpr("doc_id qid", "vec")
-    found = lambda: sorted(map(tuple, nearest.ivf_search(v, q, nearest.ivf(v, 8), 5, 3).select("qid", "doc_id", "rank").collect()))
+    index = nearest.cells(v, 8)
+    found = lambda: sorted(map(tuple, nearest.search_cells(index, q, 5, 3).select("qid", "doc_id", "rank").collect()))
     want = found()
     monkeypatch.setattr(nearest, "BLOCK", 7)
     assert len({x[0] for x in want}) == 20 and found() == want
