@@ -6,11 +6,13 @@ are projected on the leading principal dimensions (fitted on a bounded sample; a
 results), and sorted by label and the cells of an eps grid on them, over range partitions. The sorted sequence is cut to
 blocks of at most `BLOCK` classes, and these to a tree of intervals of `FAN` each with bounding boxes. The join begins with
 each label's top intervals and goes down: of each pair of intervals, the pairs of their children whose boxes are within
-eps. Pairs of blocks that are left are compared by matrix product. A block pair yields link counts and a spanning
-forest of its links, never the links themselves.
+eps. Pairs of blocks that are left are dealt to tiles, the pairs of two bands of consecutive blocks: a block travels once to each
+tile that it has a pair in, and not once for each pair. Blocks are compared by matrix product. A tile yields link counts and
+spanning forests of its links, never the links themselves.
 
 Defined results: null or empty arrays, null or non-finite components, zero vectors and null labels: no link, component is
-the own vec_id. Vectors of unlike lengths never link. Equal vec_ids are vectors of their own. Other columns are ignored.
+the own vec_id. Vectors of unlike lengths never link. Equal vec_ids are vectors of their own. An empty table gives no row. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -19,12 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, components
 
 LEAST, DIMS, BLOCK, FAN, SAMPLE = 0.93, 4, 256, 8, 4096
+#: Blocks in a band: the square root of a label's blocks, within these bounds. A tile holds two bands in memory.
+BANDS = 32, 128
 
 
 def _axes(classes: DataFrame) -> dict[int, np.ndarray]:
@@ -108,40 +112,72 @@ def _spanning(near: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _joined(least: float):
-    """Of pairs of blocks: for each class the vectors linked (kind 0: key, number) and a spanning forest (kind 1: u, v)."""
+_FOUND = "kind int, u long, v long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                same, n, ka, kb, ca, cb, va, vb = (c[i].as_py() for c in b.columns)
-                x, y = np.frombuffer(va).reshape(-1, n), np.frombuffer(vb).reshape(-1, n)
-                ka, kb, ca, cb = (np.array(z, np.int64) for z in (ka, kb, ca, cb))
-                near = x @ y.T >= least
-                if same:
-                    np.fill_diagonal(near, False)
-                u, v = [ka[near.any(axis=1)]], [(near @ cb)[near.any(axis=1)]]
-                if not same:
-                    u.append(kb[near.any(axis=0)]), v.append((ca @ near)[near.any(axis=0)])
-                e = _spanning(near)
-                kind = np.repeat(np.int32([0, 1]), [sum(map(len, u)), len(e)])
-                u += [ka[[r for r, _ in e]]] if e else []
-                v += [kb[[c for _, c in e]]] if e else []
-                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["kind", "u", "v"])
+
+def _linked(least: float, x: dict, y: dict, same: bool) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Of two blocks: of each class the vectors linked (kind 0: key, number) and a spanning forest (kind 1: u, v)."""
+    near = x["v"] @ y["v"].T >= least
+    if same:
+        np.fill_diagonal(near, False)
+    rows = near.any(axis=1)
+    out = [(0, x["keys"][rows], (near @ y["counts"])[rows])]
+    if not same:
+        cols = near.any(axis=0)
+        out.append((0, y["keys"][cols], (x["counts"] @ near)[cols]))
+    e = _spanning(near)
+    if e:
+        out.append((1, x["keys"][[r for r, _ in e]], y["keys"][[c for _, c in e]]))
+    return out
+
+
+def _tile(least: float):
+    """Of a tile's blocks and pairs (each row: a block, and with which blocks it is the left one of a pair)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        blocks = {}
+        for r in range(table.num_rows):
+            at, n, keys, counts, v, pairs = (table.column(c)[r].as_py() for c in ("id", "n", "keys", "counts", "v", "others"))
+            blocks[at] = {"keys": np.array(keys, np.int64), "counts": np.array(counts, np.int64), "v": np.frombuffer(v).reshape(-1, n), "others": pairs or []}
+        found = [x for a, block in blocks.items() for b in block["others"] for x in _linked(least, block, blocks[b], a == b)]
+        # sums of a class over the tile's pairs, so that what is shuffled next does not grow with the pairs
+        key, number = (np.concatenate([x[k] for x in found if x[0] == 0] or [np.zeros(0, np.int64)]) for k in (1, 2))
+        key, back = np.unique(key, return_inverse=True)
+        number = np.bincount(back, number, len(key)).astype(np.int64)
+        u, v = (np.concatenate([x[k] for x in found if x[0] == 1] or [np.zeros(0, np.int64)]) for k in (1, 2))
+        kind = np.repeat(np.int32([0, 1]), [len(key), len(u)])
+        return pa.table({"kind": pa.array(kind), "u": pa.array(np.concatenate([key, u])), "v": pa.array(np.concatenate([number, v]))})
 
     return run
 
 
-def _pairs(boxes: DataFrame, scratch: Scratch, eps: float) -> DataFrame:
-    """(a, b) with a <= b: blocks that may hold near vectors, by recursion over intervals of the sequence."""
-    tree = [boxes.select("label", "n", "id", "low", "high", F.row_number().over(_numbered()).alias("k"))]
-    tree[0] = scratch.save(tree[0].withColumn("up", F.floor((F.col("k") - 1) / FAN)), "boxes")
+def _numbered(boxes: DataFrame) -> DataFrame:
+    """Adds `k`, each block's place in its label's sequence. Ids grow along the sequence, and without a gap in a partition; what is
+    put in order is a row for each label and partition."""
+    part = F.shiftright("id", 33)
+    runs = boxes.groupBy("label", "n", part.alias("part")).agg(F.count("*").alias("rows"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("rows").over(Window.partitionBy("label", "n").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select("label", "n", "part", "first", before.alias("before"))
+    return boxes.withColumn("part", part).join(runs, ["label", "n", "part"]).withColumn("k", F.col("before") + F.col("id") - F.col("first")).drop("part", "first", "before")
+
+
+def _tiles(boxes: DataFrame, scratch: Scratch, eps: float) -> DataFrame:
+    """(label, n, ta, tb, id, others): blocks by tile, and of which pairs with near boxes they are the left one.
+
+    The pairs come from a recursion over intervals of the sequence.
+    """
+    tree = [_numbered(boxes.select("label", "n", "id", "low", "high"))]
+    tree[0] = scratch.save(tree[0].withColumn("up", F.floor(F.col("k") / FAN)), "boxes")
     dims = range(DIMS)
     while (tree[-1].groupBy("label", "n").count().agg(F.max("count")).first()[0] or 0) > FAN:
         ends = [F.array(*(f(F.element_at(c, d + 1)) for d in dims)).alias(c) for c, f in (("low", F.min), ("high", F.max))]
         above = tree[-1].groupBy("label", "n", F.col("up").alias("k")).agg(*ends)
         tree.append(scratch.save(above.withColumn("up", F.floor(F.col("k") / FAN)), f"boxes{len(tree)}"))
-    far = lambda x, y: sum((F.pow(F.greatest(F.lit(0.0), F.element_at(f"{x}low", d + 1) - F.element_at(f"{y}high", d + 1), F.element_at(f"{y}low", d + 1) - F.element_at(f"{x}high", d + 1)), 2) for d in dims), F.lit(0.0))
+
+    def far(x: str, y: str):
+        apart = lambda d: F.greatest(F.lit(0.0), F.element_at(f"{x}low", d) - F.element_at(f"{y}high", d), F.element_at(f"{y}low", d) - F.element_at(f"{x}high", d))
+        return sum((F.pow(apart(d + 1), 2) for d in dims), F.lit(0.0))
+
     side = lambda t, x: t.select("label", "n", *(F.col(c).alias(f"{x}{c}") for c in ("k", "up", "low", "high")))
     top = side(tree[-1], "a").join(side(tree[-1], "b"), ["label", "n"])
     near = top.where((F.col("ak") <= F.col("bk")) & (far("a", "b") <= eps * eps + 1e-9))
@@ -150,13 +186,18 @@ def _pairs(boxes: DataFrame, scratch: Scratch, eps: float) -> DataFrame:
         near = parents.join(side(level, "a"), ["label", "n", "aup"]).join(side(level, "b"), ["label", "n", "bup"])
         near = near.where((F.col("ak") <= F.col("bk")) & (far("a", "b") <= eps * eps + 1e-9))
     ids = tree[0].select("label", "n", "k", "id")
-    return near.select("label", "n", "ak", "bk").join(ids.selectExpr("label", "n", "k ak", "id a"), ["label", "n", "ak"]).join(ids.selectExpr("label", "n", "k bk", "id b"), ["label", "n", "bk"]).select("a", "b")
-
-
-def _numbered():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("label", "n").orderBy("id")
+    size = tree[0].groupBy("label", "n").agg(F.count("*").alias("blocks"))
+    band = F.greatest(F.lit(BANDS[0]), F.least(F.lit(BANDS[1]), F.ceil(F.sqrt("blocks"))))
+    near = near.select("label", "n", "ak", "bk").join(size.select("label", "n", band.alias("band")), ["label", "n"])
+    near = near.join(ids.selectExpr("label", "n", "k ak", "id a"), ["label", "n", "ak"]).join(ids.selectExpr("label", "n", "k bk", "id b"), ["label", "n", "bk"])
+    near = near.select("label", "n", F.floor(F.col("ak") / F.col("band")).alias("ta"), F.floor(F.col("bk") / F.col("band")).alias("tb"), "a", "b")
+    near = scratch.save(near, "blockpairs")
+    tile = ["label", "n", "ta", "tb"]
+    none = F.array().cast("array<long>")
+    lefts = near.groupBy(*tile, F.col("a").alias("id")).agg(F.collect_list("b").alias("others"))
+    rights = near.select(*tile, F.col("b").alias("id")).distinct().withColumn("others", none)
+    both = lefts.unionByName(rights).groupBy(*tile, "id").agg(F.flatten(F.collect_list("others")).alias("others"))
+    return scratch.save(both, "tiles")
 
 
 def near_vectors(vectors: DataFrame, scratch: Scratch, least: float = LEAST) -> DataFrame:
@@ -177,10 +218,9 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, least: float = LEAST) ->
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["label", "n", *cells, "key"]
     blocks = scratch.save(celled.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_blocks(axes), _BLOCKS), "blocks")
-    pairs = scratch.save(_pairs(blocks, scratch, eps), "blockpairs")
-    side = lambda x: blocks.selectExpr(f"id {x}", "n" if x == "a" else "n nb", f"keys k{x}", f"counts c{x}", f"v v{x}")
-    full = pairs.join(side("a"), "a").join(side("b"), "b").selectExpr("a = b same", "n", "ka", "kb", "ca", "cb", "va", "vb")
-    found = scratch.save(full.mapInArrow(_joined(least), "kind int, u long, v long"), "found")
+    tiles = _tiles(blocks, scratch, eps)
+    full = tiles.join(blocks.select("id", "keys", "counts", "v"), "id")
+    found = scratch.save(full.groupBy("label", "n", "ta", "tb").applyInArrow(_tile(least), _FOUND), "found")
     links = found.where("kind = 0").groupBy(F.col("u").alias("key")).agg(F.sum("v").alias("links"))
     roots = components(found.where("kind = 1").select("u", "v"), scratch)
     at = roots.join(classes.selectExpr("key node", "low"), "node")

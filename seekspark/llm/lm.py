@@ -12,7 +12,12 @@ with D1, D2, D3+ from counts of counts at each order; the unigram level uses con
 1 / (V + 1), which is what an unseen word gets. Where an order has no counts of counts to estimate from (tiny
 corpora), its discounts are 0.5, 1 and 1.5.
 
-Defined results: null or empty text: the end token alone. Null doc_id: never held out (there is no id to hash).
+A lower-order gram that begins with a start token has its plain count: nothing but start tokens can stand before it, so the number of
+words before it says nothing.
+
+Defined results: null or empty text: the end token alone. Null doc_id: never held out (there is no id to hash). Repeated rows are counted
+and scored as often as they occur. An empty table gives no row; without a training row every word is unseen. Texts of any length are
+whole, one slice each if they are long. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -128,11 +133,15 @@ def _write(folder: str, name: str, *arrays: np.ndarray) -> None:
         fs.move(part, f"{at}/{name}.{k}")
 
 
-def _mapped(folder: str, name: str, k: int, dtype) -> np.ndarray:
-    """The array, memory-mapped: in place where the folder is mounted, else from an unlinked local copy."""
+def _mapped(folder: str, name: str, k: int, dtype, rows: int = 0) -> np.ndarray:
+    """The array, memory-mapped: in place where the folder is mounted, else from an unlinked local copy.
+
+    Whole numbers without a type are `rows` in as many bytes as the largest of the part needs."""
     fs, at = pafs.FileSystem.from_uri(f"{folder}/{name}.{k}")
-    if not fs.get_file_info(at).size:
-        return np.zeros(0, dtype)
+    size = fs.get_file_info(at).size
+    if not size:
+        return np.zeros(0, dtype or np.uint8)
+    dtype = dtype or np.dtype(f"u{size // rows}")
     if isinstance(fs, pafs.LocalFileSystem):
         return np.memmap(at, dtype, "r")
     with tempfile.NamedTemporaryFile() as f:
@@ -169,7 +178,8 @@ def _below(t: np.ndarray, count: np.ndarray, n: int, parts: int, plain: np.ndarr
     u, none, v = _summed(_key(t[1:]), t[:0], count, count == 1, count == 2, count > 2)
     rows = _packed(n, parts, u, none, *v)
     if n > 1:
-        u, tail, v = _summed(_key(t[: n - 1]), t[: n - 1], np.ones(t.shape[1]), np.zeros(t.shape[1]) if plain is None else plain)
+        before = np.where(t[n - 2] == START, count, 1) if n > 2 else np.ones(t.shape[1])
+        u, tail, v = _summed(_key(t[: n - 1]), t[: n - 1], before, np.zeros(t.shape[1]) if plain is None else plain)
         rows += _packed(1 - n, parts, u, tail, *v)
     rows.append((200 + n, 0, pack(np.array([int((count == i).sum()) for i in (1, 2, 3, 4)]))))
     return pd.DataFrame(rows, columns=["kind", "part", "data"])
@@ -184,7 +194,7 @@ def _merged(order: int, parts: int, folder: str):
             ts.append(seen[place].reshape(order, -1)), counts.append(count)
         t = np.concatenate(ts, axis=1)
         u, t, (count,) = _summed(_key(t), t, np.concatenate(counts))
-        _write(folder, f"top-{int(key[0])}", u, np.minimum(count, 2**32 - 1).astype(np.uint32))
+        _write(folder, f"top-{int(key[0])}", u, least(count))
         out = _below(t, count, order, parts, count if order == 2 else None)
         if order != 2:  # plain counts of words; with pairs they come with the tails
             u, none, v = _summed(t[0], t[:0], count)
@@ -200,7 +210,7 @@ def _lower(n: int, parts: int, folder: str, words: bool):
     def run(key, frame: pd.DataFrame) -> pd.DataFrame:
         u, t, (count, plain) = _unpacked(frame, n)
         p = int(key[0])
-        _write(folder, f"mid{n}-{p}", u, np.minimum(count, 2**32 - 1).astype(np.uint32))
+        _write(folder, f"mid{n}-{p}", u, least(count))
         out = _below(t, count, n, parts)
         if words:  # words are looked up by their own hash
             out = pd.concat([out, pd.DataFrame(_packed(100, parts, *_in_order(t[0], plain)), columns=out.columns)])
@@ -219,7 +229,7 @@ def _stored(name: str, folder: str):
 
     def run(key, frame: pd.DataFrame) -> pd.DataFrame:
         u, _, values = _unpacked(frame, 0)
-        _write(folder, f"{name}-{int(key[0])}", u, *values)
+        _write(folder, f"{name}-{int(key[0])}", u, *map(least, values))
         return pd.DataFrame({"n": [len(u)], "total": [int(values[0].sum())]})
 
     return run
@@ -235,10 +245,10 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"open": {}}
 
-    def look(self, table: str, key: np.ndarray, *dtypes, part: np.ndarray | None = None) -> list[np.ndarray]:
+    def look(self, table: str, key: np.ndarray, values: int = 1, part: np.ndarray | None = None) -> list[np.ndarray]:
         """The table's values for the keys, 0 where it has none."""
         u, first, back = np.unique(key, return_index=True, return_inverse=True)
-        out = [np.zeros(len(u), np.float64 if d == np.float64 else np.int64) for d in dtypes]
+        out = [np.zeros(len(u), np.int64) for _ in range(values)]
         part = part_of(u, self.parts) if part is None else part[first]
         by = np.argsort(part, kind="stable")
         cuts = np.searchsorted(part[by], np.arange(self.parts + 1))
@@ -246,15 +256,16 @@ class Model:
             name = f"{table}-{p}"
             if name not in self.open:
                 try:
-                    self.open[name] = (_mapped(self.folder, name, 0, np.uint64), *(_mapped(self.folder, name, k + 1, d) for k, d in enumerate(dtypes)))
+                    keys = _mapped(self.folder, name, 0, np.uint64)
+                    self.open[name] = (keys, *(_mapped(self.folder, name, k + 1, None, len(keys)) for k in range(values)))
                 except FileNotFoundError:  # no row fell to this part
-                    self.open[name] = (np.zeros(0, np.uint64), *(np.zeros(0, d) for d in dtypes))
-            keys, *values = self.open[name]
+                    self.open[name] = (np.zeros(0, np.uint64), *(np.zeros(0, np.uint8) for _ in range(values)))
+            keys, *arrays = self.open[name]
             mine = by[cuts[p] : cuts[p + 1]]
             at = np.searchsorted(keys, u[mine])
             hit = np.flatnonzero(at < len(keys))
             hit = hit[keys[at[hit]] == u[mine[hit]]]
-            for x, v in zip(out, values, strict=True):
+            for x, v in zip(out, arrays, strict=True):
                 x[mine[hit]] = v[at[hit]]
         return [x[back] for x in out]
 
@@ -262,16 +273,16 @@ class Model:
         """Of each row: tokens, known tokens, base score and the model's log10 probability."""
         t, at = tokens(column, self.order)
         i = _places(at, self.order)
-        (count,) = self.look("word", t[i], np.int64)
+        (count,) = self.look("word", t[i])
         p = np.full(len(i), 1.0 / (self.types + 1))
         for n in range(1, self.order + 1):
             x = grams(t, n)[i - n + 1]
             context = np.zeros(len(i), np.uint64) if n == 1 else grams(t, n - 1)[i - n + 1]
             if n == self.order:
-                (c,) = self.look("top", x, np.uint32, part=top_part(context, t[i], n, self.parts))
+                (c,) = self.look("top", x, part=top_part(context, t[i], n, self.parts))
             else:
-                (c,) = self.look(f"mid{n}", x, np.uint32)
-            total, n1, n2, n3 = self.look(f"ctx{n}", context, np.int64, np.int64, np.int64, np.int64)
+                (c,) = self.look(f"mid{n}", x)
+            total, n1, n2, n3 = self.look(f"ctx{n}", context, 4)
             d = np.array([0.0, *self.discounts[n]])
             seen = total > 0
             safe = np.maximum(total, 1)

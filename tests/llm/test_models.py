@@ -33,8 +33,8 @@ def brute_kn(train, texts, order):
         for i in range(order - 1, len(s)):
             counts[order][tuple(s[i - order + 1 : i + 1])] += 1
     for n in range(order - 1, 0, -1):
-        for g in counts[n + 1]:
-            counts[n][g[1:]] += 1
+        for g, c in counts[n + 1].items():  # words before it; a gram that begins a text has its plain count
+            counts[n][g[1:]] += c if n > 1 and g[1] == "<s>" else 1
     plain = Counter(w for t in train for w in [*words(t), "</s>"])
     total, types = sum(plain.values()), len(plain)
     d = {n: [0, *lm._discounts(*(sum(v == k for v in counts[n].values()) for k in (1, 2, 3, 4)))] for n in counts}
