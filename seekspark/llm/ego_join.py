@@ -232,7 +232,7 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, least: float = LEAST) ->
 
 
 ORACLE = """
-with recursive v as (select vec_id, label, list_transform(embedding, x -> cast(x as double)) as e from embeddings),
+with recursive v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings),
 u as (select *, sqrt(list_dot_product(e, e)) as norm from v),
 l as (select a.vec_id as a, b.vec_id as b from u a join u b on a.label = b.label and a.vec_id <> b.vec_id where list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
 r(a, b) as (select a, b from l union select r.a, l.b from r join l on r.b = l.a)

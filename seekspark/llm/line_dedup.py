@@ -164,3 +164,21 @@ def line_dedup(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) ->
             yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in kept], pa.int32())], [*names, "lines_removed"])
 
     return both.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lines_removed", T.IntegerType())]))
+
+
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+#: The same rows from the definition.
+ORACLE = f"""
+with x as (select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as k from documents where text is not null),
+l as (select *, len({WORDS.format("line")}) as n, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare from x),
+r as (select doc_id, k, n, bare, row_number() over (partition by doc_id order by k) as i, sum(n) over (partition by doc_id order by k) as upto from l where n > 0),
+ends as (select a.doc_id, a.i as s, min(b.i) as e from r a join r b on a.doc_id = b.doc_id and b.i between a.i and a.i + 19 and b.upto - a.upto + a.n >= 20 group by a.doc_id, a.i
+  union select b.doc_id, max(a.i), b.i from r b join r a on a.doc_id = b.doc_id and a.i between b.i - 19 and b.i and b.upto - a.upto + a.n >= 20 group by b.doc_id, b.i),
+runs as (select ends.doc_id, s, e, string_agg(bare, chr(10) order by i) as run from ends join r on r.doc_id = ends.doc_id and r.i between s and e group by ends.doc_id, s, e),
+again as (select doc_id, s, e from runs qualify row_number() over (partition by run order by doc_id, s) > 1),
+gone as (select distinct again.doc_id, i from again join r on r.doc_id = again.doc_id and r.i between s and e),
+z as (select l.doc_id, l.k, l.line, r.i, coalesce(max(r.i) over (partition by l.doc_id order by l.k), 0) as before from l left join r on r.doc_id = l.doc_id and r.k = l.k),
+kept as (select z.*, a.i is not null and (z.i is not null or b.i is not null) as drop from z left join gone a on a.doc_id = z.doc_id and a.i = z.before left join gone b on b.doc_id = z.doc_id and b.i = z.before + 1),
+t as (select doc_id, coalesce(string_agg(line, chr(10) order by k) filter (not drop), '') as text, count(*) filter (drop and i is not null) as lines_removed from kept group by doc_id)
+select documents.doc_id, coalesce(lines_removed, 0) as lines_removed, cast(octet_length(encode(t.text)) as bigint) as n_bytes, sha256(t.text) as kept_sha256 from documents left join t on t.doc_id = documents.doc_id
+"""

@@ -347,3 +347,33 @@ def held_out_score(docs: DataFrame, scratch: Scratch, order: int = 2, folds: int
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False))
     scored = score(docs, fit(docs.where(~held), scratch, order))
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Who is held out: crc32, a bit a step.
+CRC = """crc(doc_id, bytes, i, x) as (select doc_id, cast(doc_id as varchar), 0, xor(4294967295::bigint, ascii(cast(doc_id as varchar)[1])::bigint) from documents where doc_id is not null union all
+  select doc_id, bytes, i + 1, case when (i + 1) % 8 = 0 and i + 1 < 8 * length(bytes) then xor(case when x & 1 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end, ascii(bytes[(i + 1) // 8 + 1])::bigint)
+    else case when x & 1 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end end from crc where i < 8 * length(bytes)),
+held as (select documents.doc_id, coalesce(xor(x, 4294967295::bigint) % 10 = 0, false) as held_out from documents left join (select doc_id, x from crc where i = 8 * length(bytes)) c on c.doc_id = documents.doc_id)"""
+#: The same rows at order 2, from the definition.
+ORACLE = f"""
+with recursive {CRC},
+w as (select doc_id, held_out, list_append(coalesce({WORDS.format(LOWER)}, []), ' ') as ws from documents join held using (doc_id)),
+t as (select doc_id, held_out, i, w, coalesce(lag(w) over (partition by doc_id order by i), chr(9)) as a from (select doc_id, held_out, unnest(ws) as w, generate_subscripts(ws, 1) as i from w)),
+c2 as (select a, w, count(*) as c from t where not held_out group by a, w),
+c1 as (select w, count(*) as c, sum(c) as plain from c2 group by w),
+v as (select sum(plain) as n, count(*) as v, sum(c) as total, sum(cast(c = 1 as int)) as n1, sum(cast(c = 2 as int)) as n2, sum(cast(c > 2 as int)) as n3 from c1),
+k(o, n1, n2, n3, n4) as (select 2, count(*) filter (c = 1), count(*) filter (c = 2), count(*) filter (c = 3), count(*) filter (c = 4) from c2 union all
+  select 1, count(*) filter (c = 1), count(*) filter (c = 2), count(*) filter (c = 3), count(*) filter (c = 4) from c1),
+y as (select *, n1 / (n1 + 2 * n2) as y, least(n1, n2, n3) = 0 as few from k),
+d as (select o, case when few then [0.5, 1.0, 1.5] else [least(greatest(1 - 2 * y * n2 / n1, 0.05), 1.0), least(greatest(2 - 3 * y * n3 / n2, 0.05), 2.0), least(greatest(3 - 4 * y * n4 / n3, 0.05), 3.0)] end as d from y),
+x2 as (select a, sum(c) as total, count(*) filter (c = 1) as n1, count(*) filter (c = 2) as n2, count(*) filter (c > 2) as n3 from c2 group by a),
+p as (select t.doc_id, coalesce(c1.plain, 0) as plain, v.n, v.v,
+    greatest(coalesce(c1.c, 0) - case when c1.c is null then 0 else d1.d[least(c1.c, 3)] end, 0) / v.total + (d1.d[1] * v.n1 + d1.d[2] * v.n2 + d1.d[3] * v.n3) / v.total / (v.v + 1) as p1,
+    x2.total, greatest(coalesce(c2.c, 0) - case when c2.c is null then 0 else d2.d[least(c2.c, 3)] end, 0) as top, d2.d[1] * x2.n1 + d2.d[2] * x2.n2 + d2.d[3] * x2.n3 as rest
+  from t cross join v cross join (select d from d where o = 1) d1 cross join (select d from d where o = 2) d2 left join c1 on c1.w = t.w left join x2 on x2.a = t.a left join c2 on c2.a = t.a and c2.w = t.w)
+select p.doc_id, held_out, count(*) as n_tokens, count(*) filter (plain > 0) as n_known, cast(any_value(n) as bigint) as train_tokens,
+  round(sum(log10((plain + 0.1) / (n + 0.1 * (v + 1)))), 6) as base_score, round(sum(log10(case when total is null then p1 else top / total + rest / total * p1 end)), 6) as score
+from p join held using (doc_id) group by p.doc_id, held_out
+"""

@@ -294,3 +294,19 @@ def one_each(docs: DataFrame, scratch: Scratch, percent: int = 80) -> DataFrame:
     row = F.struct(*docs.columns)
     one = repeats.groupBy("doc_id", tkey).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias(key)).select(f"{key}.*")
     return left.join(of(again), same, "left_anti").select(*docs.columns).unionByName(one)
+
+
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+#: The same rows from the definition.
+ORACLE = f"""
+with recursive w as (select doc_id, coalesce({WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}, []) as w from documents),
+s as (select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+  when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from w),
+g as (select doc_id, len(s) as n, unnest(s) as g from s),
+p as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as c from g a join g b on a.g = b.g and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+l as (select a, b from p where 100 * c >= 85 * (na + nb - c)),
+r(a, b) as (select a, b from l union select r.a, l.b from r join l on r.b = l.a),
+c as (select a, min(b) as b from r group by a)
+select doc_id, cast(len(s) as bigint) as n_shingles, least(doc_id, coalesce(b, doc_id)) as component_id, doc_id <= coalesce(b, doc_id) as kept
+from s left join c on doc_id = a
+"""

@@ -370,3 +370,19 @@ def remove_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of `docs`."""
     out = cut_repeats(docs, scratch)
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same rows from the definition.
+ORACLE = """
+with d as (select doc_id, coalesce(hex(encode(text)), '') as h, coalesce(octet_length(encode(text)), 0) as n from documents),
+k as (select doc_id, n, j, substr(h, 2000 * j + 1, 2098) as part from (select *, unnest(range(n // 1000 + 1)) as j from d)),
+g as (select doc_id, 1000 * j + i as i, substr(part, 2 * i + 1, 100) as g from (select *, unnest(range(least(1000, greatest(0, n - 49 - 1000 * j)))) as i from k)),
+low as (select g, min(doc_id) as low from g group by g having min(doc_id) <> max(doc_id)),
+hit as (select doc_id, i from g join low using (g) where low < doc_id),
+run as (select doc_id, i, sum(cast(coalesce(i - before > 50, true) as int)) over (partition by doc_id order by i) as run from (select *, lag(i) over (partition by doc_id order by i) as before from hit)),
+span as (select doc_id, run, min(i) as s, max(i) + 50 as e from run group by doc_id, run),
+cut as (select span.doc_id, s, e, substr(h, 2 * coalesce(lag(e) over w, 0) + 1, 2 * (s - coalesce(lag(e) over w, 0))) as kept from span join d using (doc_id) window w as (partition by span.doc_id order by s)),
+out as (select doc_id, sum(e - s) as n_removed, count(*) as n_spans, string_agg(kept, '' order by s) as kept, max(e) as last from cut group by doc_id)
+select d.doc_id, n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) as kept_sha256
+from d left join out on d.doc_id = out.doc_id
+"""
