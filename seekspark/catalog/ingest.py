@@ -78,9 +78,9 @@ JAC = "len(list_intersect({0}, {1})) / greatest(1, len(list_distinct(list_concat
   l as (select *, lag(s) over o as ps, lead(s) over o as fs from w window o as (partition by document_id order by chunk_index))
 select chunk_id, round(case when ps is not null then {JAC.format('s', 'ps')} end, 6) as like_previous, round(case
   when fs is not null then {JAC.format('s', 'fs')} end, 6) as like_following,
-round(0.5 * least(1.0, length(content) / 500) + 0.5 * case when len(ws) > 0 then len(s) / len(ws) else 0 end, 6) as quality from l""")
+round(0.5 * least(1.0, length(content) / 500) + 0.5 * case when len(ws) > 0 then len(s) / len(ws) else 0 end + 1e-9, 6) as quality from l""")
 def chunks_enriched(spark, d):
-    return ingest.enriched(chunking.chunk(documents(spark, d))).select("chunk_id", r6("like_previous"), r6("like_following"), r6("quality"))
+    return ingest.enriched(chunking.chunk(documents(spark, d))).select("chunk_id", r6("like_previous"), r6("like_following"), F.round(F.col("quality") + 1e-9, 6).alias("quality"))
 
 
 @query(f"""with {FULL} select (select count(*) from documents) as documents, count(distinct document_id) as indexed, count(*) as chunks,

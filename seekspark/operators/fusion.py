@@ -71,7 +71,7 @@ def learned(v: DataFrame, s: DataFrame, weights: tuple[float, float, float], k:
     return _finish(_paired(v, s, "full"), _odds(weights), k, least)
 
 
-def fit(v: DataFrame, s: DataFrame, good: DataFrame, steps: int = 8, rate: float = 0.5) -> DataFrame:
+def fit(v: DataFrame, s: DataFrame, good: DataFrame, steps: int = 16, rate: float = 0.5) -> DataFrame:
     """(labelled, a, b, c, loss, improves): the logistic model's weights by gradient descent; documents in `good` (doc_id) are right.
 
     A step is one sum over the pairs, of which five numbers reach the driver. A step that makes the loss larger is taken back, and
