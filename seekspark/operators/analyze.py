@@ -118,7 +118,7 @@ def context_strategy(overall: Column) -> Column:
 
 def subqueries(c: Column) -> Column:
     """The parts of a question that asks several things, split at conjunctions and marks; one part is the query itself."""
-    parts = F.filter(F.transform(F.split(c, r"(?i)\s+(?:and then|and|or|versus|vs|그리고|또는)\s+|[?;]\s*"), F.trim), lambda x: F.length(x) > 2)
+    parts = F.filter(F.transform(F.split(c, r"(?i)\s+(?:and then|and|or|versus|vs|그리고|또는)\s+|[?;]\s*"), lambda x: F.trim(x)), lambda x: F.length(x) > 2)
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(c))
 
 
@@ -130,7 +130,7 @@ def hypothetical(c: Column) -> Column:
 
 def asked_of(c: Column) -> Column:
     """Questions that a text could answer: one for each of its first sentences that is long enough."""
-    sentences = F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), F.trim), lambda x: F.size(space_tokens(x)) >= 4)
+    sentences = F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda x: F.size(space_tokens(x)) >= 4)
     return F.transform(F.slice(sentences, 1, 3), lambda x: F.concat(F.lit("What about "), F.regexp_replace(F.lower(x), r"[.!?]+$", ""), F.lit("?")))
 
 

@@ -55,7 +55,7 @@ def sentences(c: Column, size: int = 200, least: int = 0) -> Column:
 
     A last chunk of fewer than `least` characters is left out, unless it is the only one.
     """
-    parts = F.filter(F.transform(F.split(c, r"(?<=[.!?\n])(?!\p{Ll})"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(c, r"(?<=[.!?\n])(?!\p{Ll})"), lambda x: F.trim(x)), lambda x: x != "")
     out = _greedy(parts, size, 1, " ")
     if not least:
         return out
@@ -64,7 +64,7 @@ def sentences(c: Column, size: int = 200, least: int = 0) -> Column:
 
 def paragraphs(c: Column, size: int = 512, overlap: int = 0) -> Column:
     """Paragraphs (between blank lines) gathered to at most `size` characters."""
-    parts = F.filter(F.transform(F.split(c, r"\n[ \t]*\n"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(c, r"\n[ \t]*\n"), lambda x: F.trim(x)), lambda x: x != "")
     return _greedy(parts, size, 1 if overlap else 0, "\n\n")
 
 

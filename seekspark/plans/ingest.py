@@ -111,7 +111,7 @@ def described(docs: DataFrame, terms: DataFrame, n: int, keywords: int = 5, summ
     w = Window.partitionBy("doc_id").orderBy(F.desc(F.round(F.col("tf") * F.ln(F.lit(n) / F.col("df")), 9)), "term")
     best = tf.withColumn("r", F.row_number().over(w)).where(F.col("r") <= keywords)
     best = best.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("r", "term"))).alias("k")).select("doc_id", F.transform("k", lambda x: x.term).alias("keywords"))
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x.rlike(r"\p{L}"))
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"\p{L}"))
     names = F.slice(F.array_distinct(F.filter(F.split("text", r"[^\p{L}\p{Nd}]+"), lambda x: x.rlike(r"^\p{Lu}") & (F.length(x) > 2))), 1, keywords)
     made = docs.select("doc_id", F.try_element_at(lines, F.lit(1)).alias("title"), F.substring(F.trim("text"), 1, summary).alias("summary"), names.alias("entities"))
     return made.join(best, "doc_id", "left")
