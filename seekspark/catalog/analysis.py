@@ -417,18 +417,18 @@ def contextual_search(spark, d):
     return context.contextual(hits, c, 20).select("qid", "chunk_id", r6("score"))
 
 
-@query(f"""with {CORPUS}, {dense(20)}, s as (select qid, 2 * rank + copy as rank, doc_id + 1000000 * copy as doc_id,
+@query(f"""with {CORPUS}, {dense(10)}, s as (select qid, 2 * rank + copy as rank, doc_id + 1000000 * copy as doc_id,
   list_distinct(string_split(lower(text), ' ')) as s from dense join corpus using (doc_id), (select unnest([0, 1]) as copy))
   select a.qid, a.doc_id as kept, b.doc_id as duplicate from s a join s b on a.qid = b.qid and a.rank < b.rank where {J.format('a.s', 'b.s')} > 0.8""")
 def near_duplicates(spark, d):
     """Pairs of results that are too alike; each result is there twice, so that there are some."""
     corpus = hybrid_corpus(spark, d)
-    hits = nearest.knn(corpus, queries(spark, d), 20).join(corpus.select("doc_id", "text"), "doc_id").withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    hits = nearest.knn(corpus, queries(spark, d), 10).join(corpus.select("doc_id", "text"), "doc_id").withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
     hits = hits.select("qid", (2 * F.col("rank") + F.col("copy")).alias("rank"), (F.col("doc_id") + 1_000_000 * F.col("copy")).alias("doc_id"), "text")
     return context.duplicates(hits)
 
 
-GREEDY = f"""{CORPUS}, {dense(20)}, gs as (select qid, rank, doc_id, list_distinct({SPACED.replace('(text', '(lower(text)')}) as s
+GREEDY = f"""{CORPUS}, {dense(10)}, gs as (select qid, rank, doc_id, list_distinct({SPACED.replace('(text', '(lower(text)')}) as s
   from dense join corpus using (doc_id)),
 g as (select distinct qid, 0::bigint as r, []::bigint[] as ids, []::varchar[][] as sets from gs union all
   select g.qid, g.r + 1, case when dup then ids else list_append(ids, rank) end, case when dup then sets else list_append(sets, s) end

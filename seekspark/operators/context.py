@@ -236,10 +236,11 @@ def diversified(rows: DataFrame, by: list[str], k: int, balance: float = 0.7) ->
     state = F.struct(F.slice("c", 1, 0).alias("out"), F.col("c").alias("left"))
 
     def step(a: Column, _: Column) -> Column:
-        gain = F.transform(a["left"], lambda x: F.struct(F.round(balance * x.score - (1 - balance) * F.coalesce(F.array_max(F.transform(a["out"], lambda y: jaccard(x.s, y.s))), F.lit(0.0)), 9).alias("g"), (-x["rank"]).alias("r"), x.alias("x")))
-        best = F.array_max(F.transform(gain, lambda z: F.struct(z.g, z.r)))
-        took = F.filter(gain, lambda z: F.struct(z.g, z.r) == best)[0].x
-        return F.when(F.size(a["left"]) > 0, F.struct(F.array_append(a["out"], took).alias("out"), F.filter(a["left"], lambda x: x["rank"] != took["rank"]).alias("left"))).otherwise(a)
+        like = lambda x: F.coalesce(F.array_max(F.transform(a["out"], lambda y: jaccard(x.s, y.s))), F.lit(0.0))
+        gain = F.transform(a["left"], lambda x: F.struct(F.round(balance * x.score - (1 - balance) * like(x), 9).alias("g"), (-x["rank"]).alias("r"), x.alias("x")))
+        # an array of one holds the choice, so that it is made once
+        moved = F.transform(F.array(F.array_max(gain).x), lambda t: F.struct(F.array_append(a["out"], t).alias("out"), F.filter(a["left"], lambda x: x["rank"] != t["rank"]).alias("left")))
+        return F.when(F.size(a["left"]) > 0, moved[0]).otherwise(a)
 
     done = F.aggregate(F.sequence(F.lit(1), F.lit(k)), state, step, lambda a: a["out"])
     return lists.select(*by, F.posexplode(done).alias("p", "x")).select(*by, (F.col("p") + 1).alias("rank"), "x.chunk_id")
