@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ego_join, lang_id, line_dedup, lm, mixing, near_dedup, quality, sample_pieces, suffix_dedup
+from . import chat, ego_join, imatch, importance, lang_id, line_dedup, lm, mixing, near_dedup, quality, sample_pieces, suffix_dedup, variants
 from .common import Scratch
 
 
@@ -61,6 +61,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.held_out_languages(_table(spark, sf_dir))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(_table(spark, sf_dir), Scratch(spark, "op11"))
+
+
+def op12_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.match(_table(spark, sf_dir), Scratch(spark, "op12"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(_table(spark, sf_dir), _table(spark, sf_dir, "benchmark"), Scratch(spark, "op13"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -74,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sampled_pieces,
         op9_kneser_ney,
         op10_language_id,
+        op11_spelling_variants,
+        op12_imatch,
+        op13_importance_resampling,
     )
 }
 
@@ -84,4 +100,6 @@ ORACLES: dict[str, str] = {
     "op6_ego_near_vectors": ego_join.ORACLE,
     "op7_suffix_dedup": suffix_dedup.ORACLE,
     "op9_kneser_ney": lm.ORACLE,
+    "op11_spelling_variants": variants.ORACLE,
+    "op13_importance_resampling": importance.ORACLE,
 }
