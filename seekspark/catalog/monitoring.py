@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cache, monitor, tuning
+from ..operators import cache, intervals, monitor, tuning
 from ..sources import web
+from ..sources.shared import place
 from ..sources.tables import table, vectors
 from ..streaming import monitoring as streams
+from ..streaming import stateful
+from ..streaming.feed import arriving
 from . import query
 from .fragments import CHUNK_SQL, VECS
 
@@ -346,7 +349,7 @@ def similar_queries(spark, d):
 
 @query(f"""with {CACHE}, near as (select a.entry_id as qid, b.entry_id, a.hits as mine, b.hits as its, list_dot_product(a.vec,
   b.vec) / sqrt(list_dot_product(a.vec, a.vec) * list_dot_product(b.vec, b.vec)) as score from entry a, entry b),
-top as (select * from near where score >= 0.5 qualify row_number() over (partition by qid order by round(score, 9) desc, entry_id) <= 20)
+top as (select * from near where score >= 0.5)
 select entry_id from entry where entry_id not in (select qid from top where qid <> entry_id and (its > mine or its = mine and entry_id < qid))""")
 def cache_eviction_similar(spark, d):
     return cache.evict_similar(stored(spark, d), 0.5).select("entry_id")
@@ -354,12 +357,11 @@ def cache_eviction_similar(spark, d):
 
 @query(f"""with {CACHE}, lg as (select 'q' || user_id % 50 as query from events), often as (select query, count(*) as n from lg
   where query not in (select query from entry where entry_id % 2 = 0) group by query order by n desc, query limit 100)
-select query, hits from entry where entry_id % 2 = 0 union all select query, cast(n as int) from often join (select query from entry
-  where entry_id < 40) using (query)""")
+select query, hits from entry where entry_id % 2 = 0 union all select query, cast(n as int) from often join (select query from entry) using (query)""")
 def cache_warm(spark, d):
     asked = table(spark, d, "events").select(F.concat(F.lit("q"), F.col("user_id") % 50).alias("query"))
     x = stored(spark, d)
-    return cache.warm(x.where("entry_id % 2 = 0"), x.where("entry_id < 40").select("query", "vec"), asked).select("query", "hits")
+    return cache.warm(x.where("entry_id % 2 = 0"), x.select("query", "vec"), asked).select("query", "hits")
 
 
 @query("""with e as (select event_id as entry_id, 'q' || user_id % 50 as query, ts as created, least(ts + interval 10 minute + interval 15 minute,
@@ -442,31 +444,51 @@ def web_chunks(spark, d):
     return web.web_chunks(table(spark, d, "pages")).agg(F.count("*").alias("chunks"))
 
 
-# --- streams: run to their end, they give what the batch gives ---
+# --- streams: over files that arrive one after the other (one of them empty), with late rows and rows too late ---
 
+#: The spans of days by which the files arrive; what is more than three days late at the end of its span is too late for windows.
+ARRIVED = """span as (select cast(min(ts) as date) as first, date_diff('day', cast(min(ts) as date), cast(max(ts) as date)) + 1 as n from events),
+slotted as (select events.*, cast(first as timestamp) + interval 1 day * cast(ceil((floor(date_diff('day', first, cast(ts as date)) * 4 / n) + 1) * n / 4)
+  as int) as edge from events, span),
+arrived as (select * from slotted where not (event_id % 211 = 7 and ts < edge - interval 72 hour))"""
+IN_TIME = f"{ARRIVED}, {LOGS.replace('from events)', 'from arrived)')}"
 
-def stream(spark, d):
-    return from_events(streams.source(spark, d, "events", table(spark, d, "events").schema))
+
+def timed(spark, d):
+    return table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def delayed(too_late: bool = True):
+    """Files that a row comes late: every fiftieth of a span's last twelve hours one, some of those from before its last three days two."""
+    edge = lambda hours: F.col("edge") - F.expr(f"interval {hours} hours")
+    late = F.when((F.col("event_id") % 50 == 0) & (F.col("ts") >= edge(12)), 1)
+    return late.when((F.col("event_id") % 211 == 7) & (F.col("ts") < edge(72)), 2) if too_late else late
+
+
+def stream(spark, d, too_late: bool = True):
+    return from_events(arriving(timed(spark, d), "ts", delayed(too_late)))
 
 
 ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+P = ", ".join(f"list_sort(list(response_ms))[cast(ceil({p} * count(*)) as bigint)] as p{round(100 * p)}_ms" for p in (0.95, 0.99))
+STREAM_COLUMNS = ["start", *DASH_COLUMNS, "p95_ms", "p99_ms"]
 
 
-@query(f"with {LOGS} select date_trunc('day', ts) as start, {DASH} from scored group by 1")
+@query(f"with {IN_TIME} select date_trunc('day', ts) as start, {DASH}, {P} from scored group by 1")
 def stream_dashboard(spark, d):
-    return rounded(streams.drain(streams.dashboard(stream(spark, d)), ["start"]).withColumn("start", ntz("start")), ["start", *DASH_COLUMNS])
+    return rounded(streams.drain(streams.dashboard(stream(spark, d)), ["start"]).withColumn("start", ntz("start")), STREAM_COLUMNS)
 
 
-@query(f"""with {LOGS}, w as (select *, unnest([date_trunc('day', ts) + interval 12 hour * cast(date_part('hour', ts) >= 12 as int),
-  date_trunc('day', ts) + interval 12 hour * (cast(date_part('hour', ts) >= 12 as int) - 1)]) as start from scored) select start, {DASH} from w
+@query(f"""with {IN_TIME}, w as (select *, unnest([date_trunc('day', ts) + interval 12 hour * cast(date_part('hour', ts) >= 12 as int),
+  date_trunc('day', ts) + interval 12 hour * (cast(date_part('hour', ts) >= 12 as int) - 1)]) as start from scored) select start, {DASH}, {P} from w
   group by 1""")
 def stream_sliding(spark, d):
     """Trailing days, every twelve hours."""
     x = streams.drain(streams.dashboard(stream(spark, d), "1 day", "12 hours"), ["start"])
-    return rounded(x.withColumn("start", ntz("start")), ["start", *DASH_COLUMNS])
+    return rounded(x.withColumn("start", ntz("start")), STREAM_COLUMNS)
 
 
-@query(f"with {LOGS}, {TRENDS} select start, queries, round(avg_score, 6) as avg_score from trends")
+@query(f"with {IN_TIME}, {TRENDS} select start, queries, round(avg_score, 6) as avg_score from trends")
 def stream_trends(spark, d):
     return streams.drain(streams.trends(stream(spark, d)), ["start"]).select(ntz("start"), "queries", r6("avg_score"))
 
@@ -476,9 +498,12 @@ def stream_alerts(spark, d):
     return streams.drain(streams.alerts(stream(spark, d))).drop("ts")
 
 
-@query("select event_id from events group by event_id")
+@query(f"with {ARRIVED} select event_id from arrived")
 def stream_dedupe(spark, d):
-    return streams.drain(streams.once(stream(spark, d))).select("event_id")
+    """Every tenth event arrives twice."""
+    twice = timed(spark, d).withColumn("copy", F.explode(F.when(F.col("event_id") % 10 == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    late = F.when((F.col("copy") == 1) & (F.col("ts") >= F.col("edge") - F.expr("interval 12 hours")), 1).otherwise(delayed())
+    return streams.drain(streams.once(from_events(arriving(twice, "ts", late)))).select("event_id")
 
 
 @query(f"with {LOGS}, {STRATEGIES} select strategy, uses, round(avg_ms, 6) as avg_ms from metrics")
@@ -486,7 +511,7 @@ def stream_strategies(spark, d):
     return streams.drain(streams.strategies(stream(spark, d)), ["strategy"]).select("strategy", "uses", r6("avg_ms"))
 
 
-@query("""with l as (select 'q' || user_id % 50 as query, ts, lag(ts) over (partition by 'q' || user_id % 50 order by ts) as before from events),
+@query(f"""with {ARRIVED}, l as (select 'q' || user_id % 50 as query, ts, lag(ts) over (partition by 'q' || user_id % 50 order by ts) as before from arrived),
 n as (select *, sum(cast(before is null or ts > before + interval 30 minute as int)) over (partition by query order by ts, before) as number from l),
 s as (select query, min(ts) as start, max(ts) + interval 30 minute as stop, count(*) as queries from n group by query, number)
 select start, query, queries from s where stop <= (select max(ts) - interval 24 hour from events)""")
@@ -497,16 +522,71 @@ def stream_sessions(spark, d):
 
 @query(f"with {CHUNK_SQL} select document_id, chunk_index, length(content) as n from chunks")
 def stream_chunks(spark, d):
-    docs = streams.source(spark, d, "documents", table(spark, d, "documents").schema)
-    return streams.drain(streams.chunks(docs)).select("document_id", "chunk_index", F.length("content").cast("long").alias("n"))
+    path = place(spark, "documents")
+    docs = table(spark, d, "documents")
+    docs.repartition(4).write.parquet(path)
+    arrived = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return streams.drain(streams.chunks(arrived)).select("document_id", "chunk_index", F.length("content").cast("long").alias("n"))
 
 
 @query(f"""with {SAMPLES}, j as (select *, scans - lag(scans) over (order by tick) as jump from samples) select tick, 'LowEfficiency' as kind, case
   when efficiency < 0.3 then 'High' when efficiency < 0.4 then 'Medium' else 'Low' end as severity from j where efficiency < 0.5
 union all select tick, 'ScanIncrease', case when jump > 10000 then 'High' when jump > 5000 then 'Medium' else 'Low' end from j where jump > 1000""")
 def stream_anomalies(spark, d):
-    events = streams.source(spark, d, "events", table(spark, d, "events").schema)
-    return streams.sampled(samples(events)).withColumnRenamed("at", "tick")
+    return streams.sampled(samples(arriving(timed(spark, d), "ts"))).withColumnRenamed("at", "tick")
+
+
+@query(f"""with {LOGS}, {ALERTS}, x as (select a.event_id, alert, severity, ts, case when a.event_id % 3 = 0 then ts + interval 2 hour end as resolved_at
+  from alerts a join events using (event_id)),
+mark as (select least(max(ts), max(resolved_at)) - interval 24 hour as t from x)
+select event_id, alert, severity, case when resolved_at is null then 'Open' when resolved_at + interval 24 hour < t then 'Cleaned' else 'Resolved' end as status,
+  ts as raised_at, resolved_at from x, mark""")
+def stream_alert_store(spark, d):
+    """Every third event's alerts are resolved after two hours, and cleaned a day later; some of both come late."""
+    raised = streams.alerts(stream(spark, d, too_late=False))
+    over = monitor.alerts(logs(spark, d)).where("event_id % 3 = 0").selectExpr("event_id", "alert", "ts + interval 2 hours ts")
+    resolutions = arriving(over, "ts", delayed(too_late=False)).withColumnRenamed("ts", "resolved_at")
+    store = stateful.alert_store(raised, resolutions)
+    x = streams.drain(store, ["event_id", "alert"], timers=True)
+    return x.select("event_id", "alert", "severity", "status", ntz("raised_at"), ntz("resolved_at"))
+
+
+@query("""with recursive e as (select 'q' || user_id % 50 as query, ts, row_number() over (partition by 'q' || user_id % 50 order by ts) as i from events),
+walk as (select query, i, ts as created, ts as used, 0::bigint as hits from e where i = 1 union all
+  select query, e.i, case when gone then ts else created end, ts, case when gone then 0 else hits + 1 end
+  from walk join e using (query), lateral (select ts >= least(used + interval 15 minute, created + interval 1 hour) as gone) where e.i = walk.i + 1),
+entry as (select query, created, max(used) as used, max(hits) as hits, least(max(used) + interval 15 minute, created + interval 1 hour) as ended
+  from walk group by query, created)
+select * from entry where ended < (select max(ts) - interval 1 hour from events) or exists (select 1 from e where e.query = entry.query and ts > used)""")
+def stream_cache_expiry(spark, d):
+    """Entries that were used for the last time 15 minutes ago or made an hour ago, by the times of the events."""
+    uses = from_events(arriving(timed(spark, d), "ts"))
+    x = streams.drain(stateful.expiring_cache(uses, "query"), timers=True)
+    return x.select(F.col("key").alias("query"), ntz("created"), ntz("used"), "hits", ntz("ended"))
+
+
+@query(f"""with {LOGS}, {ALERTS}, f as (select l.event_id as alert_id, query, ts as start from alerts a join logs l using (event_id) where alert = 'Failure')
+select alert_id, l.event_id, l.response_ms from f join logs l on l.query = f.query and l.ts >= start and l.ts < start + interval 1 hour""")
+def stream_alert_windows(spark, d):
+    """What else was asked by the same query in the hour after a failure: two streams that wait for each other."""
+    failed = stream(spark, d, too_late=False).where("not success").selectExpr("event_id alert_id", "query", "ts start")
+    points = from_events(arriving(timed(spark, d), "ts", delayed(too_late=False))).select("event_id", "query", "ts", "response_ms")
+    return streams.drain(streams.windowed_points(failed, points, "query")).select("alert_id", "event_id", "response_ms")
+
+
+BUCKETS = """bucket as (select distinct on (name) 'b' || event_id as name, ts as start, ts + to_minutes(cast(1 + event_id % 5000 as bigint)) as stop
+  from events where event_id % 20 = 1 union all select 'empty', timestamp '2030-01-01', timestamp '2031-01-01')"""
+
+
+@query(f"""with {LOGS}, {BUCKETS} select name, count(l.event_id) as queries, round(avg(response_ms), 6) as avg_ms
+  from bucket left join logs l on l.ts >= start and l.ts < stop group by name""")
+def bucket_metrics(spark, d):
+    """Metrics by buckets of any length, from minutes to days, also those that hold nothing."""
+    e = table(spark, d, "events").where("event_id % 20 = 1")
+    buckets = e.selectExpr("concat('b', event_id) name", "cast(ts as timestamp) start", "cast(ts as timestamp) + make_dt_interval(0, 0, 1 + event_id % 5000) stop")
+    empty = spark.sql("select 'empty' name, timestamp '2030-01-01' start, timestamp '2031-01-01' stop")
+    x = intervals.bucketed(logs(spark, d), buckets.unionByName(empty), "ts", "start", "stop", F.count("event_id").alias("queries"), F.avg("response_ms").alias("avg_ms"))
+    return x.select("name", "queries", r6("avg_ms"))
 
 
 # --- alerts, feedback, summaries ---

@@ -127,10 +127,10 @@ def metadata_filter(spark, d):
     return search.metadata_filter(chunks(spark, d), {"lang": "en", "source": "src3"}).select("chunk_id")
 
 
-@query(f"with {CORPUS}, {dense(500)} select qid, doc_id, round(score, 6) as score from dense where score >= 0.3")
+@query(f"with {CORPUS}, {dense()} select qid, doc_id, round(score, 6) as score from sims where score >= 0.3")
 def min_score_filter(spark, d):
-    hits = nearest.knn(hybrid_corpus(spark, d), queries(spark, d), 500)
-    return search.min_score(hits, 0.3).select("qid", "doc_id", r6("score"))
+    """Whatever is near enough, however much that is."""
+    return nearest.within(hybrid_corpus(spark, d), queries(spark, d), 0.3).select("qid", "doc_id", r6("score"))
 
 
 # --- chunkers and tokenizers ---

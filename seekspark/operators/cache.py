@@ -38,12 +38,9 @@ def similar(cache: DataFrame, queries: DataFrame, k: int = 5, least: float = 0.8
 
 
 def evict_similar(cache: DataFrame, least: float = 0.95) -> DataFrame:
-    """Entries without those that a more used one (then: the older by id) already answers for."""
-    pairs = similar(cache, cache.select(F.col("entry_id").alias("qid"), "vec"), 20, least).where("qid <> entry_id")
-    use = cache.select("entry_id", "hits")
-    x = pairs.join(use.selectExpr("entry_id qid", "hits mine"), "qid").join(use.withColumnRenamed("hits", "its"), "entry_id")
-    gone = x.where((F.col("its") > F.col("mine")) | ((F.col("its") == F.col("mine")) & (F.col("entry_id") < F.col("qid"))))
-    return cache.join(gone.select(F.col("qid").alias("entry_id")).distinct(), "entry_id", "left_anti")
+    """Entries without those that a more used one (then: the older by id) already answers for, however many are alike."""
+    gone = nearest.outshone(cache.select(F.col("entry_id").alias("doc_id"), "vec", F.col("hits").alias("use")), least)
+    return cache.join(gone.select(F.col("doc_id").alias("entry_id")), "entry_id", "left_anti")
 
 
 def warm(cache: DataFrame, results: DataFrame, logs: DataFrame, k: int = 100) -> DataFrame:

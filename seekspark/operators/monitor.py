@@ -47,24 +47,35 @@ def dashboard_columns() -> list[Column]:
     return [F.count("*").alias("queries"), F.count_if("success").alias("successes"), F.avg("response_ms").alias("avg_ms"), ok("results").alias("avg_results"), ok("similarity").alias("avg_similarity"), ok("score").alias("avg_score")]
 
 
-def percentiles(logs: DataFrame, column: str, ps: list[float], by: list[str] | None = None, ranges: int = 1024) -> DataFrame:
+def percentiles(logs: DataFrame, column: str, ps: list[float], by: list[str] | None = None, ranges: int = 1024, most: int = 10_000) -> DataFrame:
     """Lower-index percentiles by a distributed ranking: no group is gathered to one task.
 
     Values fall into `ranges` of equal width between the least and the largest; counts of the ranges, a bounded number for each
-    group, tell in which of them a rank lies, and only that range's distinct values are put in order.
+    group, tell in which of them a rank lies. While such a range has more than `most` distinct values it is cut into `ranges` again, so
+    outliers and long tails do not make it large. Only what is left is put in order.
     """
     keys = by or []
     counts = logs.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("n"))
-    ends = counts.agg(F.min(column).cast("double"), F.max(column).cast("double")).first()
-    low, width = ends[0] or 0.0, ((ends[1] or 0.0) - (ends[0] or 0.0)) / ranges or 1.0
-    counts = counts.withColumn("range", F.least(F.lit(ranges - 1), F.floor((F.col(column) - low) / width)))
-    sums = counts.groupBy(*keys, "range").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy(*keys)
-    sums = sums.withColumns({"to": F.sum("n").over(w.orderBy("range")), "all": F.sum("n").over(w)})
+    counts = kept(counts.withColumn("v", F.col(column).cast("double")), "counts")
+    total = counts.groupBy(*keys).agg(F.sum("n").alias("all"), F.min("v").alias("low"), F.max("v").alias("high"))
     rank = F.array(*(F.floor(F.lit(p) * (F.col("all") - 1)) for p in ps))
-    asked = sums.select(*keys, "range", (F.col("to") - F.col("n")).alias("base"), "to", F.posexplode(rank).alias("p", "rank")).where("rank >= base and rank < to")
-    inside = Window.partitionBy(*keys, "range", "p").orderBy(column)
-    found = counts.join(asked, [*keys, "range"]).withColumn("upto", F.col("base") + F.sum("n").over(inside))
+    asked = total.select(*keys, "low", "high", F.lit(0).cast("long").alias("base"), F.posexplode(rank).alias("p", "rank"))
+    together = [F.col(f"c.{k}").eqNullSafe(F.col(f"a.{k}")) for k in keys]
+    for _ in range(8):  # 1024 to the eighth is more than there are doubles between two powers of two
+        inside = counts.alias("c").join(asked.alias("a"), [*together, F.col("v").between(F.col("low"), F.col("high"))])
+        inside = inside.select(*(F.col(f"a.{k}") for k in keys), "p", "rank", "base", "low", "high", "v", "n")
+        step = (F.col("high") - F.col("low")) / ranges
+        slot = F.when(step > 0, F.least(F.lit(ranges - 1), F.floor((F.col("v") - F.col("low")) / F.when(step > 0, step)))).otherwise(0)
+        sums = inside.groupBy(*keys, "p", "rank", "base", slot.alias("slot")).agg(F.sum("n").alias("n"), F.count("*").alias("distinct"), F.min("v").alias("low"), F.max("v").alias("high"))
+        sums = sums.withColumn("to", F.col("base") + F.sum("n").over(Window.partitionBy(*keys, "p").orderBy("slot")))
+        now = sums.where((F.col("rank") < F.col("to")) & (F.col("rank") >= F.col("to") - F.col("n")))
+        now = kept(now.select(*keys, "p", "rank", (F.col("to") - F.col("n")).alias("base"), "low", "high", "distinct"), "asked")
+        asked = now.drop("distinct")
+        if now.where(F.col("distinct") > most).isEmpty():
+            break
+    inside = counts.alias("c").join(asked.alias("a"), [*together, F.col("v").between(F.col("low"), F.col("high"))])
+    inside = inside.select(*(F.col(f"a.{k}") for k in keys), "p", "rank", "base", F.col(f"c.{column}").alias(column), "n")
+    found = inside.withColumn("upto", F.col("base") + F.sum("n").over(Window.partitionBy(*keys, "p").orderBy(column)))
     at = lambda i: F.min(F.when((F.col("p") == i) & (F.col("upto") > F.col("rank")), F.col(column)))
     return found.groupBy(*keys).agg(*(at(i).alias(f"p{round(p * 100)}") for i, p in enumerate(ps)))
 

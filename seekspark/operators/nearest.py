@@ -112,12 +112,22 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosi
     return top(out, k)
 
 
-def _exact(vectors: DataFrame, ids: np.ndarray, vecs: list[np.ndarray], k: int, metric: str) -> DataFrame:
+def within(vectors: DataFrame, queries: DataFrame, least: float, metric: str = "cosine") -> DataFrame:
+    """(qid, doc_id, score): every vector that is near enough to a query, however many those are."""
+    out = None
+    for ids, vecs in _asked(queries):
+        part = _exact(vectors, ids, vecs, None, metric, least)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _exact(vectors: DataFrame, ids: np.ndarray, vecs: list[np.ndarray], k: int | None, metric: str, least: float = 0.0) -> DataFrame:
+    """The k best of each task, or without k all of at least `least`."""
     size = np.array([len(v) for v in vecs])
     of = {d: (np.flatnonzero(size == d), np.stack([v for v in vecs if len(v) == d])) for d in sorted(set(size.tolist())) if d}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Best(len(ids), k)
+        best = Best(len(ids), k or 0)
         for b in batches:
             length = pc.fill_null(pc.list_value_length(b.column(1)), -1).to_numpy()
             for d, (which, q) in of.items():
@@ -125,12 +135,128 @@ def _exact(vectors: DataFrame, ids: np.ndarray, vecs: list[np.ndarray], k: int,
                 part = b if len(here) == b.num_rows else b.take(pa.array(here))
                 for i in range(0, part.num_rows, STEP):
                     some = part.slice(i, STEP)
-                    best.add(which, some.column(0).to_numpy(), _scores(_matrix(some.column(1), d), q, metric))
-        yield best.batch(ids)
+                    s = _scores(_matrix(some.column(1), d), q, metric)
+                    if k is None:
+                        r, c = np.nonzero(s >= least)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[which[r]]), pa.array(some.column(0).to_numpy()[c]), pa.array(s[r, c])], ["qid", "doc_id", "score"])
+                    else:
+                        best.add(which, some.column(0).to_numpy(), s)
+        if k is not None:
+            yield best.batch(ids)
 
     return vectors.select(F.col("doc_id").cast("long"), "vec").where("vec is not null").mapInArrow(run, _HITS)
 
 
+# --- a near vector that is preferred -------------------------------------------
+
+
+#: Vectors of a cell that one task holds; those that come to visit pass by in batches.
+HOME = 4096
+
+
+def outshone(rows: DataFrame, least: float, centres: int = 64, sample: int = 20_000) -> DataFrame:
+    """doc_id of the vectors (doc_id, vec, use) to which another of higher use, or of equal use and smaller doc_id, has a cosine of at least `least`.
+
+    Of equal vectors all but one go at once. The others meet in cells: a vector lives with its nearest centre, and visits every
+    cell whose farthest member could be near enough, as angles obey the triangle inequality. Cells of more than HOME vectors
+    are split. Only the homes that are outshone leave a task, so nothing grows with the number of near pairs. Null vectors, zeros and
+    those with a component that is no number are near nothing.
+    """
+    good = rows.where("vec is not null and exists(vec, x -> x <> 0) and forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
+    good = kept(good.select(F.col("doc_id").cast("long"), F.col("vec").cast("array<double>"), F.col("use").cast("double")), "outshone")
+    first = good.groupBy("vec").agg(F.min(F.struct((-F.col("use")).alias("u"), "doc_id")).alias("best")).select("vec", F.col("best.doc_id").alias("doc_id"), (-F.col("best.u")).alias("use"))
+    first = kept(first, "distinct")
+    copies = good.join(first.select("doc_id"), "doc_id", "left_anti").select("doc_id")
+    near = float(np.arccos(np.clip(least, -1.0, 1.0))) + 1e-9
+    centre = {d: c for d, c in _centres_by_length(first, centres, sample).items()}
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, x, angle, base in _angles(batches, centre):
+            yield pa.RecordBatch.from_arrays([pa.array(base + angle.argmin(axis=1), pa.int64()), pa.array(angle.min(axis=1))], ["cell", "angle"])
+
+    sizes = {r.cell: (r.n, r.radius) for r in first.select("doc_id", "vec", "use").mapInArrow(homes, "cell long, angle double").groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()}  # a row for each cell
+    blocks = {c: -(-n // HOME) for c, (n, _) in sizes.items()}
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, x, angle, base in _angles(batches, centre):
+            who, where, block, role = [], [], [], []
+            home = angle.argmin(axis=1)
+            ids = b.column(0).to_numpy()
+            for c in range(angle.shape[1]):
+                n, radius = sizes.get(base + c, (0, 0.0))
+                if n:
+                    guests = np.flatnonzero(angle[:, c] <= radius + near)
+                    for k in range(blocks[base + c]):
+                        who.append(guests), where.append(np.full(len(guests), base + c)), block.append(np.full(len(guests), k)), role.append(np.ones(len(guests), np.int64))
+            who.append(np.arange(len(ids))), where.append(base + home), role.append(np.zeros(len(ids), np.int64))
+            block.append(ids % np.array([blocks[base + c] for c in home]))
+            who, where, block, role = map(np.concatenate, (who, where, block, role))
+            for i in range(0, len(who), STEP):  # copies of vectors leave in bounded batches
+                j = slice(i, i + STEP)
+                yield pa.RecordBatch.from_arrays([pa.array(where[j]), pa.array(block[j]), pa.array(role[j]), *b.take(pa.array(who[j])).columns], ["cell", "block", "role", *b.schema.names])
+
+    met = first.select("doc_id", "vec", "use").mapInArrow(places, "cell long, block long, role long, doc_id long, vec array<double>, use double")
+    met = met.repartition("cell", "block").sortWithinPartitions("cell", "block", "role")
+    return met.mapInArrow(_outshone(least), "doc_id long").unionByName(copies)
+
+
+def _centres_by_length(rows: DataFrame, centres: int, sample: int) -> dict[int, np.ndarray]:
+    """Centres for the vectors of each length, from a bounded sample; only the work depends on them, not the result."""
+    lengths = [r[0] for r in rows.select(F.size("vec").alias("d")).distinct().collect()]
+    out = {}
+    for d in sorted(lengths):
+        some = rows.where(F.size("vec") == d).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("vec").collect()
+        x = _unit(np.array([r.vec for r in some], np.float64))
+        out[d] = x[np.random.default_rng(42).choice(len(x), min(centres, len(x)), replace=False)]
+    return out
+
+
+def _angles(batches: Iterator[pa.RecordBatch], centre: dict[int, np.ndarray]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int]]:
+    """Vectors of one length with their angles to its centres, and the number of its first cell."""
+    for b in batches:
+        length = pc.list_value_length(b.column(1)).to_numpy()
+        for k, (d, c) in enumerate(sorted(centre.items())):
+            here = b.take(pa.array(np.flatnonzero(length == d)))
+            for i in range(0, here.num_rows, STEP):
+                some = here.slice(i, STEP)
+                x = _unit(_matrix(some.column(1), d))
+                yield some, x, np.arccos(np.clip(x @ c.T, -1.0, 1.0)), k * 1_000_000
+
+
+def _outshone(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, homes, x, gone = None, [], None, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if gone is not None and gone.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[0] for h in homes])[gone])], ["doc_id"])
+
+        for b in batches:
+            cell, block, role = (b.column(i).to_numpy() for i in range(3))
+            cuts = [0, *(np.flatnonzero((np.diff(cell) != 0) | (np.diff(block) != 0) | (np.diff(role) != 0)) + 1), b.num_rows]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                some = b.slice(i, j - i)
+                ids, v, use = some.column(3).to_numpy(), np.stack(some.column(4).to_numpy(zero_copy_only=False)), some.column(5).to_numpy()
+                if (cell[i], block[i]) != at:
+                    yield from done()
+                    at, homes, x, gone = (cell[i], block[i]), [], None, None
+                if role[i] == 0:
+                    homes.append((ids, v, use))
+                    continue
+                if not homes:
+                    continue
+                if x is None:
+                    x, gone = np.concatenate([h[1] for h in homes]), np.zeros(sum(len(h[0]) for h in homes), bool)
+                own, mine = np.concatenate([h[0] for h in homes]), np.concatenate([h[2] for h in homes])
+                for k in range(0, len(ids), 256):
+                    s = _scores(x, v[k : k + 256], "cosine")
+                    better = (use[k : k + 256, None] > mine[None, :]) | ((use[k : k + 256, None] == mine[None, :]) & (ids[k : k + 256, None] < own[None, :]))
+                    gone |= ((s >= least) & better).any(axis=0)
+        yield from done()
+
+    return run
+
+
 # --- cells -------------------------------------------------------------------
 
 

@@ -8,14 +8,19 @@ watermark is evicted; readers keep each key's latest row.
 
 from __future__ import annotations
 
+from contextlib import nullcontext
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import chunking, monitor
 from ..sources.shared import place
+from .stateful import store_provider
 
 RETENTION = "24 hours"
+#: Size of the quantile sketch of a window.
+SKETCH = 2400
 
 
 def source(spark: SparkSession, directory: str, name: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -24,9 +29,16 @@ def source(spark: SparkSession, directory: str, name: str, schema, files_per_tri
 
 
 def dashboard(logs: DataFrame, width: str = "1 day", slide: str | None = None) -> DataFrame:
-    """Dashboard columns of each (sliding) window; late events count for RETENTION."""
+    """Dashboard columns of each (sliding) window; late events count for RETENTION.
+
+    p95_ms and p99_ms are the least values with at least that share of the window's values up to them, from a quantile sketch in the
+    window's state. It is exact up to SKETCH values; beyond, the rank is off by no more than about 2.3 / SKETCH^0.9 of all (0.2 %)
+    with 99 % confidence, whatever the number of values.
+    """
     g = monitor.scored(logs.withWatermark("ts", RETENTION)).groupBy(F.window("ts", width, slide or width))
-    return g.agg(*monitor.dashboard_columns()).select(F.col("window.start").alias("start"), "queries", "successes", "avg_ms", "avg_results", "avg_similarity", "avg_score")
+    x = g.agg(*monitor.dashboard_columns(), F.kll_sketch_agg_double("response_ms", F.lit(SKETCH)).alias("ms"))
+    ps = [F.kll_sketch_get_quantile_double("ms", F.lit(p)).alias(f"p{round(100 * p)}_ms") for p in (0.95, 0.99)]
+    return x.select(F.col("window.start").alias("start"), "queries", "successes", "avg_ms", "avg_results", "avg_similarity", "avg_score", *ps)
 
 
 def trends(logs: DataFrame, granularity: str = "1 day") -> DataFrame:
@@ -49,6 +61,17 @@ def sessions(logs: DataFrame, key: str = "query", gap: str = "30 minutes") -> Da
     return g.select(F.col("session_window.start").alias("start"), key, "queries")
 
 
+def windowed_points(windows: DataFrame, points: DataFrame, key: str, length: str = "1 hour") -> DataFrame:
+    """Each window (start, key, ...) with the points (ts, key, ...) of its key in the `length` from its start on.
+
+    Both sides have watermarks and the join bounds the times, so a row leaves the state once nothing can meet it any more.
+    """
+    w, p = windows.withWatermark("start", RETENTION), points.withWatermark("ts", RETENTION)
+    p = p.withColumnRenamed(key, "_key")
+    inside = (F.col(key) == F.col("_key")) & (F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("start") + F.expr(f"interval {length}"))
+    return w.join(p, inside).drop("_key")
+
+
 def strategies(logs: DataFrame) -> DataFrame:
     """Running means of each strategy; the key is bounded, and so is the state."""
     return monitor.strategy_metrics(monitor.scored(logs))
@@ -88,10 +111,11 @@ def _written(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def drain(stream: DataFrame, keys: list[str] | None = None, each=None, schema=None) -> DataFrame:
+def drain(stream: DataFrame, keys: list[str] | None = None, each=None, schema=None, timers: bool = False) -> DataFrame:
     """Runs the stream over all that is there, and returns what it wrote; with keys it is an aggregate, written as updates."""
     path = place(stream.sparkSession, "stream")
-    store(stream, path, "update" if keys else "append", each).awaitTermination()
+    with store_provider(stream.sparkSession) if timers else nullcontext():
+        store(stream, path, "update" if keys else "append", each).awaitTermination()
     return stored(stream.sparkSession, path, schema or stream.schema, keys)
 
 
@@ -100,17 +124,20 @@ def progress(query) -> list[dict]:
     return [{"batch": p["batchId"], "rows": p["numInputRows"], "ms": p["batchDuration"]} for p in query.recentProgress]
 
 
+#: Samples that wait for the next batches; one that comes late is held against the one before it among these.
+HELD = 1000
+
+
 def sampled(samples: DataFrame, directory: str | None = None) -> DataFrame:
-    """Anomalies of samples (at, efficiency, scans) as they stream in; a batch's first sample is held against the last before it."""
+    """Anomalies of samples (at, efficiency, scans) as they stream in; each is held against the one before it by `at`, in its batch or
+    among the last HELD before it. A batch without rows hands these on as they are."""
     spark = samples.sparkSession
     last = directory or place(spark, "last")
 
     def each(batch: DataFrame, path: str, number: int) -> DataFrame:
-        held = f"{last}/{number}"
-        batch.orderBy(F.desc("at")).limit(1).write.mode("overwrite").parquet(held)
-        if number == 0:
-            return monitor.anomalies(batch)
-        before = spark.read.schema(batch.schema).parquet(f"{last}/{number - 1}")
-        return monitor.anomalies(batch.unionByName(before)).join(before.select("at"), "at", "left_anti")
+        before = spark.read.schema(batch.schema).parquet(f"{last}/{number - 1}") if number else batch.limit(0)
+        both = batch.unionByName(before)
+        both.orderBy(F.desc("at")).limit(HELD).write.mode("overwrite").parquet(f"{last}/{number}")
+        return monitor.anomalies(both).join(before.select("at"), "at", "left_anti")
 
     return drain(samples, each=each, schema=monitor.anomalies_schema())
