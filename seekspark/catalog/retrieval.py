@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
-from ..operators import chunking, fusion, lexical, nearest
+from ..operators import chunking, codes, fusion, lexical, nearest
+from ..operators import postings as stored
 from ..plans import search
 from ..sources import tables
+from ..sources.shared import kept
 from ..sources.tables import documents, hybrid_corpus, queries, table
 from . import query
 from .fragments import CHUNK_SQL, CORPUS, RRF, SERVICE, SPACED, SPARSE, VECS, bm25, dense, fused
@@ -315,6 +317,70 @@ def bm25_batch(spark, d):
     return lexical.bm25_sparse(documents(spark, d), _items(spark, d)).select("qid", "doc_id", "rank", r6("score"))
 
 
+@query(f"with {ITEM}, {bm25('documents')} select qid, doc_id, cast(rank as int) as rank, round(score, 6) as score from sparse")
+def index_search(spark, d):
+    """The same from a stored index: one build answers all queries in one plan."""
+    return stored.search(stored.build(documents(spark, d)), _items(spark, d)).select("qid", "doc_id", "rank", r6("score"))
+
+
+CHANGED = """changed as (select doc_id, case when doc_id % 10 = 4 then 'added words ' || text else text end as text from documents
+  where doc_id % 10 <> 3)"""
+
+
+def changed_index(spark, d):
+    """A tenth of the documents goes, a tenth is replaced: two segments beside the first."""
+    docs = documents(spark, d).select("doc_id", "text")
+    index = stored.build(docs)
+    stored.remove(index, docs.where("doc_id % 10 = 3"))
+    stored.add(index, docs.where("doc_id % 10 = 4").withColumn("text", F.concat(F.lit("added words "), "text")))
+    return index
+
+
+@query(f"with {ITEM}, {CHANGED}, {bm25('changed')} select qid, doc_id, cast(rank as int) as rank, round(score, 6) as score from sparse")
+def index_changed(spark, d):
+    return stored.search(changed_index(spark, d), _items(spark, d)).select("qid", "doc_id", "rank", r6("score"))
+
+
+@query(f"with {ITEM}, {CHANGED}, {bm25('changed')} select qid, doc_id, cast(rank as int) as rank, round(score, 6) as score from sparse")
+def index_merged(spark, d):
+    """One segment again."""
+    return stored.search(stored.merge(changed_index(spark, d)), _items(spark, d)).select("qid", "doc_id", "rank", r6("score"))
+
+
+@query(f"with {CORPUS}, {dense(10)} select qid, doc_id, cast(rank as int) as rank, round(score, 6) as score from dense")
+def vector_index_search(spark, d):
+    """A stored index of codes, asked for candidates in all cells: with exact scores these are the nearest vectors."""
+    v = hybrid_corpus(spark, d).select("doc_id", "vec")
+    return codes.search(codes.build(v), queries(spark, d), 10, probes=32, depth=100).select("qid", "doc_id", "rank", r6("score"))
+
+
+@query(f"""with {CORPUS.replace('from documents left join', "from (select * from documents where doc_id % 10 <> 3) d left join")},
+{dense(10)} select qid, doc_id, cast(rank as int) as rank, round(score, 6) as score from dense""")
+def vector_index_changed(spark, d):
+    """A tenth is removed; another tenth comes later, in a segment of its own."""
+    v = hybrid_corpus(spark, d).select("doc_id", "vec")
+    index = codes.build(v.where("doc_id % 10 <> 4"))
+    codes.remove(index, v.where("doc_id % 10 = 3"))
+    codes.add(index, v.where("doc_id % 10 = 4"))
+    return codes.search(index, queries(spark, d), 10, probes=32, depth=100).select("qid", "doc_id", "rank", r6("score"))
+
+
+def vector_index_recall(spark, d):
+    """(probes, queries, recall): of the ten nearest of each twentieth vector, the share that so many visited cells find; the last row is the default."""
+    v = tables.vectors(spark, d)
+    asked = v.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "qid")
+    truth = kept(nearest.knn(v, asked, 10).select("qid", "doc_id"), "truth")
+    index, out = codes.build(v), None
+    for probes in (1, 4, 16, index.probes):
+        hits = codes.search(index, asked, 10, probes).select("qid", "doc_id", F.lit(1).alias("found"))
+        row = truth.join(hits, ["qid", "doc_id"], "left").agg(F.lit(probes).alias("probes"), F.countDistinct("qid").alias("queries"), F.avg(F.coalesce("found", F.lit(0))).alias("recall"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+query()(vector_index_recall)
+
+
 @query(f"""with {ITEM}, toks as (select doc_id, {SERVICE} as t from documents),
 post as (select doc_id, term, count(*) as tf, any_value(dl) as dl from (select doc_id, len(t) as dl, unnest(t) as term from toks)
   group by doc_id, term),

@@ -17,6 +17,8 @@ from ..sources.shared import kept
 K1, B = 1.2, 0.75
 #: Queries that are answered in one pass over the documents, queries in one product, and documents in one product.
 QUERIES, ASKED, DOCUMENTS = 1024, 128, 512
+#: Postings that leave a task in one batch.
+POSTINGS = 1 << 16
 
 
 def tokenized(docs: DataFrame, tokenizer=sparse_tokens, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -24,8 +26,22 @@ def tokenized(docs: DataFrame, tokenizer=sparse_tokens, key: str = "doc_id", tex
 
 
 def term_frequencies(tokens: DataFrame) -> DataFrame:
-    """(doc_id, term, tf, dl): the postings."""
-    return tokens.select("doc_id", "dl", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    """(doc_id, term, tf, dl): the postings. What is counted lies within one row, so nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy()
+            words = b.column(1).flatten().dictionary_encode()
+            known = max(len(words.dictionary), 1)
+            pair, tf = np.unique(np.repeat(np.arange(len(n)), n) * known + words.indices.to_numpy(), return_counts=True)
+            row = pair // known
+            for i in range(0, len(pair), POSTINGS):
+                j = slice(i, i + POSTINGS)
+                doc, term = b.column(0).take(pa.array(row[j])), words.dictionary.take(pa.array(pair[j] % known))
+                yield pa.RecordBatch.from_arrays([doc, term, pa.array(tf[j]), b.column(2).take(pa.array(row[j]))], ["doc_id", "term", "tf", "dl"])
+
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+    return tokens.select("doc_id", "tokens", "dl").mapInArrow(run, f"doc_id {kind}, term string, tf long, dl int")
 
 
 def terms(postings: DataFrame) -> DataFrame:

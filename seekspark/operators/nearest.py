@@ -57,9 +57,9 @@ class Best:
         self.held.append((which[r], ids[c], s[r, c]))
         self.rows += len(r)
         if self.rows > 4 * self.k * self.n + 10_000:
-            self._settle()
+            self.settle()
 
-    def _settle(self) -> None:
+    def settle(self) -> None:
         if not self.held:
             return
         q, i, s = map(np.concatenate, zip(*self.held, strict=True))
@@ -72,7 +72,7 @@ class Best:
         self.held, self.rows = [(q[keep], i[keep], s[keep])], int(keep.sum())
 
     def batch(self, ids: np.ndarray) -> pa.RecordBatch:
-        self._settle()
+        self.settle()
         q, i, s = self.held[0] if self.held else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(i), pa.array(s)], ["qid", "doc_id", "score"])
 
