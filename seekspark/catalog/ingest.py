@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import hooks, vectors
-from ..operators import analyze, chunking, context, fusion, lexical, nearest, rerank
-from ..plans import ingest, search
-from ..sources import tables
+from ..functions import hooks, sql, vectors
+from ..operators import analyze, chunking, context, evaluate, fusion, lexical, nearest, rerank
+from ..plans import embedding, ingest, search
+from ..sources import buckets, tables, web
 from ..sources.shared import place
 from ..sources.tables import documents, hybrid_corpus, queries, table
 from . import query
@@ -146,7 +146,7 @@ select qid, dense.doc_id, cast(rank as int) as rank, round(score, 6) as score, f
 def facade_search(spark, d):
     """A third of the queries is answered by a cache, the others by a search."""
     cache, asked, corpus = _cached(spark, d)
-    rows, _ = ingest.cached_search(cache, corpus, asked, lambda c, q: nearest.knn(c, q, 5), "2024-01-15 00:00:00")
+    rows, _, _ = ingest.cached_search(cache, corpus, asked, lambda c, q: nearest.knn(c, q, 5), "2024-01-15 00:00:00")
     return rows.select("qid", "doc_id", "rank", r6("score"), "cached")
 
 
@@ -161,10 +161,111 @@ def _cached(spark, d):
   when qid % 3 = 0 then 1 else avg(score) end, 6) as similarity from dense group by qid""")
 def facade_log(spark, d):
     cache, asked, corpus = _cached(spark, d)
-    _, log = ingest.cached_search(cache, corpus, asked, lambda c, q: nearest.knn(c, q, 5), "2024-01-15 00:00:00")
+    _, log, _ = ingest.cached_search(cache, corpus, asked, lambda c, q: nearest.knn(c, q, 5), "2024-01-15 00:00:00")
     return log.select("qid", "results", "cached", r6("similarity"))
 
 
+@query(f"""with {CORPUS}, {dense(5)} select qid as entry_id, case when qid % 3 = 0 then 1 else count(*) end as results,
+  case when qid % 3 = 0 then timestamp '2024-02-01 00:00:00' else timestamp '2024-01-15 00:15:00' end as expires,
+  case when qid % 3 = 0 then 1000000 + qid else min_by(doc_id, rank) end as first from dense group by qid""")
+def facade_cache(spark, d):
+    """What was searched is in the cache afterwards."""
+    cache, asked, corpus = _cached(spark, d)
+    state = ingest.cached_search(cache, corpus, asked, lambda c, q: nearest.knn(c, q, 5), "2024-01-15 00:00:00")[2]
+    return state.select("entry_id", F.size("results").cast("long").alias("results"), F.col("expires").cast("timestamp_ntz").alias("expires"), F.col("results")[0]["doc_id"].alias("first"))
+
+
+FILES = "files as (select doc_id, '/in/f' || doc_id || case when doc_id % 9 = 4 then '.bin' else '.txt' end as path, text from documents)"
+
+
+def files(spark, d):
+    """Documents as files; some have an extension that is not known, some bytes that are no text."""
+    name = F.concat(F.lit("/in/f"), "doc_id", F.when(F.col("doc_id") % 9 == 4, ".bin").otherwise(".txt"))
+    bad = F.when(F.col("doc_id") % 11 == 5, F.unhex(F.lit("ff00fe"))).otherwise(F.encode("text", "utf-8"))
+    return documents(spark, d).select(name.alias("path"), bad.alias("content"))
+
+
+@query(rf"""with {FILES}, good as (select * from files where doc_id % 9 <> 4 and doc_id % 11 <> 5 and regexp_matches(text, '[^ \t\r\n]')),
+n as (select *, greatest(1, ceil((length(text) - 64) / 448.0)) as n from good)
+select 'f' || doc_id || '.txt' as file, cast(i as varchar) as place, cast(448 * i as varchar) as start, substr(text, cast(448 * i + 1 as bigint), 512) as content
+from (select *, unnest(range(cast(n as bigint))) as i from n)""")
+def file_chunks(spark, d):
+    x = web.parsed_files(files(spark, d))[0]
+    m = F.col("metadata")
+    return x.select(m["source_file"].alias("file"), m["ff_chunk_index"].alias("place"), m["ff_start_char"].alias("start"), "content")
+
+
+@query(rf"""with {FILES} select path, case when doc_id % 9 = 4 then 'extension' when doc_id % 11 = 5 then 'encoding' else 'empty' end as reason
+  from files where doc_id % 9 = 4 or doc_id % 11 = 5 or not regexp_matches(text, '[^ \t\r\n]')""")
+def file_rejects(spark, d):
+    return web.parsed_files(files(spark, d))[1]
+
+
+@query("select item_id, text, item_id % 3 as lines from benchmark")
+def golden_files(spark, d):
+    """A golden set written as arrays of items with names in camel case, and read again."""
+    path = place(spark, "golden")
+    evaluate.save_golden(table(spark, d, "benchmark").withColumn("text_lines", F.col("item_id") % 3), path, each=7)
+    return evaluate.load_golden(spark, path).where("updated_at is not null").select("item_id", "text", F.col("text_lines").alias("lines"))
+
+
+# --- SQL text ---
+
+
+@query("""with n as (select doc_id, text, greatest(1, ceil((length(text) - 64) / 448.0)) as n from documents where text is not null)
+select doc_id, cast(i as int) as chunk_index, substr(text, cast(448 * i + 1 as bigint), 512) as content from (select *, unnest(range(cast(n as bigint))) as i from n)""")
+def sql_chunks(spark, d):
+    sql.register(spark)
+    return spark.sql("select doc_id, c.chunk_index, c.content from {docs} join lateral fixed_chunks(text, 512, 64) c where text is not null", docs=documents(spark, d))
+
+
+@query(f"with {ARMS} select qid, doc_id, round(sum(w / (60 + rank)), 9) as score from (select qid, doc_id, rank, 0.7 as w from dense union all select qid, doc_id, rank, 0.3 from sparse) group by qid, doc_id")
+def sql_fusion(spark, d):
+    sql.register(spark)
+    corpus, asked = hybrid_corpus(spark, d), queries(spark, d)
+    both = "select qid, doc_id, rank, 0.7D w from {dense} union all select qid, doc_id, rank, 0.3D from {sparse}"
+    return spark.sql(f"select qid, doc_id, round(sum(reciprocal_rank(rank, w)), 9) score from ({both}) group by qid, doc_id", dense=nearest.knn(corpus, asked, 10), sparse=lexical.bm25_sparse(corpus, asked, 10))
+
+
+@query(f"with {POST} select term, count(*) as df, cast(sum(tf) as bigint) as cf from post group by term")
+def sql_terms(spark, d):
+    sql.register(spark)
+    return spark.sql("select x.term, count(*) df, sum(x.tf) cf from {docs} join lateral terms_of(text) x group by x.term", docs=documents(spark, d))
+
+
+@query("""with even as (select distinct text from documents where doc_id % 2 = 0 and trim(text) <> '')
+select doc_id, case when trim(text) <> '' and not contains(text, 'zz') then cast(length(text) as double) end as chars, case when trim(text) <> '' and not contains(text, 'zz')
+  then text in (select text from even) else false end as cached from documents""")
+def embedding_cache(spark, d):
+    """A model that takes batches and fails on some texts; the second run embeds what the first has not seen."""
+    docs = documents(spark, d).select("doc_id", "text")
+    _, cache, _ = embedding.embed(docs.where("doc_id % 2 = 0"), lengths, "2024-01-15 00:00:00", text="text")
+    rows, _, _ = embedding.embed(docs, lengths, "2024-01-15 12:00:00", cache, text="text")
+    return rows.select("doc_id", F.col("vec")[0].alias("chars"), F.coalesce("cached", F.lit(False)).alias("cached"))
+
+
+@query("select count(distinct text) as rejected, 'two z' as error from documents where contains(text, 'zz')")
+def embedding_rejects(spark, d):
+    rejects = embedding.embed(documents(spark, d).select("doc_id", "text"), lengths, "2024-01-15 00:00:00", text="text")[2]
+    return rejects.groupBy("error").agg(F.count("*").alias("rejected"))
+
+
+def lengths(texts: list[str]) -> list[list[float]]:
+    if any("zz" in t for t in texts):
+        raise ValueError("two z")
+    return [[len(t)] for t in texts]
+
+
+@query("select doc_id, text, case when doc_id % 7 = 1 then 'new' else lang end as lang from documents where doc_id % 5 <> 2")
+def stored_changes(spark, d):
+    """A stored table of documents: a seventh is replaced, a fifth goes."""
+    path, docs = place(spark, "documents"), documents(spark, d).select("doc_id", "text", "lang")
+    buckets.create(docs, path, "doc_id")
+    buckets.upsert(spark, path, docs.where("doc_id % 7 = 1").withColumn("lang", F.lit("new")), "doc_id")
+    buckets.delete(spark, path, docs.where("doc_id % 5 = 2"), "doc_id")
+    return buckets.read(spark, path).select("doc_id", "text", "lang")
+
+
 @query(f"with {CORPUS}, {dense(10)} select qid, doc_id, lang, source, round(score, 6) as score from dense join documents using (doc_id) where doc_id % 6 <> 0")
 def search_documents(spark, d):
     """Hits with their documents; a hit whose document is gone is dropped."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
-from ..operators import chunking, codes, fusion, lexical, nearest
+from ..operators import chunking, codes, evaluate, expansion, fusion, lexical, nearest
 from ..operators import postings as stored
 from ..plans import search
 from ..sources import tables
@@ -347,6 +347,44 @@ def index_merged(spark, d):
     return stored.search(stored.merge(changed_index(spark, d)), _items(spark, d)).select("qid", "doc_id", "rank", r6("score"))
 
 
+WIDE = f"""{ITEM}, {bm25('documents', k=5)},
+value as (select s.qid, p.term, sum(p.tf / p.dl * greatest(0, ln((n - df + 0.5) / (df + 0.5)))) as value from sparse s join post p using (doc_id) join dfs using (term), st
+  where not exists (select 1 from qt where qt.qid = s.qid and qt.term = p.term) group by s.qid, p.term),
+best as (select * from value where value > 0 qualify row_number() over (partition by qid order by round(value, 9) desc, term) <= 10),
+wide as (select qid, term, cast(times as double) as w from qt union all select qid, term, 0.5 * value / max(value) over (partition by qid) from best)"""
+RESCORED = """rescored as (select qid, doc_id, sum(w * ln((n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as score
+  from wide join post using (term) join dfs using (term), st group by qid, doc_id),
+again as (select *, row_number() over (partition by qid order by round(score, 9) desc, doc_id) as rank from rescored where score >= 0 qualify rank <= 10)"""
+
+
+@query(f"with {WIDE} select qid, term, round(w, 6) as weight from wide")
+def expanded_terms(spark, d):
+    """Queries with the ten best terms of their first five documents."""
+    docs = documents(spark, d)
+    return expansion.expanded(stored.build(docs), docs, _items(spark, d)).select("qid", "term", F.round("times", 6).alias("weight"))
+
+
+@query(f"with {WIDE}, {RESCORED} select qid, doc_id, cast(rank as int) as rank, round(score, 6) as score from again")
+def expanded_search(spark, d):
+    docs = documents(spark, d)
+    return expansion.search(stored.build(docs), docs, _items(spark, d)).select("qid", "doc_id", "rank", r6("score"))
+
+
+@query(f"""with {WIDE}, {RESCORED}, truth as (select distinct item_id as qid, doc_id from benchmark, documents where contains(documents.text, benchmark.text)),
+r as (select truth.qid, truth.doc_id, (s.doc_id is not null)::int as a, (g.doc_id is not null)::int as b from truth left join (select * from scored where score >= 0
+  qualify row_number() over (partition by qid order by round(score, 9) desc, doc_id) <= 10) s using (qid, doc_id) left join again g using (qid, doc_id))
+select round(avg(a), 6) as plain, round(avg(b), 6) as expanded, count(*) as pairs from r""")
+def expansion_recall(spark, d):
+    """Of the documents that hold a benchmark text, the share among the ten best, without and with expansion."""
+    docs, items = documents(spark, d), _items(spark, d)
+    index = stored.build(docs)
+    truth = evaluate.holders(docs, items.select("qid", F.col("text").alias("item")))
+    found = lambda hits, name: hits.select("qid", "doc_id", F.lit(1).alias(name))
+    x = truth.join(found(stored.search(index, items), "a"), ["qid", "doc_id"], "left").join(found(expansion.search(index, docs, items), "b"), ["qid", "doc_id"], "left")
+    share = lambda c: F.round(F.avg(F.coalesce(c, F.lit(0))), 6)
+    return x.agg(share("a").alias("plain"), share("b").alias("expanded"), F.count("*").alias("pairs"))
+
+
 @query(f"with {CORPUS}, {dense(10)} select qid, doc_id, cast(rank as int) as rank, round(score, 6) as score from dense")
 def vector_index_search(spark, d):
     """A stored index of codes, asked for candidates in all cells: with exact scores these are the nearest vectors."""

@@ -29,9 +29,11 @@ def holders(docs: DataFrame, items: DataFrame) -> DataFrame:
     inner = F.filter(F.slice(inner, 2, F.greatest(F.lit(0), F.size(inner) - 2)), lambda x: x != "")
     best = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))
     keyed = items.select("qid", "item", best.w.alias("w")).where("item is not null")
-    anchored = maybe_broadcast(keyed.where("w is not null"), MOST_ITEMS)
-    words = docs.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", " "))).alias("w"))
-    found = words.join(anchored, "w").where(F.contains("text", F.col("item"))).select("qid", "doc_id")
+    anchors = keyed.where("w is not null")
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("w"))  # ids and words: no text is copied
+    met = words.join(maybe_broadcast(anchors.select("qid", "w"), MOST_ITEMS), "w").select("qid", "doc_id").distinct()
+    both = met.join(docs.select("doc_id", "text"), "doc_id").join(maybe_broadcast(anchors.select("qid", "item"), MOST_ITEMS), "qid")
+    found = both.where(F.contains("text", F.col("item"))).select("qid", "doc_id").distinct()
     short = maybe_broadcast(keyed.where("w is null").drop("w"), MOST_ITEMS)
     return found.unionByName(docs.select("doc_id", "text").join(short, F.contains("text", F.col("item"))).select("qid", "doc_id"))
 
@@ -164,13 +166,31 @@ def dataset_stats(items: DataFrame) -> DataFrame:
     return total.unionByName(relevant).unionByName(by("category", F.explode("categories"))).unionByName(by("difficulty", F.col("difficulty")))
 
 
-def save_golden(items: DataFrame, path: str) -> None:
-    items.withColumn("updated_at", F.current_timestamp()).write.mode("overwrite").json(path)
+def _camel(name: str) -> str:
+    first, *rest = name.split("_")
+    return first + "".join(x.capitalize() for x in rest)
+
+
+def _snake(name: str) -> str:
+    return "".join(f"_{c.lower()}" if c.isupper() else c for c in name).lstrip("_")
+
+
+def save_golden(items: DataFrame, path: str, each: int | None = None) -> None:
+    """Golden items as JSON with names like itemId, and updatedAt: the time of the write. A line for each item, or, with `each`, a file
+    a partition whose lines are arrays of up to about so many items."""
+    named = items.withColumn("updated_at", F.current_timestamp())
+    named = named.toDF(*(_camel(c) for c in named.columns))
+    if each is None:
+        named.write.mode("overwrite").json(path)
+        return
+    groups = named.select(F.pmod(F.xxhash64(*named.columns), F.lit(max(1, -(-items.count() // each)))).alias("g"), F.struct(*named.columns).alias("item"))
+    groups.groupBy("g").agg(F.to_json(F.collect_list("item")).alias("value")).select("value").write.mode("overwrite").text(path)
 
 
 def load_golden(spark, path: str, array: bool = False) -> DataFrame:
-    """Golden items from JSON lines, or from files that each hold a JSON array."""
-    return spark.read.option("multiLine", array).json(path)
+    """Golden items from JSON lines (an object or an array each), or from files that each hold one JSON array; names like item_id."""
+    items = spark.read.option("multiLine", array).json(path)
+    return items.toDF(*(_snake(c) for c in items.columns))
 
 
 def first_of(rows: DataFrame, by: list[str], *order) -> DataFrame:

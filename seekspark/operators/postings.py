@@ -127,24 +127,36 @@ def close(index: Index) -> None:
 
 def search(index: Index, queries: DataFrame, k: int = 10, min_score: float = 0.0, group: int = GROUP) -> DataFrame:
     """(qid, doc_id, score, rank) by BM25; a term asked twice counts twice."""
-    spark = index.spark
-    asked = queries.select(F.col("qid").cast("long").alias("qid"), F.explode(index.tokenizer(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    parts = max(1, -(-queries.count() // group))
-    asked = kept(asked.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int")), "asked")
+    return search_terms(index, asked_terms(index, queries), k, min_score, group)
+
+
+def asked_terms(index: Index, queries: DataFrame) -> DataFrame:
+    """(qid, term, times) of queries (qid, text)."""
+    return queries.select(F.col("qid").cast("long").alias("qid"), F.explode(index.tokenizer(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").cast("double").alias("times"))
+
+
+def frequencies(index: Index, terms: DataFrame) -> DataFrame:
+    """(term, df) of the terms that some document has."""
+    hits = index.postings().join(maybe_broadcast(terms.select("term").distinct(), 100_000), "term", "left_semi")
+    if index.gone().isEmpty():
+        return hits.groupBy("term").agg(F.sum(F.size("docs")).alias("df"))
+    each = hits.select("term", "segment", F.explode("docs").alias("doc_id")).join(index.live().select("doc_id", "segment"), ["doc_id", "segment"], "left_semi")
+    return each.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def search_terms(index: Index, asked: DataFrame, k: int = 10, min_score: float = 0.0, group: int = GROUP) -> DataFrame:
+    """The same for terms with weights of their own: asked (qid, term, times), each pair once."""
+    asked = kept(asked, "asked")
+    parts = max(1, -(-asked.select("qid").distinct().count() // group))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int"))
     live, gone = index.live(), index.gone()
     n, avgdl = live.agg(F.count("*"), F.avg("dl")).first()  # documents without a text count, but have no length
-    terms = maybe_broadcast(asked.select("term").distinct(), 100_000)
-    hits = index.postings().join(terms, "term", "left_semi")
     some_gone = not gone.isEmpty()
-    if some_gone:  # counts of what is left
-        each = hits.select("term", "segment", F.explode("docs").alias("doc_id")).join(live.select("doc_id", "segment"), ["doc_id", "segment"], "left_semi")
-        df = each.groupBy("term").agg(F.count("*").alias("df"))
-    else:
-        df = hits.groupBy("term").agg(F.sum(F.size("docs")).alias("df"))
+    df = frequencies(index, asked)
     weight = F.col("times") * F.ln((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = kept(asked.join(df, "term").select("part", "qid", "term", weight.alias("w")), "weights")
     places = index.lengths().select("segment", "shard").distinct()  # a row for SHARD documents
-    hits = hits.join(maybe_broadcast(weights.select("part", "term").distinct(), 100_000), "term")
+    hits = index.postings().join(maybe_broadcast(weights.select("part", "term").distinct(), 100_000), "term")
     side = weights.join(F.broadcast(places)).select("part", "segment", "shard", "qid", "term", "w", F.lit(None).cast("long").alias("doc_id"))
     if some_gone:
         dead = index.lengths().join(live.select("doc_id", "segment"), ["doc_id", "segment"], "left_anti").select("segment", "shard", "doc_id")

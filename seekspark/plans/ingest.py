@@ -12,6 +12,7 @@ from ..operators import chunking, context
 from ..operators.cache import key
 from ..operators.nearest import knn
 from ..sources import tables
+from ..sources.shared import kept
 
 
 @dataclass
@@ -76,18 +77,25 @@ def migrated(legacy: DataFrame) -> DataFrame:
     return legacy.select("chunk_id", F.from_json("embedding", "array<double>").alias("vec")).where("vec is not null and size(vec) > 0")
 
 
-def cached_search(cache: DataFrame, corpus: DataFrame, queries: DataFrame, search, as_of: str, least: float = 0.95) -> tuple[DataFrame, DataFrame]:
-    """(results, log): queries that a live entry answers take its results; the others are searched; the log has a row for each.
+def cached_search(cache: DataFrame, corpus: DataFrame, queries: DataFrame, search, as_of: str, least: float = 0.95, ttl: str = "15 minutes") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(results, log, cache): queries that a live entry answers take its results; the others are searched; the log has a row for each.
+
+    The cache's next state holds the live entries and the answers that were searched, each under the number of its query.
 
     cache: (entry_id, vec, expires, results: array of (doc_id, score, rank)). `search` takes (corpus, queries) and returns ranked rows.
     """
     live = cache.where(F.col("expires") > F.lit(as_of).cast("timestamp"))
     hits = knn(live.select(F.col("entry_id").alias("doc_id"), "vec"), queries, 1, min_score=least).select("qid", F.col("doc_id").alias("entry_id"))
     stored = hits.join(live.select("entry_id", F.explode("results").alias("r")), "entry_id").select("qid", "r.doc_id", "r.score", "r.rank", F.lit(True).alias("cached"))
-    found = search(corpus, queries.join(hits, "qid", "left_anti")).select("qid", "doc_id", "score", "rank", F.lit(False).alias("cached"))
+    found = kept(search(corpus, queries.join(hits, "qid", "left_anti")).select("qid", "doc_id", "score", "rank", F.lit(False).alias("cached")), "found")
     results = stored.unionByName(found)
     log = queries.select("qid").join(results.groupBy("qid").agg(F.count("*").alias("results"), F.max("cached").alias("cached"), F.avg("score").alias("similarity")), "qid", "left")
-    return results, log.select("qid", F.coalesce("results", F.lit(0)).alias("results"), F.coalesce("cached", F.lit(False)).alias("cached"), "similarity")
+    log = log.select("qid", F.coalesce("results", F.lit(0)).alias("results"), F.coalesce("cached", F.lit(False)).alias("cached"), "similarity")
+    answers = found.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id", "score"))).alias("r"))  # k rows a query
+    answers = answers.select("qid", F.transform("r", lambda x: F.struct(x.doc_id.alias("doc_id"), x.score.alias("score"), x["rank"].alias("rank"))).alias("results"))
+    expires = F.lit(as_of).cast("timestamp") + F.expr(f"interval {ttl}")
+    new = answers.join(queries.select("qid", "vec"), "qid").select(F.col("qid").alias("entry_id"), "vec", expires.alias("expires"), "results")
+    return results, log, live.select("entry_id", "vec", "expires", "results").unionByName(new)
 
 
 def statistics(index: Index) -> DataFrame:

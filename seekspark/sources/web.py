@@ -63,3 +63,25 @@ def file_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def prefixed(metadata: Column, prefix: str) -> Column:
     """The map with a prefix before each key."""
     return F.transform_keys(metadata, lambda k, _: F.concat(F.lit(prefix), k))
+
+
+EXTENSIONS = (".txt", ".md", ".csv", ".json", ".html")
+
+
+def parsed_files(files: DataFrame, size: int = 512, overlap: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(chunks, rejects) of files (path, content), as `binaryFile` reads them: one bad file stops nothing.
+
+    Chunks are (document_id, chunk_index, content, metadata); metadata has the file's name and type, and of the chunk its place, under
+    names that begin with ff_. Rejects are (path, reason): an unknown extension, bytes that are no UTF-8, or no text.
+    """
+    extension = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    reason = F.when(~extension.isin(*EXTENSIONS), "extension").when(~F.coalesce(F.is_valid_utf8(F.col("content").cast("string")), F.lit(False)), "encoding")
+    reason = reason.when(~F.col("content").cast("string").rlike(r"[^ \t\r\n]"), "empty")
+    rows = files.select("path", F.col("content").cast("string").alias("text"), extension.alias("extension"), reason.alias("reason"))
+    good = rows.where("reason is null").select(F.xxhash64("path").alias("doc_id"), "text", F.lit(None).cast("string").alias("lang"), F.col("path").alias("source"), "extension")
+    cut = chunk(good, "fixed", size=size, overlap=overlap).join(good.select(F.col("doc_id").alias("document_id"), F.col("source").alias("path"), "extension"), "document_id")
+    start = F.col("chunk_index") * (size - overlap)
+    own = {"chunk_id": F.concat_ws("#", "document_id", "chunk_index"), "chunk_index": F.col("chunk_index"), "strategy": F.lit("fixed"), "start_char": start, "end_char": start + F.length("content")}
+    chunk_meta = prefixed(F.create_map(*(x for k, v in own.items() for x in (F.lit(k), v.cast("string")))), "ff_")
+    file_meta = F.create_map(F.lit("source_file"), F.regexp_extract("path", r"([^/]+)$", 1), F.lit("source_type"), F.lit("file"), F.lit("file_extension"), F.col("extension"))
+    return cut.select("document_id", "chunk_index", "content", F.map_concat(file_meta, chunk_meta).alias("metadata")), rows.where("reason is not null").select("path", "reason")
