@@ -12,14 +12,16 @@ earlier place, in order of (doc_id, text hash, line), in another text or in the
   windows around it reach, and each extension is held against the first place where the same lines stand around the same
   fingerprint. A longer repeated run is covered by those of its selected lines; lines that stand together at no earlier
   place are in no extension that is found again, even if each of their halves is.
-* The lines of extensions found at an earlier place are deleted, and blank lines between two of them.
+* The lines of extensions found at an earlier place are deleted, and blank lines between two of them. Extensions are told apart by
+  128 bits of their lines, so that among 10^12 of them a false match is not to be expected.
 
 A fingerprint or run of any frequency is one row a task before it is shuffled, and the most frequent ones are joined by a
 broadcast of bounded size (`common.met`).
 
 Defined results: null text stays null, empty text stays empty. A null doc_id comes before all others. Rows equal in
 doc_id and text are one place: they lose the same lines, and none because of each other. Of equal texts with unlike doc_ids all
-but the first lose everything that is long enough. An empty table gives no row. Other columns pass through, whatever their names.
+but the first lose everything that is long enough. Texts of any length are taken whole, in batches of bounded size
+by document. An empty table gives no row. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from .common import Scratch, met, mix, slices, spare, utf8, words
 
 MIN_WORDS = 20
 _KEY = "coalesce(doc_id, -9223372036854775808) pid", "xxhash64(text) tkey"
-_FOUND = "pid long, tkey long, fp long, runs array<struct<start: int, stop: int, run: long>>"
+_FOUND = "pid long, tkey long, fp long, runs array<struct<start: int, stop: int, run: binary>>"
 _ODD = np.uint64(0xD1342543DE82EF95)
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 
@@ -86,7 +88,7 @@ def selected(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
 
 
 def chained(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """A hash of the lines of each window."""
+    """A hash of the lines of each window, from hashes of the lines."""
     power = np.cumprod(np.full(len(h) + 1, _ODD, np.uint64))
     inverse = np.cumprod(np.full(len(h) + 1, _INVERSE, np.uint64))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[:-1])])
@@ -101,7 +103,8 @@ def _fingerprints(least: int):
             data, at = utf8(b.column(2))
             row, first, last, n = lines_of(data, at)
             raw = data.tobytes()
-            h = np.fromiter((xxhash.xxh3_64_intdigest(raw[i:j]) for i, j in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(row))
+            both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[i:j]) for i, j in zip(first.tolist(), last.tolist(), strict=True)), ">u8").astype(np.uint64).reshape(-1, 2)
+            h = both[:, 1]
             start, stop = windows(row, n, least)
             if not len(start):
                 continue
@@ -110,9 +113,9 @@ def _fingerprints(least: int):
             start, stop, place = start[order], stop[order], place[order]
             each = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
             line = np.searchsorted(row, row)  # the first line of each line's row
-            runs = pa.StructArray.from_arrays(
-                [pa.array((start - line[start]).astype(np.int32)), pa.array((stop - line[start]).astype(np.int32)), pa.array(chained(mix(h), start, stop).view(np.int64))], ["start", "stop", "run"]
-            )
+            names = np.stack([chained(mix(both[:, k]), start, stop) for k in (0, 1)], axis=1)
+            names = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(16 * np.arange(len(start) + 1, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(names))])
+            runs = pa.StructArray.from_arrays([pa.array((start - line[start]).astype(np.int32)), pa.array((stop - line[start]).astype(np.int32)), names], ["start", "stop", "run"])
             of = pa.array(row[place[each]])
             fp = pa.array(mix(h[place[each]]).view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), fp, pa.ListArray.from_arrays(pa.array(np.append(each, len(place)), pa.int32()), runs)], ["pid", "tkey", "fp", "runs"])
