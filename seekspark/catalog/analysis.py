@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import relevance
 from ..operators import analyze, chunking, context, nearest, rerank
 from ..plans import search, selfrag
+from ..sources.shared import kept
 from ..sources.tables import documents, hybrid_corpus, queries, table, vectors
 from . import query
 from .fragments import CHUNK_SQL, CORPUS, RRF, SPACED, VECS, bm25, dense, fused, words
@@ -219,9 +220,10 @@ def all_chunks(spark, d):
 
 
 def chunk_hits(spark, d):
-    """All chunks, and the first chunk of each document that a vector search finds for the benchmark queries."""
-    c = all_chunks(spark, d)
-    found = nearest.knn(hybrid_corpus(spark, d), queries(spark, d), 10)
+    """The chunks of the documents that a vector search finds for the benchmark queries, and of each the first chunk as hit."""
+    found = kept(nearest.knn(hybrid_corpus(spark, d), queries(spark, d), 10), "hits")
+    docs = documents(spark, d).join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    c = kept(chunking.chunk(docs).drop("metadata", "total_chunks", "token_count"), "chunks")
     return c, found.select("qid", F.concat("doc_id", F.lit("#0")).alias("chunk_id"), "score")
 
 
@@ -609,10 +611,13 @@ def improvement_suggestions(spark, d):
     return selfrag.suggestions(_quality(spark, d)[1])
 
 
-@query(f"""with {CORPUS} select qid, doc_id, round(len(list_filter(list_filter(string_split(lower(asked.text), ' '), lambda x: x <> ''),
+@query(f"""with {CORPUS}, {dense(10)} select qid, doc_id, round(len(list_filter(list_filter(string_split(lower(asked.text), ' '), lambda x: x <> ''),
   lambda x: list_contains(list_filter(string_split(lower(corpus.text), ' '), lambda y: y <> ''),
   x))) / greatest(1, len(list_filter(string_split(lower(asked.text), ' '), lambda x: x <> ''))), 6) as relevance
-  from asked join corpus on doc_id = qid""")
+  from dense join asked using (qid) join corpus using (doc_id)""")
 def query_relevance(spark, d):
-    x = queries(spark, d).withColumnRenamed("text", "asked").join(hybrid_corpus(spark, d).select(F.col("doc_id"), "text"), F.col("doc_id") == F.col("qid"))
+    """Of each query and its ten nearest documents."""
+    asked = queries(spark, d)
+    hits = nearest.knn(hybrid_corpus(spark, d), asked, 10).select("qid", "doc_id")
+    x = hits.join(asked.select("qid", F.col("text").alias("asked")), "qid").join(documents(spark, d).select("doc_id", "text"), "doc_id")
     return x.select("qid", "doc_id", F.round(relevance(F.col("text"), F.col("asked")), 6).alias("relevance"))

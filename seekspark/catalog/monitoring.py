@@ -438,10 +438,11 @@ def web_metadata(spark, d):
     return x.select("page_id", F.col("metadata")["source_url"].alias("source_url"), F.col("metadata")["wf_title"].alias("title"))
 
 
-@query(f"""with v as (select {VISIBLE} as t from pages), n as (select t, greatest(1, ceil((length(t) - 50) / 462.0)) as n from v where length(t) > 0)
-  select cast(sum(n) as bigint) as chunks from n""")
+@query(f"""with v as (select 'web_' || lower(translate({HOST} || '_' || regexp_replace({PATH}, '^/', ''), '/.-', '___')) as document_id, {VISIBLE} as t from pages),
+n as (select *, greatest(1, ceil((length(t) - 50) / 462.0)) as n from v where length(t) > 0)
+select document_id, cast(i as int) as chunk_index, substr(t, cast(462 * i + 1 as bigint), 512) as content from (select *, unnest(range(cast(n as bigint))) as i from n)""")
 def web_chunks(spark, d):
-    return web.web_chunks(table(spark, d, "pages")).agg(F.count("*").alias("chunks"))
+    return web.web_chunks(table(spark, d, "pages")).select("document_id", "chunk_index", "content")
 
 
 # --- streams: over files that arrive one after the other (one of them empty), with late rows and rows too late ---
