@@ -11,7 +11,7 @@ rendered in parts of `PART` turns: no task needs a whole conversation, however l
 
 Defined results: rows equal in conv_id, turn, role and text are one turn. Unlike rows with one turn number are all kept, by
 role and text. Null turns come first; null roles are rendered as `user`, null texts as empty. Rows with a null conv_id are
-one conversation. Other columns are ignored.
+one conversation. Texts of any length are taken whole. An empty table gives no row. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ one document outweighs all that wait; what is left of such a one is drawn by its
 Random numbers are hashes of the documents' keys and the seed: reruns and retried tasks agree.
 
 Defined results: null or wordless text: size 0, taken 0 and never paired. Rows equal in all columns are interchangeable. A null source
-is a source of its own, after all others in order. Repeated rows are documents of their own. If no document has a word, all targets
+is a source of its own, after all others in order. Texts of any length
+are counted whole. Repeated rows are documents of their own. If no document has a word, all targets
 are 0. An empty table gives no row. Other columns are ignored by `mix_sources` and pass through `mixture`, whatever their names.
 """
 

@@ -12,7 +12,7 @@ the trees with probability 3e-6.
 
 Defined results: null or wordless text: empty set, linked with nothing, its own component. Fewer than five words: the
 whole sequence is the one shingle. Equal doc_ids with unlike texts are separate documents. A null doc_id takes part; a
-component of none but null ids has a null id. Repeated rows are all returned; `one_each` keeps one of them. An empty table gives no
+component of none but null ids has a null id. Texts of any length are taken whole. Repeated rows are all returned; `one_each` keeps one of them. An empty table gives no
 row. Other columns are ignored, and pass through `one_each`, whatever their names.
 """
 

@@ -9,7 +9,8 @@ documents go down all trees at the same time, a level a step.
 A document is kept if it passes the base rules and the model's probability of good quality is at least `KEEP`.
 
 Defined results: null or empty text: all statistics are 0 and the base rules fail. Without labelled rows of both kinds the
-base rules decide alone. Rows with equal doc_ids are judged by their own texts. Other columns are ignored.
+base rules decide alone. Rows with equal doc_ids are judged by their own texts. Texts of any length are
+counted whole. An empty table gives no row. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

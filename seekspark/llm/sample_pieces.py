@@ -11,7 +11,11 @@ files of BPE models hold ranks and no probabilities. A character that is no piec
 1 / (1 + number of pieces) for each byte; so is a literal U+2581, which otherwise stands for a space. Random numbers come
 from a counter hashed with the row's key, so a row gets the same pieces whatever the batch, task or attempt.
 
-Decoding joins the pieces' bytes, and gives back exactly the text. Defined results: null or empty text: no pieces.
+Decoding joins the pieces' bytes, and gives back exactly the text.
+
+Defined results: null or empty text: no pieces. Texts of any length are taken whole, in bounded batches of rows; one text is the
+unit of memory. Repeated rows equal in doc_id and text get the same pieces, a row each. An empty table gives no row. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

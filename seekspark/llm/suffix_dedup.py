@@ -18,7 +18,8 @@ A class's strings with a smaller doc_id elsewhere are marked in all members of t
 cut out. Pieces travel as packed arrays, a row for each slice of documents and part.
 
 Defined results: null text: empty. A null doc_id is neither smaller nor larger than another: nothing is removed for or from
-such a row. Rows with equal doc_ids remove nothing from one another. Other columns are ignored.
+such a row. Rows with equal doc_ids remove nothing from one another. Texts of
+any length are taken whole: pieces of a long one go to many parts. An empty table gives no row. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

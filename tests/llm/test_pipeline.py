@@ -1,9 +1,13 @@
 """The pipeline's stages on the smallest documents, each judged on its own input."""
 
+import hashlib
 import random
+import re
 from collections import Counter
 
 import corpus_pipeline
+import duckdb
+from seekspark.llm import line_dedup
 from seekspark.llm.common import Scratch
 
 from .test_dedup import brute_near
@@ -76,3 +80,38 @@ def test_no_rows(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = scratch.save(stage(spark, docs, DATA), name)
         assert docs.count() == 0
+
+
+def test_lines_and_mixing_by_brute_force(spark):
+    """The line stage against SQL from the definition, the mix against the targets by a plain loop."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = corpus_pipeline.lines(spark, docs, DATA).collect()
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
+    want = {d: (n, h) for d, n, _, h in con.sql(f"select doc_id, lines_removed, n_bytes, kept_sha256 from ({line_dedup.ORACLE})").fetchall()}
+    texts = {d: t for d, t in con.sql("select doc_id, text from documents").fetchall()}
+    for r in got:
+        assert hashlib.sha256(r.text.encode()).hexdigest() == want[r.doc_id][1]
+    gone = set(texts) - {r.doc_id for r in got}
+    empty = hashlib.sha256(b"").hexdigest()
+    assert all(want[d][0] > 0 for d in gone) and all(want[d][1] != empty or not texts[d] for d in {r.doc_id for r in got})
+    sizes = {r.doc_id: (r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in docs.collect()}
+    whole = Counter()
+    for source, n in sizes.values():
+        whole[source] += n
+    names = sorted((s for s in whole if s is not None)) + [None] * (None in whole)
+    weight, target, left = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}, {}, sum(whole.values())
+    while True:  # what is above three times its source is reshared by weight
+        share = {s: left * weight[s] / sum(weight[x] for x in names if x not in target) for s in names if s not in target}
+        over = [s for s in share if share[s] > 3 * whole[s]]
+        if not over:
+            target |= share
+            break
+        for s in over:
+            target[s] = 3 * whole[s]
+            left -= target[s]
+    taken = Counter()
+    for r in corpus_pipeline.mixed(spark, docs, DATA).collect():
+        taken[r.source] += sizes[r.doc_id][1]
+    for s in names:
+        assert abs(taken[s] - target[s]) <= max(n for x, n in sizes.values() if x == s)
