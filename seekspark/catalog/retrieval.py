@@ -143,16 +143,65 @@ def chunk_fixed(spark, d):
     return chunks(spark, d).drop("metadata")
 
 
-@query()
+def gathered(pieces: str, size: int, keep: int, between: str) -> str:
+    """SQL of greedy chunks: of each text the pieces, how many characters stand before each, and from chunk to chunk where it begins (a),
+    what it must hold (m) and where it ends (e)."""
+    return f"""with recursive cut as (select doc_id, {pieces} as p from documents),
+w as (select doc_id, i, sum(length(x) + 1) over (partition by doc_id order by i) as upto from (select doc_id, unnest(p) as x, unnest(range(1, len(p) + 1)) as i from cut)),
+c as (select doc_id, any_value(p) as p, list(upto order by i) as upto from w join cut using (doc_id) group by doc_id),
+r as (select doc_id, 0 as chunk_index, 0 as a, cast(greatest(1, len(list_filter(upto, lambda x: x <= {size}))) as int) as e from c
+  union all select doc_id, chunk_index + 1, a2, cast(greatest(e + 1, len(list_filter(c.upto, lambda x: x <= {size} + case when a2 > 0 then c.upto[a2] else 0 end))) as int)
+  from (select doc_id, chunk_index, e, e - least({keep}, e) as a2 from r) join c using (doc_id) where e < len(c.p)),
+t as (select doc_id, chunk_index, array_to_string(p[a + 1 : e], {between}) as content from r join c using (doc_id))
+select doc_id || '#' || chunk_index as chunk_id, doc_id as document_id, chunk_index, cast(count(*) over (partition by doc_id) as int) as total_chunks, content,
+  cast(length(content) // 4 as int) as token_count from t"""
+
+
+SENTENCES = r"""list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?\n])', '\1' || chr(1), 'g'), chr(1) || '(\p{Ll})', '\1', 'g'), chr(1)),
+  lambda x: trim(x)), lambda x: x <> '')"""
+#: Blank lines in every third text, and no marks in every fifth, as the texts have neither.
+SHAPED = r"""case when doc_id % 3 = 0 then replace(text, '. ', '.' || chr(10) || ' ' || chr(10)) when doc_id % 5 = 0 then translate(text, '.!?', '   ') else text end"""
+PARAGRAPHS = r"list_filter(list_transform(regexp_split_to_array(text, '\n[ \t]*\n'), lambda x: trim(x)), lambda x: x <> '')"
+
+
+def shaped(spark, d):
+    c = F.col("text")
+    text = F.when(F.col("doc_id") % 3 == 0, F.replace(c, F.lit(". "), F.lit(".\n \n"))).when(F.col("doc_id") % 5 == 0, F.translate(c, ".!?", "   ")).otherwise(c)
+    return documents(spark, d).withColumn("text", text)
+
+
+@query(gathered(r"list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda x: x <> '')", 512, 6, "' '"))
 def chunk_words(spark, d):
     return chunking.chunk(documents(spark, d), "words").drop("metadata")
 
 
-@query()
+@query(gathered(SENTENCES, 200, 1, "' '"))
 def chunk_sentences(spark, d):
     return chunking.chunk(documents(spark, d), "sentences").drop("metadata")
 
 
+@query(gathered(SENTENCES, 200, 1, "' '").replace("\nt as (select", "\nt as (select * from (select").replace("r join c using (doc_id))", "r join c using (doc_id)) qualify chunk_index = 0 or length(content) >= 100 or chunk_index < max(chunk_index) over (partition by doc_id))"))
+def chunk_sentences_least(spark, d):
+    """A last chunk of under 100 characters is left out."""
+    return chunking.chunk(documents(spark, d), "sentences", least=100).drop("metadata")
+
+
+@query(gathered(PARAGRAPHS, 512, 0, "chr(10) || chr(10)").replace("from documents", f"from (select doc_id, {SHAPED} as text from documents)"))
+def chunk_paragraphs(spark, d):
+    return chunking.chunk(shaped(spark, d), "paragraphs").drop("metadata")
+
+
+@query(f"""with s as (select doc_id, {SHAPED} as text from documents), k as (select *, case when regexp_matches(text, '\\n[ \\t]*\\n') then 1 when regexp_matches(text, '[.!?]') then 2 else 3 end as kind from s),
+a as ({gathered(PARAGRAPHS, 512, 0, "chr(10) || chr(10)").replace("from documents", "from k where kind = 1")}),
+b as ({gathered(SENTENCES, 512, 1, "' '").replace("from documents", "from k where kind = 2")}),
+f as (select doc_id || '#' || i as chunk_id, doc_id as document_id, cast(i as int) as chunk_index, cast(n as int) as total_chunks, substr(text, cast(i * 448 + 1 as bigint), 512) as content
+  from (select *, unnest(range(cast(n as bigint))) as i from (select *, greatest(1, ceil((length(text) - 64) / 448.0)) as n from k where kind = 3)))
+select * from a union all select * from b union all select *, cast(length(content) // 4 as int) as token_count from f""")
+def chunk_auto(spark, d):
+    """Each text by what it has: paragraphs, sentences, or neither."""
+    return chunking.chunk(shaped(spark, d), "auto").drop("metadata")
+
+
 def _token_query(sql: str, tokens):
     def f(spark, d):
         t = tokens(F.col("text"))

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import kept
@@ -282,10 +282,7 @@ def cells(vectors: DataFrame, centres: int = 32, recall: float = 0.96, k: int =
     rows = vectors.where("vec is not null and size(vec) > 0").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample).select("vec").collect()
     dim = max((len(r.vec) for r in rows), default=1)
     x = _unit(np.array([r.vec for r in rows if len(r.vec) == dim], np.float64).reshape(-1, dim))
-    c = x[np.random.default_rng(seed).choice(len(x), min(centres, len(x)), replace=False)]
-    for _ in range(8):
-        near = (x @ c.T).argmax(axis=1)
-        c = _unit(np.stack([x[near == i].mean(axis=0) if (near == i).any() else c[i] for i in range(len(c))])) if len(c) else c
+    c = _spherical(x, min(centres, len(x)), seed)
     probes = _probes(x, c, recall, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,3 +345,75 @@ def _visited(index: Cells, ids: np.ndarray, vecs: list[np.ndarray], k: int, prob
         yield best.batch(ids)
 
     return index.stored.where(F.col("cell").isin(list(of))).select("doc_id", "vec", "cell").mapInArrow(run, _HITS)
+
+
+# --- how many cells, and how many visits --------------------------------------
+
+
+def visit_curve(vectors: DataFrame, queries: DataFrame, counts: list[int], k: int = 10, sample: int = 20_000) -> DataFrame:
+    """(centres, probes, recall, share): what an index of so many cells finds if each query visits so many, and how many rows it reads.
+
+    recall is the share of the queries' true k nearest vectors that lie in the visited cells, share the mean part of all vectors in them.
+    Exact search runs once. Then each true neighbour has a number: which visit reaches it; a count of these gives the recall of
+    every number of visits at once, so no configuration is searched by itself. Vectors without a length, or of another than the
+    most, are in no cell and are left out; ties are those of `knn`. Without vectors or queries there is no row.
+    """
+    spark = vectors.sparkSession
+    good = vectors.select(F.col("doc_id").cast("long"), F.col("vec").cast("array<double>").alias("vec")).where("vec is not null and exists(vec, x -> x <> 0)")
+    rows = good.orderBy(F.xxhash64("doc_id", F.lit(42)), "doc_id").limit(sample).select("vec").collect()
+    dim = max((len(r.vec) for r in rows), default=0)
+    if not dim:
+        return spark.createDataFrame([], "centres int, probes int, recall double, share double")
+    x = _unit(np.array([r.vec for r in rows if len(r.vec) == dim], np.float64))
+    books = {n: _spherical(x, n) for n in dict.fromkeys(min(n, len(x)) for n in counts)}
+    same = good.where(F.size("vec") == dim)
+    asked = queries.select(F.col("qid").cast("long"), F.col("vec").cast("array<double>").alias("vec")).where((F.size("vec") == dim) & F.exists("vec", lambda v: v != 0))
+    true = kept(knn(same, asked, k).select("qid", "doc_id"), "true")
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, STEP):
+                some = b.slice(i, STEP)
+                v = _unit(_matrix(some.column(1), dim))
+                for n, c in books.items():
+                    cell = (v @ c.T).argmax(axis=1).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.full(len(v), n, np.int32)), pa.array(cell)], ["doc_id", "centres", "cell"])
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, STEP):
+                some = b.slice(i, STEP)
+                v = _unit(_matrix(some.column(1), dim))
+                for n, c in books.items():
+                    order = np.argsort(-(v @ c.T), axis=1, kind="stable").astype(np.int32)
+                    size = order.shape[1]
+                    columns = [some.column(0).take(pa.array(np.repeat(np.arange(len(v)), size))), pa.array(np.full(order.size, n, np.int32)), pa.array(order.reshape(-1)), pa.array(np.tile(np.arange(1, size + 1, dtype=np.int32), len(v)))]
+                    yield pa.RecordBatch.from_arrays(columns, ["qid", "centres", "cell", "probes"])
+
+    cell = kept(same.select("doc_id", "vec").mapInArrow(placed, "doc_id long, centres int, cell int"), "placed")
+    visit = kept(asked.select("qid", "vec").mapInArrow(visits, "qid long, centres int, cell int, probes int"), "visits")
+    found = true.join(cell, "doc_id").join(visit, ["qid", "centres", "cell"]).groupBy("centres", "probes").agg(F.count("*").alias("found"))
+    read = visit.join(F.broadcast(cell.groupBy("centres", "cell").agg(F.count("*").alias("n"))), ["centres", "cell"]).groupBy("centres", "probes").agg(F.sum("n").alias("read"))
+    # from here on there is a row for each number of cells and visits, some hundreds
+    w = Window.partitionBy("centres").orderBy("probes").rowsBetween(Window.unboundedPreceding, 0)
+    each = visit.select("centres", "probes").distinct().join(found, ["centres", "probes"], "left").join(read, ["centres", "probes"], "left").na.fill(0)
+    n = same.agg(F.count("*").alias("all")).join(F.broadcast(asked.agg(F.count("*").alias("asked")))).join(F.broadcast(true.agg(F.count("*").alias("true"))))
+    upto = each.select("centres", "probes", F.sum("found").over(w).alias("found"), F.sum("read").over(w).alias("read")).join(F.broadcast(n))
+    return upto.select("centres", "probes", (F.col("found") / F.col("true")).alias("recall"), (F.col("read") / F.col("asked") / F.col("all")).alias("share"))
+
+
+def chosen(curve: DataFrame, recall: float = 0.95) -> DataFrame:
+    """Of each number of cells the fewest visits with that recall, with their place by the share of rows read; 1 is the one to take."""
+    first = Window.partitionBy("centres").orderBy("probes")
+    some = curve.where(F.col("recall") >= recall).withColumn("f", F.row_number().over(first)).where("f = 1").drop("f")
+    # as many rows as numbers of cells were asked for
+    return some.withColumn("place", F.rank().over(Window.partitionBy(F.lit(0)).orderBy(F.round("share", 9), "centres")))
+
+
+def _spherical(x: np.ndarray, n: int, seed: int = 42, rounds: int = 8) -> np.ndarray:
+    """n centres of unit vectors, by k-means."""
+    c = x[np.random.default_rng(seed).choice(len(x), n, replace=False)]
+    for _ in range(rounds):
+        near = (x @ c.T).argmax(axis=1)
+        c = _unit(np.stack([x[near == i].mean(axis=0) if (near == i).any() else c[i] for i in range(n)])) if n else c
+    return c

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # M, construction and search width of the templates, and what the formulas multiply them by.
@@ -13,10 +13,21 @@ CANDIDATES = {
 LADDERS = {"latency": (20, 30, 50), "recall": (5, 10, 15), "memory": (30, 60, 100), "qps": (15, 25, 40)}
 
 
-def parameters(cases: DataFrame, spark: SparkSession) -> DataFrame:
+def _rows(columns: str, rows: list[tuple]) -> Column:
+    """Fixed rows as an array of structs, to be exploded beside each row of a table."""
+    return F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(columns.split(), r, strict=True))) for r in rows))
+
+
+def collections(rows: DataFrame, by: str, growth: list[int], width: list[int]) -> DataFrame:
+    """(by, growth, n, dim): how many vectors (vec) each collection has and how long they are, now and when it has grown so many times and takes a model so many times as wide."""
+    own = rows.where("vec is not null").groupBy(by).agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim"))
+    each = own.withColumn("growth", F.explode(F.array(*map(F.lit, growth)))).withColumn("w", F.explode(F.array(*map(F.lit, width))))
+    return each.select(by, "growth", (F.col("n") * F.col("growth")).alias("n"), (F.col("dim") * F.col("w")).cast("long").alias("dim"))
+
+
+def parameters(cases: DataFrame) -> DataFrame:
     """Adds m, efc, efs, layer, metric to cases (n, dim), for each target."""
-    t = spark.createDataFrame(TEMPLATES, "target string, m0 int, efc0 int, efs0 int, mf double, cf double")
-    x = cases.join(F.broadcast(t))
+    x = cases.withColumn("t", F.explode(_rows("target m0 efc0 efs0 mf cf", TEMPLATES))).select(*cases.columns, "t.*")
     n, d = F.col("n"), F.col("dim")
     size = F.when(n < 1000, 0.8).when(n < 10_000, 0.9).when(n < 100_000, 1.0).when(n < 1_000_000, 1.1).otherwise(1.2)
     wide = F.when(d < 100, 0.85).when(d < 512, 1.0).when(d < 1024, 1.1).otherwise(1.15)
@@ -31,7 +42,7 @@ def parameters(cases: DataFrame, spark: SparkSession) -> DataFrame:
 def estimates(rows: DataFrame, cores: int = 8) -> DataFrame:
     """Adds memory_bytes, build_seconds, latency_ms, recall, qps, p95_ms to rows (n, dim, m, efc, efs, layer, metric)."""
     n, d, m, efc, efs = (F.col(c).cast("double") for c in ("n", "dim", "m", "efc", "efs"))
-    memory = 4 * n * d + F.floor(n * 1.2 * m * 8) + F.floor(4 * n / (1 - 1 / F.col("layer"))) + F.greatest(64 * n, F.lit(1048576.0))
+    memory = 4 * n * d + F.floor(n * 1.2 * m * 8) + F.floor(F.round(4 * n / (1 - 1 / F.col("layer")), 6)) + F.greatest(64 * n, F.lit(1048576.0))
     cpu = 1 / min(0.7 * cores, 4) if cores > 1 else 1.0
     build = F.least(F.greatest(F.lit(1.0), n * F.ln(n) * m * efc * 1e-9 * cpu), F.greatest(F.lit(1.0), 0.1 * n))
     cost = F.when(F.col("metric") == "cosine", 1.2).when(F.col("metric") == "manhattan", 0.8).when(F.col("metric") == "dot", 0.7).otherwise(1.0)
@@ -57,9 +68,10 @@ def constrained(rows: DataFrame, max_memory_mb: int, max_build_minutes: float) -
     return x.withColumn("efc", efc)
 
 
-def grid(spark: SparkSession) -> DataFrame:
-    """(strategy, m, efc, efs): the candidates of every tuning strategy."""
-    return spark.createDataFrame([(k, *x) for k, v in CANDIDATES.items() for x in v], "strategy string, m int, efc int, efs int")
+def grid(cases: DataFrame) -> DataFrame:
+    """Adds strategy, m, efc, efs to cases: the candidates of every tuning strategy for each."""
+    rows = [(k, *x) for k, v in CANDIDATES.items() for x in v]
+    return cases.withColumn("t", F.explode(_rows("strategy m efc efs", rows))).select(*cases.columns, "t.*")
 
 
 def variations(base: DataFrame) -> DataFrame:
@@ -85,30 +97,32 @@ def scored(rows: DataFrame) -> DataFrame:
     return rows.withColumn("score", performance(F.col("recall"), F.col("latency_ms"), F.col("memory_bytes"), *weights))
 
 
-def tuned(rows: DataFrame, share: int = 3, order: tuple[str, ...] = ("m",)) -> DataFrame:
-    """The best n div share of each strategy by score, one at least."""
+def tuned(rows: DataFrame, share: int = 3, order: tuple[str, ...] = ("m",), by: tuple[str, ...] = ()) -> DataFrame:
+    """The best n div share by score of each strategy (and of each case, whose columns are `by`), one at least."""
     x = scored(rows)
-    w = Window.partitionBy("strategy").orderBy(F.desc(F.round("score", 9)), *order)
-    n = F.count("*").over(Window.partitionBy("strategy"))
-    return x.withColumns({"r": F.row_number().over(w), "n_all": n}).where(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("n_all") / share))).drop("n_all")
+    group = Window.partitionBy(*by, "strategy")
+    w = group.orderBy(F.desc(F.round("score", 9)), *order)
+    return x.withColumns({"r": F.row_number().over(w), "n_all": F.count("*").over(group)}).where(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("n_all") / share))).drop("n_all")
 
 
-def staged(spark: SparkSession, measure) -> DataFrame:
-    """(strategy, m, efc, efs, score, ...): tuning in stages. `measure` adds what was measured, or is estimated, of rows.
+def staged(cases: DataFrame, measure) -> DataFrame:
+    """Cases with strategy, m, efc, efs, score, ...: tuning in stages. `measure` adds what was measured, or is estimated, of rows.
 
     The best third of each strategy's candidates is varied, and of the best fifth of the variations the first is taken.
     """
-    best = tuned(measure(grid(spark))).select("strategy", "m", "efc", "efs")
-    fine = tuned(measure(variations(best).distinct()), 5, ("m", "efc", "efs"))
+    by = tuple(cases.columns)
+    best = tuned(measure(grid(cases)), by=by).select(*by, "strategy", "m", "efc", "efs")
+    fine = tuned(measure(variations(best).distinct()), 5, ("m", "efc", "efs"), by)
     return fine.where("r = 1")
 
 
 def around(base: DataFrame, radius: int) -> DataFrame:
-    """Rows (m, efc, efs) up to `radius` steps from each row of `base` in every direction."""
+    """Rows (m, efc, efs) up to `radius` steps from each row of `base` in every direction. Other columns stay."""
+    others = [c for c in base.columns if c not in ("m", "efc", "efs")]
     steps = F.sequence(F.lit(-radius), F.lit(radius))
     x = base.withColumn("a", F.explode(steps)).withColumn("b", F.explode(steps)).withColumn("c", F.explode(steps))
     move = lambda low, of, n, by: F.greatest(F.lit(low), F.col(of) + n * F.col(by)).cast("int").alias(of)
-    return x.select(move(4, "m", 2, "a"), move(16, "efc", 16, "b"), move(10, "efs", 10, "c")).distinct()
+    return x.select(*others, move(4, "m", 2, "a"), move(16, "efc", 16, "b"), move(10, "efs", 10, "c")).distinct()
 
 
 def baseline(samples: DataFrame) -> DataFrame:

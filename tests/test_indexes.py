@@ -4,6 +4,8 @@ import os
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from seekspark.catalog import retrieval
 from seekspark.operators import codes, lexical, nearest, postings
@@ -98,3 +100,27 @@ def test_recall_grows_with_probes(spark):
     got = [(r.probes, r.queries, r.recall) for r in retrieval.vector_index_recall(spark, DATA).collect()]
     recall = [x[2] for x in got]
     assert [x[0] for x in got[:3]] == [1, 4, 16] and recall[:3] == sorted(recall[:3]) and recall[-1] >= 0.94 and all(x[1] == 25 for x in got)
+
+
+def test_visit_curve(spark):
+    """The curve against visits counted one by one, with the centres that the operator takes; all cells hold everything."""
+    x = np.random.default_rng(5).normal(size=(300, 6)).round(3)
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 6), (902, [1.0, 2.0])]
+    v = spark.createDataFrame(data, "doc_id long, vec array<double>")
+    q = v.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "qid")
+    got = {(r.centres, r.probes): (r.recall, r.share) for r in nearest.visit_curve(v, q, [3, 7], 5).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    order = [r.doc_id for r in v.where("doc_id < 300").orderBy(F.xxhash64("doc_id", F.lit(42)), "doc_id").collect()]
+    for n in (3, 7):
+        c = nearest._spherical(unit[order], n)
+        cell = (unit @ c.T).argmax(axis=1)
+        for probes in range(1, n + 1):
+            hit = read = 0
+            for i in range(0, 300, 20):
+                near = set(np.argsort(-(unit[i] @ c.T), kind="stable")[:probes].tolist())
+                hit += sum(int(cell[j]) in near for j in np.lexsort((np.arange(300), -np.round(unit @ unit[i], 9)))[:5])
+                read += sum(int(z) in near for z in cell)
+            assert got[n, probes] == pytest.approx((hit / 75, read / 15 / 300))
+        assert got[n, n] == (1.0, 1.0)
+    assert {r.centres for r in nearest.chosen(nearest.visit_curve(v, q, [3, 7], 5)).collect()} == {3, 7}
+    assert nearest.visit_curve(v.where("false"), q, [3]).count() == 0
