@@ -5,6 +5,8 @@ The tokenizers differ on purpose: each scoring method is defined on its own noti
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,10 +66,15 @@ def tokens_words(c: Column) -> Column:
     return (F.size(space_tokens(c)) * 0.75).cast("int")
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once for a row, however often f names it, also inside of f's own functions of elements."""
+    return F.transform(F.array(value), f)[0]
+
+
 def jaccard(a: Column, b: Column) -> Column:
-    """Of two arrays as sets; 0 where both are empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
+    """Of two arrays as sets; 0 where both are empty, or one is null."""
+    share = lambda p: F.size(F.array_intersect(p.a, p.b)) / F.greatest(F.lit(1), F.size(F.array_union(p.a, p.b)))
+    return F.coalesce(once(F.struct(a.alias("a"), b.alias("b")), share), F.lit(0.0))
 
 
 def keyword_score(content: Column, keyword: str) -> Column:
@@ -80,7 +87,7 @@ def keyword_score(content: Column, keyword: str) -> Column:
 def relevance(content: Column, query: Column) -> Column:
     """Share of the query's words, repeats counted, that are words of the content."""
     q, c = space_tokens(F.lower(query)), space_tokens(F.lower(content))
-    return F.size(F.filter(q, lambda x: F.array_contains(c, x))) / F.greatest(F.lit(1), F.size(q))
+    return once(F.struct(q.alias("q"), c.alias("c")), lambda p: F.size(F.filter(p.q, lambda x: F.array_contains(p.c, x))) / F.greatest(F.lit(1), F.size(p.q)))
 
 
 def script_class(c: Column) -> Column:

@@ -61,18 +61,24 @@ def duplicates(ranked: DataFrame, least: float = 0.8) -> DataFrame:
 
 
 def semantic_edges(chunks: DataFrame, least: float = 0.7) -> DataFrame:
-    """(src, dst, type, strength): pairs within a document whose words are alike. Chunks that share no word are never paired."""
+    """(src, dst, type, strength): pairs within a document whose words are alike. Chunks that share no word are never paired.
+
+    Candidates are found by ids and numbers that stand for words; only then each pair, once, meets its two sets of words.
+    """
     sets = chunks.select("document_id", "chunk_index", "chunk_id", word_set(F.col("content")).alias("s"))
-    size = F.size("s")
     # of two sets with Jaccard > t, the first words of one in any fixed order hold a word of the other: prefix filter. Long words
-    # come first, as they are rarer
-    long_first = F.transform(F.array_sort(F.transform("s", lambda x: F.struct((-F.length(x)).alias("n"), x.alias("w")))), lambda x: x.w)
-    prefix = F.slice(long_first, 1, F.greatest(F.lit(1), size - F.ceil(size * least) + 1).cast("int"))
-    word = sets.select("document_id", "chunk_index", "chunk_id", "s", F.explode(prefix).alias("w"))
+    # come first, as they are rarer: their length stands in the upper bits. Words of one number only make a candidate more
+    number = lambda x: F.shiftleft((F.lit(32767) - F.least(F.length(x), F.lit(32767))).cast("long"), 48).bitwiseOR(F.xxhash64(x).bitwiseAND(F.lit((1 << 48) - 1)))
+    size = F.size("s")
+    prefix = F.slice(F.sort_array(F.transform("s", number)), 1, F.greatest(F.lit(1), size - F.ceil(size * least) + 1).cast("int"))
+    word = sets.select("document_id", "chunk_index", size.alias("n"), F.explode(prefix).alias("w"))
     a, b = word.alias("a"), word.alias("b")
-    pairs = a.join(b, (F.col("a.document_id") == F.col("b.document_id")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.chunk_index") < F.col("b.chunk_index")))
-    pairs = pairs.select(F.col("a.chunk_id").alias("src"), F.col("b.chunk_id").alias("dst"), F.col("a.s").alias("x"), F.col("b.s").alias("y")).dropDuplicates(["src", "dst"])
-    return pairs.select("src", "dst", F.lit("Semantic").alias("type"), jaccard(F.col("x"), F.col("y")).alias("strength")).where(F.col("strength") > least)
+    alike = (F.col("a.chunk_index") < F.col("b.chunk_index")) & (F.least("a.n", "b.n") > least * F.greatest("a.n", "b.n"))
+    pairs = a.join(b, (F.col("a.document_id") == F.col("b.document_id")) & (F.col("a.w") == F.col("b.w")) & alike)
+    pairs = pairs.select(F.col("a.document_id").alias("document_id"), F.col("a.chunk_index").alias("i"), F.col("b.chunk_index").alias("j")).distinct()
+    of = lambda place, name, s: sets.select("document_id", F.col("chunk_index").alias(place), F.col("chunk_id").alias(name), F.col("s").alias(s))
+    both = pairs.join(of("i", "src", "x"), ["document_id", "i"]).join(of("j", "dst", "y"), ["document_id", "j"])
+    return both.select("src", "dst", F.lit("Semantic").alias("type"), jaccard(F.col("x"), F.col("y")).alias("strength")).where(F.col("strength") > least)
 
 
 def sequential_edges(chunks: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, query_terms, relevance, space_parts
+from ..functions.text import jaccard, once, query_terms, relevance, space_parts
 from ..operators import analyze, fusion, lexical, nearest
 from ..operators.lexical import top
 from ..sources.shared import kept
@@ -81,7 +81,7 @@ def assessed(results: DataFrame, queries: DataFrame, texts: DataFrame, most: int
     lists = ranked.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "text", "reliability", "age_days"))).alias("r"))
     x = queries.select("qid", query_terms(F.col("text")).alias("t")).join(lists, "qid", "left")
     x = x.withColumn("c", F.coalesce(F.transform("r", lambda y: y.text), F.array().cast("array<string>"))).withColumn("n", F.size("c"))
-    share = lambda c: F.when(F.size("t") > 0, F.size(F.filter("t", lambda w: F.contains(F.lower(c), F.lower(w)))) / F.greatest(F.lit(1), F.size("t"))).otherwise(0.0)
+    share = lambda c: F.when(F.size("t") > 0, once(F.lower(c), lambda low: F.size(F.filter("t", lambda w: F.contains(low, F.lower(w))))) / F.greatest(F.lit(1), F.size("t"))).otherwise(0.0)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
     half = lambda base, of: F.aggregate(F.slice("r", 1, 10), F.lit(base), lambda a, y: F.when(of(y).isNotNull(), (a + of(y)) / 2).otherwise(a))
     n = F.greatest(F.lit(1), F.col("n"))
