@@ -54,9 +54,11 @@ def contextual(hits: DataFrame, chunks: DataFrame, k: int = 10, types: list[str]
 
 def duplicates(ranked: DataFrame, least: float = 0.8) -> DataFrame:
     """(qid, kept, duplicate): of each search's ranked list (qid, rank, doc_id, text) the pairs that are too alike."""
-    s = ranked.select("qid", "rank", "doc_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("s"))
+    s = ranked.select("qid", "rank", "doc_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("s")).withColumn("n", F.size("s"))
     a, b = s.alias("a"), s.alias("b")
-    pairs = a.join(b, (F.col("a.qid") == F.col("b.qid")) & (F.col("a.rank") < F.col("b.rank"))).where(jaccard(F.col("a.s"), F.col("b.s")) > least)
+    # sets of unlike sizes cannot be alike. A condition of its own would be tested after the costly one
+    near = (F.col("a.rank") < F.col("b.rank")) & (F.least("a.n", "b.n") > least * F.greatest("a.n", "b.n"))
+    pairs = a.join(b, (F.col("a.qid") == F.col("b.qid")) & F.when(near, jaccard(F.col("a.s"), F.col("b.s")) > least).otherwise(F.lit(False)))
     return pairs.select(F.col("a.qid").alias("qid"), F.col("a.doc_id").alias("kept"), F.col("b.doc_id").alias("duplicate"))
 
 
