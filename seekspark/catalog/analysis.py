@@ -555,6 +555,27 @@ def selfrag_quality(spark, d):
     return _quality(spark, d)[1].select("qid", "n", *(r6(c) for c in ("relevance", "completeness", "diversity", "overall")), "duplicates")
 
 
+TRUST = "case when doc_id % 3 > 0 then (doc_id % 10) / 10.0 end"
+AGE = "case when doc_id % 4 > 0 then doc_id * 7 % 500 end"
+
+
+def moved(base: float, value: str, name: str) -> str:
+    """A CTE: a value that starts at `base` and goes half of the way to each of the first ten results that has one, in their order."""
+    return f"""{name} as (select qid, {base} * pow(0.5, max(m)) + sum(v * pow(0.5, m - i + 1)) as {name} from (select qid, {value} as v, row_number() over (partition by qid
+  order by rank) as i, count(*) over (partition by qid) as m from fused where rank <= 10 and {value} is not null) group by qid)"""
+
+
+@query(f"""with {QUALITY}, {moved(0.8, TRUST, "credibility")}, {moved(0.7, AGE.replace("doc_id * 7 % 500", "greatest(0, 1 - (doc_id * 7 % 500) / 365.0)"), "freshness")},
+z as (select q.*, coalesce(credibility, 0.8) as credibility, coalesce(freshness, 0.7) as freshness from q left join credibility using (qid) left join freshness using (qid))
+select qid, round(credibility, 6) as credibility, round(freshness, 6) as freshness, round(0.35 * relevance + 0.25 * completeness + 0.15 * diversity + 0.15 * credibility
+  + 0.1 * freshness, 6) as overall from z""")
+def selfrag_trust(spark, d):
+    """The quality of results whose texts are more or less reliable, and old; some have neither."""
+    corpus, asked = hybrid_corpus(spark, d), queries(spark, d)
+    texts = corpus.withColumns({"reliability": F.expr(TRUST.replace("10.0", "10D")), "age_days": F.expr(AGE)})
+    return selfrag.assessed(search.hybrid(corpus, asked), asked, texts).select("qid", r6("credibility"), r6("freshness"), r6("overall"))
+
+
 ISSUES = """i as (select qid, 'InsufficientResults' as issue, 4 as severity from q where n < 5 union all select qid, 'InsufficientRelevance', 5 from q
   where relevance < 0.5 union all select qid, 'LackOfDiversity', 3 from q where diversity < 0.3 union all select qid, 'DuplicateResults', 2 from q
   where dups > 0)"""
@@ -576,6 +597,20 @@ def query_refinements(spark, d):
     return selfrag.refinements(asked, selfrag.issues(quality))
 
 
+@query(f"""with {QUALITY}, {ISSUES}, more as (select qid, text || case qid % 3 when 0 then ' Software' when 1 then ' computer technology software' else '' end as text from asked),
+made as (select qid, case issue when 'InsufficientResults' then trim(text) when 'InsufficientRelevance' then text || ' 상세 정보 설명' else case
+  when len(string_split(text, ' ')) > 2 then array_to_string(list_concat(string_split(text, ' ')[-1:], string_split(text, ' ')[:-2]), ' ') else text end end as refined,
+  case issue when 'InsufficientResults' then 'Generalization' when 'InsufficientRelevance' then 'ContextAddition' else 'Restructuring' end as kind,
+  case issue when 'InsufficientResults' then 0.7 when 'InsufficientRelevance' then 0.8 else 0.6 end as gain from i join more using (qid) where issue <> 'DuplicateResults'
+union all select qid, text || case qid % 3 when 0 then ' 소프트웨어' else ' 컴퓨터 기술' end, 'SynonymReplacement', 0.6 from more where qid % 3 < 2)
+select qid, refined, kind, gain from made qualify row_number() over (partition by qid order by gain desc, kind) <= 2""")
+def synonym_refinements(spark, d):
+    """The two best refinements of queries, most of which hold a word that has a synonym."""
+    asked, quality = _quality(spark, d)
+    suffix = F.when(F.col("qid") % 3 == 0, " Software").when(F.col("qid") % 3 == 1, " computer technology software").otherwise("")
+    return selfrag.refinements(asked.withColumn("text", F.concat("text", suffix)), selfrag.issues(quality), 2)
+
+
 def self_rag_sql(rounds: int = 3) -> str:
     """All rounds: each searches for the queries that the one before left open, as they were rewritten."""
     ctes, out, asked = [MORE], [], "asked"

@@ -175,6 +175,19 @@ def facade_cache(spark, d):
     return state.select("entry_id", F.size("results").cast("long").alias("results"), F.col("expires").cast("timestamp_ntz").alias("expires"), F.col("results")[0]["doc_id"].alias("first"))
 
 
+@query(f"""with {CORPUS}, {dense(5)}, {FULL}, log as (select qid, case when qid % 3 = 0 then 1 else avg(score) end as similarity from dense group by qid)
+select (select count(*) from documents) as documents, (select count(*) from chunks) as chunks, round((select count(*) from chunks) / (select count(*) from documents),
+  6) as chunks_each, count(*) filter (qid % 3 = 0 and qid % 2 = 0) as cached_entries, count(*) as searches, round(count(*) filter (qid % 3 = 0) / count(*), 6) as hit_rate,
+  round(avg(similarity), 6) as similarity from log""")
+def client_statistics(spark, d):
+    """What a client holds and how its cache does; the entries of odd numbers have expired by then."""
+    cache, asked, corpus = _cached(spark, d)
+    log = ingest.cached_search(cache, corpus, asked, lambda c, q: nearest.knn(c, q, 5), "2024-01-15 00:00:00")[1]
+    later = cache.withColumn("expires", F.when(F.col("entry_id") % 2 == 0, F.expr("timestamp '2024-03-01 00:00:00'")).otherwise(F.col("expires")))
+    x = ingest.client_statistics(indexed(spark, d), later, log, "2024-02-02 00:00:00")
+    return x.select("documents", "chunks", r6("chunks_each"), "cached_entries", "searches", r6("hit_rate"), r6("similarity"))
+
+
 FILES = "files as (select doc_id, '/in/f' || doc_id || case when doc_id % 9 = 4 then '.bin' else '.txt' end as path, text from documents)"
 
 

@@ -236,6 +236,17 @@ def language_detect(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", text.script_class(F.col("text")).alias("language"))
 
 
+@query("""with t as (select doc_id, case doc_id % 4 when 1 then regexp_replace(text, '[A-Za-z]', '가', 'g') when 2 then text || ' 한' when 3 then regexp_replace(text,
+  '[A-Za-z]', '1', 'g') else text end as text from documents)
+select doc_id, case when regexp_matches(text, '[가-힣]') and regexp_matches(text, '[a-zA-Z]') then 'Mixed' when regexp_matches(text, '[가-힣]') then 'Korean'
+  when regexp_matches(text, '[a-zA-Z]') then 'English' else 'Other' end as language from t""")
+def script_classes(spark, d):
+    """Texts in other letters: three quarters of the documents are rewritten, so that each class is there."""
+    c, r = F.col("text"), F.col("doc_id") % 4
+    text_ = F.when(r == 1, F.regexp_replace(c, "[A-Za-z]", "가")).when(r == 2, F.concat(c, F.lit(" 한"))).when(r == 3, F.regexp_replace(c, "[A-Za-z]", "1")).otherwise(c)
+    return documents(spark, d).select("doc_id", text.script_class(text_).alias("language"))
+
+
 # --- inverted index ---
 
 POST = f"""toks as (select doc_id, {SPARSE} as t from documents), post as (select doc_id, term, count(*) as tf, any_value(dl) as dl

@@ -107,6 +107,18 @@ def statistics(index: Index) -> DataFrame:
     return x.withColumn("chunks_each", mean)
 
 
+def client_statistics(index: Index, cache: DataFrame, log: DataFrame, as_of: str) -> DataFrame:
+    """One row on a client: what its index holds, the live entries of its cache, and of its searches (a log as `cached_search` gives it)
+    their number, the share that the cache answered, and their mean likeness. Without documents or searches the means are 0."""
+    share = lambda part, whole: F.when(whole > 0, part / F.when(whole > 0, whole)).otherwise(0.0)
+    docs = index.documents.agg(F.count("*").alias("documents"))
+    chunks = index.chunks.agg(F.count("*").alias("chunks"))
+    entries = cache.agg(F.count_if(F.col("expires") > F.lit(as_of).cast("timestamp")).alias("cached_entries"))
+    searches = log.agg(F.count("*").alias("searches"), F.count_if("cached").alias("hits"), F.coalesce(F.avg("similarity"), F.lit(0.0)).alias("similarity"))
+    x = docs.join(F.broadcast(chunks)).join(F.broadcast(entries)).join(F.broadcast(searches))  # a row each
+    return x.select("documents", "chunks", share(F.col("chunks"), F.col("documents")).alias("chunks_each"), "cached_entries", "searches", share(F.col("hits"), F.col("searches")).alias("hit_rate"), "similarity")
+
+
 def described(docs: DataFrame, terms: DataFrame, n: int, keywords: int = 5, summary: int = 200) -> DataFrame:
     """(doc_id, title, summary, keywords, entities): metadata from the text alone.
 
