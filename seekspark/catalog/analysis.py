@@ -567,13 +567,13 @@ def moved(base: float, value: str, name: str) -> str:
 
 @query(f"""with {QUALITY}, {moved(0.8, TRUST, "credibility")}, {moved(0.7, AGE.replace("doc_id * 7 % 500", "greatest(0, 1 - (doc_id * 7 % 500) / 365.0)"), "freshness")},
 z as (select q.*, coalesce(credibility, 0.8) as credibility, coalesce(freshness, 0.7) as freshness from q left join credibility using (qid) left join freshness using (qid))
-select qid, round(credibility, 6) as credibility, round(freshness, 6) as freshness, round(0.35 * relevance + 0.25 * completeness + 0.15 * diversity + 0.15 * credibility
-  + 0.1 * freshness, 6) as overall from z""")
+select qid, round(credibility + 1e-9, 6) as credibility, round(freshness + 1e-9, 6) as freshness, round(0.35 * relevance + 0.25 * completeness + 0.15 * diversity
+  + 0.15 * credibility + 0.1 * freshness + 1e-9, 6) as overall from z""")
 def selfrag_trust(spark, d):
     """The quality of results whose texts are more or less reliable, and old; some have neither."""
     corpus, asked = hybrid_corpus(spark, d), queries(spark, d)
     texts = corpus.withColumns({"reliability": F.expr(TRUST.replace("10.0", "10D")), "age_days": F.expr(AGE)})
-    return selfrag.assessed(search.hybrid(corpus, asked), asked, texts).select("qid", r6("credibility"), r6("freshness"), r6("overall"))
+    return selfrag.assessed(search.hybrid(corpus, asked), asked, texts).select("qid", *(F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("credibility", "freshness", "overall")))
 
 
 ISSUES = """i as (select qid, 'InsufficientResults' as issue, 4 as severity from q where n < 5 union all select qid, 'InsufficientRelevance', 5 from q
