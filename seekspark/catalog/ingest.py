@@ -13,7 +13,7 @@ from ..sources.tables import documents, hybrid_corpus, queries, table
 from . import query
 from .analysis import ANALYSIS, SMALL, user_turns
 from .fragments import CHUNK_SQL, CORPUS, RRF, SPACED, VECS, dense, fused, words
-from .retrieval import ARMS, POST
+from .retrieval import ARMS, PARAGRAPHS, POST, SENTENCES, SHAPED, gathered, shaped
 
 r6 = lambda c: F.round(c, 6).alias(c)
 
@@ -240,6 +240,38 @@ def sql_fusion(spark, d):
     return spark.sql(f"select qid, doc_id, round(sum(reciprocal_rank(rank, w)), 9) score from ({both}) group by qid, doc_id", dense=nearest.knn(corpus, asked, 10), sparse=lexical.bm25_sparse(corpus, asked, 10))
 
 
+@query(f"with {ARMS}, f as (select qid, doc_id, sum(w / (60 + rank)) as score from (select qid, doc_id, rank, 0.7 as w from dense union all select qid, doc_id, rank, 0.3 from sparse) group by qid, doc_id) select qid, doc_id, round(score, 9) as score, cast(row_number() over (partition by qid order by round(score, 9) desc, doc_id) as int) as rank from f qualify rank <= 10")
+def sql_fused(spark, d):
+    """The ten best of each query's ranked lists, by a table function over the query's partition."""
+    sql.register(spark)
+    corpus, asked = hybrid_corpus(spark, d), queries(spark, d)
+    both = "select qid, doc_id, rank, 0.7D weight from {dense} union all select qid, doc_id, rank, 0.3D from {sparse}"
+    return spark.sql(f"select qid, doc_id, round(score, 9) score, rank from fused(table({both}) partition by (qid), 10)", dense=nearest.knn(corpus, asked, 10), sparse=lexical.bm25_sparse(corpus, asked, 10))
+
+
+def sql_gathered(spark, docs, call):
+    sql.register(spark)
+    return spark.sql(f"select doc_id document_id, c.pos chunk_index, c.col content from (select doc_id, {call} cs from {{docs}}) join lateral posexplode(cs) c", docs=docs)
+
+
+GATHERED = "select document_id, chunk_index, content from ({}) x"
+
+
+@query(GATHERED.format(gathered(r"list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda x: x <> '')", 200, 3, "' '")))
+def sql_word_chunks(spark, d):
+    return sql_gathered(spark, documents(spark, d), "word_chunks(text, 200, 30)")
+
+
+@query(GATHERED.format(gathered(SENTENCES, 300, 1, "' '")))
+def sql_sentence_chunks(spark, d):
+    return sql_gathered(spark, documents(spark, d), "sentence_chunks(text, 300)")
+
+
+@query(GATHERED.format(gathered(PARAGRAPHS, 300, 1, "chr(10) || chr(10)").replace("from documents", f"from (select doc_id, {SHAPED} as text from documents)")))
+def sql_paragraph_chunks(spark, d):
+    return sql_gathered(spark, shaped(spark, d), "paragraph_chunks(text, 300, 1)")
+
+
 @query(f"with {POST} select term, count(*) as df, cast(sum(tf) as bigint) as cf from post group by term")
 def sql_terms(spark, d):
     sql.register(spark)

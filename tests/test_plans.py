@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seekspark.functions import sql
-from seekspark.operators import evaluate
+from seekspark.operators import chunking, evaluate
 from seekspark.plans import embedding, jobs
 from seekspark.sources import buckets, web
 from seekspark.sources.shared import place
@@ -112,3 +112,30 @@ def test_sql_functions_are_inlined(spark):
     assert r.t == ["bc", "efg"] and r.j == pytest.approx(0.2) and r.q == pytest.approx(66.5) and r.b > 0
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_sql_chunkers_equal_the_columns(spark):
+    """Odd texts too; keep and size vary, and a text is longer than several blocks of the inner fold."""
+    sql.register(spark)
+    long = ". ".join(f"w{i % 97} " * (i % 13) + "End" for i in range(900))
+    texts = [None, "", "  ", "one", "x" * 900, "a b\n \nc. D e\n\nf", long]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    c = F.col("text")
+    for size, overlap in ((40, 0), (64, 35), (512, 64), (1, 10)):
+        want = docs.select("i", chunking.words(c, size, overlap).alias("w"), chunking.sentences(c, size).alias("s"), chunking.paragraphs(c, size, overlap).alias("p")).orderBy("i").collect()
+        got = spark.sql(f"select i, word_chunks(text, {size}, {overlap}) w, sentence_chunks(text, {size}) s, paragraph_chunks(text, {size}, {overlap}) p from {{docs}} order by i", docs=docs)
+        assert got.collect() == want and want[0].w is None and want[1].w == [] and len(want[6].w) > 20
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sql_fusion_of_partitions(spark):
+    """Ties go to the smaller id, null weights count nothing, rows without a document or rank are left out; queries do not mix."""
+    sql.register(spark)
+    rows = [(q, d, r, w) for q in range(40) for r, d in enumerate(range(q, q + 30), 1) for w in (0.7, 0.3)] + [(99, 1, 1, None), (99, None, 1, 1.0), (99, 2, None, 1.0), (98, None, 1, 1.0)]
+    arms = spark.createDataFrame(rows, "qid long, doc_id long, rank int, weight double").repartition(5)
+    ask = "select * from fused(table({arms}) partition by (qid), 7)"
+    got = {(r.qid, r["rank"]): (r.doc_id, round(r.score, 9)) for r in spark.sql(ask, arms=arms).collect()}
+    assert got == {(q, r): (q + r - 1, round(1 / (60 + r), 9)) for q in range(40) for r in range(1, 8)} | {(99, 1): (1, 0.0)}
+    tied = spark.createDataFrame([(1, d, 3, 1.0) for d in (9, 4, 6)], arms.schema)
+    assert [r.doc_id for r in spark.sql(ask, arms=tied).orderBy("rank").collect()] == [4, 6, 9]
+    assert spark.sql(ask, arms=arms.limit(0)).collect() == []
