@@ -19,6 +19,10 @@ from .text import NON_WORD
 BLOCK = 256
 TAIL = "if(keep > 0, slice(array_append(u.tail, length(w) + 1), greatest(1, size(u.tail) + 2 - keep), keep), u.tail)"
 TOKENS = f"filter(split(lower(t), r'{NON_WORD}'), x -> length(x) > 1)"
+#: Terms with their counts, from the runs of the sorted tokens: what is counted lies within one row.
+COUNTS = f"""transform(array(array_sort({TOKENS})), s -> transform(
+      array(if(size(s) = 0, cast(array() as array<int>), filter(sequence(1, size(s)), i -> coalesce(get(s, i - 1) <> get(s, i - 2), true)))),
+      at -> transform(at, (a, j) -> struct(get(s, a - 1) as term, cast(coalesce(get(at, j + 1), size(s) + 1) - a as bigint) as tf)))[0])[0]"""
 FUNCTIONS = (
     # words as the inverted index takes them
     f"sparse_tokens(t string) returns array<string> return {TOKENS}",
@@ -30,7 +34,9 @@ FUNCTIONS = (
     # a table function: the overlapping chunks of a text
     """fixed_chunks(t string, size int, overlap int) returns table (chunk_index int, content string)
       return select i, substr(t, i * (size - overlap) + 1, size) from (select explode(sequence(0, greatest(0, cast(ceil((length(t) - overlap) / (size - overlap)) as int) - 1))) i)""",
-    f"terms_of(t string) returns table (term string, tf bigint) return select x, count(*) from (select explode({TOKENS}) x) group by x",
+    f"term_counts(t string) returns array<struct<term: string, tf: bigint>> return {COUNTS}",
+    # the body's own expression and not a call, so that it is a generator over the row: a nested query would be joined to the texts again
+    f"terms_of(t string) returns table (term string, tf bigint) return select c.term, c.tf from (select explode({COUNTS}) c)",
     # pieces gathered to at most `size` characters, each counted with one more; the last `keep` of a chunk begin the next. Two folds, as in
     # operators/chunking: the inner one's state holds a block's cuts only
     f"""gathered(p array<string>, size int, keep int, sep string) returns array<string> return transform(array(p), x -> aggregate(

@@ -139,3 +139,15 @@ def test_sql_fusion_of_partitions(spark):
     tied = spark.createDataFrame([(1, d, 3, 1.0) for d in (9, 4, 6)], arms.schema)
     assert [r.doc_id for r in spark.sql(ask, arms=tied).orderBy("rank").collect()] == [4, 6, 9]
     assert spark.sql(ask, arms=arms.limit(0)).collect() == []
+
+
+def test_sql_terms_stay_in_their_row(spark):
+    """Counts of odd texts; the plan is a generator, without a join or shuffle of texts."""
+    sql.register(spark)
+    docs = spark.createDataFrame([(1, "b a, a c' aa AA bb aa"), (2, None), (3, ""), (4, "zz zz"), (5, "zz zz")], "i int, text string")
+    df = spark.sql("select i, x.term, x.tf from {docs} join lateral terms_of(text) x", docs=docs)
+    assert sorted(map(tuple, df.collect())) == [(1, "aa", 3), (1, "bb", 1), (4, "zz", 2), (5, "zz", 2)]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    odd = spark.sql("select term_counts(text) x from {docs} order by i", docs=docs).collect()
+    assert odd[1].x is None and odd[2].x == [] and [tuple(y) for y in odd[3].x] == [("zz", 2)]
