@@ -239,6 +239,19 @@ def unpack(b: bytes) -> list[np.ndarray]:
     return out
 
 
+def squeezed(*arrays: np.ndarray) -> bytes:
+    """The arrays packed and compressed, with their lengths before and after; more bytes may follow."""
+    plain = pack(*arrays)
+    small = pa.compress(plain, codec="zstd", asbytes=True)
+    return np.uint64([len(plain), len(small)]).tobytes() + small
+
+
+def unsqueezed(b: bytes) -> tuple[list[np.ndarray], bytes]:
+    """The arrays of `squeezed`, and the bytes that follow."""
+    plain, small = np.frombuffer(b, np.uint64, 2).tolist()
+    return unpack(pa.decompress(b[16 : 16 + small], decompressed_size=plain, codec="zstd", asbytes=True)), b[16 + small :]
+
+
 def least(x: np.ndarray) -> np.ndarray:
     """The same whole numbers in as few bytes as the largest needs."""
     return x.astype(np.min_scalar_type(int(x.max(initial=0))))

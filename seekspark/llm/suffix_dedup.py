@@ -15,7 +15,7 @@ than one class, the classes' texts are fetched and compared:
 * After DEPTH passes the intervals that have not been told apart are the repeated strings; each gets its smallest doc_id.
 
 A class's strings with a smaller doc_id elsewhere are marked in all members of the class, marks are joined by document and
-cut out. Pieces travel as packed arrays, a row for each slice of documents and part.
+cut out. Pieces travel as packed arrays, a row for each slice of documents and part; places are compressed, hashes cannot be.
 
 Defined results: null text: empty. A null doc_id is neither smaller nor larger than another: nothing is removed for or from
 such a row. Rows with equal doc_ids remove nothing from one another. Texts of
@@ -32,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, least, mix, pack, slices, unpack, utf8
+from .common import Scratch, least, mix, pack, slices, squeezed, unpack, unsqueezed, utf8
 
-SPAN, GRAM, SYMBOL, CHUNK, SHARDS, PACKED, MEMBERS = 50, 16, 10, 1024, 4, 16 << 20, 32_768
+SPAN, GRAM, SYMBOL, CHUNK, SHARDS, PACKED, MEMBERS = 50, 20, 10, 1024, 4, 16 << 20, 32_768
 DEPTH = SPAN // SYMBOL
 _T = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ODD = np.uint64(0xD1342543DE82EF95)
@@ -53,7 +53,8 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     padded = np.zeros(n + 16, np.uint8)
     padded[:n] = data
     eight = np.ndarray((n + 8,), "<u8", padded, strides=(1,))
-    h = mix(eight[: n - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15) ^ eight[8 : n - GRAM + 9] * np.uint64(0xC2B2AE3D27D4EB4F))
+    h = eight[: n - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15) ^ eight[8 : n - GRAM + 9] * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = mix(h ^ eight[GRAM - 8 : n - 7] * np.uint64(0xD6E8FEB86659FD93))
     bits = np.uint64(n.bit_length())
     m = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
     width, want = 1, SPAN - GRAM + 1
@@ -104,7 +105,7 @@ def _pieces(parts: int):
             step = np.diff(start[i], prepend=0)
             heads = np.cumsum(count) - count
             step[heads] = start[i][heads]
-            blobs.append((int(p), pack(pid[docs], tkey[docs], least(count), least(step), run[i], h[i].astype(np.uint32), text[i])))
+            blobs.append((int(p), squeezed(pid[docs], tkey[docs], least(count), step.astype(np.uint8), least(step >> 8), run[i]) + pack(h[i].astype(np.uint32), text[i])))
         return pa.RecordBatch.from_arrays([pa.array([p for p, _ in blobs], pa.int32()), pa.array([x for _, x in blobs], pa.binary())], ["part", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,9 +139,11 @@ def _classes(key, frame: pd.DataFrame) -> pd.DataFrame:
     pid, tkey, doc, start, run, gram, text = ([] for _ in range(7))
     docs = 0
     for blob in frame["data"]:
-        p, t, count, step, length, k, x = unpack(blob)
+        (p, t, count, low, high, length), rest = unsqueezed(blob)
+        k, x = unpack(rest)
+        step = low.astype(np.int64) | high.astype(np.int64) << 8
         d = np.repeat(np.arange(len(p)), count)
-        total = np.cumsum(step.astype(np.int64))
+        total = np.cumsum(step)
         heads = np.cumsum(count.astype(np.int64)) - count
         pid.append(p), tkey.append(t), doc.append(d + docs), run.append(length), gram.append(k), text.append(x)
         start.append(total - (total[heads] - step[heads])[d])
@@ -360,6 +363,7 @@ def cut_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     found = scratch.save(pieces.groupBy("part").applyInPandas(_classes, _FOUND), "classes")
     wanted = found.where("kind = 1").groupBy("pid", "tkey").agg(F.collect_list(F.struct("part", "data")).alias("wanted"))
     texts = named.join(wanted, ["pid", "tkey"]).select("text", "wanted").mapInArrow(_texts, "kind int, part int, data binary")
+    texts = scratch.save(texts, "texts")  # so that the shuffle of whole texts is gone before that of the pieces
     pieces = found.where("kind = 0").select("kind", "part", "data").unionByName(texts)
     marks = pieces.groupBy("part").applyInPandas(lambda key, frame: _marks(frame, parts), "bucket int, data binary")
     marks = scratch.save(marks.groupBy("bucket").applyInPandas(_by_document, "pid long, tkey long, marks binary"), "marks")

@@ -4,10 +4,11 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from seekspark.llm import ego_join, line_dedup, near_dedup, suffix_dedup
-from seekspark.llm.common import Scratch, components
+from seekspark.llm.common import Scratch, components, utf8
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, cid string, part string"
 
@@ -113,6 +114,23 @@ def test_repeated_strings(spark):
     assert rows_of(suffix_dedup.remove_repeats(docs_of(spark, pairs), Scratch(spark, "t"))) == brute_repeats(pairs)
 
 
+def test_pieces_take_few_bytes():
+    """Twelve bytes of hashes for a piece, and no more than three beside them, also in a long text dealt to many parts."""
+    r = random.Random(4)
+    texts = ["".join(r.choice("abcdefgh ") for _ in range(n)) for n in [150_000, *[2000] * 100]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(101)), pa.array(range(101)), pa.array(texts)], ["pid", "tkey", "text"])
+    blobs = [b for out in suffix_dedup._pieces(8)(iter([batch])) for b in out.column(1).to_pylist()]
+    n = sum(len(suffix_dedup.anchors(*utf8(pa.array([t])))[0]) for t in texts)
+    assert sum(map(len, blobs)) < 15 * n
+
+
+def test_texts_of_classes_are_kept_apart(spark):
+    """The shuffle of whole texts ends with a table, before the pieces meet: both never lie on disk at once."""
+    scratch = Scratch(spark, "t")
+    suffix_dedup.cut_repeats(docs_of(spark, corpus(2)), scratch)
+    assert scratch.made == 3
+
+
 @pytest.mark.parametrize("shards", [1, 2, 5])
 def test_merged_transforms(shards):
     """Intervals of the merged transform are exactly the equal substrings, for any number of shards."""
