@@ -111,6 +111,24 @@ def test_interval_join(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_buckets_without_their_points(spark):
+    """Counts and means of overlapping buckets against brute force, also of values that no decimal holds, without a row for each point in each."""
+    r = random.Random(5)
+    at = lambda s: None if s is None else DAY + timedelta(seconds=s)
+    points = [(at(r.randrange(300)), r.choice([1.25, 0.1, 29.27, None])) for _ in range(400)] + [(at(777), 1e-9), (at(778), float("inf")), (at(779), 1e300), (None, 1.0)]
+    spans = [(f"s{i}", at(s), at(s + r.choice([0, 1, 7, 100, 900]))) for i, s in enumerate(r.randrange(-50, 800) for _ in range(60))] + [("none", None, at(3)), ("back", at(9), at(2)), ("same", at(0), at(300)), ("same", at(0), at(300))]
+    a, b = spark.createDataFrame(points, "ts timestamp, ms double"), spark.createDataFrame(spans, "name string, start timestamp, stop timestamp")
+    out = intervals.bucketed(a, b, "ts", "start", "stop", avg_ms="ms")
+    want = []
+    for name, s, e in spans:
+        inside = [ms for t, ms in points if None not in (s, e, t) and s <= t < e]
+        values = [x for x in inside if x is not None]
+        want.append((name, len(inside), f"{sum(values) / len(values):.9g}" if values else None))
+    assert sorted((x.name, x.queries, None if x.avg_ms is None else f"{x.avg_ms:.9g}") for x in out.collect()) == sorted(want)
+    plain = intervals.bucketed(a.where("ms between 0.1 and 30"), b, "ts", "start", "stop", avg_ms="ms")
+    assert "_bin" not in plain._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_percentiles_with_an_outlier(spark):
     """One value of 10^9 puts nearly all others in the first range; it is cut again until it is small."""
     values = [float(i % 5000) / 7 for i in range(20_000)] + [1e9, None]
