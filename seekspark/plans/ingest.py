@@ -77,15 +77,20 @@ def migrated(legacy: DataFrame) -> DataFrame:
     return legacy.select("chunk_id", F.from_json("embedding", "array<double>").alias("vec")).where("vec is not null and size(vec) > 0")
 
 
-def cached_search(cache: DataFrame, corpus: DataFrame, queries: DataFrame, search, as_of: str, least: float = 0.95, ttl: str = "15 minutes") -> tuple[DataFrame, DataFrame, DataFrame]:
+def cached_search(cache: DataFrame, corpus: DataFrame, queries: DataFrame, search, as_of: str, least: float = 0.95, ttl: str = "15 minutes", keyed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(results, log, cache): queries that a live entry answers take its results; the others are searched; the log has a row for each.
 
     The cache's next state holds the live entries and the answers that were searched, each under the number of its query.
 
+    An entry answers the queries that are near enough to it; with `keyed`, as in a retriever's result cache, the query whose number it has.
+
     cache: (entry_id, vec, expires, results: array of (doc_id, score, rank)). `search` takes (corpus, queries) and returns ranked rows.
     """
     live = cache.where(F.col("expires") > F.lit(as_of).cast("timestamp"))
-    hits = knn(live.select(F.col("entry_id").alias("doc_id"), "vec"), queries, 1, min_score=least).select("qid", F.col("doc_id").alias("entry_id"))
+    if keyed:
+        hits = queries.select("qid", F.col("qid").alias("entry_id")).join(live.select("entry_id"), "entry_id", "left_semi").select("qid", "entry_id")
+    else:
+        hits = knn(live.select(F.col("entry_id").alias("doc_id"), "vec"), queries, 1, min_score=least).select("qid", F.col("doc_id").alias("entry_id"))
     stored = hits.join(live.select("entry_id", F.explode("results").alias("r")), "entry_id").select("qid", "r.doc_id", "r.score", "r.rank", F.lit(True).alias("cached"))
     found = kept(search(corpus, queries.join(hits, "qid", "left_anti")).select("qid", "doc_id", "score", "rank", F.lit(False).alias("cached")), "found")
     results = stored.unionByName(found)

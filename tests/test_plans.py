@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from seekspark.functions import sql
-from seekspark.operators import chunking, evaluate
-from seekspark.plans import embedding, jobs
+from seekspark.operators import chunking, evaluate, nearest
+from seekspark.plans import embedding, ingest, jobs
 from seekspark.sources import buckets, web
 from seekspark.sources.shared import place
 
@@ -151,3 +151,15 @@ def test_sql_terms_stay_in_their_row(spark):
     assert "Join" not in plan and "Exchange" not in plan
     odd = spark.sql("select term_counts(text) x from {docs} order by i", docs=docs).collect()
     assert odd[1].x is None and odd[2].x == [] and [tuple(y) for y in odd[3].x] == [("zz", 2)]
+
+
+def test_cached_search_by_number(spark):
+    """A result cache answers the query that it holds, and not one whose vector is near it."""
+    vec = [1.0, 0.0]
+    queries = spark.createDataFrame([(1, vec), (3, vec), (4, [0.0, 1.0])], "qid long, vec array<double>")
+    cache = spark.createDataFrame([(3, vec, [(77, 1.0, 1)])], "entry_id long, vec array<double>, results array<struct<doc_id: long, score: double, rank: int>>").withColumn("expires", F.expr("timestamp '2024-02-01 00:00:00'"))
+    corpus = spark.createDataFrame([(5, vec), (6, [0.0, 1.0])], "doc_id long, vec array<double>")
+    rows, log, state = ingest.cached_search(cache, corpus, queries, lambda c, q: nearest.knn(c, q, 1), "2024-01-15 00:00:00", keyed=True)
+    assert sorted((r.qid, r.doc_id, r.cached) for r in rows.collect()) == [(1, 5, False), (3, 77, True), (4, 6, False)]
+    assert {r.qid: r.cached for r in log.collect()} == {1: False, 3: True, 4: False}
+    assert sorted(r.entry_id for r in state.collect()) == [1, 3, 4]
