@@ -2,13 +2,14 @@
 
 The index is a folder in the shared file system:
 
-  codes/segment=S/cell=C     (doc_id, code): of each vector the nearest centroid of each part of what its cell's centre leaves over
+  codes/segment=S/cell=C     (doc_id, code, far): of each vector the nearest centroid of each part of what its cell's centre leaves over, and how
+                             far from the centre it lies
   vectors/segment=S/cell=C   (doc_id, vec): the vectors themselves, for the exact scores of candidates
   gone/segment=S             (doc_id): what segments before S no longer hold
 
 Centres and centroids are fitted on a bounded sample; every vector is coded. A search builds a table of distances for each query
-and visited cell, adds up one number for each part of a code, and looks up the vectors of the best candidates only. Adding and removing
-writes new segments. `drifted` tells when what comes in lies farther from the centroids than what the index was fitted on, and
+and visited cell, adds up one number for each part of a code, and looks up the vectors of the best candidates only. Codes
+may miss a neighbour; an exact search then visits the vectors of every cell that can hold a nearer one. Adding and removing writes new segments. `drifted` tells when what comes in lies farther from the centroids than what the index was fitted on, and
 `rebuilt` fits it anew.
 """
 
@@ -25,12 +26,12 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import kept, place
 from .lexical import maybe_broadcast, top
-from .nearest import Best, _asked, _matrix, _probes, _unit
+from .nearest import STEP, Best, _asked, _matrix, _probes, _scores, _unit
 
 SAMPLE, PARTS, CENTROIDS, FEW = 20_000, 8, 256, 1_000_000
 #: Candidates that are scored exactly, for each asked neighbour.
 DEPTH = 20
-_CODES = "doc_id long, code binary, segment int, cell int"
+_CODES = "doc_id long, code binary, far double, segment int, cell int"
 _VECTORS = "doc_id long, vec array<double>, segment int, cell int"
 
 
@@ -118,14 +119,15 @@ def add(index: Coded, vectors: DataFrame) -> None:
                 x = _unit(_matrix(b.column(1), dim))
                 cell = _nearest(x, c)
                 code = _codes(_split(x - c[cell], len(books)), books)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in code], pa.binary()), pa.array(cell.astype(np.int32))], ["doc_id", "vec", "code", "cell"])
+                far = np.linalg.norm(x - c[cell], axis=1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in code], pa.binary()), pa.array(far), pa.array(cell.astype(np.int32))], ["doc_id", "vec", "code", "far", "cell"])
 
     rows = vectors.where("vec is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("vec").cast("array<double>").alias("vec"))
-    placed = kept(rows.mapInArrow(run, "doc_id long, vec array<double>, code binary, cell int").withColumn("segment", F.lit(segment)), "placed")
+    placed = kept(rows.mapInArrow(run, "doc_id long, vec array<double>, code binary, far double, cell int").withColumn("segment", F.lit(segment)), "placed")
     if segment:
         remove(index, placed.join(index._read("codes", _CODES).select("doc_id"), "doc_id", "left_semi"), segment)
-    for name, column in (("codes", "code"), ("vectors", "vec")):
-        placed.select("doc_id", column, "segment", "cell").repartition("cell").sortWithinPartitions("cell", "doc_id").write.mode("append").partitionBy("segment", "cell").parquet(f"{index.path}/{name}")
+    for name, columns in (("codes", ["code", "far"]), ("vectors", ["vec"])):
+        placed.select("doc_id", *columns, "segment", "cell").repartition("cell").sortWithinPartitions("cell", "doc_id").write.mode("append").partitionBy("segment", "cell").parquet(f"{index.path}/{name}")
 
 
 def remove(index: Coded, ids: DataFrame, segment: int | None = None) -> None:
@@ -154,8 +156,11 @@ def rebuilt(index: Coded) -> Coded:
     return build(index.vectors().select("doc_id", "vec"), len(index.centres), len(index.centroids))
 
 
-def search(index: Coded, queries: DataFrame, k: int = 10, probes: int | None = None, depth: int = DEPTH) -> DataFrame:
-    """(qid, doc_id, score, rank) by cosine: the k best, by exact scores, of the k * depth best by codes in the cells next to a query."""
+def search(index: Coded, queries: DataFrame, k: int = 10, probes: int | None = None, depth: int = DEPTH, exact: bool = False) -> DataFrame:
+    """(qid, doc_id, score, rank) by cosine: the k best, by exact scores, of the k * depth best by codes in the cells next to a query.
+
+    With `exact` these are the k nearest of all: they bound how far a nearer vector can lie, and so the cells that are visited again.
+    """
     out, dim = None, index.centres.shape[1]
     codes = index.codes()
     for ids, vecs in _asked(queries):
@@ -167,11 +172,51 @@ def search(index: Coded, queries: DataFrame, k: int = 10, probes: int | None = N
         found = top(cells.mapInArrow(_approximate(index, ids[good], q, of, k * depth), "qid long, doc_id long, score double"), k * depth)
         part = found.select("qid", "doc_id")
         out = part if out is None else out.unionByName(part)
-    exact = out.join(index.vectors().select("doc_id", "vec"), "doc_id").join(maybe_broadcast(queries.select("qid", F.col("vec").cast("array<double>").alias("asked")), 100_000), "qid")
+    met = out.join(index.vectors().select("doc_id", "vec"), "doc_id").join(maybe_broadcast(queries.select("qid", F.col("vec").cast("array<double>").alias("asked")), 100_000), "qid")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     size = F.sqrt(dot("vec", "vec")) * F.sqrt(dot("asked", "asked"))
     score = F.when(size > 0, dot("vec", "asked") / F.when(size > 0, size)).otherwise(0.0)
-    return top(exact.select("qid", "doc_id", score.alias("score")), k)
+    hits = top(met.select("qid", "doc_id", score.alias("score")), k)
+    return _settled(index, queries, kept(hits, "hits"), k) if exact else hits
+
+
+def _settled(index: Coded, queries: DataFrame, hits: DataFrame, k: int) -> DataFrame:
+    """The k nearest of all vectors: those of each cell for the queries to which one of its vectors can be as near as their k-th hit.
+
+    By the triangle inequality a cell's vectors lie no nearer to a query than its centre does, less the farthest of them from the centre.
+    """
+    radius = {r.cell: r.far for r in index.codes().groupBy("cell").agg(F.max("far").alias("far")).collect()}  # a row a cell
+    out, dim = None, index.centres.shape[1]
+    for ids, vecs in _asked(queries):
+        good = np.array([i for i, v in enumerate(vecs) if len(v) == dim and np.any(v)], np.int64)
+        if not len(good) or not radius:
+            continue
+        ids, q = ids[good], np.stack([vecs[i] for i in good])
+        block = F.broadcast(index.spark.createDataFrame([(int(i),) for i in ids], "qid long"))
+        last = {r.qid: r.score for r in hits.where(F.col("rank") == k).join(block, "qid").collect()}
+        reach = np.sqrt(np.maximum(0, 2 - 2 * np.array([last.get(int(i), -1.0) for i in ids]))) + 1e-6  # all, where there are fewer than k hits
+        away = np.linalg.norm(_unit(q)[:, None] - index.centres[None], axis=2)
+        of = {c: may for c, far in radius.items() if len(may := np.flatnonzero(away[:, c] - far <= reach))}
+        part = index.vectors().where(F.col("cell").isin(list(of))).select("doc_id", "vec", "cell").mapInArrow(_visited(ids, q, of, k), "qid long, doc_id long, score double")
+        out = part if out is None else out.unionByName(part)
+    return hits if out is None else top(out, k)
+
+
+def _visited(ids: np.ndarray, q: np.ndarray, of: dict[int, np.ndarray], k: int):
+    """The k best of each query among the vectors of the cells that it visits, by exact scores."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(len(ids), k)
+        for b in batches:
+            cell = b.column(2).to_numpy()
+            for one in np.unique(cell).tolist():
+                here = b.take(pa.array(np.flatnonzero(cell == one)))
+                for i in range(0, here.num_rows, STEP):
+                    some = here.slice(i, STEP)
+                    best.add(of[one], some.column(0).to_numpy(), _scores(_matrix(some.column(1), q.shape[1]), q[of[one]], "cosine"))
+        yield best.batch(ids)
+
+    return run
 
 
 def _approximate(index: Coded, ids: np.ndarray, q: np.ndarray, of: dict[int, np.ndarray], k: int):

@@ -72,6 +72,16 @@ def test_postings_skip_blocks(spark, monkeypatch):
     assert len(scored) < postings.BLOCKS
 
 
+def test_codes_exact_where_codes_miss(spark):
+    """Vectors without clusters, one candidate a neighbour of one cell: the bounds of the cells find the rest."""
+    r = np.random.default_rng(8)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(r.normal(size=(1200, 48)))] + [(9000, None), (9001, [0.0] * 48)], "doc_id long, vec array<double>")
+    asked = v.where("doc_id % 40 = 0").withColumnRenamed("doc_id", "qid")
+    index, want = codes.build(v.where("doc_id <> 9001")), [h[:3] for h in hits(nearest.knn(v, asked, 10))]
+    assert [h[:3] for h in hits(codes.search(index, asked, 10, 1, 1))] != want
+    assert [h[:3] for h in hits(codes.search(index, asked, 10, 1, 1, exact=True))] == want
+
+
 def test_codes_find_and_change(spark):
     r = np.random.default_rng(5)
     x = r.normal(size=(20, 32))[r.integers(0, 20, 1500)] + 0.4 * r.normal(size=(1500, 32))
