@@ -47,18 +47,19 @@ def dashboard_columns() -> list[Column]:
     return [F.count("*").alias("queries"), F.count_if("success").alias("successes"), F.avg("response_ms").alias("avg_ms"), ok("results").alias("avg_results"), ok("similarity").alias("avg_similarity"), ok("score").alias("avg_score")]
 
 
-def percentiles(logs: DataFrame, column: str, ps: list[float], by: list[str] | None = None, ranges: int = 1024, most: int = 10_000) -> DataFrame:
-    """Lower-index percentiles by a distributed ranking: no group is gathered to one task.
+def percentiles(logs: DataFrame, column: str, ps: list[float], by: list[str] | None = None, ranges: int = 1024, most: int = 10_000, n: str | None = None, upper: bool = False) -> DataFrame:
+    """Lower-index percentiles by a distributed ranking: no group is gathered to one task. Rows may stand for `n` values each; with
+    `upper` a percentile is the least value with at least that share of the values up to it.
 
     Values fall into `ranges` of equal width between the least and the largest; counts of the ranges, a bounded number for each
     group, tell in which of them a rank lies. While such a range has more than `most` distinct values it is cut into `ranges` again, so
     outliers and long tails do not make it large. Only what is left is put in order.
     """
     keys = by or []
-    counts = logs.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("n"))
+    counts = logs.where(F.col(column).isNotNull()).groupBy(*keys, column).agg((F.sum(n) if n else F.count("*")).alias("n"))
     counts = kept(counts.withColumn("v", F.col(column).cast("double")), "counts")
     total = counts.groupBy(*keys).agg(F.sum("n").alias("all"), F.min("v").alias("low"), F.max("v").alias("high"))
-    rank = F.array(*(F.floor(F.lit(p) * (F.col("all") - 1)) for p in ps))
+    rank = F.array(*(F.ceil(F.lit(p) * F.col("all")) - 1 if upper else F.floor(F.lit(p) * (F.col("all") - 1)) for p in ps))
     asked = total.select(*keys, "low", "high", F.lit(0).cast("long").alias("base"), F.posexplode(rank).alias("p", "rank"))
     together = [F.col(f"c.{k}").eqNullSafe(F.col(f"a.{k}")) for k in keys]
     for _ in range(8):  # 1024 to the eighth is more than there are doubles between two powers of two

@@ -21,6 +21,8 @@ from .stateful import store_provider
 RETENTION = "24 hours"
 #: Size of the quantile sketch of a window.
 SKETCH = 2400
+#: Columns of which a dashboard has means over what succeeded.
+MEANS = ["results", "similarity", "score"]
 
 
 def source(spark: SparkSession, directory: str, name: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -41,6 +43,29 @@ def dashboard(logs: DataFrame, width: str = "1 day", slide: str | None = None) -
     return x.select(F.col("window.start").alias("start"), "queries", "successes", "avg_ms", "avg_results", "avg_similarity", "avg_score", *ps)
 
 
+def by_value(logs: DataFrame, width: str = "1 day", slide: str | None = None) -> DataFrame:
+    """The dashboard's counts and sums of each (sliding) window and response time: what `exact_dashboard` reads. Late events count for RETENTION.
+
+    A window's state is a row for each of its different values, in the store that keeps state on disk, dealt out by window and value.
+    """
+    g = monitor.scored(logs.withWatermark("ts", RETENTION)).groupBy(F.window("ts", width, slide or width), "response_ms")
+    ok = lambda c: F.when(F.col("success"), F.col(c))
+    parts = [x for c in MEANS for x in (F.sum(ok(c)).alias(f"sum_{c}"), F.count(ok(c)).alias(f"n_{c}"))]
+    x = g.agg(F.count("*").alias("queries"), F.count_if("success").alias("successes"), *parts)
+    return x.select(F.col("window.start").alias("start"), *x.columns[1:])
+
+
+def exact_dashboard(values: DataFrame) -> DataFrame:
+    """Dashboard columns of each window, of what `by_value` wrote; p95_ms and p99_ms are the least values with at least that share of
+    the window's values up to them."""
+    mean = lambda total, n: F.when(n > 0, total / F.when(n > 0, n))
+    ms = mean(F.sum(F.col("response_ms") * F.col("queries")), F.sum(F.when(F.col("response_ms").isNotNull(), F.col("queries"))))
+    means = [mean(F.sum(f"sum_{c}"), F.sum(f"n_{c}")).alias(f"avg_{c}") for c in MEANS]
+    x = values.groupBy("start").agg(F.sum("queries").alias("queries"), F.sum("successes").alias("successes"), ms.alias("avg_ms"), *means)
+    p = monitor.percentiles(values.select("start", "response_ms", F.col("queries").alias("times")), "response_ms", [0.95, 0.99], ["start"], n="times", upper=True)
+    return x.join(p.select("start", F.col("p95").alias("p95_ms"), F.col("p99").alias("p99_ms")), "start", "left")
+
+
 def trends(logs: DataFrame, granularity: str = "1 day") -> DataFrame:
     return monitor.trends(monitor.scored(logs.withWatermark("ts", RETENTION)), granularity)
 

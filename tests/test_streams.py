@@ -69,6 +69,18 @@ def test_quantiles_of_windows_within_their_bound(spark):
         assert abs(np.searchsorted(values, q, "right") / n - p) < 0.003 + (n - one.queries) / n
 
 
+def test_dashboard_by_values_is_exact(spark):
+    """A window of more values than a sketch holds, in several batches: the percentiles are values of their exact ranks."""
+    n = 20_000
+    rows = spark.range(n).selectExpr("id event_id", "timestamp '2024-01-01' + make_dt_interval(0, 0, 0, id * 4) ts", "'q' query", "'s' strategy", "if(id = 5, null, pow(cast(pmod(xxhash64(id), 1000003) as double), 3)) response_ms", "1 results", "0.5D similarity", "0.5D diversity", "id % 3 > 0 success")
+    got = streams.exact_dashboard(streams.drain(streams.by_value(feed.arriving(rows, "ts", parts=1)), ["start", "response_ms"], timers=True)).collect()
+    values = sorted(r.response_ms for r in rows.select("response_ms").where("response_ms is not null").collect())
+    (one,) = got
+    assert (one.queries, one.successes, one.avg_results) == (n, n - -(-n // 3), 1.0)
+    assert (one.p95_ms, one.p99_ms) == tuple(values[-(-p * len(values) // 100) - 1] for p in (95, 99))
+    assert abs(one.avg_ms / (sum(values) / len(values)) - 1) < 1e-9
+
+
 def test_feed_is_the_table(spark):
     rows = spark.range(1000).selectExpr("id event_id", "timestamp '2024-01-01' + make_dt_interval(0, 0, id * 40) ts")
     path = feed.feed(rows, "ts", F.when(F.col("event_id") % 7 == 0, 1).when(F.col("event_id") % 11 == 0, 2))
