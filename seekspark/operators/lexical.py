@@ -49,6 +49,13 @@ def terms(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+def vocabulary(tokens: DataFrame) -> DataFrame:
+    """(term, df, cf) of tokenised documents, without their postings: tokens, and the different ones of each document, are counted where they are."""
+    marked = lambda c, first: F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(first).alias("first")))
+    each = tokens.select(F.explode(F.concat(marked("tokens", False), marked(F.array_distinct("tokens"), True))).alias("t")).select("t.*")
+    return each.groupBy("term").agg(F.count_if("first").alias("df"), F.count_if(~F.col("first")).alias("cf"))
+
+
 def small(df: DataFrame, most: int) -> bool:
     """Whether a table has at most so many rows, without counting further."""
     return df.limit(most + 1).count() <= most

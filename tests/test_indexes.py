@@ -72,6 +72,14 @@ def test_postings_skip_blocks(spark, monkeypatch):
     assert len(scored) < postings.BLOCKS
 
 
+def test_vocabulary_needs_no_python(spark):
+    docs = spark.createDataFrame([(1, "aa bb aa"), (2, "bb cc!"), (3, None), (4, "")], "doc_id long, text string")
+    out = lexical.vocabulary(lexical.tokenized(docs))
+    assert {(r.term, r.df, r.cf) for r in out.collect()} == {("aa", 1, 2), ("bb", 2, 2), ("cc", 1, 1)}
+    for q in (retrieval.top_terms, retrieval.hapax_pruned):
+        assert "MapInArrow" not in q(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_codes_exact_where_codes_miss(spark):
     """Vectors without clusters, one candidate a neighbour of one cell: the bounds of the cells find the rest."""
     r = np.random.default_rng(8)
