@@ -89,12 +89,15 @@ def sessions(logs: DataFrame, key: str = "query", gap: str = "30 minutes") -> Da
 def windowed_points(windows: DataFrame, points: DataFrame, key: str, length: str = "1 hour") -> DataFrame:
     """Each window (start, key, ...) with the points (ts, key, ...) of its key in the `length` from its start on.
 
-    Both sides have watermarks and the join bounds the times, so a row leaves the state once nothing can meet it any more.
+    Both sides have watermarks and the join bounds the times, so a row leaves the state once nothing can meet it any more. Rows meet by
+    key and span of `length`: a window lies in the spans from its start to its end, a point in one, so no row is held against all of its key.
     """
     w, p = windows.withWatermark("start", RETENTION), points.withWatermark("ts", RETENTION)
-    p = p.withColumnRenamed(key, "_key")
-    inside = (F.col(key) == F.col("_key")) & (F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("start") + F.expr(f"interval {length}"))
-    return w.join(p, inside).drop("_key")
+    span = lambda t: f"unix_micros({t}) div unix_micros(timestamp_seconds(0) + interval {length})"
+    w = w.withColumn("_span", F.explode(F.expr(f"sequence({span('start')}, {span(f'start + interval {length}')})")))
+    p = p.withColumnRenamed(key, "_key").withColumn("_in", F.expr(span("ts")))
+    inside = (F.col(key) == F.col("_key")) & (F.col("_span") == F.col("_in")) & (F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("start") + F.expr(f"interval {length}"))
+    return w.join(p, inside).drop("_key", "_span", "_in")
 
 
 def strategies(logs: DataFrame) -> DataFrame:

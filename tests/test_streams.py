@@ -158,3 +158,19 @@ def test_percentiles_with_an_outlier(spark):
     for k in "ab":
         v = sorted(x for i, x in enumerate(values) if x is not None and ("a" if i % 2 else "b") == k)
         assert got[k] == tuple(v[int(p * (len(v) - 1))] for p in (0.5, 0.99))
+
+
+def test_windows_meet_points_of_their_span(spark):
+    """Points of one key against brute force; before, a point was held against all windows of its key."""
+    r = random.Random(8)
+    at = lambda s: datetime(1969, 12, 31, 20) + timedelta(seconds=s)
+    a = [(i, f"k{i % 2}", r.randrange(0, 30_000)) for i in range(80)] + [(90, "k0", 3600), (91, "k1", 0), (92, None, 7)]
+    b = [(i, f"k{i % 2}", r.randrange(0, 36_000)) for i in range(200)] + [(300, "k0", 3600), (301, "k0", 7200), (302, "k1", 3599), (303, "k1", 3600)]
+    windows = spark.createDataFrame([(i, k, at(s)) for i, k, s in a], "name long, query string, start timestamp")
+    points = spark.createDataFrame([(i, k, at(s)) for i, k, s in b], "id long, query string, ts timestamp")
+    joined = streams.windowed_points(windows, points, "query")
+    assert joined.columns == ["name", "query", "start", "id", "ts"]
+    want = sorted((i, j) for i, k, s in a for j, m, t in b if k == m and s <= t < s + 3600)
+    assert sorted((x.name, x.id) for x in joined.collect()) == want
+    keys = joined._jdf.queryExecution().optimizedPlan().toString().split("Join Inner, ")[1].split("\n")[0]
+    assert keys.count(" = ") == 2
