@@ -174,3 +174,17 @@ def test_windows_meet_points_of_their_span(spark):
     assert sorted((x.name, x.id) for x in joined.collect()) == want
     keys = joined._jdf.queryExecution().optimizedPlan().toString().split("Join Inner, ")[1].split("\n")[0]
     assert keys.count(" = ") == 2
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_alerts_of_a_bucket(spark, buckets):
+    """Alerts that share a bucket are resolved and cleaned each at its time; before, each took state and a timer of its own."""
+    at = lambda h: DAY + timedelta(hours=h)
+    raised = [[(i, at(0), "Slow", "Warning") for i in range(40)] + [(100, at(0), "Slow", "Warning")], [(200, at(60), "Slow", "Warning")], [], [(201, at(90), "Slow", "Warning")], [(202, at(130), "Slow", "Warning")]]
+    over = [[(i, "Slow", at(1 + i)) for i in range(0, 40, 2)], [(999, "Slow", at(60))], [], [(200, "Slow", at(91))], [(999, "Slow", at(130))]]
+    a = files(spark, raised, "event_id long, ts timestamp, alert string, severity string")
+    b = files(spark, over, "event_id long, alert string, resolved_at timestamp")
+    rows = streams.drain(stateful.alert_store(a, b, buckets=buckets), schema=None, timers=True, keys=["event_id", "alert", "status"]).collect()
+    of = lambda s: sorted(r.event_id for r in rows if r.status == s)
+    assert of("Cleaned") == list(range(0, 40, 2)) and of("Resolved") == [*range(0, 40, 2), 200]
+    assert of("Open") == [*range(1, 40, 2), 100, 200, 201, 202]
