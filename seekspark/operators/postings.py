@@ -7,7 +7,7 @@ The index is a folder in the shared file system:
   lengths/segment=S            (doc_id, shard, dl): the documents of a segment
   gone/segment=S               (doc_id): documents that segments before S no longer hold
 
-Documents fall into shards by a hash of their id, SHARD to each, and a shard into BLOCKS blocks, so a shard is a bounded piece of work. Adding or
+Documents fall into shards by a hash of their id, SHARD to each at most on average, and a shard into BLOCKS blocks, so a shard is a bounded piece of work. Adding or
 removing documents writes a new segment and touches no file of the others; `merge` makes one segment of all.
 
 A search reads the postings of the asked terms only. These go, once for each group of queries, to one task a shard, together with the
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import sparse_tokens
 from ..sources.shared import drop, kept, place
-from .lexical import K1, B, maybe_broadcast, term_frequencies, tokenized, top
+from .lexical import K1, B, maybe_broadcast, tokenized, top
 from .nearest import Best
 
 SHARD, BLOCKS = 8192, 16
@@ -71,16 +71,69 @@ class Index:
         return max(-1 if x is None else x for x in last) + 1
 
 
-def _write(index: Index, rows: DataFrame, lengths: DataFrame, segment: int) -> None:
-    """A segment of postings (doc_id, term, tf, dl) and lengths (doc_id, dl)."""
-    lengths = kept(lengths, "lengths")
-    shards = max(1, -(-lengths.count() // SHARD))
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
-    block = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(BLOCKS)).cast("int")
-    lists = rows.groupBy(shard.alias("shard"), block.alias("block"), "term").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("p"))  # no more than a block holds
-    lists = lists.select("term", "block", F.col("p.doc_id").alias("docs"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"), F.array_max("p.tf").alias("most"), F.array_min("p.dl").alias("least"), F.lit(segment).alias("segment"), "shard")
-    lists.repartition("shard").sortWithinPartitions("shard", "term", "block").write.mode("append").partitionBy("segment", "shard").parquet(f"{index.path}/postings")
-    lengths.select("doc_id", shard.alias("shard"), "dl", F.lit(segment).alias("segment")).write.mode("append").partitionBy("segment").parquet(f"{index.path}/lengths")
+_LISTS = "term string, block int, docs array<long>, tfs array<long>, dls array<int>, most long, least int, shard int"
+
+
+def _shards(n: int) -> int:
+    """A power of two, so that shards of one number of them are parts, or unions, of those of another."""
+    return _power(max(1, -(-n // SHARD)))
+
+
+def _hash(shards: int, c: str = "doc_id"):
+    return F.pmod(F.xxhash64(c), F.lit(shards)).cast("int")
+
+
+def _grouped(shard: pa.Scalar, words: pa.Array, term: np.ndarray, block: np.ndarray, doc: np.ndarray, tf: np.ndarray, dl: np.ndarray) -> pa.Table:
+    """The lists of a shard's postings; `term` is a place in `words`."""
+    order = np.lexsort((doc, term, block))
+    term, block, doc, tf, dl = (x[order] for x in (term, block, doc, tf, dl))
+    first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, np.int64)
+    at = pa.array(np.r_[first, len(term)], pa.int32())
+    lists = [pa.ListArray.from_arrays(at, pa.array(x, t)) for x, t in ((doc, pa.int64()), (tf, pa.int64()), (dl, pa.int32()))]
+    most, least = (f.reduceat(x, first) if len(first) else x[:0] for f, x in ((np.maximum, tf), (np.minimum, dl)))
+    columns = [words.take(pa.array(term[first])), pa.array(block[first], pa.int32()), *lists, pa.array(most, pa.int64()), pa.array(least, pa.int32()), pa.repeat(shard, len(first))]
+    return pa.Table.from_arrays(columns, ["term", "block", "docs", "tfs", "dls", "most", "least", "shard"])
+
+
+def _counted(docs: pa.Table) -> pa.Table:
+    """The lists of a shard's documents (shard, block, doc_id, tokens, dl)."""
+    words, pairs = [], []
+    for b in docs.to_batches():
+        tokens = b.column("tokens")
+        n = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy()
+        coded = tokens.flatten().dictionary_encode()
+        known = max(len(coded.dictionary), 1)
+        pair, tf = np.unique(np.repeat(np.arange(len(n)), n) * known + coded.indices.to_numpy(), return_counts=True)
+        row = pair // known
+        words.append(coded.dictionary)
+        pairs.append((pair % known, *(b.column(c).to_numpy(zero_copy_only=False)[row] for c in ("block", "doc_id")), tf, b.column("dl").to_numpy(zero_copy_only=False)[row]))
+    every = pa.chunked_array(words, pa.string()).unique()
+    term = [pc.index_in(w, every).to_numpy(zero_copy_only=False)[p[0]] for w, p in zip(words, pairs, strict=True)]
+    every = every.combine_chunks() if isinstance(every, pa.ChunkedArray) else every
+    return _grouped(docs.column("shard")[0], every, np.concatenate(term), *(np.concatenate(x) for x in list(zip(*pairs, strict=True))[1:]))
+
+
+def _merged(lists: pa.Table, live: pa.Table) -> pa.Table:
+    """The lists of a shard, of those of all segments (to, segment, term, block, docs, tfs, dls) and what is live (to, segment, doc_id)."""
+    if not lists.num_rows:
+        return pa.Table.from_pylist([], pa.schema([("term", pa.string()), ("block", pa.int32()), ("docs", pa.list_(pa.int64())), ("tfs", pa.list_(pa.int64())), ("dls", pa.list_(pa.int32())), ("most", pa.int64()), ("least", pa.int32()), ("shard", pa.int32())]))
+    coded = lists.column("term").combine_chunks().dictionary_encode()
+    size = pc.list_value_length(lists.column("docs")).to_numpy()
+    wide = lambda x: np.repeat(x, size)
+    doc, tf, dl = (lists.column(c).combine_chunks().flatten().to_numpy() for c in ("docs", "tfs", "dls"))
+    term, block, segment = wide(coded.indices.to_numpy()), wide(lists.column("block").to_numpy()), wide(lists.column("segment").to_numpy())
+    keep = np.zeros(len(doc), bool)
+    has, of = live.column("doc_id").to_numpy(), live.column("segment").to_numpy()
+    for s in np.unique(segment):
+        keep |= (segment == s) & np.isin(doc, has[of == s])
+    return _grouped(lists.column("to")[0], coded.dictionary, *(x[keep] for x in (term, block, doc, tf, dl)))
+
+
+def _write(index: Index, lists: DataFrame, lengths: DataFrame, shards: int, segment: int) -> None:
+    """A segment of lists, all of a shard in one task, and lengths (doc_id, dl)."""
+    lists = lists.select("term", "block", "docs", "tfs", "dls", "most", "least", F.lit(segment).alias("segment"), "shard")
+    lists.sortWithinPartitions("shard", "term", "block").write.mode("append").partitionBy("segment", "shard").parquet(f"{index.path}/postings")
+    lengths.select("doc_id", _hash(shards).alias("shard"), "dl", F.lit(segment).alias("segment")).write.mode("append").partitionBy("segment").parquet(f"{index.path}/lengths")
 
 
 def build(docs: DataFrame, tokenizer=sparse_tokens, path: str | None = None) -> Index:
@@ -93,11 +146,15 @@ def build(docs: DataFrame, tokenizer=sparse_tokens, path: str | None = None) ->
 def add(index: Index, docs: DataFrame) -> None:
     """Adds documents, in place of those with their ids: one segment more."""
     segment = index.next_segment()
-    tokens = tokenized(docs.withColumn("doc_id", F.col("doc_id").cast("long")), index.tokenizer).where("doc_id is not null")
-    rows, lengths = term_frequencies(tokens), tokens.select("doc_id", F.when(F.col("dl") >= 0, F.col("dl")).alias("dl"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    lengths = kept(tokenized(docs, index.tokenizer).select("doc_id", F.when(F.col("dl") >= 0, F.col("dl")).alias("dl")), "lengths")
     if segment:
         _mark(index, lengths.join(index.lengths().select("doc_id"), "doc_id", "left_semi"), segment)
-    _write(index, rows, lengths, segment)
+    shards = _shards(lengths.count())
+    # texts go to their shards, and become terms there: no posting is shuffled
+    there = docs.withColumn("shard", _hash(shards)).repartition("shard").sortWithinPartitions("shard")
+    tokens = there.select("shard", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(BLOCKS)).cast("int").alias("block"), "doc_id", index.tokenizer(F.col("text")).alias("tokens"))
+    _write(index, tokens.withColumn("dl", F.size("tokens")).groupBy("shard").applyInArrow(_counted, _LISTS), lengths, shards, segment)
 
 
 def remove(index: Index, ids: DataFrame) -> None:
@@ -111,13 +168,33 @@ def _mark(index: Index, ids: DataFrame, segment: int) -> None:
 
 def merge(index: Index) -> Index:
     """The same documents as one segment, in a folder of its own; readers of the old one see the old state until it is dropped."""
-    live = index.live()
-    p = index.postings().select("term", "segment", F.explode(F.arrays_zip("docs", "tfs", "dls")).alias("p")).select("term", "segment", F.col("p.docs").alias("doc_id"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"))
+    live = kept(index.live().select("doc_id", "segment", "dl"), "live")
+    shards = _shards(live.count())
     out = Index(index.spark, place(index.spark, "index"), index.tokenizer)
-    _write(out, p.join(live.select("doc_id", "segment"), ["doc_id", "segment"], "left_semi").drop("segment"), live.select("doc_id", "dl"), 0)
+    of = index.lengths().groupBy("segment").agg((F.max("shard") + 1).alias("most"))  # a segment's shards may end with empty ones
+    known = {r.segment: _power(r.most) for r in of.collect()}
+    parts = []
+    for s, n in known.items():
+        p = index.postings().where(F.col("segment") == s).select("segment", "term", "block", "docs", "tfs", "dls", "shard")
+        if n < shards:  # a list goes in parts to the shards that its shard falls into
+            p = p.withColumn("to", F.explode(F.expr(f"sequence(shard, {shards - 1}, {n})")))
+            mine = F.filter(F.arrays_zip("docs", "tfs", "dls"), lambda x: F.pmod(F.xxhash64(x.docs), F.lit(shards)) == F.col("to"))
+            p = p.withColumn("p", mine).where(F.size("p") > 0).withColumns({c: F.col(f"p.{c}") for c in ("docs", "tfs", "dls")}).drop("p")
+        else:
+            p = p.withColumn("to", F.pmod("shard", F.lit(shards)))
+        parts.append(p.select(F.col("to").cast("int").alias("to"), "segment", "term", "block", "docs", "tfs", "dls"))
+    lists = parts[0] if parts else index.postings().withColumn("to", F.col("shard")).select("to", "segment", "term", "block", "docs", "tfs", "dls")
+    for p in parts[1:]:
+        lists = lists.unionByName(p)
+    side = live.select(_hash(shards).alias("to"), "segment", "doc_id")
+    _write(out, lists.groupBy("to").cogroup(side.groupBy("to")).applyInArrow(_merged, _LISTS), live.select("doc_id", "dl"), shards, 0)
     return out
 
 
+def _power(n: int) -> int:
+    return 1 << (n - 1).bit_length()
+
+
 def close(index: Index) -> None:
     drop(index.spark, index.path)
 
@@ -140,8 +217,16 @@ def frequencies(index: Index, terms: DataFrame) -> DataFrame:
     hits = index.postings().join(maybe_broadcast(terms.select("term").distinct(), 100_000), "term", "left_semi")
     if index.gone().isEmpty():
         return hits.groupBy("term").agg(F.sum(F.size("docs")).alias("df"))
-    each = hits.select("term", "segment", F.explode("docs").alias("doc_id")).join(index.live().select("doc_id", "segment"), ["doc_id", "segment"], "left_semi")
-    return each.groupBy("term").agg(F.count("*").alias("df"))
+    dead = _dead(index).select("doc_id", "segment")
+    each = hits.select("term", "segment", F.explode("docs").alias("doc_id")).join(maybe_broadcast(dead, FEW), ["doc_id", "segment"], "left_semi")
+    rows = hits.select("term", F.size("docs").cast("long").alias("n")).unionByName(each.select("term", F.lit(-1).cast("long").alias("n")))
+    return rows.groupBy("term").agg(F.sum("n").alias("df")).where("df > 0")
+
+
+def _dead(index: Index) -> DataFrame:
+    """(doc_id, segment, shard) of what later segments have taken away."""
+    gone = index.gone().groupBy("doc_id").agg(F.max("segment").alias("upto"))
+    return index.lengths().join(maybe_broadcast(gone, FEW), "doc_id").where("segment < upto").select("doc_id", "segment", "shard")
 
 
 def search_terms(index: Index, asked: DataFrame, k: int = 10, min_score: float = 0.0, group: int = GROUP) -> DataFrame:
@@ -159,7 +244,7 @@ def search_terms(index: Index, asked: DataFrame, k: int = 10, min_score: float =
     hits = index.postings().join(maybe_broadcast(weights.select("part", "term").distinct(), 100_000), "term")
     side = weights.join(F.broadcast(places)).select("part", "segment", "shard", "qid", "term", "w", F.lit(None).cast("long").alias("doc_id"))
     if some_gone:
-        dead = index.lengths().join(live.select("doc_id", "segment"), ["doc_id", "segment"], "left_anti").select("segment", "shard", "doc_id")
+        dead = _dead(index).select("segment", "shard", "doc_id")
         side = side.unionByName(dead.join(F.broadcast(weights.select("part").distinct())).select("part", "segment", "shard", "doc_id"), allowMissingColumns=True)
     key = ["part", "segment", "shard"]
     hits = hits.select(*key, "block", "term", "docs", "tfs", "dls", "most", "least")
