@@ -51,6 +51,40 @@ def test_postings_are_changed_in_part(spark, monkeypatch):
     assert hits(postings.search(index, asked, 10)) == want  # who reads the old folder sees the old state
 
 
+def shuffled(spark):
+    """Rows shuffled so far."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_postings_are_not_shuffled(spark):
+    """Texts are shuffled to build an index and lists to merge; before, each posting was."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + j) % 300}" for j in range(100))) for i in range(500)], "doc_id long, text string")
+    at = shuffled(spark)
+    index = postings.build(docs)
+    assert shuffled(spark) - at < 2000
+    postings.remove(index, docs.where("doc_id % 10 = 3"))
+    at = shuffled(spark)
+    merged = postings.merge(index)
+    assert shuffled(spark) - at < 0.5 * 500 * 100
+    assert merged.postings().agg(F.sum(F.size("docs"))).first()[0] == 450 * 100
+
+
+def test_postings_merge_over_shards(spark, monkeypatch):
+    """Segments of one, four and eight shards become one of sixteen, and of two once most has gone."""
+    monkeypatch.setattr(postings, "SHARD", 100)
+    rows = texts(1500, 4)
+    of = lambda a, b: spark.createDataFrame(rows[a:b], "doc_id long, text string")
+    asked = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts(12, 2)) if t], "qid long, text string")
+    index = postings.build(of(0, 800))
+    for a, b in ((800, 850), (850, 1250), (1250, 1500)):
+        postings.add(index, of(a, b))
+    merged = postings.merge(index)
+    assert hits(postings.search(merged, asked, 5)) == hits(lexical.bm25_sparse(of(0, 1500), asked, 5))
+    postings.remove(merged, of(150, 1500).select("doc_id"))
+    assert hits(postings.search(postings.merge(merged), asked, 5)) == hits(postings.search(merged, asked, 5)) == hits(lexical.bm25_sparse(of(0, 150), asked, 5))
+
+
 def test_postings_skip_blocks(spark, monkeypatch):
     """Blocks that cannot reach a query's ten best are not scored: of sixteen, those that hold the rare words are."""
     import pyarrow as pa
