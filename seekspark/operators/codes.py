@@ -31,6 +31,8 @@ from .nearest import STEP, Best, _asked, _matrix, _probes, _scores, _unit
 SAMPLE, PARTS, CENTROIDS, FEW = 20_000, 8, 256, 1_000_000
 #: Candidates that are scored exactly, for each asked neighbour.
 DEPTH = 20
+#: Queries whose tables of distances a task holds at a time.
+ASKED = 128
 _CODES = "doc_id long, code binary, far double, segment int, cell int"
 _VECTORS = "doc_id long, vec array<double>, segment int, cell int"
 
@@ -219,26 +221,30 @@ def _visited(ids: np.ndarray, q: np.ndarray, of: dict[int, np.ndarray], k: int):
     return run
 
 
+def _tables(rest: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """(queries, parts, centroids): squared distances of what a cell's centre leaves over of each query."""
+    return np.stack([((rest[:, p, None, :] - books[p][None]) ** 2).sum(axis=2) for p in range(len(books))], axis=1)
+
+
 def _approximate(index: Coded, ids: np.ndarray, q: np.ndarray, of: dict[int, np.ndarray], k: int):
     """The k best of each query by codes: minus the squared distance from what a code stands for."""
     centres, books = index.centres, index.centroids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(len(ids), k)
-        held: dict[int, np.ndarray] = {}
         for b in batches:
             cell = b.column(2).to_numpy()
             for one in np.unique(cell).tolist():
                 here = b.take(pa.array(np.flatnonzero(cell == one)))
-                who = of[one]
-                if one not in held:  # (queries, parts, centroids)
-                    rest = _split(q[who] - centres[one], len(books))
-                    held[one] = ((rest[:, :, None, :] - books[None]) ** 2).sum(axis=3)
+                doc = here.column(0).to_numpy()
                 code = np.frombuffer(b"".join(here.column(1).to_pylist()), np.uint8).reshape(here.num_rows, len(books))
-                for i in range(0, here.num_rows, 1024):
-                    some = code[i : i + 1024]
-                    d = sum(held[one][:, p, :][:, some[:, p]] for p in range(len(books)))
-                    best.add(who, here.column(0).to_numpy()[i : i + 1024], -d)
+                for j in range(0, len(of[one]), ASKED):  # no more tables than those of ASKED queries and one cell at a time
+                    who = of[one][j : j + ASKED]
+                    table = _tables(_split(q[who] - centres[one], len(books)), books)
+                    for i in range(0, here.num_rows, 1024):
+                        some = code[i : i + 1024]
+                        d = sum(table[:, p, :][:, some[:, p]] for p in range(len(books)))
+                        best.add(who, doc[i : i + 1024], -d)
         yield best.batch(ids)
 
     return run

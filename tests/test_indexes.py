@@ -148,6 +148,21 @@ def test_codes_find_and_change(spark):
     assert codes.rebuilt(index).error > index.error
 
 
+def test_codes_hold_few_tables(spark, monkeypatch):
+    """A task holds the tables of ASKED queries and one cell; before, those of all queries and cells that it had met."""
+    r = np.random.default_rng(9)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(r.normal(size=(400, 16)))], "doc_id long, vec array<double>")
+    index = codes.build(v, centres=4)
+    q = codes._unit(r.normal(size=(50, 16)))
+    of = {c: np.arange(50) for c in range(4)}
+    rows = index.codes().select("doc_id", "code", "cell").toArrow().combine_chunks().to_batches()
+    found = lambda: next(codes._approximate(index, np.arange(50), q, of, 5)(iter(rows))).to_pylist()
+    want, seen, tables = found(), [], codes._tables
+    monkeypatch.setattr(codes, "_tables", lambda rest, books: seen.append(len(rest)) or tables(rest, books))
+    monkeypatch.setattr(codes, "ASKED", 7)
+    assert found() == want and max(seen) == 7 and sum(seen) >= 200
+
+
 def test_recall_grows_with_probes(spark):
     got = [(r.probes, r.queries, r.recall) for r in retrieval.vector_index_recall(spark, DATA).collect()]
     recall = [x[2] for x in got]
