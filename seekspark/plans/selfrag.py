@@ -32,7 +32,8 @@ def two_stage(corpus: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
 
 def _second_stage(wide: DataFrame, corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    x = wide.select("qid", "doc_id", "score").join(corpus.select("doc_id", "text"), "doc_id").join(queries.select("qid", F.col("text").alias("asked")), "qid")
+    wide = kept(wide.select("qid", "doc_id", "score"), "wide")  # written, its size is known: a few hits go to the texts, not all texts to the hits
+    x = wide.join(corpus.select("doc_id", "text"), "doc_id").join(queries.select("qid", F.col("text").alias("asked")), "qid")
     return top(x.select("qid", "doc_id", (0.7 * relevance(F.col("text"), F.col("asked")) + 0.3 * F.col("score")).alias("score")), k)
 
 

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from seekspark.operators import chunking, nearest
+from seekspark.sources import tables
 
 
 def test_cells_take_many_queries(spark, monkeypatch):
@@ -28,3 +29,15 @@ def test_chunkers_take_time_in_proportion(spark):
     split = [c.split() for c in got]
     assert all(len(c) + 1 <= 512 for c in got) and all(a[-6:] == b[:6] for a, b in zip(split, split[1:], strict=False))
     assert split[0] + [w for c in split[1:] for w in c[6:]] == [f"word{i}" for i in range(100_000)]
+
+
+def test_texts_are_not_shuffled_to_meet_vectors(spark, tmp_path):
+    """Before, a search by text joined all texts with all vectors, once for each of its uses."""
+    spark.createDataFrame([(i, f"text {i}") for i in range(4)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for ids, n in ([1, 2, 9], 4), ([1, 1, 2], 5):
+        spark.createDataFrame([(i, [1.0, float(k)]) for k, i in enumerate(ids)], "vec_id long, embedding array<double>").write.mode("overwrite").parquet(f"{tmp_path}/embeddings.parquet")
+        corpus = tables.hybrid_corpus(spark, str(tmp_path))
+        texts = corpus.select("doc_id", "text")
+        assert ("Join" in texts._jdf.queryExecution().optimizedPlan().toString()) == (n == 5)
+        assert texts.count() == corpus.count() == n  # a vector that is there twice still makes two rows
+        assert corpus.where("vec is not null").count() == (2 if n == 4 else 3)
