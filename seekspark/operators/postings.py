@@ -3,7 +3,8 @@
 The index is a folder in the shared file system:
 
   postings/segment=S/shard=H   (term, block, docs, tfs, dls): the documents of a block that have the term, in order of their id, with
-                               counts and lengths; most (largest count) and least (smallest length) bound what they can score
+                               counts and lengths; n is how many, most (largest count) and least (smallest length) bound what they
+                               can score; a row without a term lists all documents that a shard was built of
   lengths/segment=S            (doc_id, shard, dl): the documents of a segment
   gone/segment=S               (doc_id): documents that segments before S no longer hold
 
@@ -27,13 +28,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import sparse_tokens
 from ..sources.shared import drop, kept, place
-from .lexical import K1, B, maybe_broadcast, tokenized, top
+from .lexical import K1, B, maybe_broadcast, top
 from .nearest import Best
 
 SHARD, BLOCKS = 8192, 16
 #: Queries whose weights travel together, and tombstones that are broadcast at most.
 GROUP, FEW = 1024, 1_000_000
-_POSTINGS = "term string, block int, docs array<long>, tfs array<long>, dls array<int>, most long, least int, segment int, shard int"
+_POSTINGS = "term string, block int, docs array<long>, tfs array<long>, dls array<int>, n int, most long, least int, segment int, shard int"
 _LENGTHS = "doc_id long, shard int, dl int, segment int"
 _GONE = "doc_id long, segment int"
 
@@ -52,7 +53,7 @@ class Index:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if there else self.spark.createDataFrame([], schema)
 
     def postings(self) -> DataFrame:
-        return self._read("postings", _POSTINGS)
+        return self._read("postings", _POSTINGS).where("term is not null")
 
     def lengths(self) -> DataFrame:
         return self._read("lengths", _LENGTHS)
@@ -71,7 +72,10 @@ class Index:
         return max(-1 if x is None else x for x in last) + 1
 
 
-_LISTS = "term string, block int, docs array<long>, tfs array<long>, dls array<int>, most long, least int, shard int"
+_LISTS = "term string, block int, docs array<long>, tfs array<long>, dls array<int>, n int, most long, least int, shard int"
+
+
+_NAMES = ["term", "block", "docs", "tfs", "dls", "n", "most", "least", "shard"]
 
 
 def _shards(n: int) -> int:
@@ -84,19 +88,23 @@ def _hash(shards: int, c: str = "doc_id"):
 
 
 def _grouped(shard: pa.Scalar, words: pa.Array, term: np.ndarray, block: np.ndarray, doc: np.ndarray, tf: np.ndarray, dl: np.ndarray) -> pa.Table:
-    """The lists of a shard's postings; `term` is a place in `words`."""
-    order = np.lexsort((doc, term, block))
+    """The lists of a shard's postings in order of their terms; `term` is a place in `words`."""
+    alphabetical = pc.sort_indices(words)
+    words, place = words.take(alphabetical), np.empty(len(words), np.int64)
+    place[alphabetical.to_numpy()] = np.arange(len(words))
+    term = place[term]
+    order = np.lexsort((doc, block, term))
     term, block, doc, tf, dl = (x[order] for x in (term, block, doc, tf, dl))
     first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, np.int64)
     at = pa.array(np.r_[first, len(term)], pa.int32())
     lists = [pa.ListArray.from_arrays(at, pa.array(x, t)) for x, t in ((doc, pa.int64()), (tf, pa.int64()), (dl, pa.int32()))]
     most, least = (f.reduceat(x, first) if len(first) else x[:0] for f, x in ((np.maximum, tf), (np.minimum, dl)))
-    columns = [words.take(pa.array(term[first])), pa.array(block[first], pa.int32()), *lists, pa.array(most, pa.int64()), pa.array(least, pa.int32()), pa.repeat(shard, len(first))]
-    return pa.Table.from_arrays(columns, ["term", "block", "docs", "tfs", "dls", "most", "least", "shard"])
+    columns = [words.take(pa.array(term[first])), pa.array(block[first], pa.int32()), *lists, pa.array(np.diff(at.to_numpy()), pa.int32()), pa.array(most, pa.int64()), pa.array(least, pa.int32()), pa.repeat(shard, len(first))]
+    return pa.Table.from_arrays(columns, _NAMES)
 
 
 def _counted(docs: pa.Table) -> pa.Table:
-    """The lists of a shard's documents (shard, block, doc_id, tokens, dl)."""
+    """The lists of a shard's documents (shard, block, doc_id, tokens, dl), and one without a term: all documents and their lengths."""
     words, pairs = [], []
     for b in docs.to_batches():
         tokens = b.column("tokens")
@@ -110,13 +118,18 @@ def _counted(docs: pa.Table) -> pa.Table:
     every = pa.chunked_array(words, pa.string()).unique()
     term = [pc.index_in(w, every).to_numpy(zero_copy_only=False)[p[0]] for w, p in zip(words, pairs, strict=True)]
     every = every.combine_chunks() if isinstance(every, pa.ChunkedArray) else every
-    return _grouped(docs.column("shard")[0], every, np.concatenate(term), *(np.concatenate(x) for x in list(zip(*pairs, strict=True))[1:]))
+    lists = _grouped(docs.column("shard")[0], every, np.concatenate(term), *(np.concatenate(x) for x in list(zip(*pairs, strict=True))[1:]))
+    ids, dls = docs.column("doc_id").combine_chunks(), docs.column("dl").combine_chunks()
+    whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+    none, zero = whole(pa.array([], pa.int64())), pa.array([0], pa.int32())
+    row = [pa.array([None], pa.string()), zero, whole(ids), none, whole(dls), pa.array([docs.num_rows], pa.int32()), pa.array([0], pa.int64()), zero, pa.repeat(docs.column("shard")[0], 1)]
+    return pa.concat_tables([pa.Table.from_arrays(row, _NAMES), lists])
 
 
 def _merged(lists: pa.Table, live: pa.Table) -> pa.Table:
     """The lists of a shard, of those of all segments (to, segment, term, block, docs, tfs, dls) and what is live (to, segment, doc_id)."""
     if not lists.num_rows:
-        return pa.Table.from_pylist([], pa.schema([("term", pa.string()), ("block", pa.int32()), ("docs", pa.list_(pa.int64())), ("tfs", pa.list_(pa.int64())), ("dls", pa.list_(pa.int32())), ("most", pa.int64()), ("least", pa.int32()), ("shard", pa.int32())]))
+        return pa.Table.from_pylist([], pa.schema([("term", pa.string()), ("block", pa.int32()), ("docs", pa.list_(pa.int64())), ("tfs", pa.list_(pa.int64())), ("dls", pa.list_(pa.int32())), ("n", pa.int32()), ("most", pa.int64()), ("least", pa.int32()), ("shard", pa.int32())]))
     coded = lists.column("term").combine_chunks().dictionary_encode()
     size = pc.list_value_length(lists.column("docs")).to_numpy()
     wide = lambda x: np.repeat(x, size)
@@ -129,10 +142,13 @@ def _merged(lists: pa.Table, live: pa.Table) -> pa.Table:
     return _grouped(lists.column("to")[0], coded.dictionary, *(x[keep] for x in (term, block, doc, tf, dl)))
 
 
-def _write(index: Index, lists: DataFrame, lengths: DataFrame, shards: int, segment: int) -> None:
-    """A segment of lists, all of a shard in one task, and lengths (doc_id, dl)."""
-    lists = lists.select("term", "block", "docs", "tfs", "dls", "most", "least", F.lit(segment).alias("segment"), "shard")
-    lists.sortWithinPartitions("shard", "term", "block").write.mode("append").partitionBy("segment", "shard").parquet(f"{index.path}/postings")
+def _write(index: Index, lists: DataFrame, lengths: DataFrame | None, shards: int, segment: int) -> None:
+    """A segment of lists, all of a shard in one task and in order of terms, and lengths (doc_id, dl): those of the lists without a term, if none are given."""
+    lists = lists.select("term", "block", "docs", "tfs", "dls", "n", "most", "least", F.lit(segment).alias("segment"), "shard")
+    lists.write.mode("append").partitionBy("segment", "shard").parquet(f"{index.path}/postings")
+    if lengths is None:
+        every = index._read("postings", _POSTINGS).where((F.col("segment") == segment) & F.col("term").isNull())
+        lengths = every.select(F.explode(F.arrays_zip("docs", "dls")).alias("x")).select(F.col("x.docs").alias("doc_id"), F.when(F.col("x.dls") >= 0, F.col("x.dls")).alias("dl"))
     lengths.select("doc_id", _hash(shards).alias("shard"), "dl", F.lit(segment).alias("segment")).write.mode("append").partitionBy("segment").parquet(f"{index.path}/lengths")
 
 
@@ -147,14 +163,13 @@ def add(index: Index, docs: DataFrame) -> None:
     """Adds documents, in place of those with their ids: one segment more."""
     segment = index.next_segment()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    lengths = kept(tokenized(docs, index.tokenizer).select("doc_id", F.when(F.col("dl") >= 0, F.col("dl")).alias("dl")), "lengths")
     if segment:
-        _mark(index, lengths.join(index.lengths().select("doc_id"), "doc_id", "left_semi"), segment)
-    shards = _shards(lengths.count())
+        _mark(index, docs.select("doc_id").join(index.lengths().select("doc_id"), "doc_id", "left_semi"), segment)
+    shards = _shards(docs.count())
     # texts go to their shards, and become terms there: no posting is shuffled
     there = docs.withColumn("shard", _hash(shards)).repartition("shard").sortWithinPartitions("shard")
     tokens = there.select("shard", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(BLOCKS)).cast("int").alias("block"), "doc_id", index.tokenizer(F.col("text")).alias("tokens"))
-    _write(index, tokens.withColumn("dl", F.size("tokens")).groupBy("shard").applyInArrow(_counted, _LISTS), lengths, shards, segment)
+    _write(index, tokens.withColumn("dl", F.size("tokens")).groupBy("shard").applyInArrow(_counted, _LISTS), None, shards, segment)
 
 
 def remove(index: Index, ids: DataFrame) -> None:
@@ -216,10 +231,10 @@ def frequencies(index: Index, terms: DataFrame) -> DataFrame:
     """(term, df) of the terms that some document has."""
     hits = index.postings().join(maybe_broadcast(terms.select("term").distinct(), 100_000), "term", "left_semi")
     if index.gone().isEmpty():
-        return hits.groupBy("term").agg(F.sum(F.size("docs")).alias("df"))
+        return hits.groupBy("term").agg(F.sum("n").alias("df"))
     dead = _dead(index).select("doc_id", "segment")
     each = hits.select("term", "segment", F.explode("docs").alias("doc_id")).join(maybe_broadcast(dead, FEW), ["doc_id", "segment"], "left_semi")
-    rows = hits.select("term", F.size("docs").cast("long").alias("n")).unionByName(each.select("term", F.lit(-1).cast("long").alias("n")))
+    rows = hits.select("term", F.col("n").cast("long").alias("n")).unionByName(each.select("term", F.lit(-1).cast("long").alias("n")))
     return rows.groupBy("term").agg(F.sum("n").alias("df")).where("df > 0")
 
 

@@ -5,7 +5,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from seekspark.operators import chunking, nearest
+from seekspark.operators import chunking, evaluate, expansion, nearest, postings
 from seekspark.sources import tables
 
 
@@ -41,3 +41,44 @@ def test_texts_are_not_shuffled_to_meet_vectors(spark, tmp_path):
         assert ("Join" in texts._jdf.queryExecution().optimizedPlan().toString()) == (n == 5)
         assert texts.count() == corpus.count() == n  # a vector that is there twice still makes two rows
         assert corpus.where("vec is not null").count() == (2 if n == 4 else 3)
+
+
+def test_index_takes_tokens_once(spark):
+    """Before, a pass of its own counted the lengths, so each text was tokenised twice."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def split(text):
+        calls.add(1)
+        return None if text is None else text.split()
+
+    rows = [(i, None if i % 9 == 8 else "a b " * (i % 4) + "c") for i in range(40)]
+    index = postings.build(spark.createDataFrame(rows, "doc_id long, text string"), split)
+    assert calls.value == 40
+    assert {r.doc_id: r.dl for r in index.lengths().collect()} == {i: None if t is None else len(t.split()) for i, t in rows}
+    assert index.postings().where("n <> size(docs) or term is null").isEmpty()
+    shard = [(r.term, r.block) for r in index.spark.read.parquet(index.path + "/postings").where("term is not null").collect()]
+    assert shard == sorted(shard)
+
+
+def test_expansion_takes_hits_that_are_found(spark, monkeypatch):
+    """Before, the hits of the plain search were searched again to expand its queries."""
+    docs = spark.createDataFrame([(i, f"w{i % 5} w{i % 7} w{i % 11} x{i}") for i in range(60)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "w1 w2"), (2, "w9")], "qid long, text string")
+    index = postings.build(docs)
+    rows = lambda df: sorted(map(tuple, df.select("qid", "term", F.round("times", 9)).collect()))
+    want, plain = rows(expansion.expanded(index, docs, asked)), postings.search(index, asked)
+    monkeypatch.setattr(postings, "search_terms", None)
+    assert rows(expansion.expanded(index, docs, asked, found=plain)) == want
+
+
+def test_holders_shuffle_no_texts(spark, monkeypatch):
+    """Before, the ids and words of all texts were looked through as rows, and the texts were shuffled to those that met."""
+    docs = spark.createDataFrame([(i, None if i == 7 else f"one shared phrase {i % 3} stands here") for i in range(300)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a shared phrase 1 stands"), (2, "one shared phrase 1 st"), (3, "here"), (4, None)], "qid long, item string")
+    few = evaluate.holders(docs, items)
+    assert "SortMergeJoin" not in few._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, few.collect()))
+    monkeypatch.setattr(evaluate, "MOST_ITEMS", 0)
+    assert sorted(map(tuple, evaluate.holders(docs, items).collect())) == got
+    assert len(got) == 99 + 299
