@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import relevance, space_tokens
 from .analyze import categories, difficulty
-from .lexical import maybe_broadcast
+from .lexical import maybe_broadcast, small
 
 RETRIEVAL = ["precision", "recall", "f1_score", "hit_rate", "mrr", "ndcg"]
 ANSWER = ["faithfulness", "answer_relevancy", "context_relevancy"]
@@ -24,18 +24,26 @@ def holders(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     An occurrence holds all the item's inner words (between spaces) as words of the document: documents and items meet by the
     item's longest inner word, and only these pairs are compared. Items of fewer than three words are compared with every document.
+    Where there are few items their words are looked for in the texts in place; else ids and words are shuffled.
     """
     inner = F.split("item", " ")
     inner = F.filter(F.slice(inner, 2, F.greatest(F.lit(0), F.size(inner) - 2)), lambda x: x != "")
     best = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))
     keyed = items.select("qid", "item", best.w.alias("w")).where("item is not null")
     anchors = keyed.where("w is not null")
+    short = maybe_broadcast(keyed.where("w is null").drop("w"), MOST_ITEMS)
+    bare = docs.select("doc_id", "text").join(short, F.contains("text", F.col("item"))).select("qid", "doc_id")
+    if small(anchors, MOST_ITEMS):
+        asked = sorted({r.w for r in anchors.select("w").collect()})
+        here = F.array_distinct(F.filter(F.split("text", " "), lambda x: x.isin(asked)))
+        near = docs.select("doc_id", "text", here.alias("ws")).where(F.size("ws") > 0).select("doc_id", "text", F.explode("ws").alias("w"))
+        found = near.join(F.broadcast(anchors), "w").where(F.contains("text", F.col("item"))).select("qid", "doc_id").distinct()
+        return found.unionByName(bare)
     words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("w"))  # ids and words: no text is copied
-    met = words.join(maybe_broadcast(anchors.select("qid", "w"), MOST_ITEMS), "w").select("qid", "doc_id").distinct()
-    both = met.join(docs.select("doc_id", "text"), "doc_id").join(maybe_broadcast(anchors.select("qid", "item"), MOST_ITEMS), "qid")
+    met = words.join(anchors.select("qid", "w"), "w").select("qid", "doc_id").distinct()
+    both = met.join(docs.select("doc_id", "text"), "doc_id").join(anchors.select("qid", "item"), "qid")
     found = both.where(F.contains("text", F.col("item"))).select("qid", "doc_id").distinct()
-    short = maybe_broadcast(keyed.where("w is null").drop("w"), MOST_ITEMS)
-    return found.unionByName(docs.select("doc_id", "text").join(short, F.contains("text", F.col("item"))).select("qid", "doc_id"))
+    return found.unionByName(bare)
 
 
 def answer_metrics(answers: DataFrame, contexts: DataFrame) -> DataFrame:

@@ -9,14 +9,16 @@ from . import postings
 from .lexical import term_frequencies, tokenized
 
 
-def expanded(index: postings.Index, docs: DataFrame, queries: DataFrame, hits: int = 5, terms: int = 10, weight: float = 0.5) -> DataFrame:
+def expanded(index: postings.Index, docs: DataFrame, queries: DataFrame, hits: int = 5, terms: int = 10, weight: float = 0.5, found: DataFrame | None = None) -> DataFrame:
     """(qid, term, times): each query's terms and the `terms` best new ones of its first `hits` documents.
 
     A term's value is the sum over these documents of its share of the text, times its inverse document frequency, not below 0; it
-    weighs `weight` times that of the best. Only the texts of hits are read.
+    weighs `weight` times that of the best. Only the texts of hits are read. Where the queries' ranked hits are `found` already
+    (at least `hits` of each that has so many), they are not searched again.
     """
     asked = postings.kept(postings.asked_terms(index, queries), "asked")
-    first = postings.kept(postings.search_terms(index, asked, hits).select("qid", "doc_id"), "first")
+    ranked = postings.search_terms(index, asked, hits) if found is None else found.where(F.col("rank") <= hits)
+    first = postings.kept(ranked.select("qid", "doc_id"), "first")
     texts = docs.join(first.select("doc_id").distinct(), "doc_id", "left_semi")
     tf = postings.kept(term_frequencies(tokenized(texts, index.tokenizer)), "tf")
     n = index.live().count()
