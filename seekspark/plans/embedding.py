@@ -53,8 +53,8 @@ def _batches(model: Model, size: int):
             return pa.RecordBatch.from_arrays([pa.array(hashes, pa.string()), pa.array(vecs, pa.list_(pa.float64())), pa.array(errors, pa.string())], ["hash", "vec", "error"])
 
         for b in arrow:
-            for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                hashes.append(h), texts.append(t)
+            for h, t in zip(b.column(0), b.column(1), strict=True):  # a batch from Spark holds far more texts than the model takes
+                hashes.append(h.as_py()), texts.append(t.as_py())
                 if len(texts) == size:
                     yield done()
                     hashes, texts = [], []

@@ -1,11 +1,15 @@
 """What the operators did not do to the end before: each test failed on the code before its change."""
 
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from seekspark.operators import chunking, evaluate, expansion, nearest, postings
+from seekspark.operators import chunking, context, evaluate, expansion, lexical, nearest, postings
+from seekspark.plans import embedding
 from seekspark.sources import tables
 
 
@@ -82,3 +86,36 @@ def test_holders_shuffle_no_texts(spark, monkeypatch):
     monkeypatch.setattr(evaluate, "MOST_ITEMS", 0)
     assert sorted(map(tuple, evaluate.holders(docs, items).collect())) == got
     assert len(got) == 99 + 299
+
+
+def test_tokens_are_counted_a_few_documents_at_a_time():
+    """Before, what was counted at once was a whole batch of Spark's: ten thousand documents."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000))], ["doc_id"])
+    parts = [x.column(0).to_pylist() for x in lexical._slices(iter([batch]))]
+    assert max(map(len, parts)) <= lexical.DOCUMENTS and sum(parts, []) == list(range(2000))
+
+
+def test_model_batches_hold_few_texts():
+    """Before, all texts of a batch of Spark's were Python strings at once."""
+    batch = pa.RecordBatch.from_arrays([pa.array([f"h{i}" for i in range(2000)]), pa.array(["x" * 10_000] * 2000)], ["hash", "text"])
+    tracemalloc.start()
+    n = sum(x.num_rows for x in embedding._batches(lambda texts: [[len(t)] for t in texts], 50)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 2000 and peak < 5e6
+
+
+def test_edge_stats_find_edges_once(spark):
+    """Before, the edges were found for those that leave one of the chunks, and again for those that only reach one."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def strength(i):
+        calls.add(1)
+        return i / 10
+
+    edges = spark.createDataFrame([(f"c{i}", f"c{j}", "Semantic", i) for i, j in ((1, 2), (2, 1), (3, 1), (3, 4), (1, 1), (9, None))], "src string, dst string, type string, i long")
+    edges = edges.select("src", "dst", "type", strength("i").alias("strength"))
+    chunks = spark.createDataFrame([("c1",), ("c1",), ("c2",), (None,)], "chunk_id string")
+    r = context.edge_stats(edges, chunks).first()
+    assert (r.n, r.mean, r.low, r.high) == (4, pytest.approx(0.175), 0.1, 0.3) and calls.value == 6
