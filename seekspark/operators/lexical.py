@@ -17,7 +17,7 @@ from ..sources.shared import kept
 K1, B = 1.2, 0.75
 #: Queries that are answered in one pass over the documents, queries in one product, and documents in one product.
 QUERIES, ASKED, DOCUMENTS = 1024, 128, 512
-#: Postings that leave a task in one batch.
+#: Postings that leave a task in one batch. Tokens are counted DOCUMENTS at a time too, however many a batch from Spark holds.
 POSTINGS = 1 << 16
 
 
@@ -25,11 +25,17 @@ def tokenized(docs: DataFrame, tokenizer=sparse_tokens, key: str = "doc_id", tex
     return docs.select(F.col(key).alias("doc_id"), tokenizer(F.col(text)).alias("tokens")).withColumn("dl", F.size("tokens"))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, DOCUMENTS):
+            yield b.slice(i, DOCUMENTS)
+
+
 def term_frequencies(tokens: DataFrame) -> DataFrame:
     """(doc_id, term, tf, dl): the postings. What is counted lies within one row, so nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             n = pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy()
             words = b.column(1).flatten().dictionary_encode()
             known = max(len(words.dictionary), 1)
@@ -86,7 +92,7 @@ def _hits(docs: DataFrame, tokenizer, vocabulary: list[str], distinct: bool) ->
     known = pa.array(vocabulary, pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             words = b.column(3)
             n = pc.fill_null(pc.list_value_length(words), 0).to_numpy()
             term = pc.index_in(words.flatten(), known).to_numpy(zero_copy_only=False).astype(np.int64)
