@@ -35,29 +35,35 @@ from pyspark.sql import functions as F
 from .common import Scratch, least, mix, pack, slices, squeezed, unpack, unsqueezed, utf8
 
 SPAN, GRAM, SYMBOL, CHUNK, SHARDS, PACKED, MEMBERS = 50, 20, 10, 1024, 4, 16 << 20, 32_768
+#: Grams that divide the classes of one gram where these are more than CHUNK, and bytes of their texts that are divided at a time.
+LONGER, SLICE = (32, 44, SPAN), 1 << 20
 DEPTH = SPAN // SYMBOL
 _T = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ODD = np.uint64(0xD1342543DE82EF95)
 
 
-def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of SPAN-byte strings inside rows that select the same GRAM bytes: first and last start, place and hash of the gram.
+def anchors(data: np.ndarray, at: np.ndarray, gram: int = GRAM, bits: int = 0) -> tuple[np.ndarray, ...]:
+    """Runs of SPAN-byte strings inside rows that select the same `gram` bytes: first and last start, place and hash of the gram.
 
     Of each string the gram with the least hash is selected, the leftmost of equals, so equal strings select equal grams at
-    equal distances.
+    equal distances. Places take `bits` bits of the comparison, as many as the data need if none are given.
     """
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < SPAN:
         return none, none, none, none.view(np.uint64)
-    padded = np.zeros(n + 16, np.uint8)
-    padded[:n] = data
-    eight = np.ndarray((n + 8,), "<u8", padded, strides=(1,))
-    h = eight[: n - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15) ^ eight[8 : n - GRAM + 9] * np.uint64(0xC2B2AE3D27D4EB4F)
-    h = mix(h ^ eight[GRAM - 8 : n - 7] * np.uint64(0xD6E8FEB86659FD93))
-    bits = np.uint64(n.bit_length())
+    if gram == GRAM:
+        padded = np.zeros(n + 16, np.uint8)
+        padded[:n] = data
+        eight = np.ndarray((n + 8,), "<u8", padded, strides=(1,))
+        h = eight[: n - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15) ^ eight[8 : n - GRAM + 9] * np.uint64(0xC2B2AE3D27D4EB4F)
+        h = mix(h ^ eight[GRAM - 8 : n - 7] * np.uint64(0xD6E8FEB86659FD93))
+    else:
+        begin = np.arange(n - gram + 1)
+        h = span_hashes(data, begin, begin + gram)
+    bits = np.uint64(bits or n.bit_length())
     m = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
-    width, want = 1, SPAN - GRAM + 1
+    width, want = 1, SPAN - gram + 1
     while width < want:
         step = min(width, want - width)
         m = np.minimum(m[:-step], m[step:])
@@ -258,6 +264,68 @@ def repeated_strings(data: np.ndarray, at: np.ndarray, shards: int = SHARDS) ->
     return places[where[keep]], block[keep]
 
 
+def _taken(raw: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts raw[at:at + length] one after the other, and where each begins (one more at the end)."""
+    begin = np.concatenate([[0], np.cumsum(length)])
+    return raw[np.arange(begin[-1]) - np.repeat(begin[:-1] - at, length)], begin
+
+
+def _compare(raw: np.ndarray, at: np.ndarray, length: np.ndarray, gram: np.ndarray, low: np.ndarray, value: np.ndarray, window: np.ndarray, longer: tuple[int, ...] = LONGER) -> None:
+    """Of texts raw[at:at + length] in order of their grams: for each SPAN-byte string the smallest `low` of the gram's texts that
+    hold it, into `value` from the text's `window` on.
+
+    Whole grams of up to CHUNK texts are compared together. A gram that has more is divided by longer grams, so what is compared
+    at a time is bounded however often a gram occurs.
+    """
+    new = np.append(np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])), len(gram))
+    i = 0
+    while i < len(gram):
+        k = np.searchsorted(new, i + CHUNK, "right") - 1
+        j = int(new[k])
+        if j <= i:
+            j = int(new[k + 1])
+            if longer:
+                _divide(raw, at[i:j], length[i:j], low[i:j], value, window[i:j], longer)
+                i = j
+                continue
+        data, begin = _taken(raw, at[i:j], length[i:j])
+        places, content = repeated_strings(data, begin)
+        who = np.searchsorted(begin, places, "right") - 1
+        least_ = np.full(int(content.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least_, content, low[i:j][who])
+        value[window[i:j][who] + places - begin[who]] = least_[content]
+        i = j
+
+
+def _divide(raw: np.ndarray, at: np.ndarray, length: np.ndarray, low: np.ndarray, value: np.ndarray, window: np.ndarray, longer: tuple[int, ...]) -> None:
+    """`_compare` of the texts of one gram: by grams of longer[0] bytes they become pieces, and equal pieces one class again."""
+    part = np.cumsum(length) // SLICE
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(at)]
+    pieces = []
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        data, begin = _taken(raw, at[i:j], length[i:j])
+        first, last, _, h = anchors(data, begin, longer[0], bits=24)  # the same for all slices, so that equal strings select equal grams
+        who = np.searchsorted(begin, first, "right") - 1
+        off = first - begin[who]
+        pieces.append((at[i:j][who] + off, last - first, window[i:j][who] + off, low[i:j][who], h, span_hashes(data, first, last + SPAN)))
+    start, run, to, low, h, text = map(np.concatenate, zip(*pieces, strict=True))
+    order = np.lexsort((text, h))
+    start, run, to, low, h, text = (x[order] for x in (start, run, to, low, h, text))
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])])
+    cls, one = np.cumsum(new) - 1, np.flatnonzero(new)
+    least_ = np.minimum.reduceat(low, one)
+    size = run[one] + 1
+    own = np.concatenate([[0], np.cumsum(size)])
+    found = np.repeat(least_, size)
+    many = np.repeat((n := np.unique(h[one], return_counts=True)[1]) > 1, n)
+    if many.any():
+        _compare(raw, start[one][many], size[many] + SPAN - 1, h[one][many], least_[many], found, own[:-1][many], longer[1:])
+    for i in range(0, len(cls), MEMBERS):
+        c, n = cls[i : i + MEMBERS], size[cls[i : i + MEMBERS]]
+        j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        value[np.repeat(to[i : i + MEMBERS], n) + j] = found[np.repeat(own[c], n) + j]
+
+
 def _marks(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """Of a part's classes and their texts: the stretches of documents that begin with strings of smaller doc_ids, a row for each
     bucket of documents."""
@@ -280,20 +348,7 @@ def _marks(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
         at = np.cumsum(length) - length
         order = np.argsort(got)  # classes are numbered by gram
         got, at, length = got[order], at[order], length[order]
-        new = np.flatnonzero(np.diff(gram[got].astype(np.int64), prepend=-1))
-        i = 0
-        while i < len(got):
-            k = np.searchsorted(new, i + CHUNK, "left")
-            j = int(new[k]) if k < len(new) else len(got)
-            n = length[i:j]
-            begin = np.concatenate([[0], np.cumsum(n)])
-            take = np.arange(begin[-1]) - np.repeat(begin[:-1] - at[i:j], n)
-            places, content = repeated_strings(raw[take], begin)
-            who = np.searchsorted(begin, places, "right") - 1
-            low = np.full(int(content.max(initial=-1)) + 1, np.iinfo(np.int64).max)
-            np.minimum.at(low, content, smallest[got[i:j][who]])
-            value[window[got[i:j][who]] + places - begin[who]] = low[content]
-            i = j
+        _compare(raw, at, length, gram[got], smallest[got], value, window[got])
     found = []
     for i in range(0, len(cls), MEMBERS):
         c, d = cls[i : i + MEMBERS], doc[i : i + MEMBERS]

@@ -114,6 +114,48 @@ def test_repeated_strings(spark):
     assert rows_of(suffix_dedup.remove_repeats(docs_of(spark, pairs), Scratch(spark, "t"))) == brute_repeats(pairs)
 
 
+def test_frequent_gram_is_compared_in_bounded_groups(monkeypatch):
+    """A line that stands in many unlike surroundings: no comparison takes more than CHUNK texts, and the marks are those of the definition."""
+    r = random.Random(6)
+    line = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    common, some = line(61), [line(25) for _ in range(5)]
+    texts = [r.choice(some) + line(r.randint(0, 40)) + common[: r.choice([40, 61])] + line(r.randint(0, 40)) + r.choice(some) for _ in range(1500)]
+    ids = np.random.default_rng(1).permutation(len(texts))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(range(len(texts))), pa.array(texts)], ["pid", "tkey", "text"])
+    blobs = [b for out in suffix_dedup._pieces(1)(iter([batch])) for b in out.column(1).to_pylist()]
+    found = suffix_dedup._classes((0,), suffix_dedup.pd.DataFrame({"data": blobs}))
+    wanted = [[{"part": 0, "data": b} for b in found.loc[(found["kind"] == 1) & (found["tkey"] == i), "data"]] for i in range(len(texts))]
+    both = pa.RecordBatch.from_arrays([batch.column(2), pa.array(wanted)], ["text", "wanted"])
+    pieces = suffix_dedup.pd.concat([found[found["kind"] == 0], *(b.to_pandas() for b in suffix_dedup._texts(iter([both])))])
+    groups, plain = [], suffix_dedup.repeated_strings
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 64)
+    monkeypatch.setattr(suffix_dedup, "SLICE", 5000, raising=False)
+    monkeypatch.setattr(suffix_dedup, "repeated_strings", lambda data, at: groups.append(len(at) - 1) or plain(data, at))
+    marks = suffix_dedup._by_document(0, suffix_dedup._marks(pieces, 1))
+    assert len(groups) > 5 and max(groups) <= 64
+    got = dict(zip(marks["tkey"], map(suffix_dedup.covered, marks["marks"]), strict=True))
+    want = {i: x for (i, x) in enumerate(brute_spans(list(zip(ids.tolist(), texts, strict=True)))) if x}
+    assert len(want) > 700 and got == want
+
+
+def brute_spans(pairs):
+    low = {}
+    for d, t in pairs:
+        for i in range(len(t) - 49):
+            low[t[i : i + 50]] = min(d, low.get(t[i : i + 50], d))
+    out = []
+    for d, t in pairs:
+        spans = []
+        for i in range(len(t) - 49):
+            if low[t[i : i + 50]] < d:
+                if spans and spans[-1][1] >= i:
+                    spans[-1] = (spans[-1][0], i + 50)
+                else:
+                    spans.append((i, i + 50))
+        out.append(spans)
+    return out
+
+
 def test_pieces_take_few_bytes():
     """Twelve bytes of hashes for a piece, and no more than three beside them, also in a long text dealt to many parts."""
     r = random.Random(4)
