@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens_floor
+from ..functions.text import once, tokens_floor
 
 
 def fixed(c: Column, size: int = 512, overlap: int = 64) -> Column:
@@ -22,43 +22,37 @@ BLOCK = 256
 def _greedy(pieces: Column, size: int, keep: int, join: str) -> Column:
     """A fold over lengths: pieces are gathered until the next would pass `size`; then a chunk is closed and its last `keep` go on.
 
-    A piece counts with one character after it. The fold moves numbers only (cuts, and the lengths of the last `keep` pieces). A fold
+    A piece counts with one character after it. The fold moves numbers only, and few of them, as it is interpreted: lengths are
+    computed once before it, and those of the last `keep` pieces are looked up when a chunk is closed. A fold
     copies its state at every step, so it runs over blocks of pieces, within which the state holds the block's own cuts only;
     the pieces are bound once, outside of it. The time is in proportion to the text.
     """
-    ints = F.array().cast("array<int>")
     none = F.array().cast("array<struct<a: int, b: int>>")
     cut = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
 
-    def state(cuts: Column, start: Column, used: Column, n: Column, tail: Column) -> Column:
-        return F.struct(cuts.alias("cuts"), start.alias("start"), used.alias("used"), n.alias("n"), tail.alias("tail"))
-
-    def step(s: Column, x: Column) -> Column:
-        n = F.length(x) + 1
-        full = (s.used + n > size) & (s.n > s.start)
-        left = F.aggregate(s.tail, F.lit(0), lambda t, y: t + y)
-        more = F.array_append(s.tail, n)
-        return state(
-            F.when(full, F.array_append(s.cuts, cut(s.start, s.n))).otherwise(s.cuts),
-            F.when(full, s.n - F.size(s.tail)).otherwise(s.start),
-            F.when(full, left + n).otherwise(s.used + n),
-            s.n + 1,
-            F.slice(more, F.greatest(F.lit(1), F.size(more) - keep + 1), keep) if keep else ints,
-        )
-
-    def block(p: Column, s: Column, i: Column) -> Column:
-        joined = lambda t: state(F.concat(s.cuts, t.cuts), t.start, t.used, t.n, t.tail)
-        return F.aggregate(F.slice(p, i * BLOCK + 1, BLOCK), state(none, s.start, s.used, s.n, s.tail), step, joined)
+    def state(cuts: Column, start: Column, used: Column, n: Column) -> Column:
+        return F.struct(cuts.alias("cuts"), start.alias("start"), used.alias("used"), n.alias("n"))
 
-    def chunks(p: Column) -> Column:
-        def done(s: Column) -> Column:
-            cuts = F.when(s.n > s.start, F.array_append(s.cuts, cut(s.start, s.n))).otherwise(s.cuts)
-            return F.transform(cuts, lambda c: F.array_join(F.slice(p, c.a + 1, c.b - c.a), join))
+    def folded(lengths: Column) -> Column:
+        def step(s: Column, x: Column) -> Column:
+            again = F.least(F.lit(keep), s.n)
+            left = F.aggregate(F.slice(lengths, s.n - again + 1, again), F.lit(0), lambda t, y: t + y) if keep else F.lit(0)
+            closed = state(F.array_append(s.cuts, cut(s.start, s.n)), s.n - again, left + x, s.n + 1)
+            return F.when((s.used + x > size) & (s.n > s.start), closed).otherwise(state(s.cuts, s.start, s.used + x, s.n + 1))
+
+        def block(s: Column, i: Column) -> Column:
+            joined = lambda t: state(F.concat(s.cuts, t.cuts), t.start, t.used, t.n)
+            return F.aggregate(F.slice(lengths, i * BLOCK + 1, BLOCK), state(none, s.start, s.used, s.n), step, joined)
 
-        blocks = F.sequence(F.lit(0), F.floor(F.size(p) / BLOCK).cast("int"))
-        return F.aggregate(blocks, state(none, F.lit(0), F.lit(0), F.lit(0), ints), lambda s, i: block(p, s, i), done)
+        blocks = F.sequence(F.lit(0), F.floor(F.size(lengths) / BLOCK).cast("int"))
+        done = lambda s: F.when(s.n > s.start, F.array_append(s.cuts, cut(s.start, s.n))).otherwise(s.cuts)
+        return F.aggregate(blocks, state(none, F.lit(0), F.lit(0), F.lit(0)), block, done)
+
+    def chunks(p: Column) -> Column:
+        cuts = once(F.transform(p, lambda x: F.length(x) + 1), folded)
+        return F.transform(cuts, lambda c: F.array_join(F.slice(p, c.a + 1, c.b - c.a), join))
 
-    return F.transform(F.array(pieces), lambda p: F.when(p.isNotNull(), chunks(p)))[0]
+    return once(pieces, lambda p: F.when(p.isNotNull(), chunks(p)))
 
 
 def words(c: Column, size: int = 512, overlap: int = 64) -> Column:
