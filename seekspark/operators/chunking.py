@@ -8,11 +8,23 @@ from pyspark.sql import functions as F
 from ..functions.text import once, tokens_floor
 
 
+#: Windows that are taken from one stretch of a text: a window is found by counting characters from where its text begins.
+RUN = 16
+
+
 def fixed(c: Column, size: int = 512, overlap: int = 64) -> Column:
-    """Windows of `size` characters that share `overlap`; text of at most `size` is one chunk."""
+    """Windows of `size` characters that share `overlap`; text of at most `size` is one chunk.
+
+    Windows are taken from stretches of RUN windows, not each from the whole text, which would take the square of its length.
+    """
     step = size - overlap
     last = F.greatest(F.lit(0), F.ceil((F.length(c) - overlap) / step).cast("int") - 1)
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(c, i * step + 1, F.lit(size)))
+
+    def stretch(b: Column, last: Column) -> Column:
+        places = F.sequence(F.lit(0), F.least(last - b * RUN, F.lit(RUN - 1)))
+        return once(F.substring(c, b * (RUN * step) + 1, F.lit(RUN * step + overlap)), lambda t: F.transform(places, lambda i: F.substring(t, i * step + 1, F.lit(size))))
+
+    return once(last, lambda n: F.flatten(F.transform(F.sequence(F.lit(0), F.floor(n / RUN).cast("int")), lambda b: stretch(b, n))))
 
 
 #: Pieces of one inner fold.
@@ -90,7 +102,8 @@ CHUNKERS = {"fixed": fixed, "words": words, "sentences": sentences, "paragraphs"
 def chunk(docs: DataFrame, strategy: str = "fixed", **options: int) -> DataFrame:
     """chunk_id, document_id, chunk_index, total_chunks, content, token_count, metadata of documents (doc_id, text, lang, source)."""
     pieces = docs.select("doc_id", F.create_map(F.lit("lang"), "lang", F.lit("source"), "source").alias("metadata"), CHUNKERS[strategy](F.col("text"), **options).alias("pieces"))
-    flat = pieces.select("doc_id", "metadata", F.size("pieces").alias("total_chunks"), F.posexplode("pieces").alias("chunk_index", "content"))
+    # outer, and empty ones left out afterwards: else Spark cuts each text once more before, to see whether it has any piece
+    flat = pieces.select("doc_id", "metadata", F.size("pieces").alias("total_chunks"), F.posexplode_outer("pieces").alias("chunk_index", "content")).where("chunk_index is not null")
     return flat.select(
         F.concat_ws("#", "doc_id", "chunk_index").alias("chunk_id"), F.col("doc_id").alias("document_id"), "chunk_index", "total_chunks", "content", tokens_floor(F.col("content")).alias("token_count"), "metadata"
     )

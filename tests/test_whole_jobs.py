@@ -119,3 +119,21 @@ def test_edge_stats_find_edges_once(spark):
     chunks = spark.createDataFrame([("c1",), ("c1",), ("c2",), (None,)], "chunk_id string")
     r = context.edge_stats(edges, chunks).first()
     assert (r.n, r.mean, r.low, r.high) == (4, pytest.approx(0.175), 0.1, 0.3) and calls.value == 6
+
+
+def test_a_text_is_cut_once(spark):
+    """What is cut is exploded without being cut before to see whether there is anything; texts without a piece, and long ones, as before."""
+    texts = [None, "", "  ", "a b", "x" * 512, "x" * 513, *("".join(chr(97 + i % 23) for i in range(n)) for n in (16 * 448 + 64, 16 * 448 + 65, 40_000))]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    for strategy, call in (("words", "split("), ("fixed", "substring(")):
+        plan = chunking.chunk(docs, strategy)._jdf.queryExecution().optimizedPlan().toString()
+        once = chunking.CHUNKERS[strategy](F.col("text")).alias("pieces")
+        assert plan.count(call) == docs.select(once)._jdf.queryExecution().optimizedPlan().toString().count(call)
+    got = {i: [] for i in range(len(texts))}
+    for r in chunking.chunk(docs).orderBy("doc_id", "chunk_index").collect():
+        assert r.chunk_index == len(got[r.document_id])
+        got[r.document_id].append(r.content)
+    for i, t in enumerate(texts):
+        n = max(1, -(-(len(t or "") - 64) // 448))
+        assert got[i] == ([None] if t is None else [t[448 * j : 448 * j + 512] for j in range(n)])
+    assert {r.document_id for r in chunking.chunk(docs, "words").select("document_id").collect()} == set(range(3, len(texts)))
